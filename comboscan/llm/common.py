@@ -26,6 +26,11 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: the optimizer would copy a projected expression to each of its uses."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node in an edge, root the smallest node reachable.
 
@@ -51,4 +56,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["connected_components", "fold", "fresh", "materialize", "table"]
+__all__ = ["connected_components", "fold", "fresh", "let", "materialize", "table"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, topk
-from .common import table
+from . import decontam, langid, packing, pii, sharding, simhash, topk
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hash_tree_sharding")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op7_tiered_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_decontamination", r"""
+WITH d AS (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM d),
+b AS (
+  SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+bs AS (SELECT DISTINCT item_id, text, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b),
+bn AS (SELECT item_id, text, count(*) AS n FROM bs GROUP BY ALL),
+m AS (SELECT ds.doc_id, ds.text AS dt, bs.item_id, bs.text AS bt, count(*) AS matched FROM ds JOIN bs USING (g) GROUP BY ALL)
+SELECT m.doc_id, m.item_id, m.matched, bn.n AS item_shingles, m.matched / bn.n AS containment
+FROM m JOIN bn ON bn.item_id = m.item_id AND bn.text = m.bt WHERE m.matched * 10 >= bn.n * 8""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(langid.sample(langid.training_rows(docs)))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), key="op4").select("doc_id", "text", "entities")

@@ -73,9 +73,10 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, lanes: int
                 pdf[c] = f[:, i]
             yield pdf
 
-    src = docs.select(*carry, F.col(text).alias("_text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} long" for c in names])
-    return src.mapInPandas(run, schema)
+    # carried columns travel as text: pandas would turn integers beside a null into doubles
+    src = docs.select(*[F.col(c).cast("string").alias(c) for c in carry], F.col(text).alias("_text"))
+    out = src.mapInPandas(run, ", ".join([f"`{c}` string" for c in carry] + [f"{c} long" for c in names]))
+    return out.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in carry], *names)
 
 
 def _tree(lanes: np.ndarray, ids: np.ndarray, left: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
