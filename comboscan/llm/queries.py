@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, sharding, simhash, topk
+from . import decontam, langid, lm, packing, pii, sharding, simhash, tokencount, topk, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii_surrogates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"), key="op4").select("doc_id", "text", "entities")
+
+
+@query("op3_stupid_backoff", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+b AS (SELECT rid, p, w, lag(w) OVER (PARTITION BY rid ORDER BY p) AS v FROM t),
+c1 AS (SELECT w, count(*) AS n FROM b GROUP BY w), o1 AS (SELECT rid, w, count(*) AS n FROM b GROUP BY rid, w),
+c2 AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
+o2 AS (SELECT rid, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY rid, v, w),
+s AS (SELECT rid, count(*) AS n FROM b GROUP BY rid), tot AS (SELECT count(*) AS n FROM b),
+x AS (
+  SELECT b.rid, b.v, cw.n - ow.n AS l1, cv.n - ov.n AS lv, cb.n - ob.n AS l2, tot.n - s.n AS rest
+  FROM b JOIN c1 cw ON cw.w = b.w JOIN o1 ow ON ow.rid = b.rid AND ow.w = b.w
+  LEFT JOIN c1 cv ON cv.w = b.v LEFT JOIN o1 ov ON ov.rid = b.rid AND ov.w = b.v
+  LEFT JOIN c2 cb ON cb.v = b.v AND cb.w = b.w LEFT JOIN o2 ob ON ob.rid = b.rid AND ob.v = b.v AND ob.w = b.w
+  JOIN s ON s.rid = b.rid CROSS JOIN tot),
+y AS (SELECT rid, CASE WHEN v IS NOT NULL AND l2 > 0 THEN ln(l2) - ln(lv) ELSE
+  (CASE WHEN v IS NULL THEN 0.0::DOUBLE ELSE ln(0.4::DOUBLE) END) + (CASE WHEN l1 > 0 THEN ln(l1) - ln(rest) ELSE -ln(rest + 1) END) END AS ls FROM x),
+z AS (SELECT rid, count(*) AS n, sum(ls) AS total FROM y GROUP BY rid)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS tokens, coalesce(round(z.total / z.n, 6), 0.0::DOUBLE) AS mean_log_score FROM d LEFT JOIN z USING (rid)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.stupid_backoff(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("tokens") > 0, F.round(F.col("log_score") / F.col("tokens"), 6)).otherwise(0.0)
+    return out.select("doc_id", "tokens", mean.alias("mean_log_score"))
+
+
+@query("op6_trie_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary, pattern)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.sample(docs.where(fold(F.col("doc_id"), 4) != 2), labels))
+    out = toxicity.predict(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
