@@ -1,4 +1,68 @@
-STAGES = []
+"""The corpus pipeline: language ID, near-dedup, decontamination, surrogates, packing.
+
+Each stage reads what the one before kept, written as Parquet; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from comboscan.llm import decontam, langid, packing, pii, simhash
+from comboscan.llm.common import materialize, table
+
+#: SQL has no fingerprints, tokenizer or classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised and sets ``lang`` to it; texts without a letter or far from all languages go."""
+    columns = docs.columns
+    known = docs.where(F.col("lang").isNotNull()) if "lang" in columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.train(langid.sample(known))
+    out = langid.predict(docs, model).where(~F.col("rejected")).withColumn("lang", F.col("lang_pred"))
+    return out.select(columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of copies and near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash.deduplicate(docs).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item (0.8 or more of its five-word shingles)."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates; ``n_chars`` follows the new text."""
+    out = pii.replace(docs, key="pipeline")
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of several lengths; one row for each piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", remove_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII", replace_personal_data),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{i}")
+    return docs
