@@ -10,5 +10,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def load() -> None:
+    """Fills the registries."""
+    import comboscan.plans.queries  # noqa: F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship"](spark, sf_dir)
