@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documented bounds of the training sample (documents of a label) and of the model.
-TOXIC, OTHER, LANDMARKS = 1500, 3000, 96
-ORDERS, DECAY, POWER = (2, 3, 4), 0.7, 2
+TOXIC, OTHER, LANDMARKS = 1500, 3000, 72
+ORDERS, DECAY, POWER = (2, 3), 0.7, 3
 #: Longest instance; longer words become overlapping windows of it.
 WIDTH, STRIDE = 24, 12
-#: Decision values a worker remembers before it starts anew, which costs time and changes no score.
-KEEP = 800_000
+#: Decision values a worker remembers in each of two generations; more costs time and changes no score.
+KEEP = 600_000
 _EDGE = re.compile(r"[^\w]+|_+")
 
 
@@ -213,12 +213,14 @@ class Model:
 
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision value of each word, remembered within bounds."""
-        known = self._store()
+        known, older = self._store()
+        if len(known) > KEEP:
+            older.clear()
+            older.update(known)
+            known.clear()
+        known.update((w, older[w]) for w in words if w not in known and w in older)
         new = [w for w in words if w not in known]
         if new and self.landmarks:
-            if len(known) > KEEP:
-                known.clear()
-                new = list(words)
             f = self._marks().kernel(new) @ self.weights + self.bias
             known.update(zip(new, f.tolist()))
         return np.array([known.get(w, self.bias) for w in words])
@@ -228,10 +230,10 @@ class Model:
             self.prepared = Landmarks(self.landmarks)
         return self.prepared
 
-    def _store(self) -> dict[str, float]:
+    def _store(self) -> tuple[dict[str, float], dict[str, float]]:
         home = sys.modules.setdefault("_comboscan_toxic", types.ModuleType("_comboscan_toxic"))
         if getattr(home, "version", None) != self.version:
-            home.version, home.known = self.version, {}
+            home.version, home.known = self.version, ({}, {})
         return home.known
 
     def features(self, words: list[str]) -> np.ndarray:
@@ -289,6 +291,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _covering(strong: list[str], df: dict[str, list[int]], bags: list[list[str]], odds, most: int) -> list[str]:
+    """Words that between them occur in the toxic documents, those of few other chosen words first, so that a language or
+    topic with a small share of the sample has its landmarks too."""
+    where: dict[str, list[int]] = {w: [] for w in strong}
+    for i, words in enumerate(bags):
+        for w in words:
+            if w in where:
+                where[w].append(i)
+    had = np.zeros(len(bags))
+    left, out = list(strong), []
+    while left and len(out) < most:
+        best = max(left, key=lambda w: (float(odds(df[w])) * float((1 / (1 + had[where[w]]) ** 2).sum()), w))
+        left.remove(best)
+        out.append(best)
+        had[where[best]] += 1
+    return out
+
+
 def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     """A model from (text, label) rows. Without both labels every text scores the share of toxic rows (0 without rows)."""
     base = float(np.mean([y for _, y in rows])) if rows else 0.0
@@ -310,7 +330,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     if not gain:
         return Model([], np.zeros(0), -1.0, flat(base), "flat")
     strong = gain[: 4 * landmarks]
-    marks = strong[: 2 * landmarks // 3]
+    marks = _covering(strong, telling, [words for words, y in fit if y], odds, 4 * landmarks // 5)
     # frequent harmless words, and those most like the telling ones, are what the machine must keep apart
     plain = sorted((w for w, c in df.items() if w not in telling and odds(c) < 0.7 and c[0]), key=lambda w: (-df[w][0], w))
     close = kernel_by_length(plain[:12_000], marks).max(axis=1)
