@@ -20,10 +20,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "го
 NEUTRAL = ("Dr", "Prof")
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 
+#: What announces a secret; it is part of the match and stays in the text.
+_LABEL = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?[\"']?"
+
 #: type -> pattern, in order of precedence where two could start at one place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?[\"']?)[A-Za-z0-9+/_\-]{16,}={0,2}"
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "secret": rf"{_LABEL}[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
     r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
@@ -43,16 +46,26 @@ SYLLABLES = {
                  {"m": "дор мир слав тон лан рик вин кар".split(), "f": "дия лина рина ника вия мира сия нара".split(), "u": "ша ня ся ля ка ря тя зя".split(), "last": "ко чук дзе ян ник вич лис гай".split()}),
 }
 ROUNDS = 24
+#: A text without any of these characters, nor a title, holds no entity; most texts are told by this alone.
+SIGNS = "[0-9@=:]"
 
 
 def kind_of(e: Column) -> Column:
-    """The first type whose whole pattern an entity matches; a secret is known by what precedes it, so it is what is left."""
+    """The first type whose whole pattern an entity matches; a secret is what is left."""
     out = F.lit("secret")
     for name in reversed([n for n in PATTERNS if n != "secret"]):
         out = F.when(e.rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(out)
     return out
 
 
+def _has_entity(text: Column) -> Column:
+    """Whether the pattern matches; the cheap signs are looked for first."""
+    sign = text.rlike(SIGNS)
+    for t in MALE + FEMALE + NEUTRAL:
+        sign = sign | text.contains(t)
+    return F.coalesce(F.when(sign, text.rlike(PATTERN)), F.lit(False))
+
+
 def _hex(key: str, *parts: Column, blocks: int = 1) -> Column:
     """64 * blocks hex digits that depend on the key and the parts."""
     text = F.concat_ws("\x1f", F.lit(key), *parts)
@@ -147,6 +160,7 @@ def units(match: Column) -> Column:
     """The parts of a match that get a surrogate of their own: the whole, or each part of a name, so that
     "Mrs Ann Lee" and "Mrs Lee" keep sharing a family name."""
     kind = kind_of(match)
+    secret = F.regexp_replace(match, rf"^(?:{_LABEL})", "")
     part = F.split(F.regexp_replace(match, rf"^(?:{_TITLES})\.? ", ""), " ")
     title = F.regexp_extract(match, rf"^({_TITLES})", 1)
     gender = F.when(title.isin(*MALE), "first_m").when(title.isin(*FEMALE), "first_f").otherwise("first_u")
@@ -155,7 +169,7 @@ def units(match: Column) -> Column:
     return F.when(
         kind == "name",
         F.when(F.size(part) == 2, F.array(unit(gender, F.get(part, 0)), unit(last, F.get(part, 1)))).otherwise(F.array(unit(last, F.get(part, 0)))),
-    ).otherwise(F.array(unit(kind, match)))
+    ).otherwise(F.array(unit(kind, F.when(kind == "secret", secret).otherwise(match))))
 
 
 def draw_surrogates(distinct: DataFrame, key: str) -> DataFrame:
@@ -193,8 +207,8 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     taken = docs.columns
     found, sig, joined = fresh("_found", taken), fresh("_sig", taken), fresh("_new", taken)
     docs = docs.drop("entities")
-    has = F.col(text).isNotNull() & F.col(text).rlike(PATTERN)
-    plain = docs.where(~F.coalesce(has, F.lit(False))).withColumn("entities", F.lit(0))
+    has = _has_entity(F.col(text))
+    plain = docs.where(~has).withColumn("entities", F.lit(0))
     both = let(
         F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)),
         lambda m: F.struct(m.alias("found"), F.md5(F.concat_ws("\x1f", m).cast("binary")).alias("sig"), F.size(m).alias("n")),
@@ -208,11 +222,12 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts = matches.select("match", F.posexplode("units").alias("i", "u")).select("match", "i", "u.kind", "u.value")
     made = draw_surrogates(materialize(parts.select("kind", "value").distinct(), "entities"), key)
     title = F.regexp_extract(F.col("match"), rf"^((?:{_TITLES})\.? )", 1)
+    label = F.regexp_extract(F.col("match"), rf"^({_LABEL})", 1)
     whole = parts.join(made, ["kind", "value"]).groupBy("match").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]), " ").alias("s"),
-        F.max(F.col("kind").startswith("first") | (F.col("kind") == "last")).alias("is_name"),
+        F.max("kind").alias("kind"),
     )  # two parts at most
-    whole = materialize(whole.select("match", F.when(F.col("is_name"), F.concat(title, "s")).otherwise(F.col("s")).alias("s")), "replacements")
+    whole = materialize(whole.select("match", F.when(F.col("kind") == "secret", F.concat(label, "s")).when(F.col("kind").startswith("first") | (F.col("kind") == "last"), F.concat(title, "s")).otherwise(F.col("s")).alias("s")), "replacements")
     lists = spots.join(whole, "match").groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias(joined))
     held = held.withColumns({sig: F.col(found)["sig"], "entities": F.col(found)["n"]}).drop(found).join(lists.withColumnRenamed("sig", sig), sig)
     gaps = F.split(F.col(text), PATTERN, -1)
