@@ -256,7 +256,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int =
     draw = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = lambda y, n: min(1.0, 3.0 * n / max(1, sizes.get(y, 0)))  # noqa: E731  the fold's share and duplicates leave enough
     few = pairs.where(draw("doc_id") < F.when(F.col("y") == 1, share(1, toxic)).otherwise(share(0, other)))
-    rows = docs.where(F.col("text").isNotNull()).join(few, "doc_id").select("text", "y").distinct()
+    # some three times the bounds in rows, ids and labels only: texts need not be shuffled to meet them
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("text", "y").distinct()
     w = Window.partitionBy("y").orderBy(F.xxhash64("text"), "text")
     kept = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.when(F.col("y") == 1, toxic).otherwise(other))
     return [(r["text"], r["y"]) for r in kept.select("text", "y").orderBy("y", F.xxhash64("text"), "text").toLocalIterator()]
