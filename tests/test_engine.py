@@ -217,3 +217,36 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
     src = src.withColumn("ts", F.col("ts").cast("timestamp"))
     want = {(r["symbol"], r["ts"]): (r["open"], r["close"], r["volume"]) for r in S.bars_from_events(src, "hour", F.col("event_type")).collect()}
     assert len(got) > 100 and all(want[k] == v for k, v in got.items())
+
+
+def test_reports_tuner_and_table_function(spark):
+    from comboscan.plans import report
+
+    top = spark.createDataFrame([("a && b", 1.5, 7)], "combination string, calmar_ratio double, total_bars long")
+    assert report.format_report(top) == "1. a && b\n   calmar_ratio: 1.5000\n   total_bars: 7"
+    assert report.format_report(top, True) == "1. a && b"
+    t = report.BatchTuner(1000)
+    assert [t.record(1.0) for _ in range(10)][-1] == 2000 and [t.record(100.0) for _ in range(20)][-1] == 1000
+    report.register(spark)
+    got = spark.sql("SELECT * FROM enumerate_combos(4, 2, 3, 7) ORDER BY combo_id").collect()
+    assert [(r["combo_id"], r["combo"]) for r in got] == [(3, [3]), (4, [0, 1]), (5, [0, 2]), (6, [0, 3])]
+    df = spark.createDataFrame([("s", i, i % 2 == 0, i < 3, i > 5) for i in range(8)], "symbol string, bar_idx long, a boolean, b boolean, c boolean")
+    dead = report.dead_pairs(X.mask_words(df, ["a", "b", "c"]), 3, 2).collect()
+    assert sorted((r["a"], r["b"]) for r in dead) == [(0, 2), (1, 2)]
+
+
+def test_search_honours_its_prunes(spark):
+    rng = np.random.default_rng(7)
+    flags = rng.random((5, 200)) < 0.5
+    a = X.Arrays(flags, np.ones(200, bool), rng.normal(size=200), flags[0], np.arange(200) + 3)
+    preds = [X.Predicate(f"f{i}") for i in range(5)]
+    names = lambda **k: {r["combination"] for r in X.search(spark, a, preds, 3, min_sample=5, parts=3, **k).collect()}
+    every = names()
+    assert "f0 && f1 && f2" in every and "f0" in every
+    assert names(require_any={"f4"}) == {x for x in every if "f4" in x}
+    assert every - names(dead_pairs={(0, 1)}) == {x for x in every if x.startswith("f0 && f1 && ")}
+    one = X.search(spark, a, preds, 1, 0, 1, stacking=False).first()
+    hits = X.no_stacking(np.flatnonzero(flags[0]), a.exits)
+    assert one["total_bars"] == len(hits) and one["mask_hits"] == flags[0].sum()
+    with pytest.raises(ValueError):
+        X.search(spark, a, preds, 2, require_any={"zz"})
