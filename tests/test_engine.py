@@ -250,3 +250,13 @@ def test_search_honours_its_prunes(spark):
     assert one["total_bars"] == len(hits) and one["mask_hits"] == flags[0].sum()
     with pytest.raises(ValueError):
         X.search(spark, a, preds, 2, require_any={"zz"})
+
+
+def test_scratch_tables_are_shared_and_dropped(spark):
+    from comboscan import session
+
+    df = session.materialize(spark.range(5), "x")
+    assert df.count() == 5 and session.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    session.drop_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
