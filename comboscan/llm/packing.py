@@ -9,6 +9,7 @@ Nothing is shuffled, and a lost task repeats its own partition with the same res
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -16,6 +17,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,30 +27,89 @@ WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
 #: Tokens of a step group: sequences of one tier that make up one training step.
 STEP = 16 * WINDOW
-#: Segments whose ids a worker remembers; the store is emptied beyond that, which costs time and changes nothing.
-CACHE = 600_000
+#: Segments whose ids a worker remembers in each of two generations; more costs time and changes nothing.
+CACHE = 200_000
+#: Documents that are cut up and packed at a time.
+SLICE = 2000
 EOS = 1
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary shows each byte as: printable Latin-1 as itself, the others from code point 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class Encoder(dict):
     """Ids of segments as little-endian bytes. A text may be cut before any space that follows a non-space, as no
     pre-token of the byte-level pattern spans such a place."""
 
     _odd = re.compile(r"\s ")
+    _marks = frozenset(".,;:!?")
+    _word = re.compile(r" ?\S+")
     _cut = re.compile(r"(?<=\S)(?= )")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a run of letters, with or without a space before it, is one pre-token: the same model without the pattern suffices
+        self.shown = byte_letters()
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Split(self.shown[10], "isolated")
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, missing: set[str]) -> None:
+        """Encodes new segments; a letter followed by closing marks is a pre-token's end too, so a word is
+        encoded once for all the marks it comes with."""
+        if len(self) > CACHE:
+            # two generations: what is still in use moves over from the older one when it is met again
+            self.older = dict(self)
+            self.clear()
+        marks = self._marks
+        plain = [s for s in missing if s[-1:] not in marks and "\n" not in s]
+        composed = [(s, self._parts(s)) for s in missing if s[-1:] in marks or "\n" in s]
+        if composed:
+            plain = list(set(plain).union(*[parts for _, parts in composed]))
+        new = [s for s in plain if s not in self]
+        if self.older:
+            self.update((s, self.older[s]) for s in new if s in self.older)
+            new = [s for s in new if s not in self]
+        # words are encoded in one string, a line each: a line end between words is a token of its own
+        self._lines([s for s in new if s[s[0] == " " :].isalpha()], self.letters, lambda t: t.encode().decode("latin-1").translate(self.shown))
+        self._lines([s for s in new if s not in self and self._word.fullmatch(s)], self.tokenizer, str)
+        for s in new:
+            if s not in self:
+                self[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for s, parts in composed:
+            self[s] = self[s] if len(parts) == 1 else b"".join([self[p] for p in parts])
 
-    def learn(self, missing: list[str]) -> None:
-        import numpy as np
+    def _lines(self, lines: list[str], tokenizer, shown) -> None:
+        for at in range(0, len(lines), 4000):
+            part = lines[at : at + 4000]
+            (joined,) = tokenizer.encode_batch_fast([shown("\n".join(part))], add_special_tokens=False)
+            ids = np.array(joined.ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            raw, a = ids.tobytes(), 0
+            for s, b in zip(part, ends, strict=True):
+                self[s] = raw[4 * a : 4 * b]
+                a = b + 1
 
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[s] = np.array(e.ids, dtype="<u4").tobytes()
+    def _parts(self, s: str) -> list[str]:
+        """A segment cut at further places that no pre-token spans: around single line ends, and before closing marks."""
+        lines = s.split("\n") if "\n" in s else [s]
+        if len(lines) > 1 and not all(map(self._word.fullmatch, lines)):
+            return [s]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append("\n")
+            core = line.rstrip(".,;:!?")
+            out += [core, line[len(core) :]] if len(core) < len(line) and core[-1:].isalpha() else [line]
+        return out
 
     def segments(self, text: str) -> list[str]:
         if self._odd.search(text):
@@ -58,14 +119,18 @@ class Encoder(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null and empty texts have none."""
+        if len(once := dict.fromkeys(texts)) < len(texts):  # copies are encoded once
+            ids = dict(zip(once, self.encode(list(once))))
+            return [ids[t] for t in texts]
         cut = [self.segments(t) if t else [] for t in texts]
-        need: set[str] = set()
-        for s in cut:
-            need.update(s)
-        if len(self) > CACHE:
-            self.clear()
-        self.learn(sorted(need - self.keys()))
-        return [b"".join(map(self.__getitem__, s)) for s in cut]
+        found = [list(map(self.get, s)) for s in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        need = {s[i] for s, g in zip(cut, gaps) for i in g}
+        self.learn(need)
+        for s, f, g in zip(cut, found, gaps):
+            for i in g:
+                f[i] = self[s[i]]
+        return [b"".join(f) for f in found]
 
 
 def encoder(path: str) -> Encoder:
@@ -183,16 +248,15 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step:
 
         end = EOS.to_bytes(4, "little")
         for pdf in batches:
-            fresh = []
-            for at in range(0, len(pdf), 2000):  # so many texts are cut up at a time
-                texts = pdf["text"].iloc[at : at + 2000].tolist()
-                for doc_id, ids in zip(pdf["doc_id"].iloc[at : at + 2000].tolist(), enc.encode(texts)):
+            for at in range(0, len(pdf), SLICE):
+                texts, fresh = pdf["text"].iloc[at : at + SLICE].tolist(), []
+                for doc_id, ids in zip(pdf["doc_id"].iloc[at : at + SLICE].tolist(), enc.encode(texts)):
                     known[state["doc"]] = (doc_id, ids + end)
                     fresh.append((len(ids) // 4 + 1, state["doc"], 0))
                     state["doc"] += 1
-            yield rows(packer.pack(fresh))
-            open_docs = {p[1] for p in packer.held}
-            known = {d: v for d, v in known.items() if d in open_docs}
+                yield rows(packer.pack(fresh))
+                open_docs = {p[1] for p in packer.held}
+                known = {d: v for d, v in known.items() if d in open_docs}
         yield rows(packer.rest())
 
     # ids travel as text: pandas would turn integers beside a null into doubles
