@@ -422,7 +422,7 @@ def backtest_weekly(spark, sf):
 
 @query("backtest_monthly")
 def backtest_monthly(spark, sf):
-    return B.summary(B.backtest(by_type(spark, sf), B.Plan("close > open && volume > 3", period="monthly", stop_after_win=True)))
+    return B.summary(B.backtest(by_type(spark, sf), B.Plan("close > open && volume >= 2", period="monthly", stop_after_win=True)))
 
 
 @query("threshold_catalog")
