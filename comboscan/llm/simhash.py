@@ -108,6 +108,8 @@ def _tree(lanes: np.ndarray, ids: np.ndarray, left: int, limit: int) -> tuple[np
         if x != y:
             up[x] = y
             kept.append((a, b))
+            if len(kept) == n - 1:  # all are joined
+                break
     k = np.array(kept, dtype=int).reshape(-1, 2)
     return ids[k[:, 0]], ids[k[:, 1]]
 
