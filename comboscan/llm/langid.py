@@ -153,12 +153,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out = [held.value.classify(t) for t in texts]
         return pd.DataFrame(out, columns=["lang_pred", "score", "distance", "rejected"])
 
+    # so marked, a filter on the result is not pushed below it, which would classify every text twice
+    once = classify.asNondeterministic()
     new = ["lang_pred", "score", "distance", "rejected"]
     rest = [c for c in docs.columns if c.lower() not in new]
     r = "_langid"
     while r in rest:
         r += "_"
-    return docs.withColumn(r, classify(F.col(text))).select(*rest, *[F.col(r)[c].alias(c) for c in new])
+    return docs.withColumn(r, once(F.col(text))).select(*rest, *[F.col(r)[c].alias(c) for c in new])
 
 
 def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
