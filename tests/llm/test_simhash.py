@@ -94,3 +94,39 @@ def test_hot_buckets_lose_no_link(spark):
             if bin(a ^ b).count("1") <= 2:
                 want[wroot(a)] = wroot(b)
     assert len({root(x) for x in f}) == len({wroot(x) for x in f})
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def close(s, t):
+    x, y = shingle_set(s), shingle_set(t)
+    return 10 * len(x & y) >= 8 * len(x | y)
+
+
+def test_near_copies_of_any_kind_are_met(spark):
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], {"truncated": [], "extended": [], "passage cut": [], "scattered": []}
+    for i in range(60):
+        n = rnd.randrange(80, 700)
+        base = [rnd.choice(vocab) for _ in range(n)]
+        cut, at = int(n * rnd.uniform(0.1, 0.18)), rnd.randrange(n // 2)
+        worn = list(base)
+        for k in rnd.sample(range(n), max(1, n // 60)):
+            worn[k] = "new"
+        kinds = {"truncated": base[: n - cut], "extended": base + [rnd.choice(vocab) for _ in range(cut)], "passage cut": base[:at] + base[at + cut :], "scattered": worn}
+        rows.append((" ".join(base),))
+        for kind, w in kinds.items():
+            rows.append((" ".join(w),))
+            if close(rows[-1][0], " ".join(base)):
+                pairs[kind].append((" ".join(base), rows[-1][0]))
+    df = spark.createDataFrame(rows, "text string")
+    key = {r["text"]: r["node"] for r in df.select("text", simhash._key("text").alias("node")).collect()}
+    got = {frozenset((r["a"], r["b"])) for r in simhash.similar_pairs(df).collect()}
+    for kind, wanted in pairs.items():
+        met = sum(frozenset((key[a], key[b])) in got for a, b in wanted)
+        print(kind, met, "of", len(wanted))
+        assert len(wanted) > 25 and met == len(wanted)
