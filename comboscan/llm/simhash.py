@@ -186,6 +186,8 @@ WIDE, WIDE_BITS = 4, 48
 #: 1 - (1 - s ** ROWS) ** BANDS, 0.9998 at 0.8, wherever and however its texts differ.
 BANDS, ROWS = 16, 4
 _FLIP, _STEP = (np.array([[xxhash.xxh64_intdigest(f"{k}{i}", SEED) | odd] for i in range(BANDS * ROWS)], dtype="<u8") for k, odd in (("flip", 0), ("step", 1)))
+#: Text bytes that a chunk of a crowded bucket aims at.
+CHUNK_BYTES = 16_000_000
 
 
 def _key(text: str):
@@ -207,7 +209,7 @@ def bands(text: str | None, size: int) -> np.ndarray:
 
 
 def _marks(texts: DataFrame, lanes: int, size: int) -> DataFrame:
-    """node, the lanes of the wide fingerprint and the band keys of (node, _text)."""
+    """node, n_bytes, the lanes of the wide fingerprint and the band keys of (node, _text)."""
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,8 +221,8 @@ def _marks(texts: DataFrame, lanes: int, size: int) -> DataFrame:
             pdf["bands"] = [bands(x, size) for x in t]
             yield pdf
 
-    kinds = ", ".join(["node string", *[f"{c} long" for c in names], "bands array<long>"])
-    return texts.select("node", "_text").mapInPandas(run, kinds)
+    kinds = ", ".join(["node string, n_bytes long", *[f"{c} long" for c in names], "bands array<long>"])
+    return texts.select("node", F.octet_length("_text").cast("long").alias("n_bytes"), "_text").mapInPandas(run, kinds)
 
 
 def _band_pairs(marks: DataFrame, small: int = SMALL) -> DataFrame:
@@ -234,12 +236,79 @@ def _band_pairs(marks: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.unionByName(members.where((F.col("count") > small) & (F.col("node") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
 
+def _true_forest(texts: list[str], group: np.ndarray, near, left: int, size: int, tenths: int) -> list[tuple[int, int]]:
+    """Verified pairs that join all members of different groups that any verified pair joins; near(i, j) says which pairs are
+    candidates; of a tile of two chunks (left > 0) only pairs across them count. One row is counted against all others at once."""
+    number: dict[bytes, int] = {}
+    sets = [np.array([number.setdefault(x, len(number)) for x in set(shingles(words(t), size))], dtype=np.int64) for t in texts]
+    n = len(sets)
+    count = np.array([len(x) for x in sets], dtype=np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), count)
+    mark, group, out = np.zeros(len(number), bool), group.copy(), []
+    for i in range(left or n - 1):
+        j = np.arange(left or i + 1, n)
+        j = j[group[j] != group[i]]
+        j = j[near(i, j)]
+        if not len(j):
+            continue
+        mark[sets[i]] = True
+        both = np.bincount(owner[mark[flat]], minlength=n)[j]
+        mark[sets[i]] = False
+        for k in j[10 * both >= tenths * (count[i] + count[j] - both)]:
+            if group[k] != group[i]:
+                out.append((i, int(k)))
+                group[group == group[k]] = group[i]
+    return out
+
+
+def _crowd_links(marks: DataFrame, texts: DataFrame, links: DataFrame, lanes: int, limit: int, size: int, tenths: int, tile: int = TILE, small: int = SMALL) -> DataFrame:
+    """Verified links of the buckets of over ``small`` members that verified ``links`` leave in several groups.
+
+    Every pair of different groups is tried, so no link is lost by what a bucket's first pairs happened to be. Members
+    are compared in tiles of bounded size; a bucket already in one group is not read again, nor is one with another's members.
+    """
+    f = [f"f{i}" for i in range(lanes)]
+    blocks = marks.select("node", "n_bytes", F.explode(_block_keys(f)).alias("key"), F.lit(False).alias("band"))
+    keyed = blocks.unionByName(marks.select("node", "n_bytes", F.explode("bands").alias("key"), F.lit(True).alias("band")))
+    large = materialize(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > small), "large")
+    roots = materialize(connected_components(links, "a", "b"), "crowd_roots")
+    inside = keyed.join(large.select("band", "key"), ["band", "key"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = materialize(inside, "inside")
+    split = inside.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("n_bytes").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"),
+    ).where("lo < hi")
+    split = split.groupBy("band", "count", "same").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("count") / F.lit(tile)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("long")
+    split = materialize(split.select("band", "key", chunks.alias("chunks")), "split")
+    many = inside.join(split, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    many = many.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+    many = many.join(marks.select("node", *f), "node").join(texts, "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["chunk", "node"], kind="stable")
+        left = int((pdf["chunk"] == pdf["lo"]).sum()) if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] else 0
+        group = np.unique(pdf["root"].to_numpy(str), return_inverse=True)[1]
+        if left == len(pdf) or group.max(initial=0) == 0:
+            return pd.DataFrame({"a": [], "b": []})
+        wide = pdf[f].to_numpy().astype("<i8").view("<u8")
+        band = bool(pdf["band"].iloc[0])
+        near = lambda i, j: np.ones(len(j), bool) if band else np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) <= limit
+        pairs = np.array(_true_forest(pdf["_text"].tolist(), group, near, left, size, tenths), dtype=int).reshape(-1, 2)
+        ids = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+    return many.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a string, b string")
+
+
 def similar_pairs(docs: DataFrame, words_each: int = 5, tenths: int = 8, lanes: int = WIDE, limit: int = WIDE_BITS, text: str = "text", tile: int = TILE, small: int = SMALL) -> DataFrame:
     """(a, b) keys of distinct texts whose sets of word shingles have a Jaccard similarity of at least tenths / 10.
 
     Candidates share a band of min-wise fingerprints of their shingles, which a pair at 0.8 misses in one case of some 4,000
     whatever the edit, or a block of a wide SimHash fingerprint of their distinct words and differ in at most ``limit`` of its bits.
-    Each candidate is then verified on the shingles themselves.
+    Each candidate is then verified on the shingles themselves. In large buckets only links that join groups are kept:
+    same groups, fewer rows.
     """
     distinct = docs.select(_key(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text")).groupBy("node").agg(F.first("_text").alias("_text"))
     marks = materialize(_marks(distinct, lanes, words_each), "wide")
@@ -247,7 +316,7 @@ def similar_pairs(docs: DataFrame, words_each: int = 5, tenths: int = 8, lanes:
     links = materialize(links, "candidates")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     every = docs.select(_key(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    # only texts that are in a candidate pair are moved
+    # only texts that are in a candidate pair are moved; those of a large bucket's band are, by its least member
     texts = materialize(every.join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
     both = links.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("_text").alias("t")), "b")
 
@@ -259,7 +328,9 @@ def similar_pairs(docs: DataFrame, words_each: int = 5, tenths: int = 8, lanes:
                 good.append(10 * len(x & y) >= tenths * len(x | y))
             yield pdf.loc[good, ["a", "b"]]
 
-    return both.mapInPandas(verify, "a string, b string")
+    good = materialize(both.mapInPandas(verify, "a string, b string"), "verified")
+    # a text of a large block without a near member is in no candidate pair and has no part here
+    return good.unionByName(_crowd_links(marks, texts, good, lanes, limit, words_each, tenths, tile, small)).distinct()
 
 
 def deduplicate(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

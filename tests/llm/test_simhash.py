@@ -130,3 +130,38 @@ def test_near_copies_of_any_kind_are_met(spark):
         met = sum(frozenset((key[a], key[b])) in got for a, b in wanted)
         print(kind, met, "of", len(wanted))
         assert len(wanted) > 25 and met == len(wanted)
+
+
+def test_large_buckets_keep_all_true_groups(spark):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = set()
+    while len(texts) < 300:  # copies of one text with a few edits each: many pairs of a bucket are just below the bound
+        w = list(base)
+        for k in rnd.sample(range(len(w)), rnd.randrange(1, 7)):
+            w[k] = f"e{rnd.randrange(30)}"
+        texts.add(" ".join(w))
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "text string")
+    key = {r["node"]: r["text"] for r in df.select("text", simhash._key("text").alias("node")).collect()}
+    up = {n: n for n in key}
+    want = dict(up)
+
+    def root(u, x):
+        while u[x] != x:
+            x = u[x]
+        return x
+
+    sets = {n: shingle_set(t) for n, t in key.items()}
+    for tile in (2048, 64):
+        for r in simhash.similar_pairs(df, tile=tile, small=8).collect():
+            x, y = sets[r["a"]], sets[r["b"]]
+            assert 10 * len(x & y) >= 8 * len(x | y)
+            up[root(up, r["a"])] = root(up, r["b"])
+        nodes = sorted(key)
+        for i, a in enumerate(nodes):
+            for b in nodes[:i]:
+                if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                    want[root(want, a)] = root(want, b)
+        print("groups", len({root(up, x) for x in nodes}), "true", len({root(want, x) for x in nodes}))
+        assert len({root(up, x) for x in nodes}) == len({root(want, x) for x in nodes})
+        up = {n: n for n in key}
