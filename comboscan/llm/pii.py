@@ -23,9 +23,12 @@ _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 #: What announces a secret; it is part of the match and stays in the text.
 _LABEL = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?[\"']?"
 
+#: Signs right before an address; matched with it, so that a run of characters is read from its start only, and kept in the text.
+_LEAD = r"[._%+\-]*+"
+
 #: type -> pattern, in order of precedence where two could start at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?:(?<![A-Za-z0-9._%+\-])|\G){_LEAD}[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}",
     "secret": rf"{_LABEL}[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
     r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -46,8 +49,8 @@ SYLLABLES = {
                  {"m": "дор мир слав тон лан рик вин кар".split(), "f": "дия лина рина ника вия мира сия нара".split(), "u": "ша ня ся ля ка ря тя зя".split(), "last": "ко чук дзе ян ник вич лис гай".split()}),
 }
 ROUNDS = 24
-#: A text without any of these characters, nor a title, holds no entity; most texts are told by this alone.
-SIGNS = "[0-9@=:]"
+#: A text without any of these characters or secrets' prefixes, nor a title, holds no entity; most texts are told by this alone.
+SIGNS = "[0-9@=:]|AKIA|gh[pousr]_|sk-"
 
 
 def kind_of(e: Column) -> Column:
@@ -161,6 +164,7 @@ def units(match: Column) -> Column:
     "Mrs Ann Lee" and "Mrs Lee" keep sharing a family name."""
     kind = kind_of(match)
     secret = F.regexp_replace(match, rf"^(?:{_LABEL})", "")
+    address = F.regexp_replace(match, rf"^{_LEAD}", "")
     part = F.split(F.regexp_replace(match, rf"^(?:{_TITLES})\.? ", ""), " ")
     title = F.regexp_extract(match, rf"^({_TITLES})", 1)
     gender = F.when(title.isin(*MALE), "first_m").when(title.isin(*FEMALE), "first_f").otherwise("first_u")
@@ -169,7 +173,7 @@ def units(match: Column) -> Column:
     return F.when(
         kind == "name",
         F.when(F.size(part) == 2, F.array(unit(gender, F.get(part, 0)), unit(last, F.get(part, 1)))).otherwise(F.array(unit(last, F.get(part, 0)))),
-    ).otherwise(F.array(unit(kind, F.when(kind == "secret", secret).otherwise(match))))
+    ).otherwise(F.array(unit(kind, F.when(kind == "secret", secret).when(kind == "email", address).otherwise(match))))
 
 
 def draw_surrogates(distinct: DataFrame, key: str) -> DataFrame:
@@ -223,11 +227,12 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     made = draw_surrogates(materialize(parts.select("kind", "value").distinct(), "entities"), key)
     title = F.regexp_extract(F.col("match"), rf"^((?:{_TITLES})\.? )", 1)
     label = F.regexp_extract(F.col("match"), rf"^({_LABEL})", 1)
+    lead = F.regexp_extract(F.col("match"), rf"^({_LEAD})", 1)
     whole = parts.join(made, ["kind", "value"]).groupBy("match").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]), " ").alias("s"),
         F.max("kind").alias("kind"),
     )  # two parts at most
-    whole = materialize(whole.select("match", F.when(F.col("kind") == "secret", F.concat(label, "s")).when(F.col("kind").startswith("first") | (F.col("kind") == "last"), F.concat(title, "s")).otherwise(F.col("s")).alias("s")), "replacements")
+    whole = materialize(whole.select("match", F.when(F.col("kind") == "secret", F.concat(label, "s")).when(F.col("kind") == "email", F.concat(lead, "s")).when(F.col("kind").startswith("first") | (F.col("kind") == "last"), F.concat(title, "s")).otherwise(F.col("s")).alias("s")), "replacements")
     lists = spots.join(whole, "match").groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias(joined))
     held = held.withColumns({sig: F.col(found)["sig"], "entities": F.col(found)["n"]}).drop(found).join(lists.withColumnRenamed("sig", sig), sig)
     gaps = F.split(F.col(text), PATTERN, -1)

@@ -45,3 +45,19 @@ def test_collisions_are_drawn_again(spark):
     made = pii.draw_surrogates(spark.createDataFrame(rows, "kind string, value string"), "k").collect()
     assert len(made) == len(rows) == len({(r["kind"], r["surrogate"]) for r in made})
     assert not {(r["kind"], r["surrogate"]) for r in made} & set(rows)
+
+
+def test_addresses_after_signs_and_secrets_of_letters(spark):
+    a = "jane@example.com"
+    texts = [f"see {a} now", f"see _{a}_ now", f"see -{a} now", f"see ...{a} now", f"see +{a} now", f"see %.{a} now", f"see Mr Jane1{a} now", f"call +1 555-123-4567.{a} now"]
+    secrets = ["sk-" + "abcdefghij" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijkl" * 3]
+    rows = [(i, t, None, None) for i, t in enumerate(texts + [f"key {s} here" for s in secrets])]
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    new = re.fullmatch(r"see (\w+@\w+\.com) now", out[0]["text"])[1]
+    assert new != a
+    for i, lead, tail in ((1, "_", "_"), (2, "-", ""), (3, "...", ""), (4, "+", ""), (5, "%.", "")):
+        assert out[i]["text"] == f"see {lead}{new}{tail} now"  # the same address, what is around it stays
+    for i in (6, 7):
+        assert a not in out[i]["text"] and out[i]["entities"] == 2
+    for i, s in enumerate(secrets, len(texts)):
+        assert s not in out[i]["text"] and out[i]["entities"] == 1
