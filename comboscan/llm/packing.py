@@ -9,8 +9,8 @@ Nothing is shuffled, and a lost task repeats its own partition with the same res
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import sys
 import types
 import zlib
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
 #: Tokens of a step group: sequences of one tier that make up one training step.
 STEP = 16 * WINDOW
-#: Segments whose ids a worker remembers in each of two generations; more costs time and changes nothing.
-CACHE = 200_000
 #: Documents that are cut up and packed at a time.
 SLICE = 2000
 EOS = 1
@@ -41,96 +40,54 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
 
 
-class Encoder(dict):
-    """Ids of segments as little-endian bytes. A text may be cut before any space that follows a non-space, as no
-    pre-token of the byte-level pattern spans such a place."""
+def merge_ranks(config: dict) -> dict[bytes, int] | None:
+    """piece -> id of a plain byte-level model whose merges stand in the order of the ids they make; None for any other model.
 
-    _odd = re.compile(r"\s ")
-    _marks = frozenset(".,;:!?")
-    _word = re.compile(r" ?\S+")
-    _cut = re.compile(r"(?<=\S)(?= )")
+    For such a model the lowest id among all neighbouring pairs is the next merge, so a rank table says all the merges do.
+    """
+    model, level = config["model"], config["pre_tokenizer"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or config.get("normalizer") or not level or level["type"] != "ByteLevel" or level["add_prefix_space"] or not level["use_regex"]:
+        return None
+    ids, bytes_of = model["vocab"], {c: b for b, c in byte_letters().items()}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [ids[a + b] for a, b in merges]
+    if made != sorted(set(made)) or len(made) + 256 != len(ids) or any(not set(s) <= bytes_of.keys() for s in ids):
+        return None
+    return {bytes(bytes_of[c] for c in s): i for s, i in ids.items()}
+
+
+class Encoder:
+    """Ids of whole texts as little-endian bytes, by the tokenizer of a file. Plain byte-level models run on their rank table
+    (same ids, a fraction of the time); any other model runs as the file says."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a run of letters, with or without a space before it, is one pre-token: the same model without the pattern suffices
-        self.shown = byte_letters()
-        self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Split(self.shown[10], "isolated")
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, missing: set[str]) -> None:
-        """Encodes new segments; a letter followed by closing marks is a pre-token's end too, so a word is
-        encoded once for all the marks it comes with."""
-        if len(self) > CACHE:
-            # two generations: what is still in use moves over from the older one when it is met again
-            self.older = dict(self)
-            self.clear()
-        marks = self._marks
-        plain = [s for s in missing if s[-1:] not in marks and "\n" not in s]
-        composed = [(s, self._parts(s)) for s in missing if s[-1:] in marks or "\n" in s]
-        if composed:
-            plain = list(set(plain).union(*[parts for _, parts in composed]))
-        new = [s for s in plain if s not in self]
-        if self.older:
-            self.update((s, self.older[s]) for s in new if s in self.older)
-            new = [s for s in new if s not in self]
-        # words are encoded in one string, a line each: a line end between words is a token of its own
-        self._lines([s for s in new if s[s[0] == " " :].isalpha()], self.letters, lambda t: t.encode().decode("latin-1").translate(self.shown))
-        self._lines([s for s in new if s not in self and self._word.fullmatch(s)], self.tokenizer, str)
-        for s in new:
-            if s not in self:
-                self[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for s, parts in composed:
-            self[s] = self[s] if len(parts) == 1 else b"".join([self[p] for p in parts])
-
-    def _lines(self, lines: list[str], tokenizer, shown) -> None:
-        for at in range(0, len(lines), 4000):
-            part = lines[at : at + 4000]
-            (joined,) = tokenizer.encode_batch_fast([shown("\n".join(part))], add_special_tokens=False)
-            ids = np.array(joined.ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            raw, a = ids.tobytes(), 0
-            for s, b in zip(part, ends, strict=True):
-                self[s] = raw[4 * a : 4 * b]
-                a = b + 1
-
-    def _parts(self, s: str) -> list[str]:
-        """A segment cut at further places that no pre-token spans: around single line ends, and before closing marks."""
-        lines = s.split("\n") if "\n" in s else [s]
-        if len(lines) > 1 and not all(map(self._word.fullmatch, lines)):
-            return [s]
-        out = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            core = line.rstrip(".,;:!?")
-            out += [core, line[len(core) :]] if len(core) < len(line) and core[-1:].isalpha() else [line]
-        return out
-
-    def segments(self, text: str) -> list[str]:
-        if self._odd.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + s for s in rest]
+        self.ranked = None
+        config = json.loads(self.tokenizer.to_str())
+        ranks = merge_ranks(config)
+        if ranks is not None:
+            import tiktoken
+
+            special = {t["content"]: t["id"] for t in config["added_tokens"]}
+            plain = not any(t[k] for t in config["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+            if plain and not set(special.values()) & set(ranks.values()):
+                self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode_one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.ranked is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null and empty texts have none."""
-        if len(once := dict.fromkeys(texts)) < len(texts):  # copies are encoded once
-            ids = dict(zip(once, self.encode(list(once))))
-            return [ids[t] for t in texts]
-        cut = [self.segments(t) if t else [] for t in texts]
-        found = [list(map(self.get, s)) for s in cut]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        need = {s[i] for s, g in zip(cut, gaps) for i in g}
-        self.learn(need)
-        for s, f, g in zip(cut, found, gaps):
-            for i in g:
-                f[i] = self[s[i]]
-        return [b"".join(f) for f in found]
+        """Ids of each text; null and empty texts have none; copies are encoded once."""
+        ids = {t: self.encode_one(t) for t in dict.fromkeys(texts)}
+        return [ids[t] for t in texts]
 
 
 def encoder(path: str) -> Encoder:

@@ -55,9 +55,10 @@ def test_round_trip_and_padding(spark):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab Z1.'\n\t\xa0é日 <|endoftext|>", max_size=40), max_size=6))
-def test_segments_give_the_ids_of_the_whole_text(texts):
+def test_ranks_give_the_ids_of_the_file(texts):
     enc = packing.encoder(PATH)
     tok = enc.tokenizer
+    assert enc.ranked is not None
     got = enc.encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -78,3 +79,10 @@ def test_packer_keeps_every_token(lengths):
             assert s == at
             at += m
         assert at == n
+
+
+def test_long_runs_and_every_plane_give_the_ids_of_the_file():
+    enc, tok = packing.encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["ab" * 20_000, " " * 50_000 + "x", "\n" * 20_000, "1" * 20_000, "Щ" * 20_000, "<|endoftext|>" * 50]
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}. {chr(c)}" for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000]
+    assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(texts)] == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
