@@ -56,4 +56,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["connected_components", "fold", "fresh", "let", "materialize", "table"]
+__all__ = ["connected_components", "fold", "fresh", "let", "materialize", "ship_package", "table"]

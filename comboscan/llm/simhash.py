@@ -1,28 +1,32 @@
 """SimHash fingerprints and near-duplicate groups by pigeonhole blocks.
 
-A fingerprint is one or more 64-bit lanes. Each lane is cut into three blocks (22, 21 and 21 bits); fingerprints that
-differ in fewer bits than there are blocks agree on a whole block, so an equi-join on (block number, block value) meets
-every such pair, and the Hamming distance is then verified.
+A 64-bit fingerprint is cut into five blocks. Two that differ in at most two bits agree on at least three whole blocks, so
+an equi-join on (which three, their 38 or 39 bits) meets every such pair; keys that long keep chance meetings rare in tables of
+billions. Fingerprints that meet are told apart by their other 25 or 26 bits: each is listed under itself and under
+each one-bit change of those. Two at a distance of two share the change halfway between them, a list holds 27 at most, and the
+links from its least member are verified by Hamming distance. So crowded keys cost a constant for each member, and no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialize
+from .common import connected_components, fresh, materialize, ship_package
 
 SEED = 42
-#: (shift, width) of a lane's blocks
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: A bucket of more members is compared in tiles of this many, each one task's work, and gives tree edges only.
-TILE = 2048
-SMALL = 48
+#: Bits in which linked fingerprints may differ; one-bit changes on either side reach exactly these.
+LIMIT = 2
+WIDTHS = (13, 13, 13, 13, 12)
+#: Bit numbers of each block, and the blocks that are joined on together.
+BLOCKS = [tuple(range(sum(WIDTHS[:i]), sum(WIDTHS[: i + 1]))) for i in range(len(WIDTHS))]
+JOINED = list(combinations(range(len(WIDTHS)), len(WIDTHS) - LIMIT))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -79,99 +83,40 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, lanes: int
     return out.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in carry], *names)
 
 
-def _tree(lanes: np.ndarray, ids: np.ndarray, left: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest, closest pairs first, of the pairs within ``limit`` bits; of a tile of two chunks (left > 0)
-    only pairs across them count."""
-    n = len(ids)
-    pairs = []
-    for i in range(n - 1 if not left else left):
-        j = np.arange(i + 1, n) if not left else np.arange(left, n)
-        d = np.bitwise_count(lanes[j] ^ lanes[i]).sum(axis=1).astype(np.int64)
-        near = j[d <= limit]
-        if len(near):
-            pairs.append(np.stack([d[d <= limit], np.full(len(near), i), near]))
-    if not pairs:
-        return ids[:0], ids[:0]
-    p = np.concatenate(pairs, axis=1)
-    p = p[:, np.argsort(p[0], kind="stable")]
-    up = list(range(n))
-
-    def root(a: int) -> int:
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    kept = []
-    for a, b in zip(p[1].tolist(), p[2].tolist()):
-        x, y = root(a), root(b)
-        if x != y:
-            up[x] = y
-            kept.append((a, b))
-            if len(kept) == n - 1:  # all are joined
-                break
-    k = np.array(kept, dtype=int).reshape(-1, 2)
-    return ids[k[:, 0]], ids[k[:, 1]]
-
-
-def _block_keys(f: list[str]):
-    """Block number and block value of each block of the lanes, as one number."""
-    mask = lambda w: (1 << w) - 1
-    return F.array(*[
-        F.lit((3 * i + j) << 22).cast("long") + F.shiftrightunsigned(F.col(c), s).bitwiseAND(F.lit(mask(w)).cast("long"))
-        for i, c in enumerate(f) for j, (s, w) in enumerate(BLOCKS)
-    ])
-
-
-def near_pairs(nodes: DataFrame, lanes: int, limit: int, tile: int = TILE, small: int = SMALL) -> DataFrame:
-    """(a, b) links between distinct fingerprints (node, f0..) that differ in at most ``limit`` bits and share a block.
-
-    With limit < 3 * lanes no link is missed. Buckets of up to ``small`` members are joined in the JVM; of a larger bucket
-    every pair is compared too, in tiles of bounded size, but only a spanning forest of its links is kept: same groups, fewer
-    rows. Blocks with one member never leave the count.
-    """
-    f = [f"f{i}" for i in range(lanes)]
-    keyed = nodes.select("node", *f, F.explode(_block_keys(f)).alias("key"))
-    sizes = materialize(keyed.groupBy("key").count().where("count > 1"), "buckets")
-    members = keyed.join(sizes, "key")
-    few = members.where(F.col("count") <= small)
-    distance = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in f)
-    joined = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
-    pairs = joined.where(distance <= limit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    many = members.where(F.col("count") > small).withColumn("chunks", F.ceil(F.col("count") / F.lit(tile)).cast("long"))
-    many = many.withColumn("chunk", chunk).withColumn("other", other)
-    many = many.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+def _signed(bits) -> int:
+    """The bits as a signed 64-bit mask."""
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >> 63 else m
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        pdf = pdf.sort_values(["chunk", "node"], kind="stable")
-        left = int((pdf["chunk"] == lo).sum()) if lo != hi else 0
-        if lo != hi and left == len(pdf):
-            return pd.DataFrame({"a": [], "b": []})
-        a, b = _tree(pdf[f].to_numpy().astype("<i8").view("<u8"), pdf["node"].to_numpy(), left, limit)
-        return pd.DataFrame({"a": a, "b": b})
 
-    trees = many.select("key", "node", "chunk", "lo", "hi", *f).groupBy("key", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}")
-    return pairs.unionByName(trees)
+def near_links(nodes: DataFrame, f: str = "f") -> DataFrame:
+    """(a, b) links between distinct fingerprints (column ``f``, long) that differ in at most two bits.
+
+    The links connect just what all such pairs connect: every fingerprint is linked to the least of each list it shares
+    with others, and each pair within two bits shares a list. Repeats of a fingerprint count once; null ones are not linked.
+    """
+    base = nodes.select(F.col(f).alias("f")).where("f is not null").distinct()
+    masks = [_signed(b for i in part for b in BLOCKS[i]) for part in JOINED]
+    free = [[0, *[_signed([b]) for i in range(len(WIDTHS)) if i not in part for b in BLOCKS[i]]] for part in JOINED]
+    keyed = base.select("f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("part", "key"))
+    met = keyed.join(keyed.groupBy("part", "key").count().where("count > 1").select("part", "key"), ["part", "key"])
+    changes = F.get(F.array(*[F.array(*[F.lit(m).cast("long") for m in part]) for part in free]), F.col("part"))
+    listed = met.select("f", "part", F.explode(F.transform(changes, lambda m: F.col("f").bitwiseXOR(m))).alias("change"))
+    least = listed.withColumn("a", F.min("f").over(Window.partitionBy("part", "change")))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("f"))) <= LIMIT
+    return least.where((F.col("a") < F.col("f")) & near).select("a", F.col("f").alias("b")).distinct()
 
 
-def components(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: smallest doc_id reachable by links of at most ``limit`` (< 3) bits.
+def components(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: smallest doc_id reachable by links of at most two differing bits.
 
     One fingerprint is one node, however many documents carry it, so copies add no links. Null and empty texts have fingerprint
     zero, linked like any other. Null ids belong to their component but do not name it (null only if all of it is).
     Repeated rows are all returned; an empty table gives no rows; other columns are not read.
     """
-    if limit >= len(BLOCKS):
-        raise ValueError("the blocks guarantee links of at most two bits")
     marks = materialize(fingerprints(docs, size=size), "fingerprints")
     nodes = materialize(marks.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("least")), "nodes")
-    links = near_pairs(nodes.select("node", F.col("node").alias("f0")), 1, limit)
-    roots = materialize(connected_components(links, "a", "b"), "roots")
+    roots = materialize(connected_components(near_links(nodes, "node"), "a", "b"), "roots")
     linked = nodes.join(roots, "node")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("low")), "root").select("node", "low")
     # only linked fingerprints need their root's name; the rest are named by their own documents
@@ -180,14 +125,13 @@ def components(docs: DataFrame, size: int = 3, limit: int = 2) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Lanes of the wide fingerprint that near copies are looked up by, and the bits in which a pair may differ.
-WIDE, WIDE_BITS = 4, 48
 #: Min-wise fingerprints of the shingles: a pair of similarity s has all ROWS minima of one of BANDS bands alike with probability
-#: 1 - (1 - s ** ROWS) ** BANDS, 0.9998 at 0.8, wherever and however its texts differ.
-BANDS, ROWS = 16, 4
-_FLIP, _STEP = (np.array([[xxhash.xxh64_intdigest(f"{k}{i}", SEED) | odd] for i in range(BANDS * ROWS)], dtype="<u8") for k, odd in (("flip", 0), ("step", 1)))
-#: Text bytes that a chunk of a crowded bucket aims at.
-CHUNK_BYTES = 16_000_000
+#: 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, 0.31 at 0.5, 0.02 at 0.3, wherever and however its texts differ.
+BANDS, ROWS = 24, 6
+_FLIP, _STEP = (np.array([[xxhash.xxh32_intdigest(f"{k}{i}", SEED) | odd] for i in range(BANDS * ROWS)], dtype="<u4") for k, odd in (("flip", 0), ("step", 1)))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Members and text bytes that a chunk of a crowded bucket aims at; two chunks are one task's work.
+TILE, CHUNK_BYTES = 2048, 16_000_000
 
 
 def _key(text: str):
@@ -197,48 +141,34 @@ def _key(text: str):
 def bands(text: str | None, size: int) -> np.ndarray:
     """One 64-bit key for each band of min-wise fingerprints of the set of word shingles."""
     s = set(shingles(words(text), size))
-    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in s), dtype="<u8", count=len(s))
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(h), 8192):  # long texts in bounded steps
-        low = np.minimum(low, ((h[at : at + 8192] ^ _FLIP) * _STEP).min(axis=1))
+    h = np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in s), dtype="<u4", count=len(s))
+    low = np.full(BANDS * ROWS, ~np.uint32(0))
+    for at in range(0, len(h), 4096):  # long texts in bounded steps
+        low = np.minimum(low, ((h[at : at + 4096] ^ _FLIP) * _STEP).min(axis=1))
     key = np.arange(BANDS, dtype="<u8")
     for minima in low.reshape(BANDS, ROWS).T:
-        key = (key ^ minima) * _STEP[0]
+        key = (key ^ minima) * _MIX
         key ^= key >> np.uint64(32)
     return key.view("<i8")
 
 
-def _marks(texts: DataFrame, lanes: int, size: int) -> DataFrame:
-    """node, n_bytes, the lanes of the wide fingerprint and the band keys of (node, _text)."""
-    names = [f"f{i}" for i in range(lanes)]
+def _marks(texts: DataFrame, size: int) -> DataFrame:
+    """node, n_bytes, the fingerprint of the distinct words and the band keys of (node, _text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             t = pdf.pop("_text")
-            f = np.array([fingerprint(x, 1, lanes, True) for x in t], dtype="<u8").reshape(-1, lanes).view("<i8")
-            for i, c in enumerate(names):
-                pdf[c] = f[:, i]
+            pdf["f"] = np.array([fingerprint(x, 1, 1, True)[0] for x in t], dtype="<u8").view("<i8")
             pdf["bands"] = [bands(x, size) for x in t]
             yield pdf
 
-    kinds = ", ".join(["node string, n_bytes long", *[f"{c} long" for c in names], "bands array<long>"])
-    return texts.select("node", F.octet_length("_text").cast("long").alias("n_bytes"), "_text").mapInPandas(run, kinds)
-
+    src = texts.select("node", F.octet_length("_text").cast("long").alias("n_bytes"), "_text")
+    return src.mapInPandas(run, "node long, n_bytes long, f long, bands array<long>")
 
-def _band_pairs(marks: DataFrame, small: int = SMALL) -> DataFrame:
-    """(a, b) pairs that share a band: all of a small bucket, of a larger one those of its least member."""
-    keyed = marks.select("node", F.explode("bands").alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("hub")).where("count > 1"), "bands")
-    members = keyed.join(sizes, "key")
-    few = members.where(F.col("count") <= small)
-    joined = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
-    pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return pairs.unionByName(members.where((F.col("count") > small) & (F.col("node") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
-
-def _true_forest(texts: list[str], group: np.ndarray, near, left: int, size: int, tenths: int) -> list[tuple[int, int]]:
-    """Verified pairs that join all members of different groups that any verified pair joins; near(i, j) says which pairs are
-    candidates; of a tile of two chunks (left > 0) only pairs across them count. One row is counted against all others at once."""
+def _true_forest(texts: list[str], group: np.ndarray, left: int, size: int, tenths: int) -> list[tuple[int, int]]:
+    """Verified pairs that join all members of different groups that any verified pair joins; of a tile of two chunks
+    (left > 0) only pairs across them count. One row is counted against all others at once."""
     number: dict[bytes, int] = {}
     sets = [np.array([number.setdefault(x, len(number)) for x in set(shingles(words(t), size))], dtype=np.int64) for t in texts]
     n = len(sets)
@@ -248,7 +178,6 @@ def _true_forest(texts: list[str], group: np.ndarray, near, left: int, size: int
     for i in range(left or n - 1):
         j = np.arange(left or i + 1, n)
         j = j[group[j] != group[i]]
-        j = j[near(i, j)]
         if not len(j):
             continue
         mark[sets[i]] = True
@@ -261,94 +190,123 @@ def _true_forest(texts: list[str], group: np.ndarray, near, left: int, size: int
     return out
 
 
-def _crowd_links(marks: DataFrame, texts: DataFrame, links: DataFrame, lanes: int, limit: int, size: int, tenths: int, tile: int = TILE, small: int = SMALL) -> DataFrame:
-    """Verified links of the buckets of over ``small`` members that verified ``links`` leave in several groups.
+def _verified(links: DataFrame, texts: DataFrame, size: int, tenths: int) -> DataFrame:
+    """The (a, b) whose texts' shingle sets are similar enough; rows with the same a tend to come together."""
+    right = links.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("t")), "b")
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("s")), "a")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, x = None, set()
+        for pdf in batches:
+            good = []
+            for s, t in zip(pdf["s"], pdf["t"]):
+                if s != last:
+                    last, x = s, set(shingles(words(s), size))
+                y = set(shingles(words(t), size))
+                n = len(x & y)
+                good.append(10 * n >= tenths * (len(x) + len(y) - n))
+            yield pdf.loc[good, ["a", "b"]]
+
+    return both.select("a", "b", "s", "t").mapInPandas(run, "a long, b long")
+
+
+def _open_buckets(buckets: DataFrame, links: DataFrame, texts: DataFrame, size: int, tenths: int, tile: int) -> DataFrame:
+    """Verified links of the buckets whose members ``links`` leave in several groups.
 
-    Every pair of different groups is tried, so no link is lost by what a bucket's first pairs happened to be. Members
-    are compared in tiles of bounded size; a bucket already in one group is not read again, nor is one with another's members.
+    Each bucket's pairs with its hub have been tried. Where the other members are not of one group, every pair of different groups is
+    tried, in tiles of bounded size, so no link is lost by what was tried first. Of buckets with the same members one is read.
     """
-    f = [f"f{i}" for i in range(lanes)]
-    blocks = marks.select("node", "n_bytes", F.explode(_block_keys(f)).alias("key"), F.lit(False).alias("band"))
-    keyed = blocks.unionByName(marks.select("node", "n_bytes", F.explode("bands").alias("key"), F.lit(True).alias("band")))
-    large = materialize(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > small), "large")
-    roots = materialize(connected_components(links, "a", "b"), "crowd_roots")
-    inside = keyed.join(large.select("band", "key"), ["band", "key"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    inside = materialize(inside, "inside")
-    split = inside.groupBy("band", "key").agg(
+    roots = materialize(connected_components(links, "a", "b"), "bucket_roots")
+    inside = buckets.where("count > 2 and node <> hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = materialize(inside.select("key", "node", "n_bytes", "root"), "inside")
+    split = inside.groupBy("key").agg(
         F.count(F.lit(1)).alias("count"), F.sum("n_bytes").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"),
     ).where("lo < hi")
-    split = split.groupBy("band", "count", "same").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"))
+    split = split.groupBy("count", "same").agg(F.min("key").alias("key"), F.first("bytes").alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("count") / F.lit(tile)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("long")
-    split = materialize(split.select("band", "key", chunks.alias("chunks")), "split")
-    many = inside.join(split, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    split = materialize(split.select("key", chunks.alias("chunks")), "split")
+    many = inside.join(split, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     many = many.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    many = many.join(marks.select("node", *f), "node").join(texts, "node")
+    many = many.drop("n_bytes").join(texts, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chunk", "node"], kind="stable")
         left = int((pdf["chunk"] == pdf["lo"]).sum()) if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] else 0
-        group = np.unique(pdf["root"].to_numpy(str), return_inverse=True)[1]
-        if left == len(pdf) or group.max(initial=0) == 0:
-            return pd.DataFrame({"a": [], "b": []})
-        wide = pdf[f].to_numpy().astype("<i8").view("<u8")
-        band = bool(pdf["band"].iloc[0])
-        near = lambda i, j: np.ones(len(j), bool) if band else np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) <= limit
-        pairs = np.array(_true_forest(pdf["_text"].tolist(), group, near, left, size, tenths), dtype=int).reshape(-1, 2)
+        group = pdf["root"].to_numpy()
+        if left == len(pdf) or (group == group[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        pairs = np.array(_true_forest(pdf["_text"].tolist(), group, left, size, tenths), dtype=int).reshape(-1, 2)
         ids = pdf["node"].to_numpy()
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
-    return many.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a string, b string")
+    return many.select("key", "node", "root", "chunk", "lo", "hi", "_text").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def similar_pairs(docs: DataFrame, words_each: int = 5, tenths: int = 8, lanes: int = WIDE, limit: int = WIDE_BITS, text: str = "text", tile: int = TILE, small: int = SMALL) -> DataFrame:
-    """(a, b) keys of distinct texts whose sets of word shingles have a Jaccard similarity of at least tenths / 10.
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """(node, key, _text): distinct texts, numbered as they are written; null counts as empty."""
+    every = docs.select(_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    distinct = every.groupBy("key").agg(F.first("_text").alias("_text"))
+    return materialize(distinct.select(F.monotonically_increasing_id().alias("node"), "key", "_text"), "texts")
 
-    Candidates share a band of min-wise fingerprints of their shingles, which a pair at 0.8 misses in one case of some 4,000
-    whatever the edit, or a block of a wide SimHash fingerprint of their distinct words and differ in at most ``limit`` of its bits.
-    Each candidate is then verified on the shingles themselves. In large buckets only links that join groups are kept:
-    same groups, fewer rows.
+
+def similar_links(numbered: DataFrame, words_each: int = 5, tenths: int = 8, tile: int = TILE) -> DataFrame:
+    """(a, b) verified links that connect the texts (node, _text) just as all pairs with a Jaccard similarity of at least
+    tenths / 10 do, as far as those are met.
+
+    A pair is met if it shares a band of min-wise fingerprints of its shingles, which a pair at 0.8 misses in one case of some
+    1,500 whatever the edit, or if SimHash fingerprints of its distinct words differ in at most two bits. Links are verified on the
+    shingles themselves, first those of each fingerprint's or bucket's least member, then, where a bucket's members are still in
+    several groups, all pairs between groups. One path for buckets of every size; only links that join groups are kept.
     """
-    distinct = docs.select(_key(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text")).groupBy("node").agg(F.first("_text").alias("_text"))
-    marks = materialize(_marks(distinct, lanes, words_each), "wide")
-    links = near_pairs(marks.select("node", *[f"f{i}" for i in range(lanes)]), lanes, limit, tile, small).unionByName(_band_pairs(marks, small)).distinct()
+    marks = materialize(_marks(numbered, words_each), "marks")
+    prints = marks.groupBy("f").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("count"))
+    same = marks.select("node", "f").join(prints.where("count > 1"), "f").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    hubs = prints.select("f", "hub")
+    close = near_links(hubs).join(hubs.select(F.col("f").alias("a"), F.col("hub").alias("u")), "a").join(hubs.select(F.col("f").alias("b"), F.col("hub").alias("v")), "b")
+    keyed = marks.select("node", "n_bytes", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("hub")).where("count > 1")
+    buckets = materialize(keyed.join(shared, "key"), "buckets")
+    stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = stars.unionByName(same).unionByName(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
     links = materialize(links, "candidates")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    every = docs.select(_key(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    # only texts that are in a candidate pair are moved; those of a large bucket's band are, by its least member
-    texts = materialize(every.join(ends, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    both = links.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("_text").alias("t")), "b")
+    # only texts that are in a candidate pair are moved
+    texts = materialize(numbered.select("node", "_text").join(ends, "node", "left_semi"), "met")
+    good = materialize(_verified(links, texts, words_each, tenths), "verified")
+    return good.unionByName(_open_buckets(buckets, good, texts, words_each, tenths, tile)).distinct()
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            good = []
-            for s, t in zip(pdf["s"], pdf["t"]):
-                x, y = set(shingles(words(s), words_each)), set(shingles(words(t), words_each))
-                good.append(10 * len(x & y) >= tenths * len(x | y))
-            yield pdf.loc[good, ["a", "b"]]
 
-    good = materialize(both.mapInPandas(verify, "a string, b string"), "verified")
-    # a text of a large block without a near member is in no candidate pair and has no part here
-    return good.unionByName(_crowd_links(marks, texts, good, lanes, limit, words_each, tenths, tile, small)).distinct()
+def similar_pairs(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str = "text", tile: int = TILE) -> DataFrame:
+    """(a, b) text keys of ``similar_links`` over the distinct texts of ``docs``; null counts as empty, an empty table gives none."""
+    ship_package(docs.sparkSession)
+    numbered = _numbered(docs, text)
+    links, keys = similar_links(numbered, words_each, tenths, tile), numbered.select("node", "key")
+    left = links.join(keys.select(F.col("node").alias("a"), F.col("key").alias("ka")), "a")
+    both = left.join(keys.select(F.col("node").alias("b"), F.col("key").alias("kb")), "b")
+    return both.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def deduplicate(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of copies and near copies (all columns): the one with the smallest id, null ids last.
 
     Equal texts form one group, null and empty texts among them; groups grow over verified similar pairs. Rows that are equal
-    in id and text are one document. An empty table gives no rows.
+    in id and text are one document. An empty table gives no rows. Very long texts are compared whole.
     """
+    ship_package(docs.sparkSession)
     key, same = fresh("_key", docs.columns), fresh("_same", docs.columns)
-    ids = docs.select(_key(text).alias("node"), F.col(doc_id).alias("id"))
-    nodes = materialize(ids.groupBy("node", "id").agg(F.count(F.lit(1)).alias("n")), "copies")
-    least = nodes.groupBy("node").agg(F.min("id").alias("id"))
-    roots = materialize(connected_components(similar_pairs(docs, words_each, tenths, text=text), "a", "b"), "roots")
-    group = least.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    best = group.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("best")).select("best.id", "best.node")
-    copies = nodes.select(F.col("node").alias(f"{key}k"), F.col("id").alias(f"{key}id"), F.col("n").alias(same))
-    mine = (F.col("node") == F.col(f"{key}k")) & F.col("id").eqNullSafe(F.col(f"{key}id"))
-    kept = materialize(copies.join(best, mine, "left_semi"), "kept")
+    ids = docs.select(_key(text).alias("key"), F.col(doc_id).alias("id"))
+    copies = materialize(ids.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")), "copies")
+    numbered = _numbered(docs, text)
+    roots = materialize(connected_components(similar_links(numbered, words_each, tenths), "a", "b"), "roots")
+    least = copies.groupBy("key").agg(F.min("id").alias("id"))
+    # linked texts choose one of each group; the others go but for it
+    linked = numbered.select("node", "key").join(roots, "node").join(least, "key")
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("best"))
+    gone = materialize(linked.join(best, "root").where(F.col("key") != F.col("best")["key"]).select("key"), "gone")
+    kept = least.join(gone, "key", "left_anti").join(copies.withColumnRenamed("id", "cid"), "key").where(F.col("id").eqNullSafe(F.col("cid")))
+    kept = materialize(kept.select(F.col("key").alias(f"{key}k"), F.col("id").alias(f"{key}id"), F.col("n").alias(same)), "kept")
     marked = docs.withColumn(key, _key(text))
     out = marked.join(kept, (F.col(key) == F.col(f"{key}k")) & F.col(doc_id).eqNullSafe(F.col(f"{key}id"))).drop(f"{key}k", f"{key}id")
     # only rows that come more than once need to be told apart

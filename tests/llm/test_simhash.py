@@ -64,14 +64,13 @@ def test_hot_buckets_lose_no_link(spark):
     rnd = random.Random(2)
     base = 0x0123456789ABCDEF
     f = {base}
-    while len(f) < 400:  # one crowd around a centre, far over the small-bucket bound
+    while len(f) < 400:  # one crowd around a centre
         x = base
         for _ in range(rnd.randrange(1, 7)):
             x ^= 1 << rnd.randrange(12)
         f.add(x)
     f = sorted(f)
-    df = spark.createDataFrame([(x, x) for x in f], "node long, f0 long")
-    pairs = simhash.near_pairs(df, 1, 2, tile=64, small=8).collect()
+    pairs = simhash.near_links(spark.createDataFrame([(x,) for x in f], "f long")).collect()
     up = {x: x for x in f}
 
     def root(x):
@@ -110,7 +109,7 @@ def test_near_copies_of_any_kind_are_met(spark):
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(3000)]
     rows, pairs = [], {"truncated": [], "extended": [], "passage cut": [], "scattered": []}
-    for i in range(60):
+    for i in range(240):  # every base text has one copy, so that no other copy can link the two
         n = rnd.randrange(80, 700)
         base = [rnd.choice(vocab) for _ in range(n)]
         cut, at = int(n * rnd.uniform(0.1, 0.18)), rnd.randrange(n // 2)
@@ -118,11 +117,10 @@ def test_near_copies_of_any_kind_are_met(spark):
         for k in rnd.sample(range(n), max(1, n // 60)):
             worn[k] = "new"
         kinds = {"truncated": base[: n - cut], "extended": base + [rnd.choice(vocab) for _ in range(cut)], "passage cut": base[:at] + base[at + cut :], "scattered": worn}
-        rows.append((" ".join(base),))
-        for kind, w in kinds.items():
-            rows.append((" ".join(w),))
-            if close(rows[-1][0], " ".join(base)):
-                pairs[kind].append((" ".join(base), rows[-1][0]))
+        kind = list(kinds)[i % 4]
+        rows += [(" ".join(base),), (" ".join(kinds[kind]),)]
+        if close(rows[-1][0], rows[-2][0]):
+            pairs[kind].append((rows[-2][0], rows[-1][0]))
     df = spark.createDataFrame(rows, "text string")
     key = {r["text"]: r["node"] for r in df.select("text", simhash._key("text").alias("node")).collect()}
     got = {frozenset((r["a"], r["b"])) for r in simhash.similar_pairs(df).collect()}
@@ -153,7 +151,7 @@ def test_large_buckets_keep_all_true_groups(spark):
 
     sets = {n: shingle_set(t) for n, t in key.items()}
     for tile in (2048, 64):
-        for r in simhash.similar_pairs(df, tile=tile, small=8).collect():
+        for r in simhash.similar_pairs(df, tile=tile).collect():
             x, y = sets[r["a"]], sets[r["b"]]
             assert 10 * len(x & y) >= 8 * len(x | y)
             up[root(up, r["a"])] = root(up, r["b"])
