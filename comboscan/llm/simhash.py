@@ -130,6 +130,9 @@ def components(docs: DataFrame, size: int = 3) -> DataFrame:
 BANDS, ROWS = 24, 6
 _FLIP, _STEP = (np.array([[xxhash.xxh32_intdigest(f"{k}{i}", SEED) | odd] for i in range(BANDS * ROWS)], dtype="<u4") for k, odd in (("flip", 0), ("step", 1)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: One bit of each minimum, in three longs, and in how many a pair may differ before its texts are not looked at: at a similarity of 0.8
+#: a tenth of 144 differ, and more than 36 in one case of some 1,000,000.
+SKETCH, APART = 3, 36
 #: Members and text bytes that a chunk of a crowded bucket aims at; two chunks are one task's work.
 TILE, CHUNK_BYTES = 2048, 16_000_000
 
@@ -138,8 +141,8 @@ def _key(text: str):
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def bands(text: str | None, size: int) -> np.ndarray:
-    """One 64-bit key for each band of min-wise fingerprints of the set of word shingles."""
+def bands(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key for each band of min-wise fingerprints of the set of word shingles, and the sketch of their last bits."""
     s = set(shingles(words(text), size))
     h = np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in s), dtype="<u4", count=len(s))
     low = np.full(BANDS * ROWS, ~np.uint32(0))
@@ -149,21 +152,23 @@ def bands(text: str | None, size: int) -> np.ndarray:
     for minima in low.reshape(BANDS, ROWS).T:
         key = (key ^ minima) * _MIX
         key ^= key >> np.uint64(32)
-    return key.view("<i8")
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[: len(low)] = low & 1
+    return key.view("<i8"), np.packbits(bits, bitorder="little").view("<i8")
 
 
 def _marks(texts: DataFrame, size: int) -> DataFrame:
-    """node, n_bytes, the fingerprint of the distinct words and the band keys of (node, _text)."""
+    """node, n_bytes, the fingerprint of the distinct words, the band keys and the sketch of (node, _text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             t = pdf.pop("_text")
             pdf["f"] = np.array([fingerprint(x, 1, 1, True)[0] for x in t], dtype="<u8").view("<i8")
-            pdf["bands"] = [bands(x, size) for x in t]
+            pdf["bands"], pdf["sketch"] = zip(*[bands(x, size) for x in t]) if len(t) else ([], [])
             yield pdf
 
     src = texts.select("node", F.octet_length("_text").cast("long").alias("n_bytes"), "_text")
-    return src.mapInPandas(run, "node long, n_bytes long, f long, bands array<long>")
+    return src.mapInPandas(run, "node long, n_bytes long, f long, bands array<long>, sketch array<long>")
 
 
 def _true_forest(texts: list[str], group: np.ndarray, left: int, size: int, tenths: int) -> list[tuple[int, int]]:
@@ -210,38 +215,62 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, tenths: int) -> Dat
     return both.select("a", "b", "s", "t").mapInPandas(run, "a long, b long")
 
 
-def _open_buckets(buckets: DataFrame, links: DataFrame, texts: DataFrame, size: int, tenths: int, tile: int) -> DataFrame:
+def _tiled(members: DataFrame, tile: int) -> DataFrame:
+    """Members (key, node, n_bytes, ..) once for each pair of chunks (lo, hi) of their bucket that theirs is in; chunks are
+    of bounded size, and every two members of a bucket meet in one pair of chunks."""
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum("n_bytes").alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("count") / F.lit(tile)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES)), F.lit(1)).cast("long")
+    many = members.join(size.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return many.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("n_bytes", "chunks", "other")
+
+
+def _open_buckets(buckets: DataFrame, links: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, tenths: int, tile: int) -> DataFrame:
     """Verified links of the buckets whose members ``links`` leave in several groups.
 
     Each bucket's pairs with its hub have been tried. Where the other members are not of one group, every pair of different groups is
-    tried, in tiles of bounded size, so no link is lost by what was tried first. Of buckets with the same members one is read.
+    tried, in tiles of bounded size, so no link is lost by what was tried first: by sketch, then by text, which only members with a
+    near sketch in another group need. Of buckets with the same members one is read.
     """
     roots = materialize(connected_components(links, "a", "b"), "bucket_roots")
     inside = buckets.where("count > 2 and node <> hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     inside = materialize(inside.select("key", "node", "n_bytes", "root"), "inside")
     split = inside.groupBy("key").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("n_bytes").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"),
-    ).where("lo < hi")
-    split = split.groupBy("count", "same").agg(F.min("key").alias("key"), F.first("bytes").alias("bytes"))
-    chunks = F.greatest(F.ceil(F.col("count") / F.lit(tile)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("long")
-    split = materialize(split.select("key", chunks.alias("chunks")), "split")
-    many = inside.join(split, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    many = many.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    many = many.drop("n_bytes").join(texts, "node")
+        F.count(F.lit(1)).alias("count"), F.min("root").alias("least"), F.max("root").alias("most"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")
+    ).where("least < most")
+    split = materialize(split.groupBy("count", "same").agg(F.min("key").alias("key")).select("key"), "split")
+    members = inside.join(split, "key")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def arranged(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int]:
+        """Rows by chunk, and how many are of the first of two chunks; -1 where nothing is to be compared."""
         pdf = pdf.sort_values(["chunk", "node"], kind="stable")
         left = int((pdf["chunk"] == pdf["lo"]).sum()) if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] else 0
-        group = pdf["root"].to_numpy()
-        if left == len(pdf) or (group == group[0]).all():
+        return pdf, -1 if left == len(pdf) or pdf["root"].nunique() == 1 else left
+
+    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left = arranged(pdf)
+        n, live = len(pdf), np.zeros(len(pdf), bool)
+        if left >= 0:
+            bits, group = np.stack(pdf["sketch"].to_numpy()).view("<u8"), pdf["root"].to_numpy()
+            for i in range(left or n - 1):
+                j = slice(left or i + 1, n)
+                near = (np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= APART) & (group[j] != group[i])
+                live[j] |= near
+                live[i] |= near.any()
+        return pdf.loc[live, ["key", "node"]]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left = arranged(pdf)
+        if left < 0:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        pairs = np.array(_true_forest(pdf["_text"].tolist(), group, left, size, tenths), dtype=int).reshape(-1, 2)
+        pairs = np.array(_true_forest(pdf["_text"].tolist(), pdf["root"].to_numpy(), left, size, tenths), dtype=int).reshape(-1, 2)
         ids = pdf["node"].to_numpy()
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
-    return many.select("key", "node", "root", "chunk", "lo", "hi", "_text").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    sketched = _tiled(members, tile).join(sketches, "node").select("key", "node", "root", "chunk", "lo", "hi", "sketch")
+    live = materialize(sketched.groupBy("key", "lo", "hi").applyInPandas(sift, "key long, node long"), "live")
+    full = _tiled(members.join(live.distinct(), ["key", "node"]), tile).join(texts, "node").select("key", "node", "root", "chunk", "lo", "hi", "_text")
+    return full.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
@@ -256,8 +285,8 @@ def similar_links(numbered: DataFrame, words_each: int = 5, tenths: int = 8, til
     tenths / 10 do, as far as those are met.
 
     A pair is met if it shares a band of min-wise fingerprints of its shingles, which a pair at 0.8 misses in one case of some
-    1,500 whatever the edit, or if SimHash fingerprints of its distinct words differ in at most two bits. Links are verified on the
-    shingles themselves, first those of each fingerprint's or bucket's least member, then, where a bucket's members are still in
+    1,500 whatever the edit, or if SimHash fingerprints of its distinct words differ in at most two bits. Links that the min-wise
+    sketches don't rule out are verified on the shingles themselves, first those of each fingerprint's or bucket's least member, then, where a bucket's members are still in
     several groups, all pairs between groups. One path for buckets of every size; only links that join groups are kept.
     """
     marks = materialize(_marks(numbered, words_each), "marks")
@@ -270,12 +299,17 @@ def similar_links(numbered: DataFrame, words_each: int = 5, tenths: int = 8, til
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = stars.unionByName(same).unionByName(close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
-    links = materialize(links, "candidates")
+    sketches = marks.select("node", "sketch")
+    for end in "ab":
+        links = links.join(sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}")), end)
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    links = materialize(links.where(apart <= APART).select("a", "b"), "candidates")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    # only texts that are in a candidate pair are moved
-    texts = materialize(numbered.select("node", "_text").join(ends, "node", "left_semi"), "met")
-    good = materialize(_verified(links, texts, words_each, tenths), "verified")
-    return good.unionByName(_open_buckets(buckets, good, texts, words_each, tenths, tile)).distinct()
+    # only texts that are in a candidate pair are moved; a member with a near sketch in its bucket may be in none
+    texts = numbered.select("node", "_text")
+    met = materialize(texts.join(ends, "node", "left_semi"), "met")
+    good = materialize(_verified(links, met, words_each, tenths), "verified")
+    return good.unionByName(_open_buckets(buckets, good, texts, sketches, words_each, tenths, tile)).distinct()
 
 
 def similar_pairs(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str = "text", tile: int = TILE) -> DataFrame:

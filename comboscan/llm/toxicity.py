@@ -1,10 +1,12 @@
-"""Toxicity by a support vector machine over Nyström features of a gap-weighted subsequence kernel.
-
-An instance is a word (or a run of spelled-out letters, or a window of a very long word); the kernel compares letter
-subsequences with gaps, so spelling with gaps or inserted characters stays close to the plain word. Training uses a bounded
-sample of labelled documents: the words that tell toxic from other documents, and their nearest harmless neighbours,
-give instances and landmarks; the machine is linear in the landmark features. A document's score is a logistic of
-its strongest words, fitted on documents the machine has not seen.
+"""Toxicity by a support vector machine on sentences, over Nyström features of a gap-weighted subsequence kernel.
+
+The kernel of two words compares letter subsequences with gaps, so a word spelled with gaps or inserted characters stays close to
+the plain one; the kernel of two sentences is the sum over their pairs of words. Landmarks are words, so a sentence's Nyström features are
+the sums of its words', and a linear machine on them gives a sentence the sum of a value for each word: each distinct word
+is compared with the landmarks once. Labels are those of documents: the machine is trained on the sentences of a bounded sample of
+labelled documents, those of toxic ones positive as far as the machine of the round before finds them so (at least the strongest
+of each document), all sentences of the others negative. A document's score is a logistic of its sentences' decision values,
+fitted on documents the machine has not seen.
 """
 
 from __future__ import annotations
@@ -19,41 +21,59 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 #: Documented bounds of the training sample (documents of a label) and of the model.
-TOXIC, OTHER, LANDMARKS = 1500, 3000, 72
-ORDERS, DECAY, POWER = (2, 3), 0.7, 3
-#: Longest instance; longer words become overlapping windows of it.
+TOXIC, OTHER, LANDMARKS = 1500, 3000, 96
+ORDERS, DECAY, POWER = (2, 3), 0.85, 4
+#: A word is compared with a landmark only if this share of the landmark's neighbouring letters follow each other in it, with up to
+#: two letters between; else the kernel is taken as 0. Letters spelled with gaps or insertions pass.
+GATE = 0.9
+#: Smaller kernel values count as 0, so that most words add nothing to their sentence.
+FAINT = 0.05
+#: Longest instance; longer words become overlapping windows of it, of which the strongest counts.
 WIDTH, STRIDE = 24, 12
-#: Decision values a worker remembers in each of two generations; more costs time and changes no score.
-KEEP = 600_000
+#: Words of a sentence; longer ones are cut.
+SENTENCE = 40
+#: Weight of all made-up sentences of one landmark with an inserted letter, as a share of the sentences of toxic documents.
+WORN = 0.3
+#: Rounds of training; each takes anew which sentences of toxic documents are positive.
+ROUNDS = 5
+#: Words a worker remembers in each of two generations; more costs time and changes no score.
+KEEP = 400_000
 _EDGE = re.compile(r"[^\w]+|_+")
+_END = re.compile(r"[.!?][^\w]*$")
+
+
+def clean(raw: str) -> str:
+    """A token without punctuation."""
+    return raw if raw.isalnum() else _EDGE.sub("", raw)
+
+
+def windows(w: str) -> list[str]:
+    """A word as instances: itself, or overlapping windows of a very long one."""
+    return [w] if len(w) <= WIDTH else list(dict.fromkeys(w[at : at + WIDTH] for at in range(0, len(w) - STRIDE, STRIDE)))
+
 
+def ends_sentence(raw: str) -> bool:
+    return not raw[-1].isalnum() and _END.search(raw) is not None
 
-def instances(text: str | None) -> list[str]:
-    """Distinct instances of a whole text: lower-case words without punctuation, spelled-out runs joined, long words in windows."""
-    out: dict[str, None] = {}
-    run: list[str] = []
-    for raw in (text or "").lower().split():
-        w = _EDGE.sub("", raw)
-        if len(w) == 1:
-            run.append(w)
-            continue
-        if len(run) > 2:
-            _put(out, "".join(run))
-        run.clear()
-        if w:
-            _put(out, w)
-    if len(run) > 2:
-        _put(out, "".join(run))
-    return list(out)
-
-
-def _put(out: dict[str, None], w: str) -> None:
-    if len(w) <= WIDTH:
-        out[w] = None
-    else:
-        for at in range(0, len(w) - STRIDE, STRIDE):
-            out[w[at : at + WIDTH]] = None
+
+def sentences(ends: np.ndarray) -> np.ndarray:
+    """A number for each token's sentence: they end after . ! or ?, and after SENTENCE tokens."""
+    at = np.arange(len(ends))
+    opens = np.concatenate([[True], ends[:-1]]) if len(ends) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(opens, at, 0))
+    opens = opens | ((at - start) % SENTENCE == 0)
+    return np.cumsum(opens) - 1
+
+
+def spelled(tokens: list[str], single: np.ndarray) -> list[tuple[int, str]]:
+    """(place of the last letter, word) of runs of at least three single letters."""
+    if len(single) < 3 or not (single[:-2] & single[1:-1] & single[2:]).any():
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
+    return [(int(b) - 1, "".join(clean(t) for t in tokens[a:b])) for a, b in zip(edges[::2], edges[1::2]) if b - a > 2]
 
 
 def _codes(words: list[str], pad: int) -> np.ndarray:
@@ -106,20 +126,38 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
 
 
 class Landmarks:
-    """The kernel against fixed strings, for many words at once: sorted words share the work of their common prefixes."""
+    """The kernel of many words against fixed strings; only pairs that pass the gate are computed."""
 
     def __init__(self, marks: list[str]) -> None:
-        self.order = sorted(range(len(marks)), key=lambda i: -len(marks[i]))
-        self.marks = [marks[i] for i in self.order]
-        self.chars = sorted({c for m in marks for c in m})
-        width = max(map(len, marks), default=0)
-        #: how many landmarks are longer than j, and for each place j and letter which of those have it there
-        self.active = [sum(len(m) > j for m in self.marks) for j in range(width)]
-        self.at = np.zeros((width, len(self.chars) + 1, len(marks)), np.float32)
-        for i, m in enumerate(self.marks):
-            for j, c in enumerate(m):
-                self.at[j, self.chars.index(c), i] = DECAY * DECAY
-        self.own = self._own(self.marks)
+        self.marks = marks
+        self.own = self._own(marks)
+        self.pairs = [self._pairs([m], 1)[0] for m in marks]
+
+    @staticmethod
+    def _pairs(words: list[str], reach: int) -> np.ndarray:
+        """Bit masks (256 bits a word) of the ordered letter pairs at most ``reach`` places apart; equal pairs share a bit."""
+        out = np.zeros((len(words), 4), np.uint64)
+        c = _codes(words, -1).astype(np.int64)
+        rows = np.arange(len(words))
+        for gap in range(1, reach + 1):
+            for i in range(c.shape[1] - gap):
+                x, y = c[:, i], c[:, i + gap]
+                h = (x * 0x9E3779B1 + y * 0x85EBCA77) & 0xFFFFFFFF
+                h ^= h >> 15
+                bit = np.where(y >= 0, np.uint64(1) << (h & 63).astype(np.uint64), np.uint64(0))
+                out[rows, (h >> 6) & 3] |= bit
+        return out
+
+    def gate(self, words: list[str]) -> np.ndarray:
+        """Which landmarks each word is compared with; most words fail on the lane where a landmark has most of its pairs."""
+        lanes, out = np.ascontiguousarray(self._pairs(words, 3).T), np.zeros((len(words), len(self.marks)), bool)
+        for k, need in enumerate(self.pairs):
+            bits = np.bitwise_count(need)
+            first, least = int(bits.argmax()), max(1, int(np.ceil(GATE * bits.sum())))
+            at = np.flatnonzero(np.bitwise_count(lanes[first] & need[first]) + int(bits.sum() - bits[first]) >= least)
+            if len(at):
+                out[at[np.bitwise_count(lanes[:, at] & need[:, None]).sum(axis=0) >= least], k] = True
+        return out
 
     @staticmethod
     def _own(words: list[str]) -> np.ndarray:
@@ -136,70 +174,42 @@ class Landmarks:
                 out[part] = np.sqrt(np.stack([k[p - 1] for p in ORDERS], axis=1))
         return out
 
-    def kernel(self, words: list[str], chunk: int = 1500) -> np.ndarray:
+    def kernel(self, words: list[str], chunk: int = 4096) -> np.ndarray:
         out = np.zeros((len(words), len(self.marks)), np.float32)
-        order = sorted(range(len(words)), key=words.__getitem__)
-        for at in range(0, len(order), chunk):
-            rows = order[at : at + chunk]
-            out[rows] = self._chunk([words[i] for i in rows])
-        back = np.empty_like(out)
-        back[:, self.order] = out
-        return back
-
-    def _chunk(self, words: list[str]) -> np.ndarray:
-        n, m, top = len(words), len(self.marks), max(ORDERS)
-        place = {c: i for i, c in enumerate(self.chars)}
-        letters = np.full((n, max(map(len, words), default=0)), -1, np.int64)
-        for i, w in enumerate(words):
-            letters[i, : len(w)] = [place.get(c, len(self.chars)) for c in w]
-        lens = np.array([len(w) for w in words])
-        shared = np.zeros(n, np.int64)  # letters in common with the word before
-        for i in range(1, n):
-            x, y = words[i - 1], words[i]
-            k, most = 0, min(len(x), len(y))
-            while k < most and x[k] == y[k]:
-                k += 1
-            shared[i] = k
-        result = np.zeros((top, n, m), np.float32)
-        decay = np.float32(DECAY)
-        parent = np.zeros(n, np.int64)  # of each word: its prefix's node on the level above
-        state = np.zeros((top - 1, len(self.active) + 1, 1, m), np.float32)
-        sums = np.zeros((top, 1, m), np.float32)
-        for level in range(letters.shape[1]):
-            live = lens > level
-            opens = live & ((shared <= level) | ~np.concatenate([[False], live[:-1]]))
-            # a shorter word between two that share more cannot occur: words are sorted
-            node = np.cumsum(opens) - 1
-            heads = np.flatnonzero(opens)
-            up, c = parent[heads], letters[heads, level]
-            old = state[:, :, up]
-            sums = sums[:, up]
-            new = np.zeros_like(old)
-            run = np.zeros((top - 1, len(heads), m), np.float32)
-            for j, k in enumerate(self.active):
-                e = self.at[j, c, :k]
-                for p in range(top):
-                    step = e if p == 0 else e * old[p - 1, j, :, :k]
-                    sums[p, :, :k] += step
-                    if p < top - 1:
-                        r = run[p, :, :k]
-                        r *= decay
-                        r += step
-                        np.multiply(old[p, j + 1, :, :k], decay, out=new[p, j + 1, :, :k])
-                        new[p, j + 1, :, :k] += r
-            done = np.flatnonzero(lens == level + 1)
-            result[:, done] = sums[:, node[done]]
-            parent, state = node, new
-        own = self._own(words)
-        total = np.zeros((n, m), np.float32)
-        for i, p in enumerate(ORDERS):
-            norm = own[:, i, None] * self.own[None, :, i]
-            total += np.where(norm > 0, result[p - 1] / np.where(norm > 0, norm, 1), 0)
-        return (total / len(ORDERS)) ** POWER
-
-
-def kernel_by_length(a: list[str], b: list[str]) -> np.ndarray:
-    return Landmarks(b).kernel(a)
+        if not words or not self.marks:
+            return out
+        met = [np.argwhere(self.gate(words[at : at + 8192])) + [at, 0] for at in range(0, len(words), 8192)]
+        pairs = np.concatenate(met)
+        # pairs of like lengths are computed together, each word's own kernel once
+        size = np.array([[len(words[i]), len(self.marks[k])] for i, k in pairs]).reshape(-1, 2)
+        pairs = pairs[np.lexsort((size[:, 1], size[:, 0]))]
+        hot, row = np.unique(pairs[:, 0], return_inverse=True)
+        own = self._own([words[i] for i in hot])
+        for at in range(0, len(pairs), chunk):
+            i, k = pairs[at : at + chunk].T
+            raw = _raw_kernels(_codes([words[x] for x in i], -1), _codes([self.marks[x] for x in k], -2), True)
+            total = np.zeros(len(i), np.float32)
+            for n, p in enumerate(ORDERS):
+                norm = own[row[at : at + chunk], n] * self.own[k, n]
+                total += np.where(norm > 0, raw[p - 1] / np.where(norm > 0, norm, 1), 0)
+            out[i, k] = (total / len(ORDERS)) ** POWER
+        out[out < FAINT] = 0
+        return out
+
+    def near(self, words: list[str], chunk: int = 16384) -> tuple[list[str], np.ndarray]:
+        """The words close to any landmark and their rows of the kernel; memory is bounded by the chunk and what is found."""
+        kept, rows = [], [np.zeros((0, len(self.marks)), np.float32)]
+        for at in range(0, len(words), chunk):
+            part = words[at : at + chunk]
+            k = self.kernel(part)
+            hot = np.flatnonzero(k.any(axis=1))
+            kept += [part[i] for i in hot]
+            rows.append(k[hot])
+        return kept, np.concatenate(rows)
+
+
+#: What a worker remembers of a token: its value, plus these if it ends a sentence or is a single letter.
+_ENDS, _SINGLE = 1024.0, 4096.0
 
 
 @dataclass
@@ -211,42 +221,60 @@ class Model:
     version: str = ""
     prepared: Landmarks | None = None
 
-    def decide(self, words: list[str]) -> np.ndarray:
-        """Decision value of each word, remembered within bounds."""
-        known, older = self._store()
-        if len(known) > KEEP:
-            older.clear()
-            older.update(known)
-            known.clear()
-        known.update((w, older[w]) for w in words if w not in known and w in older)
-        new = [w for w in words if w not in known]
-        if new and self.landmarks:
-            f = self._marks().kernel(new) @ self.weights + self.bias
-            known.update(zip(new, f.tolist()))
-        return np.array([known.get(w, self.bias) for w in words])
-
-    def _marks(self) -> Landmarks:
+    def values(self, words: list[str]) -> np.ndarray:
+        """What each word adds to its sentence's decision value; 0 for a word far from all landmarks."""
+        if not self.landmarks:
+            return np.zeros(len(words))
         if self.prepared is None:
             self.prepared = Landmarks(self.landmarks)
-        return self.prepared
+        return np.concatenate([self.prepared.kernel(words[at : at + 16384]) @ self.weights for at in range(0, len(words), 16384)] or [np.zeros(0)])
 
-    def _store(self) -> tuple[dict[str, float], dict[str, float]]:
+    def learn(self, raws: set[str]) -> dict[str, float]:
+        """Remembers tokens' values and marks within bounds, and returns the store."""
         home = sys.modules.setdefault("_comboscan_toxic", types.ModuleType("_comboscan_toxic"))
         if getattr(home, "version", None) != self.version:
-            home.version, home.known = self.version, ({}, {})
-        return home.known
+            home.version, home.known, home.older = self.version, {}, {}
+        if len(home.known) > KEEP:
+            home.known, home.older = {}, home.known
+        known, older = home.known, home.older
+        known.update((r, older[r]) for r in raws if r not in known and r in older)
+        parts = [(r, clean(r)) for r in raws if r not in known]
+        mark = lambda r, w: (_ENDS if ends_sentence(r) else 0.0) + (_SINGLE if len(w) == 1 else 0.0)
+        long = {w: windows(w) for _, w in parts if len(w) > 1}
+        words = list(dict.fromkeys(x for ws in long.values() for x in ws))
+        value = dict(zip(words, self.values(words).tolist()))
+        known.update((r, mark(r, w) + (max(map(value.__getitem__, long[w])) if w in long else 0.0)) for r, w in parts)
+        return known
+
+    def decide(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Document features of each text: a constant, the strongest sentence, sums over the strong ones, length."""
+        cut = [(t or "").lower().split() for t in texts]
+        known = self.learn(set().union(*cut))
+        out = []
+        for tokens in cut:
+            v = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
+            single = v > _SINGLE / 2
+            v -= _SINGLE * single
+            ends = v > _ENDS / 2
+            v -= _ENDS * ends
+            if single.any():
+                for i, w in spelled(tokens, single):
+                    v[i] = self.values(windows(w)).max()
+            hot = np.flatnonzero(v)
+            f = np.array([self.bias])
+            if len(hot):
+                of = sentences(ends)[hot]
+                # the first value stands for all sentences without a word near a landmark
+                f = np.concatenate([f, self.bias + np.bincount(np.unique(of, return_inverse=True)[1], weights=v[hot])])
+            out.append(np.array([1.0, max(f.max(), -1.5), np.log1p(np.maximum(f + 0.25, 0).sum()), np.log1p((f > 0).sum()), np.log1p(len(tokens))]))
+        return out
 
-    def features(self, words: list[str]) -> np.ndarray:
-        f = np.sort(self.decide(words))[::-1] if words else np.array([self.bias])
-        hits = np.maximum(f + 0.25, 0)
-        return np.array([1.0, max(f[0], -1.5), np.log1p(hits.sum()), np.log1p((f > 0).sum()), np.log1p(len(words))])
+    def score_all(self, texts: list[str | None]) -> list[float]:
+        z = np.clip(np.stack(self.decide(texts)) @ self.doc, -30, 30) if texts else np.zeros(0)
+        return (1 / (1 + np.exp(-z))).tolist()
 
     def score(self, text: str | None) -> float:
-        return self.score_words(instances(text))
-
-    def score_words(self, words: list[str]) -> float:
-        z = float(self.features(words) @ self.doc)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return self.score_all([text])[0]
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = OTHER) -> list[tuple[str, int]]:
@@ -265,14 +293,15 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int =
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on its active set; y is -1 or 1."""
-    a = np.hstack([x, np.ones((len(x), 1))])
+    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(a.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(40):
         on = y * (a @ w) < 1
-        b = a[on] * weight[on, None]
-        new = np.linalg.solve(ridge + c * b.T @ a[on], c * b.T @ y[on])
+        some = a[on]
+        b = (some * weight[on, None].astype(x.dtype)).T
+        new = np.linalg.solve(ridge + c * (b @ some).astype(float), c * b @ y[on])
         if np.allclose(new, w, atol=1e-9):
             break
         w = 0.5 * w + 0.5 * new if _ > 10 else new
@@ -310,47 +339,96 @@ def _covering(strong: list[str], df: dict[str, list[int]], bags: list[list[str]]
     return out
 
 
+def _sentence_rows(docs: list[str], row_of: dict[str, int], kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(features, document) of the sentences with a word near a landmark, and how many others there are."""
+    feats, owner, rest = [], [], 0
+    for d, text in enumerate(docs):
+        tokens = text.lower().split()
+        words = [clean(t) for t in tokens]
+        of = sentences(np.array([ends_sentence(t) for t in tokens], bool))
+        rest += int(of[-1]) + 1 if len(of) else 0
+        runs = spelled(tokens, np.array([len(w) == 1 for w in words], bool))
+        met: dict[int, np.ndarray] = {}  # only words in row_of count
+        for i, w in [(i, w) for i, w in enumerate(words) if len(w) > 1] + runs:
+            rows = [row_of[x] for x in windows(w) if x in row_of]
+            if rows:
+                met[int(of[i])] = met.get(int(of[i]), 0) + kernel[rows].max(axis=0)
+        feats += met.values()
+        owner += [d] * len(met)
+        rest -= len(met)
+    return np.array(feats, dtype=np.float32).reshape(-1, kernel.shape[1]), np.array(owner, dtype=int), rest
+
+
 def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     """A model from (text, label) rows. Without both labels every text scores the share of toxic rows (0 without rows)."""
     base = float(np.mean([y for _, y in rows])) if rows else 0.0
-    flat = lambda p: np.array([np.log(max(p, 1e-9) / max(1 - p, 1e-9)), 0, 0, 0, 0])
+    flat = np.array([np.log(max(base, 1e-9) / max(1 - base, 1e-9)), 0, 0, 0, 0])
+    nothing = Model([], np.zeros(0), -1.0, flat, "flat")
     if len({y for _, y in rows}) < 2:
-        return Model([], np.zeros(0), -1.0, flat(base), "flat")
-    bags = [(instances(t), y) for t, y in rows]
-    third = lambda i: i % 3 == 2  # noqa: E731  kept for the documents' logistic
-    fit = [b for i, b in enumerate(bags) if not third(i)]
+        return nothing
+    held = [i % 3 == 2 for i in range(len(rows))]  # kept for the documents' logistic
+    fit = [r for r, h in zip(rows, held) if not h]
     n1, n0 = sum(y for _, y in fit), sum(1 - y for _, y in fit)
     df: dict[str, list[int]] = {}
-    for words, y in fit:
-        for w in words:
+    bags = []
+    for text, y in fit:
+        tokens = text.lower().split()
+        words = [clean(t) for t in tokens]
+        runs = spelled(tokens, np.array([len(w) == 1 for w in words], bool))
+        bag = dict.fromkeys(x for w in [w for w in words if len(w) > 1] + [w for _, w in runs] for x in windows(w))
+        for w in bag:
             df.setdefault(w, [0, 0])[y] += 1
+        if y:
+            bags.append(list(bag))
+    # landmarks: words seen mostly in toxic documents that between them cover those, and the frequent harmless words most like them
     odds = lambda c: np.log((c[1] + 0.5) / (n1 + 1)) - np.log((c[0] + 0.5) / (n0 + 1))
     need = 3 if n1 >= 100 else 2
     telling = {w: c for w, c in df.items() if c[1] >= need and odds(c) > 1.6}
-    gain = sorted(telling, key=lambda w: (-telling[w][1] * odds(telling[w]), w))
-    if not gain:
-        return Model([], np.zeros(0), -1.0, flat(base), "flat")
-    strong = gain[: 4 * landmarks]
-    marks = _covering(strong, telling, [words for words, y in fit if y], odds, 4 * landmarks // 5)
-    # frequent harmless words, and those most like the telling ones, are what the machine must keep apart
-    plain = sorted((w for w, c in df.items() if w not in telling and odds(c) < 0.7 and c[0]), key=lambda w: (-df[w][0], w))
-    close = kernel_by_length(plain[:12_000], marks).max(axis=1)
-    hard = [plain[i] for i in np.argsort(-close, kind="stable")[:1500]]
-    marks = list(dict.fromkeys(marks + hard[: landmarks - len(marks)]))
-    pool = list(dict.fromkeys(hard + plain[:1500]))
-    words = strong + pool
-    y = np.array([1.0] * len(strong) + [-1.0] * len(pool))
-    weight = np.array([min(10.0, 1.0 + df[w][1] / 3) for w in strong] + [1.0] * len(pool))
-    kmm = kernel_by_length(marks, marks).astype(float)
+    if not telling:
+        return nothing
+    strong = sorted(telling, key=lambda w: (-telling[w][1] * odds(telling[w]), w))[: 4 * landmarks]
+    marks = _covering(strong, telling, bags, odds, 4 * landmarks // 5)
+    plain = sorted((w for w, c in df.items() if w not in telling and odds(c) < 0.7 and c[0]), key=lambda w: (-df[w][0], w))[:12_000]
+    close = Landmarks(marks).kernel(plain).max(axis=1)
+    bad = list(marks)
+    marks = list(dict.fromkeys(marks + [plain[i] for i in np.argsort(-close, kind="stable")[: landmarks - len(marks)]]))
+
+    near = Landmarks(marks)
+    kmm = near.kernel(marks).astype(float)
     val, vec = np.linalg.eigh((kmm + kmm.T) / 2)
     white = vec / np.sqrt(np.maximum(val, 1e-4))
-    w, b = _svm(kernel_by_length(words, marks) @ white, y, weight)
-    model = Model(marks, (white @ w).astype(np.float32), b, flat(base), f"{hash((tuple(marks), b))}")
-    calib = [bag for i, bag in enumerate(bags) if third(i)] if len(bags) >= 300 else bags
+    words, kernel = near.near(sorted(df))
+    row_of = {w: k for k, w in enumerate(words)}
+    del df, telling, plain
+    pos, owner, _ = _sentence_rows([t for t, y in fit if y], row_of, kernel)
+    neg, _, silent = _sentence_rows([t for t, y in fit if not y], row_of, kernel)
+    if not len(pos):
+        return nothing
+    # inserted letters do not make a sentence harmless: the toxic landmarks, once with each inner letter doubled or followed by another
+    worn = [m[: i + 1] + c + m[i + 1 :] for m in bad for i in range(1, len(m) - 1) for c in (m[i], "x")]
+    extra = near.kernel(worn)
+    # all sentences without a word near a landmark have the same features: one row with their weight, bounded
+    silence, white = np.zeros((1, len(marks)), np.float32), white.astype(np.float32)
+    x = np.vstack([rows @ white for rows in (pos, neg, silence, extra)])
+    y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg) + 1), np.ones(len(extra))])
+    chosen = np.ones(len(pos), bool)
+    w, b = np.zeros(len(marks)), 0.0
+    for _ in range(ROUNDS):
+        share = np.bincount(owner[chosen], minlength=owner.max() + 1)
+        weight = np.concatenate([np.where(chosen, 1 / np.maximum(share[owner], 1), 0), np.full(len(neg), 0.5), [min(silent, 200) + 1], np.full(len(extra), WORN * len(pos) / max(1, len(extra)))])
+        on = weight > 0
+        w, b = _svm(x[on], y[on], weight[on])
+        f = x[: len(pos)] @ w + b
+        top = np.full(owner.max() + 1, -np.inf)
+        np.maximum.at(top, owner, f)
+        before, chosen = chosen, (f > 0) | (f == top[owner])
+        if (before == chosen).all():
+            break
+    model = Model(marks, (white @ w).astype(np.float32), b, flat, f"{hash((tuple(marks), b))}")
+    calib = [r for r, h in zip(rows, held) if h] if len(rows) >= 300 else rows
     if len({v for _, v in calib}) == 2:
-        model.decide(list(dict.fromkeys(w for words, _ in calib for w in words)))
-        x = np.array([model.features(words) for words, _ in calib])
-        model.doc = _logistic(x, np.array([v for _, v in calib], float))
+        features = [f for at in range(0, len(calib), 200) for f in model.decide([t for t, _ in calib[at : at + 200]])]
+        model.doc = _logistic(np.array(features), np.array([v for _, v in calib], float))
     return model
 
 
@@ -360,15 +438,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
     Null and empty texts get the score of a text without words. Equal texts get equal scores. Input columns called score or
     predicted are replaced. An empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    ship_package(spark)
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        model, out = held.value, []
+        out: list[float] = []
         for at in range(0, len(texts), 1000):  # words new to a batch are compared together
-            bags = [instances(t) for t in texts.iloc[at : at + 1000]]
-            model.decide(list(dict.fromkeys(w for b in bags for w in b)))
-            out += [model.score_words(b) for b in bags]
+            out += held.value.score_all(texts.iloc[at : at + 1000].tolist())
         return pd.Series(out, dtype="float64")
 
     rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -23,22 +24,65 @@ def brute(s, t, p):
     return dot(a, b) / n**0.5 if n else 0.0
 
 
-def test_kernel_is_the_subsequence_kernel():
+def gated(word, mark):
+    want = {mark[i : i + 2] for i in range(len(mark) - 1)}
+    have = {word[i] + word[j] for i in range(len(word)) for j in range(i + 1, min(i + 4, len(word)))}
+    return len(want & have) >= max(1, math.ceil(toxicity.GATE * len(want)))
+
+
+def plain_kernel(word, mark):
+    k = np.mean([brute(word, mark, p) for p in toxicity.ORDERS]) ** toxicity.POWER if gated(word, mark) else 0.0
+    return k if k >= toxicity.FAINT else 0.0
+
+
+def test_kernel_is_the_gated_subsequence_kernel():
     rnd = random.Random(4)
-    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 8))) for _ in range(40)} | {"abcab", "abca", "é"})
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 8))) for _ in range(60)} | {"abcab", "abca", "axbca", "é", "éa"})
     rnd.shuffle(words)
-    marks = words[:9] + ["zzz"]
+    marks = [w for w in words if len(w) > 1][:9] + ["zzz"]
     got = toxicity.Landmarks(marks).kernel(words, chunk=7)
-    want = np.array([[np.mean([brute(s, t, p) for p in toxicity.ORDERS]) ** toxicity.POWER for t in marks] for s in words])
-    assert np.abs(got - want).max() < 1e-5
-
-
-def test_instances_cover_whole_texts():
-    assert toxicity.instances("You i.d.i.o.t, s t u p i d!") == ["you", "idiot", "stupid"]
+    want = np.array([[plain_kernel(s, t) for t in marks] for s in words])
+    assert np.abs(got - want).max() < 1e-5 and (want > 0).sum() > 20
+
+
+def plain_score(model, text):
+    """The score by loops over sentences, words and landmarks."""
+    tokens = (text or "").lower().split()
+    bare = ["".join(c for c in t if c.isalnum()) for t in tokens]
+    value = lambda w: max(sum(plain_kernel(x, m) * b for m, b in zip(model.landmarks, model.weights)) for x in toxicity.windows(w))
+    sums, run, n = [0.0], [], 0
+    for i, (t, w) in enumerate(zip(tokens, bare)):
+        if len(w) == 1:
+            run.append(w)
+            if len(run) > 2 and (i + 1 == len(bare) or len(bare[i + 1]) != 1):
+                sums[-1] += value("".join(run))
+        else:
+            run = []
+            sums[-1] += value(w) if w else 0.0
+        n += 1
+        if n == toxicity.SENTENCE or any(c in ".!?" for c in t[len(t.rstrip("".join(c for c in set(t) if not c.isalnum()))) :]):
+            sums.append(0.0)
+            n = 0
+    f = [model.bias + s for s in sums if s] + [model.bias]
+    x = [1, max(*f, -1.5), math.log1p(sum(max(v + 0.25, 0) for v in f)), math.log1p(sum(v > 0 for v in f)), math.log1p(len(tokens))]
+    return 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, model.doc))))))
+
+
+def test_scores_are_those_of_loops():
+    data = rows(600, random.Random(1))
+    model = toxicity.train(data, landmarks=12)
+    rnd = random.Random(5)
+    texts = [t for t, _ in data[:8]] + ["What an i.d.i.o.t! A m o r o n? You s c, u m b a g", "", None, "! ? ...", "x" * 60, "idiot" * 8 + " the idiots. " + "bo " * 90 + "morron"]
+    texts += [" ".join(rnd.choice(["idiot", "idixot", "moron.", "a", "b!", "scumbags", "ladi", "dumo?", "--"]) for _ in range(60)) for _ in range(6)]
+    assert np.allclose(model.score_all(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_runs_and_windows_cover_whole_texts():
+    tokens = "you i.d.i.o.t, s t u p i d! a b".split()
+    assert toxicity.clean(tokens[1]) == "idiot"
+    assert toxicity.spelled(tokens, np.array([len(toxicity.clean(t)) == 1 for t in tokens])) == [(9, "stupidab")]
     long = "".join(chr(97 + i % 26) for i in range(101))
-    joined = toxicity.instances(long)
-    assert all(any(long[i : i + 12] in w for w in joined) for i in range(len(long) - 12))
-    assert toxicity.instances(None) == toxicity.instances(" \n") == []
+    assert all(any(long[i : i + 12] in w for w in toxicity.windows(long)) for i in range(len(long) - 12))
 
 
 def rows(n, rnd):
