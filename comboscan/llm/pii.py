@@ -1,7 +1,8 @@
 """Surrogate generation for personal data, in DataFrame functions only.
 
 Entities are found by one pattern; each distinct entity gets one keyed surrogate of its own type, shape, script and (for
-names) gender, so equal entities stay equal everywhere. Surrogates are checked against each other and against every
+names) gender, so equal entities stay equal everywhere: a name whatever its title, a domain whatever its user, a full name also where it
+is repeated without its title in the same text. Surrogates are checked against each other and against every
 original found; losers of a collision draw again until all are distinct. Texts are rebuilt from the gaps between
 entities and the surrogates, in the order of the text.
 """
@@ -28,7 +29,7 @@ _LEAD = r"[._%+\-]*+"
 
 #: type -> pattern, in order of precedence where two could start at one place.
 PATTERNS = {
-    "email": rf"(?:(?<![A-Za-z0-9._%+\-])|\G){_LEAD}[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}}",
+    "email": rf"(?:(?<![A-Za-z0-9._%+\-])|\G){_LEAD}[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{{2,}}",
     "secret": rf"{_LABEL}[A-Za-z0-9+/_\-]{{16,}}={{0,2}}"
     r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -48,7 +49,8 @@ SYLLABLES = {
     "cyrillic": ("Бел Вар Гор Дан Жел Зор Кал Лев Мир Нов Пол Рад Сел Тим Фед Яр".split(), "а е и о у ан ен ин он ар ер ор ал ел ил ам".split(),
                  {"m": "дор мир слав тон лан рик вин кар".split(), "f": "дия лина рина ника вия мира сия нара".split(), "u": "ша ня ся ля ка ря тя зя".split(), "last": "ко чук дзе ян ник вич лис гай".split()}),
 }
-ROUNDS = 24
+#: Draws of one surrogate before the format is held to have fewer members than there are entities, which is an error.
+ROUNDS = 200
 #: A text without any of these characters or secrets' prefixes, nor a title, holds no entity; most texts are told by this alone.
 SIGNS = "[0-9@=:]|AKIA|gh[pousr]_|sk-"
 
@@ -115,6 +117,15 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substr(number, F.lit(1), F.length(number) - 1), check)
 
 
+def _iban(number: Column) -> Column:
+    """The number with its two check digits set so that the remainder by 97 is 1; spaces stay."""
+    body, country = F.substr(number, F.lit(5), F.length(number)), F.substr(number, F.lit(1), F.lit(2))
+    letters = F.filter(F.split(F.concat(F.translate(body, " ", ""), country, F.lit("00")), ""), lambda c: c != "")
+    add = lambda n, c: F.pmod(F.when(c.between("0", "9"), n * 10 + F.ascii(c) - 48).otherwise(n * 100 + F.ascii(c) - 55), F.lit(97))
+    check = F.lpad((98 - F.aggregate(letters, F.lit(0), add)).cast("string"), 2, "0")
+    return F.concat(country, check, body)
+
+
 def _name(part: Column, kind: Column, h: Column) -> Column:
     """A name of the part's script; kind is first_m, first_f, first_u or last."""
     out = None
@@ -129,22 +140,19 @@ def _name(part: Column, kind: Column, h: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """One draw of a surrogate; drawn again with a higher attempt where it collides."""
-    return let(_hex(key, kind, F.lower(value), attempt.cast("string"), blocks=2), lambda h: _drawn(kind, value, key, attempt, h))
+def surrogate(kind: Column, value: Column, key: str, attempt: Column, host: Column) -> Column:
+    """One draw of a surrogate; drawn again with a higher attempt where it collides. ``host``: the surrogate of an address's domain."""
+    return let(_hex(key, kind, F.lower(value), attempt.cast("string"), blocks=2), lambda h: _drawn(kind, value, attempt, host, h))
 
 
-def _drawn(kind: Column, value: Column, key: str, attempt: Column, h: Column) -> Column:
+def _drawn(kind: Column, value: Column, attempt: Column, host: Column, h: Column) -> Column:
     hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     shaped = _shape(value, h, hexadecimal | (kind == "ip6"))
-    domain = F.substring_index(value, "@", -1)
+    more = lambda first, step: F.when(attempt >= first, F.translate(F.substr(h, F.lit(5), 1 + F.floor((attempt - first) / step).cast("int")), "0123456789", "ghijklmnop")).otherwise("")
+    # formats of free length grow a little after some collisions
+    user = F.concat(_shape(F.substring_index(value, "@", 1), h, F.lit(False)), more(8, 4))
     top = F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    # one domain has one surrogate, whichever user it belongs to
-    email = F.concat(
-        _shape(F.substring_index(value, "@", 1), h, F.lit(False)), F.lit("@"),
-        _shape(host, _hex(key, F.lit("host"), F.lower(domain), blocks=2), F.lit(False)), top,
-    )
+    domain = F.concat(_shape(F.substr(value, F.lit(1), F.length(value) - F.length(top)), h, F.lit(False)), more(8, 4), top)
     octet = lambda i, low, n: (F.pmod(_byte(h, i), F.lit(n)) + low).cast("string")
     ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 0, 256))
     first_digit = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(shaped, F.lit(2), F.length(value)))
@@ -153,9 +161,10 @@ def _drawn(kind: Column, value: Column, key: str, attempt: Column, h: Column) ->
     phone = F.concat(code, F.substr(shaped, F.length(code) + 1, F.length(value)))
     long = F.when(attempt >= 8, F.concat(shaped, F.substr(h, F.lit(1), F.lit(4)))).otherwise(shaped)
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _luhn(first_digit)).when(kind == "iban", country)
-        .when(kind == "phone", phone).when(kind.isin("ssn", "ip6"), shaped).when(kind == "secret", long)
-        .otherwise(F.concat(_name(value, kind, h), F.when(attempt >= 2, F.translate(F.substr(h, F.lit(5), 1 + F.floor(attempt / 4).cast("int")), "0123456789", "aeiouaeiou")).otherwise("")))
+        F.when(kind == "email", F.concat(user, F.lit("@"), host)).when(kind == "domain", domain).when(kind == "ip", ip)
+        .when(kind == "card", _luhn(first_digit)).when(kind == "iban", _iban(country)).when(kind == "phone", phone)
+        .when(kind.isin("ssn", "ip6"), shaped).when(kind == "secret", long)
+        .otherwise(F.concat(_name(value, kind, h), F.translate(more(2, 4), "ghijklmnop", "aeiouaeiou")))
     )
 
 
@@ -176,30 +185,34 @@ def units(match: Column) -> Column:
     ).otherwise(F.array(unit(kind, F.when(kind == "secret", secret).when(kind == "email", address).otherwise(match))))
 
 
+def _pool(kind: Column) -> Column:
+    """What surrogates are told apart within: first names of all genders together, else the kind."""
+    return F.when(kind.startswith("first"), F.lit("first")).otherwise(kind)
+
+
 def draw_surrogates(distinct: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): no surrogate twice in a kind, none equal to any original of it.
+    """(kind, value, surrogate) for distinct (kind, value[, host]): no surrogate twice in a pool of kinds, none equal to any original of it.
 
-    Spelling variants of one value that differ in case only are one entity when drawn, and two when they collide.
+    Spelling variants of one value that differ in case only are one entity when drawn, and two when they collide. An address is
+    drawn with ``host``, its domain's surrogate. An empty table gives an empty one.
     """
-    left = distinct.withColumn("attempt", F.lit(0))
-    done = None
+    if "host" not in distinct.columns:
+        distinct = distinct.withColumn("host", F.lit(None).cast("string"))
+    distinct = distinct.withColumn("pool", _pool(F.col("kind")))
+    left, done = distinct.withColumn("attempt", F.lit(0)), None
+    originals = distinct.select("pool", F.col("value").alias("surrogate"))
     for _ in range(ROUNDS):
-        drawn = materialize(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"))), "drawn")
-        taken = distinct.select("kind", F.col("value").alias("surrogate"))
-        if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate"))
+        drawn = materialize(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"), F.col("host"))), "drawn")
+        taken = originals if done is None else originals.unionByName(done.select("pool", "surrogate"))
         # the first of those that drew alike keeps it, unless it is an original or given away before
-        keeps = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).join(taken, ["kind", "surrogate"], "left_anti")
-        won = drawn.join(keeps, ["kind", "surrogate", "value"], "left_semi").select("kind", "value", "surrogate")
-        won = won if done is None else done.unionByName(won)
-        done = materialize(won, "surrogates")
-        lost = drawn.join(done.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
-        left = materialize(lost, "redraw")
+        keeps = drawn.groupBy("pool", "surrogate").agg(F.min(F.struct("value", "kind")).alias("x")).join(taken, ["pool", "surrogate"], "left_anti")
+        won = keeps.select("pool", F.col("x")["kind"].alias("kind"), F.col("x")["value"].alias("value"), "surrogate")
+        done = materialize(won if done is None else done.unionByName(won), "surrogates")
+        lost = drawn.join(done.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("attempt", F.col("attempt") + 1)
+        left = materialize(lost.drop("surrogate"), "redraw")
         if left.isEmpty():
-            return done
-    # a format with fewer members than entities: what is left keeps its shape and gets a tail that tells it apart
-    tail = F.concat(surrogate(F.col("kind"), F.col("value"), key, F.col("attempt")), F.lit("-"), F.substr(_hex(key, F.col("kind"), F.col("value")), F.lit(1), F.lit(24)))
-    return done.unionByName(left.select("kind", "value", tail.alias("surrogate")))
+            return done.select("kind", "value", "surrogate")
+    raise RuntimeError(f"a format has too few members for its entities: {[r['kind'] for r in left.select('kind').distinct().limit(20).collect()]}")
 
 
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -223,19 +236,41 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     seqs = materialize(held.select(F.col(found)["sig"].alias("sig"), F.col(found)["found"].alias("found")).groupBy("sig").agg(F.first("found").alias("found")), "sequences")
     spots = seqs.select("sig", F.posexplode("found").alias("pos", "match"))
     matches = materialize(spots.groupBy("match").agg(F.count(F.lit(1)).alias("n")).select("match", units(F.col("match")).alias("units")), "matches")
-    parts = matches.select("match", F.posexplode("units").alias("i", "u")).select("match", "i", "u.kind", "u.value")
-    made = draw_surrogates(materialize(parts.select("kind", "value").distinct(), "entities"), key)
-    title = F.regexp_extract(F.col("match"), rf"^((?:{_TITLES})\.? )", 1)
+    parts = matches.select("match", F.posexplode("units").alias("i", "u")).select("match", "i", "u.kind", "u.value", _pool(F.col("u.kind")).alias("pool"))
+    # a first name has the gender that all its titles agree on
+    man, woman = F.bool_or(F.col("kind") == "first_m"), F.bool_or(F.col("kind") == "first_f")
+    gender = F.when(man & ~woman, F.lit("first_m")).when(woman & ~man, F.lit("first_f")).otherwise(F.lit("first_u"))
+    host = F.when(F.col("pool") == "email", F.lower(F.substring_index("value", "@", -1)))
+    entities = parts.groupBy("pool", "value").agg(gender.alias("gender")).select("pool", "value", F.when(F.col("pool") == "first", F.col("gender")).otherwise(F.col("pool")).alias("kind"), host.alias("domain"))
+    entities = materialize(entities, "entities")
+    domains = entities.where("domain is not null").select(F.lit("domain").alias("kind"), F.col("domain").alias("value")).distinct()
+    domains = draw_surrogates(materialize(domains, "domains"), key).select(F.col("value").alias("domain"), F.col("surrogate").alias("host"))
+    made = draw_surrogates(materialize(entities.join(domains, "domain", "left").select("kind", "value", "host"), "hosted"), key)
+    made = made.select(_pool(F.col("kind")).alias("pool"), "value", "surrogate")
+    titled = rf"^((?:{_TITLES})\.? )"
+    title, name = F.regexp_extract(F.col("match"), titled, 1), F.regexp_replace(F.col("match"), titled, "")
     label = F.regexp_extract(F.col("match"), rf"^({_LABEL})", 1)
     lead = F.regexp_extract(F.col("match"), rf"^({_LEAD})", 1)
-    whole = parts.join(made, ["kind", "value"]).groupBy("match").agg(
+    whole = parts.join(made, ["pool", "value"]).groupBy("match").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]), " ").alias("s"),
-        F.max("kind").alias("kind"),
+        F.max("pool").alias("pool"), F.count(F.lit(1)).alias("parts"),
     )  # two parts at most
-    whole = materialize(whole.select("match", F.when(F.col("kind") == "secret", F.concat(label, "s")).when(F.col("kind") == "email", F.concat(lead, "s")).when(F.col("kind").startswith("first") | (F.col("kind") == "last"), F.concat(title, "s")).otherwise(F.col("s")).alias("s")), "replacements")
-    lists = spots.join(whole, "match").groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias(joined))
+    full = F.when(F.col("parts") == 2, F.struct(name.alias("old"), F.col("s").alias("new")))
+    before = F.when(F.col("pool") == "secret", label).when(F.col("pool") == "email", lead).when(F.col("pool").isin("first", "last"), title).otherwise("")
+    whole = materialize(whole.select("match", F.concat(before, "s").alias("s"), full.alias("full")), "replacements")
+    new_names = fresh("_names", taken)
+    lists = spots.join(whole, "match").groupBy("sig").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias(joined), F.collect_set("full").alias(new_names)
+    )
     held = held.withColumns({sig: F.col(found)["sig"], "entities": F.col(found)["n"]}).drop(found).join(lists.withColumnRenamed("sig", sig), sig)
+    # full names also go where they stand without a title; gaps hold no other entity
+    alone = lambda n: F.concat(F.lit(r"(?<!\p{L})"), n["old"], F.lit(r"(?!\p{L})"))
+    names = F.col(new_names)
+    renamed = lambda g: F.aggregate(names, g, lambda t, n: F.regexp_replace(t, alone(n), n["new"]))
+    again = lambda g: F.aggregate(names, F.lit(0), lambda k, n: k + F.regexp_count(g, alone(n)))
     gaps = F.split(F.col(text), PATTERN, -1)
-    new = F.array_join(F.zip_with(gaps, F.array_append(F.col(joined), F.lit("")), lambda g, s: F.concat(g, s)), "")
-    held = held.withColumn(text, new).drop(sig, joined)
+    with_names = F.size(names) > 0
+    repeats = F.when(with_names, F.aggregate(gaps, F.lit(0), lambda k, g: k + again(g))).otherwise(0)
+    new = F.array_join(F.zip_with(F.when(with_names, F.transform(gaps, renamed)).otherwise(gaps), F.array_append(F.col(joined), F.lit("")), lambda g, s: F.concat(g, s)), "")
+    held = held.withColumns({text: new, "entities": F.col("entities") + repeats}).drop(sig, joined, new_names)
     return plain.unionByName(held.select(plain.columns))

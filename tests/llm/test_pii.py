@@ -1,3 +1,4 @@
+import random
 import re
 
 from comboscan.llm import pii
@@ -61,3 +62,51 @@ def test_addresses_after_signs_and_secrets_of_letters(spark):
         assert a not in out[i]["text"] and out[i]["entities"] == 2
     for i, s in enumerate(secrets, len(texts)):
         assert s not in out[i]["text"] and out[i]["entities"] == 1
+
+
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_names_numbers_and_domains_stay_consistent(spark):
+    texts = [
+        "Mr John Smith came. Later John Smith agreed; Johnson and John Smithers did not.", "Dr Anna Petrova and Mrs Anna Petrova, then Anna Petrova.",
+        "pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819 now", "no entity: John Smith",
+    ]
+    texts += [f"write u{i}@ab.com or v{i}@{a}{b}.com" for i, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "abcdefghij")]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    m = re.fullmatch(r"Mr (\w+ \w+) came. Later (\w+ \w+) agreed; Johnson and John Smithers did not.", out[0]["text"])
+    assert m[1] == m[2] != "John Smith" and out[0]["entities"] == 2
+    m = re.fullmatch(r"Dr (\w+ \w+) and Mrs (\w+ \w+), then (\w+ \w+).", out[1]["text"])
+    assert m[1] == m[2] == m[3] and out[1]["entities"] == 3
+    m = re.fullmatch(r"pay ([A-Z0-9 ]+) or ([A-Z0-9]+) now", out[2]["text"])
+    assert iban_ok(m[1]) and iban_ok(m[2]) and m[1][:2] == "DE" and m[2][:2] == "GB" and len(m[1]) == 27
+    assert out[3]["text"] == texts[3]
+    domains = {}
+    for i in range(4, len(texts)):
+        old, new = re.findall(r"@(\S+)", texts[i]), re.findall(r"@(\S+)", out[i]["text"])
+        for a, b in zip(old, new, strict=True):
+            assert domains.setdefault(a, b) == b
+    assert len(set(domains.values())) == len(domains) == 100 and not set(domains) & set(domains.values())
+
+
+def test_long_runs_of_signs_do_not_break_the_matcher(spark):
+    runs = ["a@" + "b." * 500_000, "a." * 500_000 + "@", "1 " * 300_000, "AB12" * 250_000, "Mr " * 300_000, "token=" + "x" * 1_000_000, "1.2." * 200_000, "a@b" * 300_000]
+    rows = [(i, t, None, None) for i, t in enumerate(runs + ["a@" + "b." * 500_000 + "com"])]
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    assert len(out) == len(rows) and out[len(runs)]["entities"] == 1 and out[5]["entities"] == 1 and out[0]["text"] == runs[0]
+
+
+def test_texts_are_rebuilt_from_gaps_and_surrogates(spark):
+    """Every text against a rebuild by string replacement: what stands between entities stays, and an entity has one surrogate."""
+    rnd = random.Random(7)
+    pool = CASES + ["Mrs Anna Novak", "Mr Novak", "ghp_" + "a1B2" * 9, "bob@ab.com", "eve@mail.example.org"]
+    plain = ["word", "x", "3.14,", "\n", "Ünï", "--", "v1.2.3"]
+    texts = [f"<{p}>" for p in pool] + ["; ".join(rnd.choice(pool if rnd.random() < 0.3 else plain) for _ in range(rnd.choice([1, 5, 60]))) for _ in range(80)]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA), "k").collect()}
+    new = {p: out[i][1:-1] for i, p in enumerate(pool)}
+    assert len(set(new.values())) == len(pool) and not set(new.values()) & set(pool)
+    for i in range(len(pool), len(texts)):
+        assert out[i] == "; ".join(new.get(w, w) for w in texts[i].split("; "))
