@@ -1,9 +1,10 @@
 """Stupid-backoff scores from count tables of the whole corpus, computed relationally in packed columns.
 
 Documents are dealt into blocks. A block's distinct n-grams and counts, sorted by hash and cut into hash ranges, are the
-exploded side, one packed row for each (range, block); a range's rows are summed into its part of the count tables and the
-totals return to each block in the order they came, where they are joined to the block's n-grams and summed per document.
-An n-gram is sent once for each block that has it, however often it occurs, so frequent n-grams make no hot key.
+exploded side, one packed row for each (range, block) that has any; a range's rows are summed into its part of the count tables
+and the totals return to each block in the order they came, where they are joined to the block's n-grams and summed per document.
+An n-gram is sent once for each block that has it, however often it occurs, so frequent n-grams make no hot key. Ranges grow in number
+with the blocks, so a range's rows stay bounded; a corpus of very many blocks ends with rows of single n-grams.
 A document is scored against the counts of all the others: its own are taken off.
 """
 
@@ -17,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
 from .simhash import words
 
 ALPHA = 0.4
 #: Text bytes a block aims at; blocks and hash ranges grow in number with the corpus, neither grows in size.
 BLOCK_BYTES = 16_000_000
-RANGES = 1 << 16
+_WORD = r"[^\x20\x09-\x0D]+"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -103,21 +105,19 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLO
 
     S of a first word is c(w) / N, or 1 / (N + 1) if no other row has it; S of a later word w after v is c(vw) / c(v) if another row has
     vw, else alpha times the former. Words: A-Z lowered, cut at ASCII white space. c and N count all rows but the
-    scored one, copies included. Null and empty texts: 0 tokens, score 0. Repeated rows are rows of their own. An empty table gives no rows.
+    scored one, copies included. Null and empty texts: 0 tokens, score 0. Repeated rows are rows of their own; rows alike in
+    all carried columns and the text share a block. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     names = [f"_c{i}" for i in range(len(carry))]
     src = docs.select(*[F.col(c).cast("string").alias(n) for c, n in zip(carry, names)], F.col(text).alias("_text"))
-    size = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    bits = min(blocks, RANGES).bit_length()
-    # rows are dealt evenly: neither copies nor a repeated id can crowd a block
-    dealt = src.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    size, total = src.agg(F.sum(F.octet_length("_text")), F.sum(F.regexp_count("_text", F.lit(_WORD)))).first()
+    blocks, total = max(1, -(-(size or 0) // block_bytes)), total or 0
+    bits = min(blocks.bit_length(), 40)
+    # dealt by what a row holds: the two readings agree even where a lost task is run again, and copies under many ids are spread
+    dealt = src.withColumn("block", F.pmod(F.xxhash64(*names, "_text", F.lit(7)), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "block")
 
-    def cut(keys: np.ndarray) -> np.ndarray:
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.uint64)
-        return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
     def distinct(one, two, first):
         return [np.unique(x, return_counts=True) for x in (one, two[~first])]
 
@@ -125,25 +125,24 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLO
         lengths, one, two, first = block_grams(pdf["_text"].tolist())
         block, out = int(pdf["block"].iloc[0]), []
         for order, (keys, n) in enumerate(distinct(one, two, first)):
-            edge = cut(keys)
-            for r in range(1 << bits):
-                a, b = edge[r], edge[r + 1]
-                out.append((r, block, order, len(one), _squeeze(keys[a:b], r << (64 - bits)), _small(n[a:b])))
-        return pd.DataFrame(out, columns=["range", "block", "part", "size", "keys", "n"])
+            of = keys >> np.uint64(64 - bits)
+            starts = np.flatnonzero(np.diff(of, prepend=~of[:1])) if len(of) else []
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                r = int(of[a])
+                out.append((r, block, order, _squeeze(keys[a:b], r << (64 - bits)), _small(n[a:b])))
+        return pd.DataFrame(out, columns=["range", "block", "part", "keys", "n"])
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        total = int(pdf.drop_duplicates("block")["size"].sum())
-        for order, part in pdf.groupby("part"):
-            low = int(part["range"].iloc[0]) << (64 - bits)
-            keys = [_unsqueeze(k, low) for k in part["keys"]]
-            all_keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([_numbers(n) for n in part["n"]]), minlength=len(all_keys)).astype(np.int64)
-            at = 0
-            for block, k in zip(part["block"], keys):
-                out.append((block, part["range"].iloc[0], order, total, _small(counts[inverse[at : at + len(k)]])))
-                at += len(k)
-        return pd.DataFrame(out, columns=["block", "range", "part", "total", "n"])
+        low = int(pdf["range"].iloc[0]) << (64 - bits)
+        keys = [_unsqueeze(k, low) for k in pdf["keys"]]
+        all_keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([_numbers(n) for n in pdf["n"]]), minlength=len(all_keys)).astype(np.int64)
+        at = 0
+        for block, r, order, k in zip(pdf["block"], pdf["range"], pdf["part"], keys):
+            out.append((block, r, order, _small(counts[inverse[at : at + len(k)]])))
+            at += len(k)
+        return pd.DataFrame(out, columns=["block", "range", "part", "n"])
 
     def scored(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
@@ -152,11 +151,14 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLO
         totals = totals.sort_values(["part", "range"])
         tables = []
         for order, (keys, _) in enumerate(distinct(one, two, first)):
-            tables.append((keys, np.concatenate([_numbers(n) for n in totals.loc[totals["part"] == order, "n"]])))
-        s = score_block(lengths, one, two, first, tables, int(totals["total"].iloc[0]), alpha)
+            counts = [_numbers(n) for n in totals.loc[totals["part"] == order, "n"]]
+            tables.append((keys, np.concatenate([np.zeros(0, np.int64), *counts])))
+            if len(tables[-1][1]) != len(keys):
+                raise RuntimeError("a block's n-grams changed between its two readings")
+        s = score_block(lengths, one, two, first, tables, total, alpha)
         return pdf[names].assign(tokens=lengths, log_score=s)
 
-    up = dealt.groupBy("block").applyInPandas(counted, "range int, block int, part int, size long, keys binary, n binary")
-    down = up.groupBy("range").applyInPandas(summed, "block int, range int, part int, total long, n binary")
+    up = dealt.groupBy("block").applyInPandas(counted, "range long, block int, part int, keys binary, n binary")
+    down = up.groupBy("range", "part").applyInPandas(summed, "block int, range long, part int, n binary")
     out = dealt.groupBy("block").cogroup(down.groupBy("block")).applyInPandas(scored, ", ".join([f"{n} string" for n in names] + ["tokens long", "log_score double"]))
     return out.select(*[F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in zip(carry, names)], "tokens", "log_score")

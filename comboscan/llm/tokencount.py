@@ -11,6 +11,7 @@ import base64
 import math
 import sys
 import types
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 #: Nodes and terminals a worker keeps before it starts anew, which costs time and changes no count.
 NODES = 1_500_000
+#: Longer pre-tokens (bytes) are not put into the trie.
+LONG = 1000
 
 
 def zipf_scores(path: str) -> dict[bytes, float]:
@@ -37,7 +42,9 @@ class Trie(dict):
     def __init__(self, scores: dict[bytes, float]) -> None:
         if any(bytes([b]) not in scores for b in range(256)):
             raise ValueError("a vocabulary needs every single byte")
-        self.scores = scores
+        #: every end of a piece, and its score if it is a piece itself: reading backwards stops where nothing ends so
+        self.ends: dict[bytes, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
+        self.ends.update(scores)
         self.longest = max(map(len, scores))
         self.reset()
 
@@ -46,26 +53,38 @@ class Trie(dict):
         self.child: dict[int, int] = {}
         self.best: list[tuple[float, int]] = [(0.0, 0)]  # (forward score, minus tokens): of equal scores the fewer tokens win
 
+    def _score(self, raw: bytes, i: int, before) -> tuple[float, int]:
+        """The best way to cut raw[:i]; before[j - i] is that of raw[:j]."""
+        ends, top = self.ends, (-math.inf, 0)
+        for j in range(i - 1, max(0, i - self.longest) - 1, -1):
+            s = ends.get(raw[j:i], math.inf)
+            if s is None:
+                continue
+            if s == math.inf:
+                break
+            f = before[j - i]
+            c = (f[0] + s, f[1] - 1)
+            if c > top:
+                top = c
+        return top
+
     def __missing__(self, pre: str) -> int:
         raw = pre.encode("utf-8", "surrogatepass")
-        node, path = 0, [0]
-        child, best, get, longest = self.child, self.best, self.scores.get, self.longest
+        if len(raw) > LONG:  # scored in a sliding window, without nodes
+            window = deque([(0.0, 0)], maxlen=self.longest)
+            for i in range(1, len(raw) + 1):
+                window.append(self._score(raw, i, window))
+            return -window[-1][1]
+        node, path = 0, [(0.0, 0)]
+        child, best = self.child, self.best
         for i, byte in enumerate(raw, 1):
             nxt = child.get(node << 8 | byte)
             if nxt is None:
-                top = (-math.inf, 0)
-                for j in range(max(0, i - longest), i):
-                    s = get(raw[j:i])
-                    if s is not None:
-                        f = best[path[j]]
-                        c = (f[0] + s, f[1] - 1)
-                        if c > top:
-                            top = c
                 nxt = len(best)
-                best.append(top)
+                best.append(self._score(raw, i, path))
                 child[node << 8 | byte] = nxt
             node = nxt
-            path.append(node)
+            path.append(best[node])
         n = -best[node][1]
         if len(pre) <= 64:  # longer ones rarely come twice
             self[pre] = n
@@ -85,8 +104,10 @@ def _trie(path: str) -> Trie:
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Carried columns, pre_tokens and tokens (long) of each whole text; null and empty texts have 0 of both.
 
-    Repeated rows give repeated rows; an empty table gives none; other columns are not read.
+    Repeated rows give repeated rows; an empty table gives none; other columns are not read. A pre-token of any length takes memory for
+    its own bytes and one window of scores.
     """
+    ship_package(docs.sparkSession)
     find = regex.compile(pattern)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

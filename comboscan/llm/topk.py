@@ -15,7 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import materialize, ship_package
 
 #: Candidates and queries that one task holds at a time; the grid of blocks grows with the data, a block does not.
 BLOCK, QUERY_BLOCK, BATCH = 8192, 2048, 256
@@ -23,8 +24,8 @@ BLOCK, QUERY_BLOCK, BATCH = 8192, 2048, 256
 ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
 
 
-def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best candidates with another id, ties to the smaller id."""
+def nra(q_uids: np.ndarray, q: np.ndarray, uids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of each query's k best candidates but its own row (uid), ties to the smaller id."""
     n, d = x.shape
     wide = max(1, int(np.abs(x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0))) * max(1, d)
     if wide >= 2**63:
@@ -46,7 +47,7 @@ def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
 
     if not exact:
         for row in left:
-            resolve(row, np.flatnonzero(ids != q_ids[row]))
+            resolve(row, np.flatnonzero(uids != q_uids[row]))
         left = left[:0]
     for depth in depths:
         if not len(left):
@@ -59,7 +60,7 @@ def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
             rows = left[at : at + BATCH]
             sides = np.hstack([np.maximum(q[rows], 0), np.minimum(q[rows], 0)]).astype(float)
             most, least = sides @ upper.T, sides @ lower.T
-            own = ids[None, :] == q_ids[rows][:, None]
+            own = uids[None, :] == q_uids[rows][:, None]
             least[own] = -np.inf
             most[own] = -np.inf
             bar = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf)
@@ -87,28 +88,31 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: float)
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest integer inner products for each row where ``is_query(id)`` holds.
 
-    Candidates are all rows with another id and the same number of components; ties go to the smaller id. Queries and
+    Candidates are all rows but the query's own with the same number of components, rows that repeat its id among them; ties go to
+    the smaller id. Queries and
     candidates are dealt into blocks of bounded size, each pair of blocks is one task's work, and a query's k per block are
     merged. Repeated query rows are queries of their own. Fewer candidates give fewer ranks; an empty table gives no rows.
     """
-    ints = integer_vectors(vectors, id_col, vec_col, scale).withColumn("dim", F.size("v"))
+    ship_package(vectors.sparkSession)
+    # written, so that a row has one number for all its uses
+    ints = integer_vectors(vectors, id_col, vec_col, scale).withColumns({"dim": F.size("v"), "uid": F.monotonically_increasing_id()})
+    ints = materialize(ints, "vectors")
     size, asked = ints.agg(F.count(F.lit(1)), F.count_if(is_query(F.col("id")))).first()
     cells, rows = max(1, -(-size // block)), max(1, -(-asked // query_block))
-    uid = F.monotonically_increasing_id()
-    cands = ints.withColumn("c", uid % cells).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    queries = ints.where(is_query(F.col("id"))).withColumn("uid", uid).withColumn("r", F.col("uid") % rows)
+    cands = ints.withColumn("c", F.pmod(F.xxhash64("uid"), F.lit(cells))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    queries = ints.where(is_query(F.col("id"))).withColumn("r", F.pmod(F.xxhash64("uid"), F.lit(rows)))
     queries = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "uid": [], "vec_id": [], "score": []}, dtype="int64")
-        a, b, s = nra(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
+        a, b, s = nra(left["uid"].to_numpy(), np.stack(left["v"].to_numpy()), right["uid"].to_numpy(), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
         return pd.DataFrame({"query_id": left["id"].to_numpy()[a], "uid": left["uid"].to_numpy()[a], "vec_id": right["id"].to_numpy()[b], "score": s.astype("int64")})
 
     keys = ["dim", "c", "r"]
     schema = "query_id long, uid long, vec_id long, score long"
     found = queries.select("id", "uid", "v", F.col("dim"), F.col("c").cast("long"), F.col("r").cast("long")).groupBy(*keys).cogroup(
-        cands.select("id", "v", "dim", F.col("c").cast("long"), F.col("r").cast("long")).groupBy(*keys)
+        cands.select("id", "uid", "v", "dim", F.col("c").cast("long"), F.col("r").cast("long")).groupBy(*keys)
     ).applyInPandas(cell, schema)
     w = Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

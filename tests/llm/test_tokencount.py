@@ -44,3 +44,14 @@ def test_a_reset_trie_counts_the_same():
     assert nodes < 1 + sum(map(len, set(words)))  # shared prefixes are nodes once
     t.reset()
     assert [t[w] for w in words] == first and len(t.best) == nodes
+
+
+def test_long_pre_tokens_are_scored_without_nodes():
+    scores = tokencount.zipf_scores(VOCAB)
+    t, longest, rnd = tokencount.Trie(scores), max(map(len, scores)), random.Random(8)
+    for n in (tokencount.LONG, tokencount.LONG + 1, 3 * tokencount.LONG):
+        word = "".join(rnd.choice("abeinrst-=") for _ in range(n))
+        nodes = len(t.best)
+        assert t[word] == viterbi(word.encode(), scores, longest)
+        assert len(t.best) == nodes or n <= tokencount.LONG
+    assert t["=" * 100_000] == viterbi(b"=" * 100_000, scores, longest)
