@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, ship_package
 
 DIMS, ORDERS = 1 << 14, (1, 2, 3)
 #: Documented bound of the training sample: documents of one language.
 PER_LANG = 300
+#: Documented bound of the languages learnt: those of most rows, ties by name.
+LANGS = 200
 CENTROIDS = 3
 #: A text is rejected below this share of the similarity that the language's least typical training texts have.
 SLACK = 0.25
@@ -86,7 +88,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """(lang, text) of at most ``per_lang`` rows of each language, drawn by a hash of the text; labels but no texts are
     counted first, so one language with most rows costs no sort."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not sizes:
         return []
     share = F.lit(0.0)
@@ -146,6 +148,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null, empty and letterless texts: und, score 0, distance 1, rejected. Equal texts get equal rows. Input columns with the names of
     the results are replaced. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, distance double, rejected boolean")
