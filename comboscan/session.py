@@ -28,8 +28,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may go without; it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "comboscan-shared")
     return f"{base.rstrip('/')}/comboscan/{spark.sparkContext.applicationId}"
