@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import operator
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate, chain, repeat, takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,48 +77,41 @@ def pairs(names: list[str], ops: tuple[str, ...] = (">",), ordered: bool = True,
 
 
 def nice(value: float, down: bool) -> float:
-    """A neighbour among 1, 2, 5 and 10 times the power of ten below |value|; for negative values the least (down) or greatest (up)
-    in size of those that qualify."""
+    """A bound of the 1-2-5 ladder of value's decade. Positive values step down or up to the next rung; negative ones go to the
+    decade's lowest rung (down) or its top (up)."""
     if value == 0:
         return 0.0
-    m = 10.0 ** math.floor(math.log10(abs(value)))
-    steps = [m, 2 * m, 5 * m, 10 * m]
-    below, above = [s for s in steps if s <= abs(value)], [s for s in steps if s >= abs(value)]
-    if value > 0:
-        return max(below, default=0.0) if down else min(above, default=steps[-1])
-    return -(min(below, default=10 * m)) if down else -(max(above, default=0.0))
+    decade = 10.0 ** math.floor(math.log10(abs(value)))
+    if value < 0:
+        return -decade if down else -10 * decade
+    ladder = [decade * k for k in (1, 2, 5, 10)]
+    return ladder[max(bisect_right(ladder, value) - 1, 0) if down else min(bisect_left(ladder, value), 3)]
 
 
 def increment(low: float, high: float, operators: int, target: int = 10) -> float:
-    """The standard step that makes 5 to 15 conditions, nearest to ``target``; else the one nearest to the even step."""
-    if high <= low:
+    """The standard step whose whole steps across the span, once for each operator, come nearest to ``target`` among those that give
+    5 to 15; where none does, the step nearest to an even division. The smaller step wins ties."""
+    span = high - low
+    if span <= 0:
         return 0.0
-    best = None
-    for s in STEPS:
-        n = (math.floor((high - low) / s) + 1) * operators - operators
-        if 5 <= n <= 15 and (best is None or abs(n - target) < best[0]):
-            best = (abs(n - target), s)
-    if best:
-        return best[1]
-    even = (high - low) / ((target + operators) / operators)
-    return min(STEPS, key=lambda s: abs(s - even))
+    made = {step: operators * math.floor(span / step) for step in STEPS}
+    fit = [step for step, n in made.items() if 5 <= n <= 15]
+    even = span * operators / (target + operators)
+    return min(fit, key=lambda step: abs(made[step] - target)) if fit else min(STEPS, key=lambda step: abs(step - even))
 
 
 def grid(low: float, high: float, step: float, op: str) -> list[float]:
-    """Thresholds from low to high that the operator can tell apart from always and never."""
-    out, x = [], low
-    never = {">": lambda v: v >= high, "<": lambda v: v <= low, ">=": lambda v: v > high, "<=": lambda v: v < low}[op]
-    while step > 0 and x <= high + C.EPS:
-        if not never(x):
-            out.append(x)
-        x += step
-    return out
+    """Thresholds from low up by steps that the range's own end on the operator's side still meets."""
+    if step <= 0:
+        return []
+    end = high if op.startswith(">") else low
+    holds = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}[op]
+    return [x for x in takewhile(lambda x: x <= high + C.EPS, accumulate(chain([low], repeat(step)))) if holds(end, x)]
 
 
 def label(value: float) -> str:
-    """Two decimals without trailing zeros."""
-    t = f"{value:.2f}".rstrip("0").rstrip(".")
-    return "0" if t in ("-0", "") else t
+    """At most two decimals, at least one."""
+    return str(float(f"{value:.2f}"))
 
 
 def linear_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list[float]]:
@@ -134,14 +130,19 @@ def nearest_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> Dat
     return want.where(F.col("i") == F.round((F.col("n") - 1) * F.col("q"))).select("name", "q", F.col("v").alias("value"))
 
 
-def threshold_entries(df: DataFrame, operators: dict[str, tuple[str, ...]] | None = None, short_labels: bool = True) -> list[Entry]:
-    """Thresholds of each column from its 1st and 99th percentile; the first of equal names stays."""
+def threshold_entries(
+    df: DataFrame, operators: dict[str, tuple[str, ...]] | None = None, short_labels: bool = True, bounds: dict[str, tuple] | None = None
+) -> list[Entry]:
+    """Thresholds of each column from its 1st and 99th percentile; the first of equal names stays. ``bounds``: (min, max, step) of
+    a column, each "auto" or a number."""
     have = {k: v for k, v in (operators or OPERATORS).items() if k in df.columns}
     qs = linear_quantiles(df, sorted(have), [0.01, 0.99]) if have else {}
     out: dict[str, Entry] = {}
     for name, (a, b) in qs.items():
-        low, high = nice(a, True), nice(b, False)
-        step = increment(low, high, len(have[name]))
+        given = [None if x == "auto" else float(x) for x in (bounds or {}).get(name, ("auto",) * 3)]
+        low = nice(a, True) if given[0] is None else given[0]
+        high = nice(b, False) if given[1] is None else given[1]
+        step = increment(low, high, len(have[name])) if given[2] is None else given[2]
         for op in have[name]:
             for v in grid(low, high, step, op):
                 e = constant(name, op, v, label(v) if short_labels else None)

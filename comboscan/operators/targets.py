@@ -67,6 +67,8 @@ BRACKETS = {
     "highlow_sl_1x_atr_tp_rr_gt_1": Bracket("highlow", atr_multiple=1.0, min_rr=1.0),
     "highlow_or_atr_tightest_stop": Bracket("tightest", atr_multiple=2.0),
 }
+#: The distance column of the next-bar targets with a stop.
+STOPPED = {"next_bar_color_and_wicks": "wicks_diff_sma14", "wicks_kf": "kf_wicks_smooth"}
 ALIASES = {"atr_stop": "2x_atr_tp_atr_stop", "highlow_or_atr_tighest_stop": "highlow_or_atr_tightest_stop"}
 
 

@@ -37,16 +37,35 @@ class Config:
     sizing: Sizing = field(default_factory=Sizing)
     stop_column: str | None = None
     point_value: float | None = None
+    tick: float | None = None
+    subset_pruning: bool = False
+    auto_batch: bool = False
+    formulas_only: bool = False
 
     def run_key(self) -> dict:
         """What a resumed run must agree on; offsets, limits and reports may differ."""
-        free = ("out", "offset", "max_combos", "batch", "top", "force", "dry_run", "min_calmar")
+        free = ("out", "offset", "max_combos", "batch", "top", "force", "dry_run", "min_calmar", "subset_pruning", "auto_batch", "formulas_only")
         return {k: v for k, v in asdict(self).items() if k not in free}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="comboscan")
-    c = p.add_subparsers(dest="command", required=True).add_parser("comb", help="search AND-combinations of predicates")
+    commands = p.add_subparsers(dest="command", required=True)
+    r = commands.add_parser("results", help="the best stored combinations")
+    r.add_argument("--out", "--output-dir", required=True)
+    r.add_argument("--direction")
+    r.add_argument("--target")
+    r.add_argument("--min-samples", type=int, default=0)
+    r.add_argument("--min-win-rate", type=float)
+    r.add_argument("--max-drawdown", type=float, default=float("inf"))
+    r.add_argument("--limit", type=int, default=20)
+    b = commands.add_parser("backtest", help="trades of an entry expression, capped by period")
+    b.add_argument("--data", "--csv", required=True)
+    b.add_argument("--out", "--output-dir", required=True)
+    b.add_argument("--entry", required=True)
+    b.add_argument("--period", choices=["weekly", "monthly"], default="weekly")
+    b.add_argument("--stop-after-win", action="store_true")
+    c = commands.add_parser("comb", help="search AND-combinations of predicates")
     c.add_argument("--data", "--csv", required=True)
     c.add_argument("--out", "--output-dir", required=True)
     c.add_argument("--target", default="next_bar_up")
@@ -73,22 +92,55 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--risk-pct", type=float, default=1.0)
     c.add_argument("--sizing", choices=["fractional", "contracts"], default="fractional")
     c.add_argument("--stop-column")
-    c.add_argument("--cost-r", type=float)
+    c.add_argument("--cost-r", "--cost-per-trade-r", type=float)
+    c.add_argument("--commission", "--commission-per-trade-dollar", type=float, help="round trip, in dollars")
+    c.add_argument("--slippage", "--slippage-per-trade-dollar", type=float, help="round trip, in dollars")
+    c.add_argument("--cost", "--cost-per-trade-dollar", type=float, help="round trip, in place of commission and slippage")
+    c.add_argument("--dollars-per-r", type=float)
+    c.add_argument("--tick", "--tick-size", type=float)
+    c.add_argument("--margin", "--margin-per-contract-dollar", type=float)
+    c.add_argument("--point-value", type=float)
+    c.add_argument("--subset-pruning", action="store_true", help="skip deeper combinations of pairs with too few trades")
+    c.add_argument("--auto-batch", action="store_true", help="let windows grow and shrink with their time")
+    c.add_argument("--formulas-only", action="store_true", help="report names alone")
     c.add_argument("--min-contracts", type=int, default=1)
     c.add_argument("--max-contracts", type=int)
     return p
 
 
+def trade_cost(a: argparse.Namespace, known: dict[str, float] | None) -> float | None:
+    """Dollars of a round trip: given as a whole, or commission and slippage, each given or the asset's; None where nothing says."""
+    if a.cost is not None:
+        return a.cost
+    if known is None and a.commission is None and a.slippage is None:
+        return None
+    fees, slip = (2.0 * known["commission_per_side"], known["slippage_ticks"] * known["tick_value"]) if known else (0.0, 0.0)
+    return (fees if a.commission is None else a.commission) + (slip if a.slippage is None else a.slippage)
+
+
 def resolve(argv: list[str]) -> Config:
-    """Config of a command line; contracts sizing needs an asset and a stop distance, which ATR targets imply."""
+    """Config of a command line; contracts sizing needs an asset (or a point value) and a stop distance, which ATR targets imply.
+
+    Costs are taken from rewards: in R for fractional sizing (dollars over the dollars of one R), in dollars for contracts."""
     a = parser().parse_args(argv)
     known = asset(a.asset) if a.asset else None
-    stop = a.stop_column or STOP_COLUMNS.get(a.target)
-    if a.sizing == "contracts" and (known is None or stop is None):
-        raise ValueError("contracts sizing needs --asset and a stop column")
-    s = Sizing(a.sizing, a.capital, a.risk_pct, a.capital * a.risk_pct / 100, a.min_contracts, a.max_contracts, known["margin"] if known else None)
     target = {"atr_stop": "2x_atr_tp_atr_stop"}.get(a.target, a.target)
+    stop = a.stop_column or STOP_COLUMNS.get(a.target)
+    point = a.point_value if a.point_value is not None else known["point_value"] if known else None
+    if a.sizing == "contracts" and (point is None or stop is None):
+        raise ValueError("contracts sizing needs --asset or --point-value, and a stop column")
+    per_r = a.dollars_per_r or a.capital * a.risk_pct / 100
+    dollars = trade_cost(a, known)
+    if a.sizing == "contracts":
+        cost = dollars or 0.0
+    else:
+        cost = a.cost_r if a.cost_r is not None else dollars / per_r if dollars is not None and per_r > 0 else 0.0
+    margin = a.margin if a.margin is not None else known["margin"] if known else None
     return Config(
-        a.data, a.out, target, a.direction, a.depth, a.min_samples, a.max_drawdown, a.min_calmar, a.start, a.end, a.offset, a.max_combos, a.batch, a.stacking, a.feature_pairs, a.pair_limit,
-        tuple(a.require_any), a.rich, a.top, a.cost_r or 0.0, a.force, a.dry_run, s, stop, known["point_value"] if known else None,
+        data=a.data, out=a.out, target=target, direction=a.direction, depth=a.depth, min_samples=a.min_samples, max_drawdown=a.max_drawdown,
+        min_calmar=a.min_calmar, start=a.start, end=a.end, offset=a.offset, max_combos=a.max_combos, batch=a.batch, stacking=a.stacking,
+        feature_pairs=a.feature_pairs, pair_limit=a.pair_limit, require_any=tuple(a.require_any), rich=a.rich, top=a.top, cost_r=cost,
+        force=a.force, dry_run=a.dry_run, sizing=Sizing(a.sizing, a.capital, a.risk_pct, per_r, a.min_contracts, a.max_contracts, margin),
+        stop_column=stop, point_value=point, tick=a.tick if a.tick is not None else known["tick_size"] if known else None,
+        subset_pruning=a.subset_pruning, auto_batch=a.auto_batch, formulas_only=a.formulas_only,
     )

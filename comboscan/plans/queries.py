@@ -272,9 +272,9 @@ def core_stats(spark, sf):
     return r6(M.core_stats(flag_trades(spark, sf)).drop("label_hit_rate"), "win_rate", "expectancy")
 
 
-@query("drawdown_curve", BARS + CURVES + " SELECT combination, symbol, bar_idx, equity, peak, drawdown FROM curves WHERE combination = 'wide'")
+@query("drawdown_curve", BARS + CURVES + " SELECT combination, symbol, bar_idx, equity, peak, drawdown FROM curves")
 def drawdown_curve(spark, sf):
-    return M.with_curves(flag_trades(spark, sf).where("combination = 'wide'")).select("combination", "symbol", "bar_idx", "equity", "peak", "drawdown")
+    return M.with_curves(flag_trades(spark, sf)).select("combination", "symbol", "bar_idx", "equity", "peak", "drawdown")
 
 
 @query("streaks", BARS + CURVES + """, s AS (SELECT combination, symbol, streak, sgn, count(*) AS len FROM curves GROUP BY ALL)
@@ -322,11 +322,11 @@ def next_bar_targets(spark, sf):
 l AS (SELECT *, (entry - stop) * side AS risk, entry + side * ((entry - stop) * side) AS tp FROM s WHERE (entry - stop) * side > 1e-9),
 j AS (SELECT l.*, b.bar_idx AS j, CASE WHEN (b.open - stop) * side <= 0 THEN [(b.open - entry) * side / risk, 0.0] WHEN (b.open - tp) * side >= 0 THEN [(b.open - entry) * side / risk, 1.0]
   WHEN (CASE WHEN side = 1 THEN b.low ELSE b.high END - stop) * side <= 0 THEN [-1.0, 0.0] WHEN (CASE WHEN side = 1 THEN b.high ELSE b.low END - tp) * side >= 0 THEN [(tp - entry) * side / risk, 1.0] END AS t
-  FROM l JOIN bars b ON b.symbol = l.symbol AND b.bar_idx > l.entry_idx AND b.bar_idx <= l.entry_idx + 24)
+  FROM l JOIN bars b ON b.symbol = l.symbol AND b.bar_idx > l.entry_idx)
 SELECT symbol, entry_idx, side, round(arg_min(t, j)[1], 6) AS rr, arg_min(t, j)[2] = 1 AS hit, min(j) AS exit_idx FROM j WHERE t IS NOT NULL GROUP BY ALL""")
 def highlow_1r(spark, sf):
     b = materialize(by_type(spark, sf).withColumn("atr", F.lit(None).cast("double")), "bars")
-    return r6(T.resolve_join(T.levels(b, T.BRACKETS["highlow_1r"]), b, 24), "rr")
+    return r6(T.resolve(T.levels(b, T.BRACKETS["highlow_1r"]), b), "rr")
 
 
 @query("ema_rma_kalman", RBARS + """,

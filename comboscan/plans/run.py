@@ -5,7 +5,9 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from time import monotonic
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from comboscan.operators import features as FE
 from comboscan.operators import metrics as M
 from comboscan.operators import targets as T
 from comboscan.plans.config import Config
+from comboscan.plans.report import BatchTuner, format_report
 from comboscan.session import materialize, ship_package
 from comboscan.sources import bars as S
 from comboscan.sources import store as ST
@@ -34,7 +37,11 @@ class Prepared:
 def prepare(spark: SparkSession, bars: DataFrame, cfg: Config) -> Prepared:
     """Features on all history, then the target, the date range, and a pruned catalog."""
     df = FE.rich_features(bars) if cfg.rich else FE.builtin_features(bars)
-    if cfg.target in T.BRACKETS or cfg.target in T.ALIASES:
+    if cfg.rich and cfg.target in T.STOPPED:
+        df = T.next_bar_with_stop(materialize(df, "features"), T.STOPPED[cfg.target], cfg.target, cfg.tick)
+        if cfg.direction == "short":
+            df = df.withColumns({cfg.target: F.col(f"{cfg.target}_short"), f"rr_{cfg.target}": F.col("rr_short"), f"{cfg.target}_eligible": F.col("rr_short").isNotNull()})
+    elif cfg.target in T.BRACKETS or cfg.target in T.ALIASES:
         df = materialize(df if "atr" in df.columns else FE.with_recursive(df), "features")
         df = T.with_bracket(df, cfg.target, cfg.direction)
     elif cfg.target == "tribar_4h_2atr":
@@ -45,6 +52,11 @@ def prepare(spark: SparkSession, bars: DataFrame, cfg: Config) -> Prepared:
     df = materialize(S.date_filter(df, cfg.start, cfg.end, ts), "prepared")
     entries = K.rich_catalog(df, cfg.feature_pairs, cfg.pair_limit) if cfg.rich else K.builtin_catalog(df, cfg.feature_pairs)
     kept, why = K.prune(df, entries, cfg.target, f"rr_{cfg.target}", cfg.min_samples)
+    if cfg.rich:  # flags that never change, or that repeat an earlier one
+        flags = [e.name for e in kept if e.category == "boolean"]
+        alive = set(X.first_of_equal_masks(df, flags)) if flags else set()
+        why["equal_flags"] = len(flags) - len(alive)
+        kept = [e for e in kept if e.category != "boolean" or e.name in alive]
     return Prepared(df, kept, why, M.span_years(df, ts))
 
 
@@ -62,27 +74,40 @@ def run(spark: SparkSession, bars: DataFrame, cfg: Config, data_digest: str) ->
     rpc = M.risk_per_contract(C.num(cfg.stop_column), cfg.point_value) if cfg.sizing.mode == "contracts" else None
     net = M.net_reward(C.num(f"rr_{cfg.target}"), cfg.cost_r, cfg.sizing.mode, rpc)
     masked = materialize(masked.withColumn("_net", net), "masked")
-    arrays = X.collect_arrays(masked, [e.name for e in p.entries], cfg.target, "_net")
+    arrays = X.collect_arrays(masked, [e.name for e in p.entries], cfg.target, "_net", rpc)
     preds = [e.predicate for e in p.entries]
+    s = cfg.sizing
+    capital = X.Capital(s.risk_pct / 100.0, float(s.capital), p.years, s.mode == "contracts", s.min_contracts, s.max_contracts, s.margin)
+    dead = dead_pairs(arrays, cfg.min_samples) if cfg.subset_pruning and cfg.depth > 2 else None
+    tuner = BatchTuner(cfg.batch) if cfg.auto_batch else None
+    size = cfg.batch
     end = min(last, cfg.max_combos) if cfg.max_combos is not None else last
     at = store.offset() if cfg.offset is None else cfg.offset
     while at < end:
-        to = min(end, at + cfg.batch)
-        found = X.search(spark, arrays, preds, cfg.depth, at, to, cfg.stacking, cfg.min_samples, set(cfg.require_any)).where(F.col("max_drawdown") <= cfg.max_drawdown)
-        store.commit(result_rows(materialize(found, "found"), masked, cfg, p, data_digest), at, to)
-        at = to
+        to, began = min(end, at + size), monotonic()
+        found = X.search(spark, arrays, preds, cfg.depth, at, to, cfg.stacking, cfg.min_samples, set(cfg.require_any), dead, capital=capital)
+        store.commit(result_rows(found.where(F.col("max_drawdown") <= cfg.max_drawdown), cfg, data_digest), at, to)
+        at, size = to, tuner.record(monotonic() - began) if tuner else size
     return ST.top_results(store.results(), cfg.top, cfg.min_samples, cfg.max_drawdown, cfg.min_calmar)
 
 
-def result_rows(found: DataFrame, masked: DataFrame, cfg: Config, p: Prepared, digest: str) -> DataFrame:
-    """The stored columns; calmar from the capital path of each stored combination's trades."""
-    t = combination_trades(found.select("combination"), masked, cfg, [e.name for e in p.entries])
-    eq = M.equity(t, cfg.sizing, "rpc" if cfg.sizing.mode == "contracts" else None, p.years).select("combination", "calmar_ratio")
+def dead_pairs(arrays: X.Arrays, min_sample: int) -> set[tuple[int, int]]:
+    """Pairs of predicates with fewer common trades than ``min_sample``; of masks the driver already holds."""
+    flags = (arrays.flags & arrays.gate).astype(np.float32)
+    out: set[tuple[int, int]] = set()
+    for at in range(0, len(flags), 512):
+        few = flags[at : at + 512] @ flags.T < min_sample
+        out.update((int(i) + at, int(j)) for i, j in np.argwhere(few) if i + at < j)
+    return out
+
+
+def result_rows(found: DataFrame, cfg: Config, digest: str) -> DataFrame:
+    """The stored columns."""
     now = datetime.now(UTC).isoformat()
     win = 100.0 * F.col("profitable_bars") / F.col("total_bars")
-    return found.join(eq, "combination", "left").select(
+    return found.select(
         F.lit(digest).alias("csv_hash"), F.lit(cfg.direction).alias("direction"), F.lit(cfg.target).alias("target"), "combination", F.lit(now).alias("processed_at"),
-        F.col("combo_id").alias("resume_offset"), "depth", "total_bars", "profitable_bars", win.alias("win_rate"), "max_drawdown", F.coalesce("calmar_ratio", F.lit(0.0)).alias("calmar_ratio"),
+        F.col("combo_id").alias("resume_offset"), "depth", "total_bars", "profitable_bars", win.alias("win_rate"), "max_drawdown", "calmar_ratio",
     )
 
 
@@ -99,18 +124,37 @@ def combination_trades(combos: DataFrame, masked: DataFrame, cfg: Config, names:
 
 
 def report(top: DataFrame, masked: DataFrame, cfg: Config, p: Prepared) -> DataFrame:
-    """Full statistics of the top combinations, recomputed."""
-    t = combination_trades(top.select("combination"), masked, cfg, [e.name for e in p.entries])
-    return M.full_stats(t, p.years).withColumn("quality", M.sample_quality(F.col("total_bars")))
+    """Full statistics of the top combinations, recomputed; with a capital path also in dollars."""
+    t = materialize(combination_trades(top.select("combination"), masked, cfg, [e.name for e in p.entries]), "trades")
+    stats = M.full_stats(t, p.years).withColumn("quality", M.sample_quality(F.col("total_bars")))
+    path = M.equity(t, cfg.sizing, "rpc" if cfg.sizing.mode == "contracts" else None, p.years)
+    out = stats.join(path, ["combination", "symbol"], "left")
+    return out.withColumns({
+        "net_profit_dollar": F.col("final_capital") - F.lit(float(cfg.sizing.capital)), "max_drawdown_dollar": F.col("equity_max_dd"),
+        "expectancy_dollar": (F.col("final_capital") - F.lit(float(cfg.sizing.capital))) / F.col("total_bars"),
+    }).orderBy(F.desc("calmar_ratio"), "combination")
 
 
 def main(argv: list[str]) -> None:
-    from comboscan.plans.config import resolve
+    from comboscan.plans.config import parser, resolve
 
     logging.basicConfig(level=logging.INFO)
-    cfg = resolve(argv)
+    a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("comboscan").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    bars = S.read_bars(spark, cfg.data).withColumnRenamed("timestamp", "ts")
+    if a.command == "results":
+        rows = spark.read.parquet(f"{a.out.rstrip('/')}/results/*/*")
+        ST.top_results(rows, a.limit, a.min_samples, a.max_drawdown, None, a.direction, a.target, a.min_win_rate).show(a.limit, truncate=False)
+        return
+    bars = S.read_bars(spark, a.data).withColumnRenamed("timestamp", "ts")
+    if a.command == "backtest":
+        from comboscan.operators import backtest as B
+
+        plan = B.Plan(a.entry, period=a.period, stop_after_win=a.stop_after_win)
+        trades = materialize(B.backtest(bars, plan), "backtest")
+        trades.write.mode("overwrite").option("header", True).csv(f"{a.out.rstrip('/')}/backtest")
+        B.summary(trades).show(truncate=False)
+        return
+    cfg = resolve(argv)
     top = run(spark, bars, cfg, S.fingerprint(spark, cfg.data))
     if top is not None:
-        top.show(truncate=False)
+        print(format_report(top, cfg.formulas_only))

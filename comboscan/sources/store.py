@@ -54,20 +54,38 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _load(self) -> dict:
-        if not self._fs.exists(self._at("state.json")):
-            return {"data": None, "runs": {}}
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/state.json").collect()))
+        for version in sorted(self._versions(), reverse=True):
+            text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/state-{version:09d}.json").collect())
+            try:
+                return json.loads(text)
+            except ValueError:  # a file system without atomic renames may leave a part of one
+                continue
+        return {"data": None, "runs": {}}
+
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at(""))]
+        return [int(m[1]) for n in names if (m := re.fullmatch(r"state-(\d+)\.json", n))]
 
     def _save(self) -> None:
+        """A new version beside the old ones, of which two stay: at no moment is there none."""
+        old = sorted(self._versions())
         s = self._fs.create(self._at("state.tmp"), True)
         s.write(bytearray(json.dumps(self.state).encode()))
         s.close()
-        self._fs.delete(self._at("state.json"), False)
-        self._fs.rename(self._at("state.tmp"), self._at("state.json"))
+        self._fs.rename(self._at("state.tmp"), self._at(f"state-{(old[-1] if old else 0) + 1:09d}.json"))
+        for version in old[:-1]:
+            self._fs.delete(self._at(f"state-{version:09d}.json"), False)
 
     def offset(self) -> int:
         """Where the run goes on: the end of its windows that follow each other from the first."""
-        return max((b for _, b in self.state["runs"].get(self.run, [])), default=0)
+        at = 0
+        for a, b in sorted(self.state["runs"].get(self.run, [])):
+            if a > at:
+                break
+            at = max(at, b)
+        return at
 
     def commit(self, rows: DataFrame, start: int, end: int) -> None:
         rows.select([F.col(c).cast(t).alias(c) for c, t in RESULT_COLUMNS.items()]).write.mode("overwrite").option("compression", "zstd").parquet(

@@ -121,7 +121,7 @@ def test_thresholds():
     assert K.nice(-0.1, True) == pytest.approx(-0.1) and K.nice(1.7, False) == 2 and K.nice(0, True) == 0 and K.nice(37, True) == 20
     assert K.increment(-0.1, 2.0, 2) == 0.5
     assert K.grid(0, 1, 0.5, ">") == [0, 0.5] and K.grid(0, 1, 0.5, "<=") == [0, 0.5, 1]
-    assert [K.label(x) for x in (1.5, 2.0, -0.001, 0.25)] == ["1.5", "2", "0", "0.25"]
+    assert [K.label(x) for x in (1.5, 2.0, -0.001, 0.25)] == ["1.5", "2.0", "-0.0", "0.25"]
     assert len(K.pairs(["a", "b", "c"])) == 6 and len(K.pairs(["a", "b", "c"], ordered=False)) == 3
     assert [e.name for e in K.pairs(["x", "close", "y"], ordered=False, partners={})] == ["x>close", "close>y"]
     assert [p for p in itertools.combinations(range(3), 2) if X.structurally_sound(p, [X.Predicate("a>1", "a", ">"), X.Predicate("a>2", "a", ">"), X.Predicate("a<3", "a", "<")])] == [(0, 2), (1, 2)]
@@ -260,3 +260,72 @@ def test_scratch_tables_are_shared_and_dropped(spark):
     session.drop_scratch(spark)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_batches_are_the_walk_in_arrays():
+    for n, k in ((5, 3), (7, 2), (4, 4), (9, 3)):
+        whole = list(X.walk(0, X.total(n, k), n, k))
+        for a, b, size in ((0, len(whole), 7), (3, len(whole) - 1, 50), (len(whole) - 1, len(whole), 1), (2, 2, 5)):
+            got = [(int(r), tuple(c)) for ranks, cs in X.batches(a, b, n, k, size) for r, c in zip(ranks, cs.tolist())]
+            assert got == list(zip(range(a, b), whole[a:b]))
+
+
+@pytest.mark.parametrize("mode,stacking", [("fractional", True), ("contracts", True), ("contracts", False), ("fractional", False)])
+def test_statistics_of_batches_match_plain_loops(spark, mode, stacking):
+    rng = np.random.default_rng(11)
+    n, rows = 6, 130
+    r = rng.normal(size=rows)
+    r[rng.random(rows) < 0.1] = np.nan
+    a = X.Arrays(rng.random((n, rows)) < 0.5, (rng.random(rows) < 0.9) & np.isfinite(r), r, rng.random(rows) < 0.5, np.arange(rows) + rng.integers(0, 5, rows), rng.uniform(500, 900, rows))
+    sizing = M.Sizing(mode, 100_000.0, 1.0, 1000.0, 1, 3, 20_000.0)
+    cap = X.Capital(0.01, 100_000.0, 2.0, mode == "contracts", 1, 3, 20_000.0)
+    got = {x["combination"]: x for x in X.search(spark, a, [X.Predicate(f"p{i}") for i in range(n)], 3, stacking=stacking, min_sample=10, capital=cap).collect()}
+    trades, seen = [], 0
+    for c in X.walk(0, X.total(n, 3), n, 3):
+        hits = np.flatnonzero(a.flags[list(c)].all(axis=0))
+        name, mask = " && ".join(f"p{i}" for i in c), len(hits)
+        hits = hits[a.gate[hits]]
+        hits = hits if stacking else X.no_stacking(hits, a.exits)
+        if len(hits) < 10:
+            assert name not in got
+            continue
+        x, eq = got[name], np.cumsum(r[hits])
+        assert (x["mask_hits"], x["total_bars"], x["profitable_bars"], x["label_hits"]) == (mask, len(hits), (r[hits] > 0).sum(), a.label[hits].sum())
+        assert np.isclose(x["total_return"], eq[-1]) and np.isclose(x["max_drawdown"], (np.maximum(np.maximum.accumulate(eq), 0) - eq).max())
+        trades += [(name, "s", int(i), float(r[i]), float(a.rpc[i])) for i in hits]
+        seen += 1
+    assert seen == len(got) > 20
+    path = M.equity(spark.createDataFrame(trades, "combination string, symbol string, bar_idx long, rr double, rpc double"), sizing, "rpc" if mode == "contracts" else None, 2.0)
+    for x in path.collect():
+        assert np.isclose(x["calmar_ratio"], got[x["combination"]]["calmar_ratio"])
+
+
+def test_costs_and_bounds_of_the_command_line():
+    base = ["comb", "--data", "d", "--out", "o"]
+    assert resolve([*base, "--asset", "es"]).cost_r == pytest.approx(4.5 / 1000)
+    assert resolve([*base, "--asset", "ES", "--commission", "10", "--slippage", "5"]).cost_r == pytest.approx(15 / 1000)
+    assert resolve([*base, "--cost", "7", "--dollars-per-r", "70"]).cost_r == pytest.approx(0.1) and resolve(base).cost_r == 0
+    c = resolve([*base, "--asset", "MES", "--sizing", "contracts", "--target", "atr_stop"])
+    assert c.cost_r == pytest.approx(1.14) and c.tick == 0.25 and c.sizing.margin == 2500
+    with pytest.raises(ValueError):
+        resolve([*base, "--sizing", "contracts"])
+
+
+def test_state_survives_a_lost_write_and_gaps_are_not_skipped(spark, tmp_path):
+    s = ST.Store(spark, f"{tmp_path}/s", "d", "r" * 20)
+    for a, b in ((0, 10), (20, 30), (10, 15)):
+        s.state["runs"].setdefault(s.run, []).append([a, b])
+        s._save()
+    assert s.offset() == 15
+    newest = max((tmp_path / "s").glob("state-*.json"))
+    newest.write_text('{"data": "d", "ru')  # cut short
+    for crc in (tmp_path / "s").glob(".*.crc"):
+        crc.unlink()
+    again = ST.Store(spark, f"{tmp_path}/s", "d", "r" * 20)
+    assert again.offset() == 10 and again.state["data"] == "d"
+
+
+def test_a_search_takes_one_symbol(spark):
+    df = spark.createDataFrame([("a", 0, True, 1.0), ("b", 0, True, 1.0)], "symbol string, bar_idx long, f boolean, rr_f double")
+    with pytest.raises(ValueError):
+        X.collect_arrays(df, ["f"], "f")
