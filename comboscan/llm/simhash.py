@@ -269,15 +269,23 @@ def _open_buckets(buckets: DataFrame, links: DataFrame, texts: DataFrame, sketch
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     sketched = _tiled(members, tile).join(sketches, "node").select("key", "node", "root", "chunk", "lo", "hi", "sketch")
+    # little data but much work: one partition for all of it would be one task
+    spread = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = sketched.repartition(spread, "key", "lo", "hi")
     live = materialize(sketched.groupBy("key", "lo", "hi").applyInPandas(sift, "key long, node long"), "live")
-    full = _tiled(members.join(live.distinct(), ["key", "node"]), tile).join(texts, "node").select("key", "node", "root", "chunk", "lo", "hi", "_text")
-    return full.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    # written, so that its size is known: a small table of tiles goes to the texts, not they to it
+    tiles = materialize(_tiled(members.join(live.distinct(), ["key", "node"]), tile), "tiles")
+    full = tiles.join(texts, "node").select("key", "node", "root", "chunk", "lo", "hi", "_text")
+    return full.repartition(spread, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """(node, key, _text): distinct texts, numbered as they are written; null counts as empty."""
+    """(node, key, _text): distinct texts, numbered as they are written; null counts as empty. Only texts that occur more than
+    once are shuffled while the table of their keys is small."""
     every = docs.select(_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    distinct = every.groupBy("key").agg(F.first("_text").alias("_text"))
+    again = materialize(every.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    copies = every.join(again, "key", "left_semi").groupBy("key").agg(F.first("_text").alias("_text"))
+    distinct = every.join(again, "key", "left_anti").unionByName(copies)
     return materialize(distinct.select(F.monotonically_increasing_id().alias("node"), "key", "_text"), "texts")
 
 
@@ -305,7 +313,7 @@ def similar_links(numbered: DataFrame, words_each: int = 5, tenths: int = 8, til
         links = links.join(sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}")), end)
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     links = materialize(links.where(apart <= APART).select("a", "b"), "candidates")
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
     # only texts that are in a candidate pair are moved; a member with a near sketch in its bucket may be in none
     texts = numbered.select("node", "_text")
     met = materialize(texts.join(ends, "node", "left_semi"), "met")
@@ -330,7 +338,7 @@ def deduplicate(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str
     in id and text are one document. An empty table gives no rows. Very long texts are compared whole.
     """
     ship_package(docs.sparkSession)
-    key, same = fresh("_key", docs.columns), fresh("_same", docs.columns)
+    key = fresh("_key", docs.columns)
     ids = docs.select(_key(text).alias("key"), F.col(doc_id).alias("id"))
     copies = materialize(ids.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")), "copies")
     numbered = _numbered(docs, text)
@@ -340,11 +348,13 @@ def deduplicate(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str
     linked = numbered.select("node", "key").join(roots, "node").join(least, "key")
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("best"))
     gone = materialize(linked.join(best, "root").where(F.col("key") != F.col("best")["key"]).select("key"), "gone")
-    kept = least.join(gone, "key", "left_anti").join(copies.withColumnRenamed("id", "cid"), "key").where(F.col("id").eqNullSafe(F.col("cid")))
-    kept = materialize(kept.select(F.col("key").alias(f"{key}k"), F.col("id").alias(f"{key}id"), F.col("n").alias(same)), "kept")
+    # rows to drop, and rows that come more than once: while these tables are small no text is shuffled
+    names = [F.col("key").alias(f"{key}k"), F.col("id").alias(f"{key}id")]
+    other = copies.join(least.withColumnRenamed("id", "own"), "key").where(~F.col("id").eqNullSafe(F.col("own"))).select("key", "id")
+    drop = materialize(copies.join(gone, "key", "left_semi").select("key", "id").unionByName(other).distinct().select(*names), "dropped")
+    many = materialize(copies.where("n > 1").select(*names), "again")
     marked = docs.withColumn(key, _key(text))
-    out = marked.join(kept, (F.col(key) == F.col(f"{key}k")) & F.col(doc_id).eqNullSafe(F.col(f"{key}id"))).drop(f"{key}k", f"{key}id")
-    # only rows that come more than once need to be told apart
-    once = out.where(F.col(same) == 1)
-    again = out.where(F.col(same) > 1).dropDuplicates([key])
-    return once.unionByName(again).drop(key, same)
+    mine = (F.col(key) == F.col(f"{key}k")) & F.col(doc_id).eqNullSafe(F.col(f"{key}id"))
+    out = marked.join(drop, mine, "left_anti")
+    again = out.join(many, mine, "left_semi").dropDuplicates([key])
+    return out.join(many, mine, "left_anti").unionByName(again).drop(key)
