@@ -40,7 +40,7 @@ WORN = 0.3
 #: Rounds of training; each takes anew which sentences of toxic documents are positive.
 ROUNDS = 5
 #: Words a worker remembers in each of two generations; more costs time and changes no score.
-KEEP = 400_000
+KEEP = 600_000
 _EDGE = re.compile(r"[^\w]+|_+")
 _END = re.compile(r"[.!?][^\w]*$")
 
@@ -77,10 +77,11 @@ def spelled(tokens: list[str], single: np.ndarray) -> list[tuple[int, str]]:
 
 
 def _codes(words: list[str], pad: int) -> np.ndarray:
-    width = max(map(len, words), default=1)
-    out = np.full((len(words), width), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<i4")
+    """Code points, a word a row; words have no NUL, which fills the rows and becomes ``pad``."""
+    if not words:
+        return np.zeros((0, 0), np.int32)
+    out = np.array(words, dtype=f"<U{max(1, *map(len, words))}").view("<i4").reshape(len(words), -1)
+    out[out == 0] = pad
     return out
 
 
