@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comboscan.session import materialize, ship_package
+from comboscan.session import materialize, scratch, ship_package
+
+#: Rows of 64 numbers' bits up to which they go to the rows sought, not these to them (about 40 bytes a row; 128,000,000 numbers in sequence).
+BITS_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def among(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number (long, not null) is in the one column of ``wanted``, repeats allowed there.
+
+    The wanted numbers travel as bits, 64 in a row, so that wide rows are read where they lie and not shuffled; beyond
+    ``BITS_ROWS`` Spark chooses the join.
+    """
+    word, bits = fresh("_word", rows.columns), fresh("_bits", rows.columns)
+    n = F.col(wanted.columns[0])
+    one = wanted.select(F.shiftright(n, 6).alias(word), n.bitwiseAND(F.lit(63)).cast("int").alias("at"))
+    packed = materialize(one.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias(bits)), "bits")
+    if packed.count() <= BITS_ROWS:
+        packed = F.broadcast(packed)
+    mine = F.col(number)
+    has = F.getbit(F.col(bits), mine.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.join(packed, (F.shiftright(mine, 6) == F.col(word)) & has, "left_semi")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node in an edge, root the smallest node reachable.
 
@@ -56,4 +76,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["connected_components", "fold", "fresh", "let", "materialize", "ship_package", "table"]
+__all__ = ["among", "connected_components", "fold", "fresh", "let", "materialize", "scratch", "ship_package", "table"]

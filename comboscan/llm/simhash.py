@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialize, ship_package
+from .common import among, connected_components, fresh, materialize, scratch, ship_package
 
 SEED = 42
 #: Bits in which linked fingerprints may differ; one-bit changes on either side reach exactly these.
@@ -273,20 +273,17 @@ def _open_buckets(buckets: DataFrame, links: DataFrame, texts: DataFrame, sketch
     spread = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = sketched.repartition(spread, "key", "lo", "hi")
     live = materialize(sketched.groupBy("key", "lo", "hi").applyInPandas(sift, "key long, node long"), "live")
-    # written, so that its size is known: a small table of tiles goes to the texts, not they to it
+    # written, as it is read for the texts to move and for where they go
     tiles = materialize(_tiled(members.join(live.distinct(), ["key", "node"]), tile), "tiles")
-    full = tiles.join(texts, "node").select("key", "node", "root", "chunk", "lo", "hi", "_text")
+    full = tiles.join(among(texts, "node", tiles.select("node")), "node").select("key", "node", "root", "chunk", "lo", "hi", "_text")
     return full.repartition(spread, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """(node, key, _text): distinct texts, numbered as they are written; null counts as empty. Only texts that occur more than
-    once are shuffled while the table of their keys is small."""
-    every = docs.select(_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    again = materialize(every.groupBy("key").count().where("count > 1").select("key"), "repeated")
-    copies = every.join(again, "key", "left_semi").groupBy("key").agg(F.first("_text").alias("_text"))
-    distinct = every.join(again, "key", "left_anti").unionByName(copies)
-    return materialize(distinct.select(F.monotonically_increasing_id().alias("node"), "key", "_text"), "texts")
+    """(node, key, _text): distinct texts, one row of each, numbered as the rows are written; null counts as empty. No text is shuffled."""
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), _key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = materialize(rows, "texts")
+    return among(rows, "node", rows.groupBy("key").agg(F.min("node").alias("node")).select("node"))
 
 
 def similar_links(numbered: DataFrame, words_each: int = 5, tenths: int = 8, tile: int = TILE) -> DataFrame:
@@ -316,7 +313,7 @@ def similar_links(numbered: DataFrame, words_each: int = 5, tenths: int = 8, til
     ends = materialize(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
     # only texts that are in a candidate pair are moved; a member with a near sketch in its bucket may be in none
     texts = numbered.select("node", "_text")
-    met = materialize(texts.join(ends, "node", "left_semi"), "met")
+    met = materialize(among(texts, "node", ends), "met")
     good = materialize(_verified(links, met, words_each, tenths), "verified")
     return good.unionByName(_open_buckets(buckets, good, texts, sketches, words_each, tenths, tile)).distinct()
 
@@ -337,24 +334,22 @@ def deduplicate(docs: DataFrame, words_each: int = 5, tenths: int = 8, text: str
     Equal texts form one group, null and empty texts among them; groups grow over verified similar pairs. Rows that are equal
     in id and text are one document. An empty table gives no rows. Very long texts are compared whole.
     """
-    ship_package(docs.sparkSession)
-    key = fresh("_key", docs.columns)
-    ids = docs.select(_key(text).alias("key"), F.col(doc_id).alias("id"))
-    copies = materialize(ids.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")), "copies")
-    numbered = _numbered(docs, text)
-    roots = materialize(connected_components(similar_links(numbered, words_each, tenths), "a", "b"), "roots")
-    least = copies.groupBy("key").agg(F.min("id").alias("id"))
-    # linked texts choose one of each group; the others go but for it
-    linked = numbered.select("node", "key").join(roots, "node").join(least, "key")
-    best = linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("best"))
-    gone = materialize(linked.join(best, "root").where(F.col("key") != F.col("best")["key"]).select("key"), "gone")
-    # rows to drop, and rows that come more than once: while these tables are small no text is shuffled
-    names = [F.col("key").alias(f"{key}k"), F.col("id").alias(f"{key}id")]
-    other = copies.join(least.withColumnRenamed("id", "own"), "key").where(~F.col("id").eqNullSafe(F.col("own"))).select("key", "id")
-    drop = materialize(copies.join(gone, "key", "left_semi").select("key", "id").unionByName(other).distinct().select(*names), "dropped")
-    many = materialize(copies.where("n > 1").select(*names), "again")
-    marked = docs.withColumn(key, _key(text))
-    mine = (F.col(key) == F.col(f"{key}k")) & F.col(doc_id).eqNullSafe(F.col(f"{key}id"))
-    out = marked.join(drop, mine, "left_anti")
-    again = out.join(many, mine, "left_semi").dropDuplicates([key])
-    return out.join(many, mine, "left_anti").unionByName(again).drop(key)
+    spark = docs.sparkSession
+    ship_package(spark)
+    row, key = fresh("_row", docs.columns), fresh("_key", docs.columns)
+    void = [c for c, kind in docs.dtypes if kind == "void"]  # a Parquet table can't hold those
+    rows = materialize(docs.withColumns({row: F.monotonically_increasing_id(), key: _key(text), **{c: F.lit(None).cast("string") for c in void}}), "rows")
+    with scratch(spark) as made:
+        ids = rows.select(F.col(key).alias("key"), F.col(doc_id).alias("id"), F.col(row).alias("node"))
+        # a text's row is its first one of the smallest id; from here on a text is that row's number
+        first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("first")
+        nodes = materialize(ids.groupBy("key").agg(first).select("key", "first.no", "first.id", "first.node"), "nodes")
+        numbered = among(rows.select(F.col(row).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "node", nodes.select("node"))
+        roots = materialize(connected_components(similar_links(numbered, words_each, tenths), "a", "b"), "roots")
+        # linked texts choose one of each group; the others go but for it
+        linked = nodes.join(roots, "node")
+        best = linked.groupBy("root").agg(F.min(F.struct("no", "id", "key", "node")).alias("best"))
+        gone = materialize(linked.join(best, "root").where(F.col("node") != F.col("best")["node"]).select("node"), "gone")
+        out = among(rows, row, nodes.select("node").join(gone, "node", "left_anti"))
+        made.pop()  # the bits of the rows that stay
+    return out.withColumns({c: F.lit(None) for c in void}).drop(row, key)

@@ -6,11 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Paths of the tables written in each open ``scratch`` block, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -41,11 +45,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a written table in the shared folder; the reread plan knows its real size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables that ``materialize`` writes inside the block at its end; those taken off the list it gives stay."""
+    _OPEN.append(made := [])
+    try:
+        yield made
+    finally:
+        _OPEN.pop()
+        for path in made:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Removes this application's scratch tables; no result that still reads them may be in use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, shared_dir(spark))

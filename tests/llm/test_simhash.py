@@ -163,3 +163,38 @@ def test_large_buckets_keep_all_true_groups(spark):
         print("groups", len({root(up, x) for x in nodes}), "true", len({root(want, x) for x in nodes}))
         assert len({root(up, x) for x in nodes}) == len({root(want, x) for x in nodes})
         up = {n: n for n in key}
+
+
+def test_wanted_rows_are_found_by_bits(spark, monkeypatch):
+    from comboscan.llm import common
+
+    n = [0, 1, 63, 64, 65, 4000, (1 << 33) + 7, (1 << 40) + 63]
+    rows = spark.createDataFrame([(x, f"t{x}", x) for x in n], "n long, _word string, bits long")
+    for bound in (common.BITS_ROWS, 0):
+        monkeypatch.setattr(common, "BITS_ROWS", bound)
+        for some in ([], [63], [0, 64, 64, (1 << 33) + 7, 5], [*n, 2]):
+            got = common.among(rows, "n", spark.createDataFrame([(x,) for x in some], "n long")).collect()
+            assert sorted(map(tuple, got)) == [(x, f"t{x}", x) for x in n if x in some]
+
+
+def test_dedup_moves_no_kept_row_and_leaves_no_other_table(spark):
+    from pathlib import Path
+
+    from comboscan.session import shared_dir
+
+    rows = [(i, f"text number {i // 2} of many", None, i) for i in range(400)] + [(None, "alone", None, 1), (None, None, None, 2), (7, "text number 3 of many", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, none void, n long")
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("*"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        out = simhash.deduplicate(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(p.name.split("-")[0] for p in set(shared.glob("*")) - before) == ["bits", "rows"]
+    assert out.dtypes == docs.dtypes
+    want = [(2 * i, f"text number {i} of many", None, 2 * i) for i in range(200)]
+    assert sorted(map(tuple, out.where("doc_id is not null").collect())) == want
+    assert sorted(out.where("doc_id is null").select("n").collect()) == [(1,), (2,)]
