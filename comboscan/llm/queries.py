@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, packing, pii, sharding, simhash, tokencount, topk, toxicity
+from . import align, collocations, decontam, langid, lm, packing, pieces, pii, sharding, simhash, tokencount, topk, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(toxicity.sample(docs.where(fold(F.col("doc_id"), 4) != 2), labels))
     out = toxicity.predict(docs, model)
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    digest = lambda c: F.sha2(c, 256)
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest(F.col("decoded").cast("binary")).alias("decoded_sha256"),
+        digest("begins").alias("begins_sha256"), digest("ends").alias("ends_sha256"),
+    )
+
+
+@query("op11_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]+')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, m AS m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+tot AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, tot.n,
+    ((1000::HUGEINT * k.a * tot.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k.k + 1:], ' ') JOIN tot ON tot.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, a, unnest(flatten(list_transform(range(1, m), lambda i:
+  list_transform(list_filter(range(i + 1, m + 1), lambda j: j - i + 1 < m), lambda j: array_to_string(ws[i:j], ' '))))) AS phrase FROM c WHERE m > 2),
+z AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.lang = b.lang AND u.phrase = b.phrase AND 100 * u.a >= 100 * b.a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z)
+SELECT * FROM o WHERE rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), max_n=5, at_least=100, cover=100, top=2000)
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups="sha256")
+    return out.withColumnRenamed("groups", "groups_sha256")
