@@ -138,6 +138,12 @@ def count_phrases(docs: DataFrame, max_n: int, at_least: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def score(a: str, n: str, left: str, right: str) -> Column:
+    """floor(1000 * a * n / (l * r)) of counts, exact: products are decimals of 38 digits and the division is that of whole numbers."""
+    whole = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
+    return F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * ({whole(a)} * {whole(n)})) div ({whole(left)} * {whole(right)})")
+
+
 def mine(docs: DataFrame, max_n: int = 5, at_least: int = 100, cover: int = 100, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to ``max_n`` words.
 
@@ -160,9 +166,7 @@ def mine(docs: DataFrame, max_n: int = 5, at_least: int = 100, cover: int = 100,
     cuts = cuts.select("lang", "phrase", "n", F.col("f").alias("a"), "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("n") - F.col("k")).alias("right"))
     of = lambda side, name: counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
     cuts = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).join(totals, "lang")
-    whole = lambda c: F.col(c).cast("decimal(19,0)")
-    cuts = cuts.withColumn("num", whole("a") * whole("total") * F.lit(1000).cast("decimal(4,0)")).withColumn("den", whole("l") * whole("r"))
-    cuts = cuts.withColumn("score", F.expr("num div den"))
+    cuts = cuts.withColumn("score", score("a", "total", "l", "r"))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "total", "n")).alias("c")).select("lang", "phrase", "c.*")
     longer = candidates.where("n > 2").withColumn("words", words)
     longer = longer.select("lang", F.col("f").alias("more"), F.explode(F.array(part(F.lit(1), F.col("n") - 1), part(F.lit(2), F.col("n") - 1))).alias("phrase"))

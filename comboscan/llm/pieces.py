@@ -12,6 +12,7 @@ import heapq
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import fresh, ship_package
 
 SPACE = "▁"
-#: Chunks, and their characters, whose ids a worker remembers before it starts anew.
-KNOWN, KNOWN_CHARS = 200_000, 4_000_000
+#: Chunks, and their characters, in each of a worker's two memories of ids: when the younger is full the older is forgotten.
+KNOWN, KNOWN_CHARS = 350_000, 6_000_000
 #: Letters up to which the next merge is found by a look at all neighbours, not by a heap.
 SHORT = 40
 #: Bytes of text that are encoded at a time, a longer text alone.
@@ -184,7 +185,12 @@ class Pieces:
         self.user_split = re.compile(f"({user})") if user else None
         #: surface bytes of each id for decoding; controls have none
         self.surface = [b"" if k == CONTROL else bytes([int(n[3:5], 16)]) if k == BYTE else spec.unk_surface.encode() if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(names, kinds)]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.size = np.array([len(n.encode()) for n in names], np.int64)
+        self.is_byte = np.array([k == BYTE for k in kinds])
+        self.byte_value = np.array([int(n[3:5], 16) if k == BYTE else 0 for n, k in zip(names, kinds)])
+        self.pairs = set() if self.user else {a + b for n in self.score for a, b in zip(n, n[1:])}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def merge(self, chunk: str) -> list[str]:
@@ -235,55 +241,74 @@ class Pieces:
 
     def _merge_short(self, part: list[str]) -> list[str]:
         """The same merges, the best found by looking at every neighbour: faster for a word's few letters."""
-        score, none = self.score.get, -np.inf
+        score, none = self.score.get, float("-inf")
         near = [score(a + b, none) for a, b in zip(part, part[1:])]
-        while near and (best := max(near)) > none:
+        near.append(none)
+        while (best := max(near)) > none:
             i = near.index(best)
-            part[i : i + 2] = [part[i] + part[i + 1]]
+            word = part[i] = part[i] + part.pop(i + 1)
             del near[i]
-            if i < len(near):
-                near[i] = score(part[i] + part[i + 1], none)
+            if i + 1 < len(part):
+                near[i] = score(word + part[i + 1], none)
             if i:
-                near[i - 1] = score(part[i - 1] + part[i], none)
+                near[i - 1] = score(part[i - 1] + word, none)
         return part
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """(ids, bytes of each piece) of a chunk, as packed arrays; of a letter's byte pieces the last counts all its bytes."""
-        ids, sizes = [], []
-        for p in self.merge(chunk):
-            raw = p.encode()
-            if p in self.id:
-                ids.append(self.id[p])
-                sizes.append(len(raw))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                ids.append(self.unk)
-                sizes.append(len(raw))
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk, packed; a letter of no piece is its bytes, or the unknown piece. Two letters that stand together in no
+        piece are never merged, so a word and the marks about it are looked up apart."""
+        if self.pairs and not chunk[1:].isalpha():
+            cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
+            if cuts:
+                return b"".join([self._remembered(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)])])
+        parts = self.merge(chunk)
+        try:
+            return array("I", [self.id[p] for p in parts]).tobytes()
+        except KeyError:
+            ids: list[int] = []
+            for p in parts:
+                ids += [self.id[p]] if p in self.id else [self.bytes[b] for b in p.encode()] if self.bytes else [self.unk]
+            return array("I", ids).tobytes()
+
+    def _remembered(self, chunk: str) -> bytes:
+        """Ids of a chunk that the younger memory lacks, from the older one or anew; a full younger memory becomes the older one."""
+        got = self.known.get(chunk) or self.older.get(chunk) or self._chunk(chunk)
+        if len(self.known) >= KNOWN or self.chars >= KNOWN_CHARS:
+            self.older, self.known, self.chars = self.known, {}, 0
+        self.known[chunk] = got
+        self.chars += len(chunk)
+        return got
 
     def chunks(self, norm: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, normalised bytes of each piece) of a normalised text. Byte pieces of one letter count all its bytes at the last."""
-        found, known = [], self.known
-        for c in self.chunk.findall(norm):
-            got = known.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(known) >= KNOWN or self.chars >= KNOWN_CHARS:
-                    known.clear()
-                    self.chars = 0
-                known[c] = got
-                self.chars += len(c)
-            found.append(got)
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-        sizes = np.frombuffer(b"".join([f[1] for f in found]), "<u4").astype(np.int64)
-        if not self.bytes and len(ids) > 1:  # unknown letters in a row are one piece
-            same = (ids[1:] == self.unk) & (ids[:-1] == self.unk)
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
-            ids, sizes = ids[first], np.add.reduceat(sizes, first)
+        cuts = self.chunk.findall(norm)
+        found = [self.known.get(c) or self._remembered(c) for c in cuts]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = self.size[ids]
+        if self.bytes:
+            at = np.flatnonzero(self.is_byte[ids])
+            if len(at):
+                # the bytes of a letter stand together, led by one that says how many there are
+                value = self.byte_value[ids[at]]
+                lead = (value & 0xC0) != 0x80
+                width = 1 + (value[lead] >= 0xC0) + (value[lead] >= 0xE0) + (value[lead] >= 0xF0)
+                sizes[at] = 0
+                sizes[at[lead] + width - 1] = width
+        else:
+            sizes = self._unknown_sizes(norm, cuts, ids, sizes)
+            if len(ids) > 1:  # unknown letters in a row are one piece
+                same = (ids[1:] == self.unk) & (ids[:-1] == self.unk)
+                first = np.flatnonzero(np.concatenate([[True], ~same]))
+                ids, sizes = ids[first], np.add.reduceat(sizes, first)
         return ids, sizes
 
+    def _unknown_sizes(self, norm: str, cuts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sizes with those of unknown pieces, of models without byte pieces."""
+        at = np.flatnonzero(ids == self.unk)
+        if len(at):
+            sizes[at] = [len(p.encode()) for c in cuts for p in self.merge(c) if p not in self.id]
+        return sizes
+
     def encode(self, text: str | None) -> Encoded:
         """Ids and source spans of a whole text; of a letter's byte pieces the last one has its span, the others an empty one before it."""
         norm, places = self.normalize(text or "")
