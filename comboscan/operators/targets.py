@@ -1,4 +1,4 @@
-"""Outcome labels: next-bar targets by lead, stop / take-profit brackets by a bounded range join or a grouped kernel.
+"""Outcome labels: next-bar targets by lead, stop / take-profit brackets by a bounded range join or a descent over block extremes.
 
 Each gives <t>, rr_<t>, <t>_eligible, <t>_exit_i (bar_idx), and the _long / _short sides for two-sided targets.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comboscan.functions import cols as C
+from comboscan.session import materialize
 
 TINY = 1e-9
 
@@ -134,29 +135,85 @@ def first_touch(o, h, low, c, entry_idx: int, side: int, entry: float, stop: flo
     return np.nan, False, -1
 
 
-def resolve(signals: DataFrame, bars: DataFrame, cutoff: int | None = None) -> DataFrame:
-    """Same columns, to the end of each symbol's bars. With a cutoff, trades opened up to it are closed there at the latest."""
-    cols = ["bar_idx", "open", "high", "low", "close"]
-
-    def run(sig: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("bar_idx")
-        o, h, low, c = (b[k].to_numpy(float) for k in cols[1:])
-        at = {int(x): i for i, x in enumerate(b["bar_idx"])}
-        idx = b["bar_idx"].to_numpy()
-        out = []
-        cut = len(b) - 1 if cutoff is None else int(np.searchsorted(idx, cutoff, side="right")) - 1
-        for s in sig.itertuples():
-            i = at[int(s.entry_idx)]
-            capped = cutoff is not None and i <= cut
-            rr, hit, j = first_touch(o, h, low, c, i, int(s.side), s.entry, s.stop, s.tp, cut if capped else len(b) - 1, capped)
-            if np.isfinite(rr):
-                out.append((s.symbol, int(s.entry_idx), int(s.side), rr, hit, int(idx[j])))
-        return pd.DataFrame(out, columns=["symbol", "entry_idx", "side", "rr", "hit", "exit_idx"])
+#: Bars (or blocks) whose extremes a block holds: a search reads at most two blocks of each level.
+FAN = 128
 
-    return signals.groupBy("symbol").cogroup(bars.select("symbol", *cols).groupBy("symbol")).applyInPandas(run, "symbol string, entry_idx long, side int, rr double, hit boolean, exit_idx long")
 
+def block_levels(bars: DataFrame, fan: int) -> list[DataFrame]:
+    """(symbol, node, kids) of every level: bars by blocks of ``fan``, those by blocks of ``fan``, up to one block a symbol.
 
-def with_bracket(bars: DataFrame, name: str, direction: str = "both", tick: float | None = None, horizon: int | None = None, cutoff: int | None = None) -> DataFrame:
+    A kid has its pos and the lowest and highest price it reaches, open included; a bar without high or low reaches none. Kids of
+    level 0 also have their prices.
+    """
+    o, h, low = (C.num(x) for x in ("open", "high", "low"))
+    seen = h.isNotNull() & low.isNotNull()
+    items = bars.select("symbol", F.col("bar_idx").alias("pos"), F.when(seen, F.least(low, o)).alias("lo"), F.when(seen, F.greatest(h, o)).alias("hi"), o.alias("o"), h.alias("h"), low.alias("l"))
+    last, out = bars.agg(F.max("bar_idx")).first()[0] or 0, []
+    while True:
+        kids = F.array_sort(F.collect_list(F.struct("pos", *[c for c in items.columns if c not in ("symbol", "pos")])))
+        nodes = materialize(items.groupBy("symbol", F.floor(F.col("pos") / fan).alias("node")).agg(kids.alias("kids")), "touch_blocks")
+        out.append(nodes)
+        if last < fan:
+            return out
+        last //= fan
+        items = nodes.select("symbol", F.col("node").alias("pos"), F.array_min("kids.lo").alias("lo"), F.array_max("kids.hi").alias("hi"))
+
+
+def first_touches(signals: DataFrame, bars: DataFrame, fan: int | None = None) -> DataFrame:
+    """Signals and ``x`` (pos, o, h, l): the first later bar that reaches the stop or the target; null where none does.
+
+    A signal climbs from its own block until a block holds a later touch, then descends to the bar: as many equi-joins as levels up
+    and one less down, each on (symbol, block). No symbol is gathered, and a signal reads O(log bars) blocks.
+    """
+    levels = block_levels(bars, fan := fan or FAN)
+    names = signals.columns
+    down, up = (F.when(F.col("side") == 1, F.col(a)).otherwise(F.col(b)) for a, b in (("stop", "tp"), ("tp", "stop")))
+    rows = signals.withColumns({"_down": down, "_up": up, "_at": F.col("entry_idx")})
+
+    def look(df: DataFrame, level: int, block: Column, after: Column) -> DataFrame:
+        nodes = levels[level].select(F.col("symbol").alias("_s"), "node", "kids")
+        df = df.join(nodes, (F.col("symbol") == F.col("_s")) & (block == F.col("node")), "left")
+        touch = lambda k: (k["pos"] > after) & ((k["lo"] <= F.col("_down")) | (k["hi"] >= F.col("_up")))
+        return df.withColumn("x", F.get(F.filter("kids", touch), F.lit(0))).drop("_s", "node", "kids")
+
+    found: list[DataFrame] = []
+    for level in range(len(levels)):
+        met = materialize(look(rows, level, F.floor(F.col("_at") / fan), F.col("_at")), "touch")
+        found.append(met.where("x is not null"))
+        rows = met.where("x is null").drop("x").withColumn("_at", F.floor(F.col("_at") / fan))
+    for level in range(len(levels) - 1, 0, -1):
+        inside = found[level].withColumn("_at", F.col("x.pos")).drop("x")
+        found[level - 1] = found[level - 1].unionByName(look(inside, level - 1, F.col("_at"), F.lit(-1)))
+    return found[0].select(*names, "x").unionByName(rows.select(*names).withColumn("x", F.lit(None).cast(found[0].schema["x"].dataType)))
+
+
+def resolve(signals: DataFrame, bars: DataFrame, cutoff: int | Column | None = None) -> DataFrame:
+    """Same columns as ``resolve_join``, to the end of each symbol's bars: gaps fill at the open, the stop wins within a bar.
+
+    With a cutoff (a bar_idx, or a condition on bars whose last true bar it is) trades opened up to it are closed there at the
+    latest, at that bar's close; one opened on that bar, or without such a close, is none. Later trades run to the end.
+    """
+    t = first_touches(signals, bars)
+    d, entry, risk = F.col("side"), F.col("entry"), (F.col("entry") - F.col("stop")) * F.col("side")
+    o, worst = F.col("x.o"), F.when(d == 1, F.col("x.l")).otherwise(F.col("x.h"))
+    gap_stop, gap_tp = C.true((o - F.col("stop")) * d <= 0), C.true((o - F.col("tp")) * d >= 0)
+    stopped = C.true((worst - F.col("stop")) * d <= 0)
+    rr = F.when(gap_stop | gap_tp, (o - entry) * d / risk).when(stopped, F.lit(-1.0)).otherwise((F.col("tp") - entry) * d / risk)
+    hit = F.when(gap_stop | gap_tp, ~gap_stop).otherwise(~stopped)
+    done = F.col("x").isNotNull()
+    out = t.select("symbol", "entry_idx", "side", F.when(done, F.struct(rr.alias("rr"), hit.alias("hit"), F.col("x.pos").alias("exit_idx"))).alias("r"), "entry", risk.alias("risk"))
+    if cutoff is not None:
+        inside = F.col("bar_idx") <= cutoff if isinstance(cutoff, int) else cutoff
+        last = bars.where(inside).groupBy("symbol").agg(F.max_by(F.struct("bar_idx", C.num("close").alias("close")), "bar_idx").alias("cut"))
+        out = out.join(last, "symbol", "left")
+        idx, close = F.col("cut.bar_idx"), F.col("cut.close")
+        late = (F.col("entry_idx") <= idx) & (F.col("r").isNull() | (F.col("r.exit_idx") > idx))
+        forced = F.when((idx > F.col("entry_idx")) & close.isNotNull(), F.struct(((close - F.col("entry")) * d / F.col("risk")).alias("rr"), F.lit(False).alias("hit"), idx.alias("exit_idx")))
+        out = out.withColumn("r", F.when(C.true(late), forced).otherwise(F.col("r")))
+    return out.where("r.rr is not null").select("symbol", "entry_idx", "side", "r.rr", "r.hit", "r.exit_idx")
+
+
+def with_bracket(bars: DataFrame, name: str, direction: str = "both", tick: float | None = None, horizon: int | None = None, cutoff: int | Column | None = None) -> DataFrame:
     """Bars with a bracket target's columns; for both directions <t> is the long side. ``bars`` needs an ``atr`` column."""
     name = ALIASES.get(name, name)
     signals = levels(bars, BRACKETS[name], tick)
@@ -186,8 +243,8 @@ def period_index(ts: Column, period: str) -> Column:
 
 def tribar_4h_2atr(bars: DataFrame, per_week: int = 2) -> DataFrame:
     """Long at the close of a three-bar reversal above the smoothed price: stop min(low, entry - ATR), target entry + 2 ATR, closed at the
-    week's last bar, at most ``per_week`` a week and one at a time; the entry bar itself is scanned too.
-    Needs is_tribar, kf_smooth, atr and ts; meant for four-hour bars."""
+    week's last bar, at most ``per_week`` a week and one at a time; the entry bar itself is scanned too. Weeks are independent, as
+    no trade outlives one. Needs is_tribar, kf_smooth, atr and ts; meant for four-hour bars."""
     name = "tribar_4h_2atr"
     src = bars.select("symbol", "bar_idx", period_index(F.col("ts"), "weekly").alias("week"), *[C.num(x).alias(x) for x in ("open", "high", "low", "close", "atr")],
                       (F.col("is_tribar") & C.true(C.num("close") > C.num("kf_smooth"))).alias("sig"))
@@ -216,6 +273,6 @@ def tribar_4h_2atr(bars: DataFrame, per_week: int = 2) -> DataFrame:
                 free = j + 1
         return pd.DataFrame(out, columns=["symbol", "bar_idx", "rr", "hit", "x"])
 
-    done = src.groupBy("symbol").applyInPandas(run, "symbol string, bar_idx long, rr double, hit boolean, x long")
+    done = src.groupBy("symbol", "week").applyInPandas(run, "symbol string, bar_idx long, rr double, hit boolean, x long")
     df = bars.join(done, ["symbol", "bar_idx"], "left")
     return df.withColumns({name: C.true(F.col("hit")), f"rr_{name}": F.col("rr"), f"{name}_exit_i": F.col("x"), f"{name}_eligible": F.col("rr").isNotNull()}).drop("rr", "hit", "x")

@@ -403,10 +403,94 @@ def rich_indicators(spark, sf):
     return FE.rich_features(by_type(spark, sf))
 
 
-@query("bracket_2atr")
+_ATR = RBARS + """,
+tr AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+rec AS (SELECT symbol, bar_idx, tr AS atr FROM tr WHERE bar_idx = 0
+  UNION ALL SELECT t.symbol, t.bar_idx, t.tr / 14.0 + (13.0 / 14.0) * r.atr FROM rec r JOIN tr t ON t.symbol = r.symbol AND t.bar_idx = r.bar_idx + 1),
+v AS (SELECT t.*, rec.atr, CASE WHEN close > open THEN 1 ELSE -1 END AS side, CASE WHEN close > open THEN low ELSE high END AS far,
+  close - CASE WHEN close > open THEN 1 ELSE -1 END * atr AS near FROM tr t JOIN rec USING (symbol, bar_idx) WHERE abs(close - open) > 2.220446049250313e-16)"""
+_STOPS = {
+    "wide": "CASE WHEN side = 1 THEN least(far, near) ELSE greatest(far, near) END", "highlow": "far", "atr": "near",
+    "tightest": "CASE WHEN (close - far) * side > 0 AND (close - near) * side > 0 THEN CASE WHEN side = 1 THEN greatest(far, near) ELSE least(far, near) END WHEN (close - far) * side > 0 THEN far ELSE near END",
+}
+
+
+def _bracket_sql(stop: str, reach: str, min_rr: bool = False, tick: float | None = None, end: str | None = None) -> str:
+    """First touches by a join of every trade with every later bar; with ``end`` trades opened by that day are closed with it."""
+    grid = (lambda x, way: f"CASE WHEN side = 1 THEN {way[0]}(({x}) / {tick}) ELSE {way[1]}(({x}) / {tick}) END * {tick}") if tick else (lambda x, way: x)
+    sql = _ATR + f""",
+s AS (SELECT symbol, bar_idx AS entry_idx, CAST(bts AS DATE) AS day, side, close AS entry, atr, {grid(_STOPS[stop], ("floor", "ceil"))} AS stop FROM v),
+k AS (SELECT *, (entry - stop) * side AS risk FROM s WHERE (entry - stop) * side > 1e-9),
+l AS (SELECT * FROM (SELECT *, {grid(f"entry + side * ({reach})", ("ceil", "floor"))} AS tp FROM k) {"WHERE (tp - entry) * side / risk > 1" if min_rr else ""}),
+j AS (SELECT l.*, b.bar_idx AS j, CASE WHEN (b.open - stop) * side <= 0 THEN [(b.open - entry) * side / risk, 0.0] WHEN (b.open - tp) * side >= 0 THEN [(b.open - entry) * side / risk, 1.0]
+  WHEN (CASE WHEN side = 1 THEN b.low ELSE b.high END - stop) * side <= 0 THEN [-1.0, 0.0] WHEN (CASE WHEN side = 1 THEN b.high ELSE b.low END - tp) * side >= 0 THEN [(tp - entry) * side / risk, 1.0] END AS t
+  FROM l JOIN bars b ON b.symbol = l.symbol AND b.bar_idx > l.entry_idx),
+f AS (SELECT symbol, entry_idx, side, arg_min(t, j)[1] AS rr, arg_min(t, j)[2] = 1 AS hit, min(j) AS exit_idx FROM j WHERE t IS NOT NULL GROUP BY ALL)"""
+    if end is None:
+        return sql + " SELECT symbol, entry_idx, side, round(rr, 6) AS rr, hit, exit_idx FROM f"
+    return sql + f""",
+c AS (SELECT symbol, max(bar_idx) AS cut, arg_max(close, bar_idx) AS price FROM bars WHERE CAST(bts AS DATE) <= DATE '{end}' GROUP BY 1),
+e AS (SELECT l.symbol, l.entry_idx, l.side, l.entry_idx <= c.cut AND (f.exit_idx IS NULL OR f.exit_idx > c.cut) AS late, f.rr, f.hit, f.exit_idx, c.cut, (c.price - l.entry) * l.side / l.risk AS forced
+  FROM l LEFT JOIN c USING (symbol) LEFT JOIN f USING (symbol, entry_idx, side))
+SELECT symbol, entry_idx, side, round(CASE WHEN late THEN forced ELSE rr END, 6) AS rr, CASE WHEN late THEN false ELSE hit END AS hit, CASE WHEN late THEN cut ELSE exit_idx END AS exit_idx
+FROM e WHERE CASE WHEN late THEN cut > entry_idx ELSE exit_idx IS NOT NULL END"""
+
+
+def bracket(spark, sf, name, tick=None, cutoff=None):
+    """Every trade of a bracket target over bars by event type, to the end of the data."""
+    b = materialize(with_recursive(by_type(spark, sf)), "bars")
+    return r6(T.resolve(T.levels(b, T.BRACKETS[name], tick), b, cutoff), "rr")
+
+
+@query("bracket_2atr", _bracket_sql("atr", "2.0 * atr"))
 def bracket_2atr(spark, sf):
+    return bracket(spark, sf, "2x_atr_tp_atr_stop")
+
+
+@query("bracket_3atr", _bracket_sql("atr", "3.0 * atr"))
+def bracket_3atr(spark, sf):
+    return bracket(spark, sf, "3x_atr_tp_atr_stop")
+
+
+@query("bracket_1atr", _bracket_sql("atr", "1.0 * atr"))
+def bracket_1atr(spark, sf):
+    return bracket(spark, sf, "atr_tp_atr_stop")
+
+
+@query("bracket_highlow_or_atr", _bracket_sql("wide", "2.0 * atr"))
+def bracket_highlow_or_atr(spark, sf):
+    return bracket(spark, sf, "highlow_or_atr")
+
+
+@query("bracket_tightest_stop", _bracket_sql("tightest", "2.0 * atr"))
+def bracket_tightest_stop(spark, sf):
+    return bracket(spark, sf, "highlow_or_atr_tightest_stop")
+
+
+@query("bracket_highlow_2atr_rr", _bracket_sql("highlow", "2.0 * atr", min_rr=True))
+def bracket_highlow_2atr_rr(spark, sf):
+    return bracket(spark, sf, "highlow_sl_2x_atr_tp_rr_gt_1")
+
+
+@query("bracket_highlow_1atr_rr", _bracket_sql("highlow", "1.0 * atr", min_rr=True))
+def bracket_highlow_1atr_rr(spark, sf):
+    return bracket(spark, sf, "highlow_sl_1x_atr_tp_rr_gt_1")
+
+
+@query("bracket_ticks_and_end", _bracket_sql("wide", "2.0 * atr", tick=0.25, end="2024-01-15"))
+def bracket_ticks_and_end(spark, sf):
+    """Stops and targets on the tick grid; trades opened by the last day of a range are closed with it."""
+    return bracket(spark, sf, "highlow_or_atr", 0.25, F.to_date("ts") <= F.lit("2024-01-15").cast("date"))
+
+
+@query("bracket_labels", _bracket_sql("atr", "2.0 * atr").replace(" SELECT symbol, entry_idx, side, round(rr, 6) AS rr, hit, exit_idx FROM f", """ SELECT b.symbol, b.bar_idx,
+  coalesce(x.hit, false) AS label, round(x.rr, 6) AS rr_long, round(y.rr, 6) AS rr_short, x.exit_idx AS exit_i FROM bars b
+  LEFT JOIN (SELECT * FROM f WHERE side = 1) x ON x.symbol = b.symbol AND x.entry_idx = b.bar_idx LEFT JOIN (SELECT * FROM f WHERE side = -1) y ON y.symbol = b.symbol AND y.entry_idx = b.bar_idx"""))
+def bracket_labels(spark, sf):
+    """The columns that a bracket target adds to every bar."""
     b = materialize(with_recursive(by_type(spark, sf)), "bars")
-    return T.with_bracket(b, "2x_atr_tp_atr_stop").select("symbol", "bar_idx", "2x_atr_tp_atr_stop", "rr_long", "rr_short", "2x_atr_tp_atr_stop_exit_i")
+    t = T.with_bracket(b, "2x_atr_tp_atr_stop")
+    return r6(t.select("symbol", "bar_idx", F.col("2x_atr_tp_atr_stop").alias("label"), "rr_long", "rr_short", F.col("2x_atr_tp_atr_stop_exit_i").alias("exit_i")), "rr_long", "rr_short")
 
 
 @query("tribar_weekly")

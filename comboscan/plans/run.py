@@ -43,7 +43,10 @@ def prepare(spark: SparkSession, bars: DataFrame, cfg: Config) -> Prepared:
             df = df.withColumns({cfg.target: F.col(f"{cfg.target}_short"), f"rr_{cfg.target}": F.col("rr_short"), f"{cfg.target}_eligible": F.col("rr_short").isNotNull()})
     elif cfg.target in T.BRACKETS or cfg.target in T.ALIASES:
         df = materialize(df if "atr" in df.columns else FE.with_recursive(df), "features")
-        df = T.with_bracket(df, cfg.target, cfg.direction)
+        ts = "ts" if "ts" in df.columns else "timestamp"
+        # a trade opened within the dates is closed with them: nothing later may decide it
+        cutoff = F.to_date(F.col(ts)) <= F.lit(cfg.end).cast("date") if cfg.end else None
+        df = T.with_bracket(df, cfg.target, cfg.direction, cfg.tick, cutoff=cutoff)
     elif cfg.target == "tribar_4h_2atr":
         df = T.tribar_4h_2atr(df)
     else:
@@ -142,8 +145,7 @@ def main(argv: list[str]) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("comboscan").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "results":
-        rows = spark.read.parquet(f"{a.out.rstrip('/')}/results/*/*")
-        ST.top_results(rows, a.limit, a.min_samples, a.max_drawdown, None, a.direction, a.target, a.min_win_rate).show(a.limit, truncate=False)
+        ST.top_results(ST.committed(spark, a.out), a.limit, a.min_samples, a.max_drawdown, None, a.direction, a.target, a.min_win_rate).show(a.limit, truncate=False)
         return
     bars = S.read_bars(spark, a.data).withColumnRenamed("timestamp", "ts")
     if a.command == "backtest":

@@ -39,16 +39,16 @@ class Store:
     when it is run again, so a lost driver never leaves rows twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str, data: str, run: str, force: bool = False) -> None:
+    def __init__(self, spark: SparkSession, path: str, data: str | None, run: str, force: bool = False) -> None:
         self.spark, self.path, self.data, self.run = spark, path.rstrip("/"), data, run
         self._jvm = spark._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         if force:
             self._fs.delete(self._at(""), True)
         self.state = self._load()
-        if self.state["data"] not in (None, data):
+        if data is not None and self.state["data"] not in (None, data):
             raise OtherDataError("the store was filled from other data; force to start anew")
-        self.state["data"] = data
+        self.state["data"] = data or self.state["data"]
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -103,6 +103,11 @@ class Store:
         return df
 
 
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """All committed rows of a directory, whatever data they are of."""
+    return Store(spark, path, None, "").results()
+
+
 def top_results(results: DataFrame, k: int, min_sample: int = 0, max_drawdown: float = float("inf"), min_calmar: float | None = None, direction: str | None = None, target: str | None = None, min_win_rate: float | None = None) -> DataFrame:
     """The k best by calmar, ties by combination; NaN ranks nowhere."""
     c = (F.col("total_bars") >= min_sample) & (F.col("max_drawdown") <= max_drawdown) & ~F.isnan("calmar_ratio")

@@ -329,3 +329,53 @@ def test_a_search_takes_one_symbol(spark):
     df = spark.createDataFrame([("a", 0, True, 1.0), ("b", 0, True, 1.0)], "symbol string, bar_idx long, f boolean, rr_f double")
     with pytest.raises(ValueError):
         X.collect_arrays(df, ["f"], "f")
+
+
+@pytest.mark.parametrize("fan,cutoff", [(3, None), (4, 70), (128, 70), (5, 0)])
+def test_first_touches_equal_a_scan_to_the_end(spark, monkeypatch, fan, cutoff):
+    monkeypatch.setattr(T, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    rows, want = [], set()
+    for sym, n in (("a", 150), ("b", 1), ("c", 37)):
+        c = np.cumsum(rng.normal(size=n)) + 100
+        o = c + rng.normal(size=n) * 0.3
+        h, low = np.maximum(o, c) + rng.random(n), np.minimum(o, c) - rng.random(n)
+        h[rng.random(n) < 0.05] = np.nan
+        a = rng.uniform(0.5, 4, n)
+        rows += [(sym, i, *(None if np.isnan(x) else float(x) for x in v)) for i, v in enumerate(zip(o, h, low, c, a))]
+    b = spark.createDataFrame(rows, "symbol string, bar_idx long, open double, high double, low double, close double, atr double")
+    s = T.levels(b, T.BRACKETS["2x_atr_tp_atr_stop"])
+    pdf = b.toPandas()
+    for r in s.collect():
+        x = pdf[pdf["symbol"] == r["symbol"]].sort_values("bar_idx")
+        capped = cutoff is not None and r["entry_idx"] <= cutoff
+        last = min(cutoff, len(x) - 1) if capped else len(x) - 1
+        rr, hit, j = T.first_touch(*(x[k].to_numpy() for k in ("open", "high", "low", "close")), r["entry_idx"], r["side"], r["entry"], r["stop"], r["tp"], last, capped)
+        if np.isfinite(rr):
+            want.add((r["symbol"], r["entry_idx"], r["side"], round(rr, 9), hit, j))
+    got = T.resolve(s, b, cutoff).collect()
+    assert {(r["symbol"], r["entry_idx"], r["side"], round(r["rr"], 9), r["hit"], r["exit_idx"]) for r in got} == want and len(got) == len(want) > 10
+    assert T.resolve(s.where("false"), b, cutoff).count() == 0
+
+
+def test_a_run_never_looks_beyond_its_last_day(spark):
+    rng = np.random.default_rng(8)
+    c = np.cumsum(rng.normal(size=200)) + 500
+    o = np.concatenate([c[:1], c[:-1]])
+    rows = [("ALL", i, float(o[i]), float(max(o[i], c[i]) + 1), float(min(o[i], c[i]) - 1), float(c[i]), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, bar_idx long, open double, high double, low double, close double, volume double")
+    df = df.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("bar_idx") * 3600))
+    for target in ("2x_atr_tp_atr_stop", "highlow_1r"):
+        p = R.prepare(spark, df, Config("x", "o", target=target, end="2024-01-04", min_samples=5, tick=0.25)).data
+        last = p.agg(F.max("bar_idx")).first()[0]
+        assert last == 95 and p.agg(F.max(f"{target}_exit_i")).first()[0] == 95
+        stops = T.levels(p, T.BRACKETS[target], 0.25).select(F.max(F.abs(F.col("stop") * 4 - F.round(F.col("stop") * 4)))).first()[0]
+        assert stops < 1e-9
+
+
+def test_results_are_those_the_state_names(spark, tmp_path):
+    s = ST.Store(spark, f"{tmp_path}/s", "d", "r" * 20)
+    rows = spark.createDataFrame([("d", "long", "t", "a", "now", 0, 1, 9, 5, 50.0, 1.0, 2.0)], ", ".join(f"{c} {t}" for c, t in ST.RESULT_COLUMNS.items()))
+    s.commit(rows, 0, 10)
+    rows.write.parquet(f"{tmp_path}/s/results/{'r' * 16}/window=0-20")  # written, never named
+    assert ST.committed(spark, f"{tmp_path}/s").count() == 1
