@@ -24,27 +24,41 @@ from .common import materialize, scratch, ship_package
 BITS = 1 << 26
 #: Words whose hash a worker remembers before it starts anew.
 KNOWN = 1_000_000
+#: What ends a stretch of words.
+MARKS = ".,;:!?\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def split_pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words): one row for each stretch of a text between punctuation or line ends; null texts have none."""
-    text = F.translate("text", UPPER, LOWER)
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, r"[.,;:!?\x0A-\x0D]+")).alias("piece"))
-    return rows.select("lang", F.filter(F.split("piece", r"[ \x09]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    """(lang, words): one row for each stretch of a text between punctuation or line ends; null texts have none.
+
+    One translation lowers letters and makes every mark a line end and every tab a space, so that both splits are at one letter.
+    """
+    text = F.translate("text", UPPER + "\t" + MARKS, LOWER + " " + "\n" * len(MARKS))
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, "\n")).alias("piece")).where("piece <> ''")
+    return rows.select("lang", F.filter(F.split("piece", " "), lambda w: w != "").alias("words"))
 
 
-def grams(rows: DataFrame, sizes: range, total: bool = False) -> DataFrame:
-    """(lang, n, phrase, times): a row for every occurrence of a phrase of these sizes; with ``total`` also how many words there are, as n = 0."""
+def grams(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, n, phrase): a row for every occurrence of a phrase of n words."""
     words = F.col("words")
+    phrase = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return rows.select("lang", F.lit(n).alias("n"), F.explode(F.transform(starts, phrase)).alias("phrase"))
+
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        text = lambda i: F.element_at(words, i) if n == 1 else F.array_join(F.slice(words, i, n), " ")
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), text(i).alias("phrase"), F.lit(1).alias("times")))
+def words_and_pairs(rows: DataFrame) -> DataFrame:
+    """(lang, n, phrase, f) of all words (n = 1) and pairs (n = 2), and how many words each language has (n = 0).
 
-    all_words = [F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("phrase"), F.size(words).alias("times")))] if total else []
-    return rows.select("lang", F.explode(F.concat(*[of(n) for n in sizes], *all_words)).alias("g")).select("lang", "g.*")
+    Each word is one row with its follower, none at a stretch's end; a word's count is the sum of its followers'.
+    """
+    words = F.col("words")
+    each = rows.select("lang", F.explode(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i + 1).alias("v")))).alias("g")).select("lang", "g.*")
+    pairs = each.groupBy("lang", "w", "v").agg(F.count(F.lit(1)).alias("f"))
+    single = pairs.groupBy("lang", "w").agg(F.sum("f").alias("f"))
+    row = lambda df, n, phrase: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), "f")
+    all_words = single.groupBy("lang").agg(F.sum("f").alias("f"))
+    return row(pairs.where("v is not null"), 2, F.concat_ws(" ", "w", "v")).unionByName(row(single, 1, F.col("w"))).unionByName(row(all_words, 0, F.lit("")))
 
 
 def word_code(word: str) -> int:
@@ -125,16 +139,13 @@ def stretches(rows: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
 def count_phrases(docs: DataFrame, max_n: int, at_least: int) -> DataFrame:
     """(lang, n, phrase, f) of the phrases that occur ``at_least`` times, and of n = 0: all words."""
 
-    def counted(rows: DataFrame, sizes: range, total: bool = False) -> DataFrame:
-        out = grams(rows, sizes, total).groupBy("lang", "n", "phrase").agg(F.sum("times").alias("f"))
-        return materialize(out.where((F.col("f") >= at_least) | (F.col("n") == 0)), "grams")
-
+    enough = lambda df: materialize(df.where((F.col("f") >= at_least) | (F.col("n") == 0)), "grams")
     rows = split_pieces(docs)
-    found = [counted(rows, range(1, 3), True)]
+    found = [enough(words_and_pairs(rows))]
     for n in range(2, max_n):
         # what is split further after the first two sizes is the stretches of the size before
         rows = materialize(stretches(rows, found[-1], n), "stretches")
-        found.append(counted(rows, range(n + 1, n + 2)))
+        found.append(enough(grams(rows, n + 1).groupBy("lang", "n", "phrase").agg(F.count(F.lit(1)).alias("f"))))
     return reduce(DataFrame.unionByName, found)
 
 
