@@ -2,12 +2,14 @@
 
 Blocks of documents are aligned inside Arrow tasks by DuckDB: both tokenizations are interval tables on one byte axis, an as-of join
 finds the first and the last piece that each token meets, a join over that range lists the links, and running sums over shared
-ends number the groups. Each block gives its documents' links and its partial pair counts; Spark merges the counts and brings
-them back to the blocks that hold the pair.
+ends number the groups. A text is cut where a piece with a space begins and a token ends: no group or link reaches over such a
+place, so each distinct stretch of a block is aligned once, in tables of bounded size whatever the text's length. Each
+block gives its documents' links and its partial pair counts; Spark merges the counts and brings them back to the blocks that hold the pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import types
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, ship_package
 from .packing import Encoder
-from .pieces import BYTE, SPACE, pieces, slices
+from .pieces import SPACE, slices
 
 #: Bytes of text in a block; a longer text is a block of its own. A block's distinct pairs are bounded by its text.
 BLOCK = 1 << 20
+#: Tokens whose stretches are aligned at a time; a longer stretch alone.
+TOKENS = 150_000
 #: Memory of a task's DuckDB; beyond it DuckDB spills.
-DUCK = "384MB"
+DUCK = "256MB"
 
 SQL = """
 CREATE OR REPLACE TEMP TABLE a AS
@@ -36,22 +40,14 @@ CREATE OR REPLACE TEMP TABLE b AS
   SELECT t.*, sum(CAST(o.e IS NOT NULL AS INT)) OVER (ORDER BY t.pos ROWS UNBOUNDED PRECEDING) - CAST(o.e IS NOT NULL AS INT) AS grp FROM b_in t LEFT JOIN a_in o ON o.e = t.e;
 CREATE OR REPLACE TEMP TABLE met AS
   SELECT a.unit, a.id, lo.pos AS lo, hi.pos AS hi FROM a ASOF JOIN b lo ON a.s >= lo.s ASOF JOIN (SELECT pos, s + 1 AS s FROM b) hi ON a.e >= hi.s;
-CREATE OR REPLACE TEMP TABLE links AS
+INSERT INTO links
   SELECT m.unit, m.a, b.id AS b, count(*) AS n FROM (SELECT unit, id AS a, unnest(range(lo, hi + 1)) AS pos FROM met) m JOIN b USING (pos) GROUP BY ALL;
 """
-UNITS = """
-WITH t AS (
-  SELECT unit, grp, 0 AS side, pos, id, lag(grp) OVER (ORDER BY pos) AS before, lag(unit) OVER (ORDER BY pos) AS last FROM a UNION ALL
-  SELECT unit, grp, 1, pos, id, lag(grp) OVER (ORDER BY pos), unit FROM b),
-s AS (
-  SELECT unit, grp, side, pos, CASE WHEN side = 1 THEN CASE WHEN grp IS DISTINCT FROM before THEN '|' ELSE ',' END
-    WHEN unit IS DISTINCT FROM last THEN '' WHEN grp IS DISTINCT FROM before THEN ';' ELSE ',' END || id AS piece FROM t),
-g AS (
-  SELECT unit, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, max(grp) - min(grp) + 1 AS n_groups, string_agg(piece, '' ORDER BY grp, side, pos) AS groups
-  FROM s GROUP BY unit),
-l AS (SELECT unit, sum(n)::BIGINT AS n_links, list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b, list(n::INT ORDER BY a, b) AS n FROM links GROUP BY unit)
-SELECT g.unit, n_a, n_b, n_groups::BIGINT AS n_groups, n_links, {groups} AS groups, a, b, n FROM g JOIN l ON l.unit = g.unit ORDER BY g.unit
+LINKS = """
+WITH d AS (SELECT doc, a, b, sum(n)::INT AS n FROM spots JOIN links USING (unit) GROUP BY doc, a, b)
+SELECT doc, sum(n)::BIGINT AS n_links, list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b, list(n ORDER BY a, b) AS n FROM d GROUP BY doc ORDER BY doc
 """
+PAIRS = "SELECT a, b, sum(times)::INT AS n FROM (SELECT DISTINCT doc, a, b FROM spots JOIN links USING (unit)) JOIN held USING (doc) GROUP BY a, b ORDER BY a, b"
 #: Rows of documents first, then one row with the block's distinct pairs and how many of its documents hold each.
 ROW = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]
 SPARK_ROW = "n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, n array<int>"
@@ -61,52 +57,102 @@ class Aligner:
     """Both tokenizers and a DuckDB of one worker."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str, groups: str) -> None:
-        self.first, self.second, self.groups = Encoder(byte_bpe), pieces(piece_bpe), groups
-        if self.first.ranked is None:
+        import sentencepiece
+
+        self.first, self.second, self.groups = Encoder(byte_bpe).ranked, sentencepiece.SentencePieceProcessor(model_file=piece_bpe), groups
+        if self.first is None:
             raise ValueError(f"{byte_bpe} is no plain byte-level model")
-        size = max(self.first.ranked._mergeable_ranks.values()) + 1
-        self.a_bytes = [b""] * size
-        for raw, i in self.first.ranked._mergeable_ranks.items():
+        ranks, sp = self.first._mergeable_ranks, self.second
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
             self.a_bytes[i] = raw
-        p = self.second
-        self.b_bytes = [bytes([int(x[3:5], 16)]) if k == BYTE else x.replace(SPACE, " ").encode() for x, k in zip(p.names, p.kinds)]
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.b_bytes = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        ids = range(max(len(self.a_bytes), len(names)))
+        self.plain, self.after_token, self.after_group, self.after_bar = (np.array([f"{x}{i}" for i in ids], object) for x in ("", ",", ";", "|"))
+        self.begins = np.array([x.startswith(SPACE) for x in names])
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCK, "temp_directory": tempfile.mkdtemp()})
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    def tokens(self, text: str, b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both tokenizers, special tokens' strings being plain text; None unless both spell a space and the text."""
         spelled = (" " + text).encode()
-        a = self.first.ranked.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32)
-        b = self.second.chunks(self.second.normalize(text)[0])[0].astype(np.int32)
-        same = b"".join([self.a_bytes[i] for i in a.tolist()]) == spelled and b"".join([self.b_bytes[i] for i in b.tolist()]) == spelled
-        return (a, b) if same else None
+        a = self.first.encode_to_numpy(" " + text, disallowed_special=()).astype("<i4")
+        same = b"".join([self.a_bytes[i] for i in a.tolist()]) == spelled and b"".join([self.b_bytes[i] for i in b]) == spelled
+        return (a, np.array(b, "<i4")) if same else None
+
+    def stretches(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """Both ids of each stretch, packed: cut before the pieces that begin with a space, where a token ends."""
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at = np.flatnonzero(self.begins[b[1:]]) + 1
+        near = np.searchsorted(a_end, b_end[at - 1])
+        ok = a_end[near] == b_end[at - 1]
+        a_cut, b_cut = [0, *(4 * (near[ok] + 1)).tolist(), 4 * len(a)], [0, *(4 * at[ok]).tolist(), 4 * len(b)]
+        a_raw, b_raw = a.tobytes(), b.tobytes()
+        return zip([a_raw[i:j] for i, j in zip(a_cut, a_cut[1:])], [b_raw[i:j] for i, j in zip(b_cut, b_cut[1:])])
 
     @staticmethod
-    def intervals(ids: list[np.ndarray], size: np.ndarray) -> pa.Table:
-        """(unit, pos, id, s, e) of all units' tokens on one byte axis."""
-        flat = np.concatenate(ids)
+    def intervals(ids: list[bytes], size: np.ndarray, first: int) -> pa.Table:
+        """(unit, pos, id, s, e) of all stretches' tokens on one byte axis."""
+        flat = np.frombuffer(b"".join(ids), "<i4")
         end = np.cumsum(size[flat])
-        unit = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        unit = np.repeat(np.arange(first, first + len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
         return pa.table({"unit": unit, "pos": np.arange(len(flat)), "id": flat, "s": end - size[flat], "e": end})
 
+    def align(self, units: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, list[str]]:
+        """(groups of each stretch, their text); the links go to the table ``links``."""
+        con, counts, texts, at = self.con, [], [], 0
+        con.execute("CREATE OR REPLACE TEMP TABLE links (unit INT, a INT, b INT, n BIGINT)")
+        upto = np.cumsum([len(x[0]) + len(x[1]) for x in units])
+        while at < len(units):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * TOKENS, "right")))
+            con.register("a_in", self.intervals([x[0] for x in units[at:to]], self.a_size, at))
+            con.register("b_in", self.intervals([x[1] for x in units[at:to]], self.b_size, at))
+            con.execute(SQL)
+            n, lines = self.written(*(con.execute(f"SELECT unit, id, grp::BIGINT AS grp FROM {t} ORDER BY pos").fetchnumpy() for t in "ab"))
+            counts.append(n)
+            texts += lines
+            at = to
+        return np.concatenate(counts), texts
+
+    def written(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.ndarray, list[str]]:
+        """(groups, their text) of each stretch of tokens numbered by group, in order: group by group its a, a bar, its b."""
+        many = [np.bincount(x["grp"], minlength=int(a["grp"][-1]) + 1) for x in (a, b)]
+        place = np.empty(len(a["id"]) + len(b["id"]), object)
+        starts = [np.concatenate([[True], x["grp"][1:] != x["grp"][:-1]]) for x in (a, b)]
+        # a token stands behind all tokens of its side before it, and those of the other side's groups before its own
+        first = np.arange(len(a["id"])) + (np.cumsum(many[1]) - many[1])[a["grp"]]
+        second = np.arange(len(b["id"])) + np.cumsum(many[0])[b["grp"]]
+        opens = np.concatenate([[True], a["unit"][1:] != a["unit"][:-1]])
+        place[first] = np.where(opens, self.plain[a["id"]], np.where(starts[0], self.after_group[a["id"]], self.after_token[a["id"]]))
+        place[second] = np.where(starts[1], self.after_bar[b["id"]], self.after_token[b["id"]])
+        cuts = [*first[opens].tolist(), len(place)]
+        flat = place.tolist()
+        return np.bincount(a["unit"][starts[0]] - a["unit"][0]), ["".join(flat[i:j]) for i, j in zip(cuts, cuts[1:])]
+
     def block(self, texts: list[str | None]) -> tuple[pa.Table, tuple]:
         """(one row for each text, the block's pairs and the number of its texts that hold each); equal texts are aligned once."""
-        wanted = dict.fromkeys(t for t in texts if t)
-        found = {t: got for t in wanted if (got := self.tokens(t)) is not None}
-        unit = {t: i for i, t in enumerate(found)}
+        wanted = list(dict.fromkeys(t for t in texts if t))
+        found = {t: got for t, b in zip(wanted, self.second.encode(wanted, num_threads=1)) if (got := self.tokens(t, b)) is not None}
+        doc = {t: i for i, t in enumerate(found)}
         empty = pa.table({k: pa.array([0], k_t) if k_t == pa.int64() else pa.array(["" if k_t == pa.string() else []], k_t) for k, k_t in ROW})
-        if not unit:
+        if not doc:
             return pa.concat_tables([empty] * len(texts)), ([], [], [])
-        con = self.con
-        con.register("a_in", self.intervals([x[0] for x in found.values()], self.a_size))
-        con.register("b_in", self.intervals([x[1] for x in found.values()], self.b_size))
-        con.execute(SQL)
-        per = con.sql(UNITS.format(groups="sha256(groups)" if self.groups == "sha256" else "groups")).to_arrow_table().drop_columns(["unit"])
-        per = pa.Table.from_arrays([per[k].cast(t) for k, t in ROW], [k for k, _ in ROW])
-        at = [unit.get(t, len(unit)) for t in texts]
-        times = np.bincount(np.array(at), minlength=len(unit) + 1)[: len(unit)]
-        con.register("held", pa.table({"unit": np.arange(len(unit), dtype=np.int32), "times": times}))
-        pairs = con.execute("SELECT a, b, sum(times)::INT AS n FROM links JOIN held USING (unit) GROUP BY a, b ORDER BY a, b").fetchnumpy()
+        known: dict[tuple[bytes, bytes], int] = {}
+        spots = [[known.setdefault(u, len(known)) for u in self.stretches(a, b)] for a, b in found.values()]
+        counts, parts = self.align(list(known))
+        con, sizes = self.con, [len(x) for x in spots]
+        con.register("spots", pa.table({"doc": np.repeat(np.arange(len(doc), dtype=np.int32), sizes), "unit": np.concatenate([np.array(x, np.int32) for x in spots])}))
+        links = con.sql(LINKS).to_arrow_table()
+        whole = [";".join([parts[u] for u in x]) for x in spots]
+        if self.groups == "sha256":
+            whole = [hashlib.sha256(x.encode()).hexdigest() for x in whole]
+        n = [[len(x[0]) for x in found.values()], [len(x[1]) for x in found.values()], [int(counts[x].sum()) for x in spots]]
+        values = [*n, links["n_links"], whole, links["a"], links["b"], links["n"]]
+        per = pa.Table.from_arrays([v.cast(t) if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for v, (_, t) in zip(values, ROW)], [k for k, _ in ROW])
+        at = [doc.get(t, len(doc)) for t in texts]
+        con.register("held", pa.table({"doc": np.arange(len(doc), dtype=np.int32), "times": np.bincount(np.array(at), minlength=len(doc) + 1)[: len(doc)]}))
+        pairs = con.execute(PAIRS).fetchnumpy()
         return pa.concat_tables([per, empty]).combine_chunks().take(pa.array(at)), (pairs["a"], pairs["b"], pairs["n"])
 
 
@@ -132,14 +178,14 @@ def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, text: str = "text", gr
     """
     ship_package(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
-    mine = {f"k{i}": c for i, c in enumerate(kept)}
+    mine, limit = {f"k{i}": c for i, c in enumerate(kept)}, BLOCK
     src = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in mine.items()], F.col(f"`{text}`").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_bpe, piece_bpe, groups)
         base, seen = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for part in slices(batch, "_text", BLOCK):
+            for part in slices(batch, "_text", limit):
                 rows, pairs = own.block(part.column(len(mine)).to_pylist())
                 block = base + seen
                 seen += 1

@@ -65,17 +65,18 @@ def word_code(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def phrase_codes(codes: np.ndarray, langs: np.ndarray, n: int) -> np.ndarray:
+def phrase_codes(codes: np.ndarray, langs: np.ndarray, n: int, size: int) -> np.ndarray:
     """Place in the bit set of the n words from each position on; the last n - 1 positions have none."""
     out = langs[: len(codes) - n + 1].copy()
     for k in range(n):
         out = (out ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return (out % np.uint64(BITS)).astype(np.int64)
+    return (out % np.uint64(size)).astype(np.int64)
 
 
 def bit_set(frequent: DataFrame, n: int) -> np.ndarray:
     """The bit set of the frequent phrases of n words: made in partitions, joined on the driver as at most BITS / 64 words."""
+    size = BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,11 +85,11 @@ def bit_set(frequent: DataFrame, n: int) -> np.ndarray:
                 continue
             codes = np.array([word_code(w) for ws in words for w in ws], np.uint64)
             langs = np.repeat(np.array([word_code(x) for x in pdf["lang"]], np.uint64), n)
-            at = np.unique(phrase_codes(codes, langs, n)[::n])
+            at = np.unique(phrase_codes(codes, langs, n, size)[::n])
             yield pd.DataFrame({"word": at >> 6, "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
     packed = frequent.where(F.col("n") == n).select("lang", "phrase").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out, rows = np.zeros(BITS // 64, np.uint64), packed.toArrow()
+    out, rows = np.zeros(size // 64, np.uint64), packed.toArrow()
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -117,7 +118,7 @@ def stretches(rows: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
             row = np.repeat(np.arange(len(offsets)), offsets)
             tongue = batch.column(0).dictionary_encode()
             langs = np.array([word_code(x) for x in tongue.dictionary.to_pylist()], np.uint64)[tongue.indices.to_numpy()][row]
-            at = phrase_codes(codes, langs, n)
+            at = phrase_codes(codes, langs, n, 64 * len(bits))
             ok = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & (row[: len(at)] == row[n - 1 :])
             # runs of at least two good positions hold more than n words,
             edge = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]).astype(np.int8)))
