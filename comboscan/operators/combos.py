@@ -1,8 +1,4 @@
-"""Enumeration and evaluation of AND-combinations: ranks, packed masks, and a distributed search over ranks.
-
-Bars are few and combinations many, so the search is parallel over combination ranks: ``spark.range`` of ranks, unranked and
-evaluated in Arrow batches against packed masks that every worker holds, with no shuffle before the final ranking.
-"""
+"""Enumeration of AND-combinations: ranks, predicates, masks as words. The search itself is in ``search``."""
 
 from __future__ import annotations
 
@@ -12,13 +8,9 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Packed masks of more bytes than this are not sent to workers; evaluate by joins on words instead.
-MASK_BYTES = 256 << 20
-
 
 def total(n: int, depth: int) -> int:
     """Number of combinations of 1 to ``depth`` of n."""
@@ -152,40 +144,6 @@ def enumerate_range(spark: SparkSession, n: int, depth: int, start: int = 0, end
     return spark.range(start, max(start, end), 1, parts or spark.sparkContext.defaultParallelism).mapInPandas(run, "combo_id long, combo array<int>")
 
 
-@dataclass
-class Arrays:
-    """Bars as arrays in bar order: flags (features x rows), eligibility, reward, label, exits."""
-
-    flags: np.ndarray
-    gate: np.ndarray
-    reward: np.ndarray
-    label: np.ndarray
-    exits: np.ndarray | None = None
-    rpc: np.ndarray | None = None
-
-
-def collect_arrays(df: DataFrame, names: list[str], target: str, reward: str | None = None, rpc: Column | None = None) -> Arrays:
-    """One symbol's prepared bars on the driver: rows of one series, of which there may be no more than MASK_BYTES of flags."""
-    reward = reward or f"rr_{target}"
-    elig = F.coalesce(F.col(f"{target}_eligible"), F.lit(True)) if f"{target}_eligible" in df.columns else F.lit(True)
-    exits = F.col(f"{target}_exit_i") if f"{target}_exit_i" in df.columns else F.lit(None).cast("long")
-    flags = [F.coalesce(F.col(f"`{n}`").cast("boolean"), F.lit(False)).alias(f"f{i}") for i, n in enumerate(names)]
-    if "symbol" in df.columns:
-        seen, rows = df.agg(F.count_distinct("symbol"), F.count(F.lit(1))).first()
-        if seen > 1:
-            raise ValueError(f"a search needs the bars of one symbol, not of {seen}")
-        if rows * max(1, len(names)) > MASK_BYTES:
-            raise ValueError("the masks are too large for the driver; cut the catalog or the date range")
-    pdf = df.select(
-        "bar_idx", *flags, elig.alias("e"), F.coalesce(F.col(target), F.lit(False)).alias("y"), F.col(reward).cast("double").alias("r"),
-        F.coalesce(exits, F.lit(-1)).alias("x"), (rpc if rpc is not None else F.lit(1.0)).cast("double").alias("c"),
-    ).toPandas().sort_values("bar_idx")
-    r = pdf["r"].to_numpy(float)
-    gate = pdf["e"].to_numpy(bool) & np.isfinite(r)
-    masks = pdf[[f"f{i}" for i in range(len(names))]].to_numpy(bool).T.copy()
-    return Arrays(masks, gate, r, pdf["y"].to_numpy(bool), pdf["x"].to_numpy(np.int64), pdf["c"].to_numpy(float))
-
-
 def no_stacking(hits: np.ndarray, exits: np.ndarray) -> np.ndarray:
     """Greedy choice of trades that do not overlap: the next one starts at or after the last one's exit."""
     out, free = [], -1
@@ -197,40 +155,6 @@ def no_stacking(hits: np.ndarray, exits: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def runs(start: int, end: int, n: int, depth: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
-    """(rank, combination, length): ranks start to end - 1 as runs in which the last member alone grows."""
-    while start < end:
-        c = unrank(start, n, depth)
-        size = min(n - c[-1], end - start)
-        yield start, c, size
-        start += size
-
-
-def batches(start: int, end: int, n: int, depth: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ranks, members) of ranks start to end - 1: arrays of combinations of one depth, at most about ``size`` each."""
-    held: list[tuple[int, tuple[int, ...], int]] = []
-
-    def joined():
-        k, m = len(held[0][1]), [h[2] for h in held]
-        members = np.repeat(np.array([h[1] for h in held]), m, axis=0).reshape(-1, k)
-        members[:, -1] += np.concatenate([np.arange(x) for x in m])
-        return np.concatenate([np.arange(h[0], h[0] + h[2]) for h in held]), members
-
-    for run in runs(start, end, n, depth):
-        if held and (len(run[1]) != len(held[0][1]) or sum(h[2] for h in held) + run[2] > size):
-            yield joined()
-            held = []
-        held.append(run)
-    if held:
-        yield joined()
-
-
-def _words(bits: np.ndarray) -> np.ndarray:
-    """Rows of flags as 64-bit words."""
-    packed = np.packbits(bits, axis=-1, bitorder="little")
-    return np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, -packed.shape[-1] % 8)]).view("<u8")
-
-
 @dataclass
 class Capital:
     """How trades move the capital, and the years they span."""
@@ -244,139 +168,6 @@ class Capital:
     margin: float | None = None
 
 
-class Evaluator:
-    """Statistics of many combinations at once: masks are ANDed as words and counted, and only combinations with enough trades are
-    unpacked, in tiles of bounded size."""
-
-    COLUMNS = ["mask_hits", "total_bars", "profitable_bars", "label_hits", "total_return", "max_drawdown", "calmar_ratio"]
-
-    def __init__(self, a: Arrays, stacking: bool = True, min_sample: int = 1, capital: Capital | None = None) -> None:
-        self.a, self.stacking, self.need, self.capital = a, stacking, max(1, min_sample), capital
-        self.masks, self.gate = _words(a.flags), _words(a.gate)
-        self.reward = np.where(a.gate, np.nan_to_num(a.reward, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
-        #: rows of a tile, so that its doubles take some 16 MB
-        self.tile = max(1, 2_000_000 // max(1, a.flags.shape[1]))
-
-    def run(self, members: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(rows of ``members`` with enough trades, their COLUMNS)."""
-        m = self.masks[members[:, 0]]
-        for j in range(1, members.shape[1]):
-            m &= self.masks[members[:, j]]
-        gated = m & self.gate
-        kept = np.flatnonzero(np.bitwise_count(gated).sum(axis=1, dtype=np.int64) >= self.need)
-        hits = np.bitwise_count(m[kept]).sum(axis=1, dtype=np.int64)
-        parts = [self._tile(gated[kept[at : at + self.tile]]) for at in range(0, len(kept), self.tile)] or [self._tile(gated[:0])]
-        columns = [hits, *(np.concatenate(x) for x in zip(*parts))]
-        ok = columns[1] >= self.need
-        return kept[ok], [x[ok] for x in columns]
-
-    def _tile(self, words: np.ndarray) -> tuple[np.ndarray, ...]:
-        raw = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 8 * words.shape[1])
-        bits = np.unpackbits(raw, axis=1, count=self.a.flags.shape[1], bitorder="little").astype(bool)
-        if not self.stacking:
-            bits = self._apart(bits)
-        r = bits * self.reward
-        eq = np.cumsum(r, axis=1)
-        low = (np.maximum(np.maximum.accumulate(eq, axis=1), 0) - eq).max(axis=1, initial=0.0)
-        total = eq[:, -1] if eq.shape[1] else np.zeros(len(eq))
-        return bits.sum(axis=1), (r > 0).sum(axis=1), (bits & self.a.label).sum(axis=1), total, low, self._calmar(bits)
-
-    def _apart(self, bits: np.ndarray) -> np.ndarray:
-        """The greedy choice of trades that do not overlap, of all rows at once."""
-        out, free = np.zeros_like(bits), np.full(len(bits), -1)
-        for t in np.flatnonzero(bits.any(axis=0)):
-            e = int(self.a.exits[t])
-            out[:, t] = bits[:, t] & (t >= free)
-            free[out[:, t]] = e if e >= t else t + 1
-        return out
-
-    def _calmar(self, bits: np.ndarray) -> np.ndarray:
-        """Yearly growth over the deepest fall of the capital, both in percent: infinite without a fall but with growth."""
-        c = self.capital
-        if c is None:
-            return np.zeros(len(bits))
-        cap = np.full(len(bits), c.start)
-        peak, pct = cap.copy(), np.zeros(len(bits))
-        rpc = self.a.rpc
-        for t in np.flatnonzero(bits.any(axis=0)):
-            if c.contracts:
-                if not rpc[t] > 0:
-                    continue
-                n = np.maximum(np.floor(cap * c.risk / rpc[t]), c.min_contracts)
-                if c.max_contracts:
-                    n = np.minimum(n, c.max_contracts)
-                if c.margin:
-                    n = np.minimum(n, np.maximum(0.0, np.floor(cap / c.margin)))
-                move = n * rpc[t] * self.reward[t]
-            else:
-                move = self.reward[t] * cap * c.risk
-            cap = np.where(bits[:, t], cap + move, cap)
-            peak = np.maximum(peak, cap)
-            pct = np.maximum(pct, 100.0 * (peak - cap) / peak)
-        growth = cap / c.start
-        cagr = np.where(growth > 0, 100.0 * (np.power(np.where(growth > 0, growth, 1.0), 1.0 / c.years) - 1), 100.0 * (growth - 1))
-        return np.where(pct > 0, cagr / np.where(pct > 0, pct, 1.0), np.where(cagr > 0, np.inf, 0.0))
-
-
-RESULT = pa.schema([
-    ("combo_id", pa.int64()), ("combination", pa.string()), ("depth", pa.int32()), ("mask_hits", pa.int64()), ("total_bars", pa.int64()),
-    ("profitable_bars", pa.int64()), ("label_hits", pa.int64()), ("total_return", pa.float64()), ("max_drawdown", pa.float64()), ("calmar_ratio", pa.float64()),
-])
-
-
-def search(
-    spark: SparkSession, arrays: Arrays, preds: list[Predicate], depth: int, start: int = 0, end: int | None = None, stacking: bool = True,
-    min_sample: int = 1, require_any: set[str] | None = None, dead_pairs: set[tuple[int, int]] | None = None, parts: int | None = None,
-    capital: Capital | None = None,
-) -> DataFrame:
-    """(combo_id, combination, depth, statistics) of the sound combinations with enough trades in a range of ranks.
-
-    calmar_ratio is that of the capital's path, 0 without ``capital``. Combinations of more than two with a dead pair are skipped.
-    """
-    n = len(preds)
-    if arrays.flags.nbytes > MASK_BYTES:
-        raise ValueError("the masks are too large to send to workers; cut the catalog or the date range")
-    last = total(n, depth)
-    end = last if end is None else min(end, last)
-    unknown = (require_any or set()) - {p.name for p in preds}
-    if unknown:
-        raise ValueError(f"unknown required features: {sorted(unknown)}")
-    need = np.array([p.name in (require_any or set()) for p in preds], bool)
-    bounds = [p.bound() for p in preds]
-    kinds = {b: i for i, b in enumerate(dict.fromkeys(bounds))}
-    bound = np.array([-1 if b is None else kinds[b] for b in bounds], np.int64)
-    dead = np.array(sorted(a * n + b for a, b in dead_pairs or ()), np.int64)
-    names = [p.name for p in preds]
-    held = spark.sparkContext.broadcast((arrays, names, need, bound, dead))
-
-    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, names, must, side, gone = held.value
-        judge = Evaluator(a, stacking, min_sample, capital)
-        size = max(1, min(50_000, 16_000_000 // max(1, judge.masks.shape[1] * 8)))
-        for chunk in chunks:
-            ids = chunk.column(0).to_numpy()
-            if not len(ids):
-                continue
-            for ranks, c in batches(int(ids[0]), int(ids[-1]) + 1, n, depth, size):
-                k = c.shape[1]
-                ok = must[c].any(axis=1) if must.any() else np.ones(len(c), bool)
-                for i in range(k):
-                    for j in range(i + 1, k):
-                        ok &= (side[c[:, i]] != side[c[:, j]]) | (side[c[:, i]] < 0)
-                        if k > 2 and len(gone):
-                            ok &= ~np.isin(c[:, i] * n + c[:, j], gone)
-                ranks, c = ranks[ok], c[ok]
-                if not len(c):
-                    continue
-                kept, columns = judge.run(c)
-                text = [" && ".join([names[x] for x in row]) for row in c[kept].tolist()]
-                values = [ranks[kept], text, np.full(len(kept), k), *columns]
-                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, RESULT)], schema=RESULT)
-
-    schema = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'int' if f.type == pa.int32() else 'long' if f.type == pa.int64() else 'double'}" for f in RESULT)
-    return spark.range(start, max(start, end), 1, parts or spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
-
-
 def first_of_equal_masks(df: DataFrame, names: list[str]) -> list[str]:
     """Names whose masks are neither constant nor equal to an earlier one's; one aggregate of exact digests."""
     f = lambda n: F.coalesce(F.col(f"`{n}`"), F.lit(False))

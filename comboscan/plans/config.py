@@ -41,10 +41,13 @@ class Config:
     subset_pruning: bool = False
     auto_batch: bool = False
     formulas_only: bool = False
+    profile: str = "off"  # coarse: counts of each window in the log; fine: seconds too
+    profile_every: int = 1
+    windows: int = 2  # under way at a time
 
     def run_key(self) -> dict:
         """What a resumed run must agree on; offsets, limits and reports may differ."""
-        free = ("out", "offset", "max_combos", "batch", "top", "force", "dry_run", "min_calmar", "subset_pruning", "auto_batch", "formulas_only")
+        free = ("out", "offset", "max_combos", "batch", "top", "force", "dry_run", "min_calmar", "subset_pruning", "auto_batch", "formulas_only", "profile", "profile_every", "windows")
         return {k: v for k, v in asdict(self).items() if k not in free}
 
 
@@ -103,6 +106,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--subset-pruning", action="store_true", help="skip deeper combinations of pairs with too few trades")
     c.add_argument("--auto-batch", action="store_true", help="let windows grow and shrink with their time")
     c.add_argument("--formulas-only", action="store_true", help="report names alone")
+    c.add_argument("--profile-eval", dest="profile", choices=["off", "coarse", "fine"], default="off", help="log what each window cost")
+    c.add_argument("--profile-eval-sample-rate", dest="profile_every", type=int, default=1, help="profile every so many windows")
+    c.add_argument("--windows", type=int, default=2, help="windows of ranks under way at a time")
     c.add_argument("--min-contracts", type=int, default=1)
     c.add_argument("--max-contracts", type=int)
     return p
@@ -143,4 +149,5 @@ def resolve(argv: list[str]) -> Config:
         force=a.force, dry_run=a.dry_run, sizing=Sizing(a.sizing, a.capital, a.risk_pct, per_r, a.min_contracts, a.max_contracts, margin),
         stop_column=stop, point_value=point, tick=a.tick if a.tick is not None else known["tick_size"] if known else None,
         subset_pruning=a.subset_pruning, auto_batch=a.auto_batch, formulas_only=a.formulas_only,
+        profile=a.profile, profile_every=max(1, a.profile_every), windows=a.windows,
     )

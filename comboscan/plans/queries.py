@@ -11,6 +11,7 @@ from comboscan.operators import catalog as K
 from comboscan.operators import combos as X
 from comboscan.operators import features as FE
 from comboscan.operators import metrics as M
+from comboscan.operators import search as Q
 from comboscan.operators import targets as T
 from comboscan.operators.kernels import with_recursive
 from comboscan.plans.registry import ORACLES, QUERIES
@@ -393,11 +394,27 @@ SELECT combination, depth, count(*) AS total_bars, count(*) FILTER (rr > 0) AS p
 def search_d2(spark, sf):
     df = T.next_bar(FE.builtin_features(S.bars_from_events(events(spark, sf)))).withColumns({
         "above_sma9": C.true(F.col("close") > F.col("sma_9")), "above_sma20": C.true(F.col("close") > F.col("sma_20")), "busy": C.true(F.col("volume") > C.lag(F.col("volume"))), "wide": C.true(F.col("abs_body") > 0.5 * F.col("range"))})
-    a = X.collect_arrays(df, FLAGS, "next_bar_up")
-    out = X.search(spark, a, [X.Predicate(n) for n in FLAGS], 2, min_sample=5)
+    out = Q.search(Q.pack(df, FLAGS, "next_bar_up"), [X.Predicate(n) for n in FLAGS], 2, min_sample=5)
     return out.select("combination", "depth", "total_bars", "profitable_bars", "total_return", "max_drawdown")
 
 
+@query("search_symbols_d3", BARS + FEATS + f""", m AS (SELECT symbol, bar_idx, rr, label, unnest(range(1, 9)) AS i, unnest([{", ".join(FLAGS)}]) AS v FROM feats WHERE elig),
+n AS (SELECT * FROM m WHERE v),
+t AS (SELECT symbol, bar_idx, rr, label, {_names('i')} AS combination, 1 AS depth FROM n UNION ALL
+  SELECT a.symbol, a.bar_idx, a.rr, a.label, {_names('a.i')} || ' && ' || {_names('b.i')}, 2 FROM n a JOIN n b ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx AND a.i < b.i UNION ALL
+  SELECT a.symbol, a.bar_idx, a.rr, a.label, {_names('a.i')} || ' && ' || {_names('b.i')} || ' && ' || {_names('c.i')}, 3
+  FROM n a JOIN n b ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx AND a.i < b.i JOIN n c ON a.symbol = c.symbol AND a.bar_idx = c.bar_idx AND b.i < c.i),
+e AS (SELECT *, sum(rr) OVER w AS eq, 100000.0 * exp(sum(ln(1 + rr * 0.01)) OVER w) AS cap FROM t WINDOW w AS (PARTITION BY symbol, combination ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, greatest(0, max(eq) OVER w) - eq AS dd, greatest(100000.0, max(cap) OVER w) AS pk FROM e WINDOW w AS (PARTITION BY symbol, combination ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT symbol, combination, depth, count(*) AS total_bars, count(*) FILTER (rr > 0) AS profitable_bars, count(*) FILTER (label) AS label_hits, sum(rr) AS total_return, max(dd) AS max_drawdown,
+  100 * (arg_max(cap, bar_idx) / 100000 - 1) AS cagr, max((pk - cap) / pk * 100) AS pct FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 10)
+SELECT symbol, combination, depth, total_bars, profitable_bars, label_hits, total_return, max_drawdown, round(CASE WHEN pct > 0 THEN cagr / pct WHEN cagr > 0 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS calmar_ratio FROM g""")
+def search_symbols_d3(spark, sf):
+    """All combinations of up to three of eight flags over every symbol at once, with the capital's path."""
+    out = Q.search(Q.pack(prepared(spark, sf), FLAGS, "next_bar_up"), [X.Predicate(n) for n in FLAGS], 3, min_sample=10, capital=X.Capital())
+    return r6(out.select("symbol", "combination", "depth", "total_bars", "profitable_bars", "label_hits", "total_return", "max_drawdown", "calmar_ratio"), "calmar_ratio")
+
+
 @query("rich_indicators")
 def rich_indicators(spark, sf):
     return FE.rich_features(by_type(spark, sf))

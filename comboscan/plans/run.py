@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import logging
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from time import monotonic
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from comboscan.functions import cols as C
@@ -16,6 +19,7 @@ from comboscan.operators import catalog as K
 from comboscan.operators import combos as X
 from comboscan.operators import features as FE
 from comboscan.operators import metrics as M
+from comboscan.operators import search as Q
 from comboscan.operators import targets as T
 from comboscan.plans.config import Config
 from comboscan.plans.report import BatchTuner, format_report
@@ -77,31 +81,69 @@ def run(spark: SparkSession, bars: DataFrame, cfg: Config, data_digest: str) ->
     rpc = M.risk_per_contract(C.num(cfg.stop_column), cfg.point_value) if cfg.sizing.mode == "contracts" else None
     net = M.net_reward(C.num(f"rr_{cfg.target}"), cfg.cost_r, cfg.sizing.mode, rpc)
     masked = materialize(masked.withColumn("_net", net), "masked")
-    arrays = X.collect_arrays(masked, [e.name for e in p.entries], cfg.target, "_net", rpc)
+    names = [e.name for e in p.entries]
+    blocks = Q.pack(masked, names, cfg.target, "_net", rpc)
+    if blocks.df.select("symbol").distinct().count() > 1:
+        raise ValueError("a run takes the bars of one symbol")
     preds = [e.predicate for e in p.entries]
     s = cfg.sizing
     capital = X.Capital(s.risk_pct / 100.0, float(s.capital), p.years, s.mode == "contracts", s.min_contracts, s.max_contracts, s.margin)
-    dead = dead_pairs(arrays, cfg.min_samples) if cfg.subset_pruning and cfg.depth > 2 else None
+    dead = None
+    if cfg.subset_pruning and cfg.depth > 2:
+        key = ST.run_digest({"catalog": K.catalog_digest(p.entries), "masks": S.digest(blocks.df.select("symbol", "block", "flags", "gate")), "need": cfg.min_samples})
+        dead = Q.pair_bits(store.cached("pairs", key, lambda: Q.dead_pairs(blocks, cfg.min_samples)), n)
     tuner = BatchTuner(cfg.batch) if cfg.auto_batch else None
-    size = cfg.batch
     end = min(last, cfg.max_combos) if cfg.max_combos is not None else last
     at = store.offset() if cfg.offset is None else cfg.offset
-    while at < end:
-        to, began = min(end, at + size), monotonic()
-        found = X.search(spark, arrays, preds, cfg.depth, at, to, cfg.stacking, cfg.min_samples, set(cfg.require_any), dead, capital=capital)
-        store.commit(result_rows(found.where(F.col("max_drawdown") <= cfg.max_drawdown), cfg, data_digest), at, to)
-        at, size = to, tuner.record(monotonic() - began) if tuner else size
+
+    def window(a: int, b: int) -> float:
+        """Judges a window and writes its rows; the state names it later, in order."""
+        began = monotonic()
+        profiled = cfg.profile != "off" and (a // max(1, cfg.batch)) % cfg.profile_every == 0
+        seen = Observation() if profiled else None
+        found = Q.search(blocks, preds, cfg.depth, a, b, cfg.stacking, cfg.min_samples, set(cfg.require_any), dead, capital, profile=seen)
+        store.write(result_rows(found.where(F.col("max_drawdown") <= cfg.max_drawdown), cfg, data_digest), a, b)
+        if seen is not None:
+            log.info("%s", profile_line(a, b, seen.get, cfg.profile))
+        return monotonic() - began
+
+    for a, b, seconds in in_order(spark, window, at, end, lambda: tuner.size if tuner else cfg.batch, cfg.windows):
+        store.name(a, b)
+        if tuner:
+            tuner.record(seconds)
     return ST.top_results(store.results(), cfg.top, cfg.min_samples, cfg.max_drawdown, cfg.min_calmar)
 
 
-def dead_pairs(arrays: X.Arrays, min_sample: int) -> set[tuple[int, int]]:
-    """Pairs of predicates with fewer common trades than ``min_sample``; of masks the driver already holds."""
-    flags = (arrays.flags & arrays.gate).astype(np.float32)
-    out: set[tuple[int, int]] = set()
-    for at in range(0, len(flags), 512):
-        few = flags[at : at + 512] @ flags.T < min_sample
-        out.update((int(i) + at, int(j)) for i, j in np.argwhere(few) if i + at < j)
-    return out
+def in_order(spark: SparkSession, window: Callable[[int, int], float], at: int, end: int, size: Callable[[], int], flight: int) -> Iterator[tuple[int, int, float]]:
+    """(start, end, seconds) of windows in order, ``flight`` of them under way at a time, so that the cores left by one's last tasks
+    and by its commit judge the next. Where one fails, the jobs of all are cancelled by their tag and the failure is raised."""
+    sc, tag = spark.sparkContext, f"windows-{uuid.uuid4().hex}"
+
+    def job(a: int, b: int) -> float:
+        sc.addJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", f"window-{a}")
+        return window(a, b)
+
+    waiting: deque[tuple[int, int, Future]] = deque()
+    with ThreadPoolExecutor(max(1, flight)) as pool:
+        try:
+            while waiting or at < end:
+                while at < end and len(waiting) < max(1, flight):
+                    to = min(end, at + size())
+                    waiting.append((at, to, pool.submit(job, at, to)))
+                    at = to
+                a, b, done = waiting.popleft()
+                yield a, b, done.result()
+        finally:
+            if any(not f.done() for *_, f in waiting):
+                sc.cancelJobsWithTag(tag)
+
+
+def profile_line(a: int, b: int, seen: dict, detail: str) -> str:
+    """Counts of a window; ``fine`` adds the seconds its tasks spent on ANDs and on statistics."""
+    looked, kept = seen["looked"] or 0, seen["kept"]
+    line = f"window {a}-{b}: {b - a} combinations, {looked} masks ANDed, {kept} kept"
+    return line if detail == "coarse" else f"{line}; {seen['and_seconds'] or 0.0:.2f} s of ANDs, {seen['stat_seconds'] or 0.0:.2f} s of statistics"
 
 
 def result_rows(found: DataFrame, cfg: Config, digest: str) -> DataFrame:

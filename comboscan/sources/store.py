@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,8 @@ class Store:
         s = self._fs.create(self._at("state.tmp"), True)
         s.write(bytearray(json.dumps(self.state).encode()))
         s.close()
-        self._fs.rename(self._at("state.tmp"), self._at(f"state-{(old[-1] if old else 0) + 1:09d}.json"))
+        if not self._fs.rename(self._at("state.tmp"), self._at(f"state-{(old[-1] if old else 0) + 1:09d}.json")):
+            raise RuntimeError("another run has written the next version of the state")
         for version in old[:-1]:
             self._fs.delete(self._at(f"state-{version:09d}.json"), False)
 
@@ -87,13 +89,27 @@ class Store:
             at = max(at, b)
         return at
 
-    def commit(self, rows: DataFrame, start: int, end: int) -> None:
+    def write(self, rows: DataFrame, start: int, end: int) -> None:
         rows.select([F.col(c).cast(t).alias(c) for c, t in RESULT_COLUMNS.items()]).write.mode("overwrite").option("compression", "zstd").parquet(
             f"{self.path}/results/{self.run[:16]}/window={start}-{end}"
         )
+
+    def name(self, start: int, end: int) -> None:
+        """Names a written window in the state; from now on it is read."""
         self.state["runs"].setdefault(self.run, []).append([start, end])
         self._save()
 
+    def commit(self, rows: DataFrame, start: int, end: int) -> None:
+        self.write(rows, start, end)
+        self.name(start, end)
+
+    def cached(self, kind: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small table kept beside the results under the digest of what it was made of: read if it is there whole, else made."""
+        path = f"{self.path}/{kind}/{key[:32]}"
+        if not self._fs.exists(self._at(f"{kind}/{key[:32]}/_SUCCESS")):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def results(self) -> DataFrame:
         """All committed rows, also as the temp view ``results``; unreadable files are skipped."""
         parts = [f"{self.path}/results/{run[:16]}/window={a}-{b}" for run, windows in self.state["runs"].items() for a, b in windows]

@@ -15,6 +15,7 @@ from comboscan.operators import combos as X
 from comboscan.operators import features as FE
 from comboscan.operators import kernels as N
 from comboscan.operators import metrics as M
+from comboscan.operators import search as Q
 from comboscan.operators import targets as T
 from comboscan.plans import run as R
 from comboscan.plans.config import Config, resolve
@@ -235,21 +236,31 @@ def test_reports_tuner_and_table_function(spark):
     assert sorted((r["a"], r["b"]) for r in dead) == [(0, 2), (1, 2)]
 
 
+def packed(spark, flags, reward, label, exits, rpc=None, gate=None, symbol="s", base=0):
+    """Blocks of plain arrays, bars numbered from ``base``."""
+    n = flags.shape[1]
+    pdf = pd.DataFrame({"symbol": symbol, "bar_idx": np.arange(n) + base, "t": label, "rr_t": reward, "t_eligible": np.ones(n, bool) if gate is None else gate, "t_exit_i": exits + base, "rpc": np.ones(n) if rpc is None else rpc})
+    names = [f"{'f' if rpc is None else 'p'}{i}" for i in range(len(flags))]
+    pdf = pd.concat([pdf, pd.DataFrame(dict(zip(names, flags)))], axis=1)
+    return Q.pack(spark.createDataFrame(pdf), names, "t", rpc=F.col("rpc"))
+
+
 def test_search_honours_its_prunes(spark):
     rng = np.random.default_rng(7)
     flags = rng.random((5, 200)) < 0.5
-    a = X.Arrays(flags, np.ones(200, bool), rng.normal(size=200), flags[0], np.arange(200) + 3)
+    exits = np.arange(200) + 3
+    a = packed(spark, flags, rng.normal(size=200), flags[0], exits)
     preds = [X.Predicate(f"f{i}") for i in range(5)]
-    names = lambda **k: {r["combination"] for r in X.search(spark, a, preds, 3, min_sample=5, parts=3, **k).collect()}
+    names = lambda dead=None, **k: {r["combination"] for r in Q.search(a, preds, 3, min_sample=5, parts=3, dead=dead, **k).collect()}
     every = names()
     assert "f0 && f1 && f2" in every and "f0" in every
     assert names(require_any={"f4"}) == {x for x in every if "f4" in x}
-    assert every - names(dead_pairs={(0, 1)}) == {x for x in every if x.startswith("f0 && f1 && ")}
-    one = X.search(spark, a, preds, 1, 0, 1, stacking=False).first()
-    hits = X.no_stacking(np.flatnonzero(flags[0]), a.exits)
+    assert every - names(dead=Q.pair_bits(spark.createDataFrame([(0, bytearray([128]))], "i long, bits binary"), 5)) == {x for x in every if x.startswith("f0 && f1 && ")}
+    one = Q.search(a, preds, 1, 0, 1, stacking=False).first()
+    hits = X.no_stacking(np.flatnonzero(flags[0]), exits)
     assert one["total_bars"] == len(hits) and one["mask_hits"] == flags[0].sum()
     with pytest.raises(ValueError):
-        X.search(spark, a, preds, 2, require_any={"zz"})
+        Q.search(a, preds, 2, require_any={"zz"})
 
 
 def test_scratch_tables_are_shared_and_dropped(spark):
@@ -262,37 +273,82 @@ def test_scratch_tables_are_shared_and_dropped(spark):
         spark.read.parquet(df.inputFiles()[0]).count()
 
 
-def test_batches_are_the_walk_in_arrays():
-    for n, k in ((5, 3), (7, 2), (4, 4), (9, 3)):
-        whole = list(X.walk(0, X.total(n, k), n, k))
-        for a, b, size in ((0, len(whole), 7), (3, len(whole) - 1, 50), (len(whole) - 1, len(whole), 1), (2, 2, 5)):
-            got = [(int(r), tuple(c)) for ranks, cs in X.batches(a, b, n, k, size) for r, c in zip(ranks, cs.tolist())]
-            assert got == list(zip(range(a, b), whole[a:b]))
-
-
-@pytest.mark.parametrize("mode,stacking", [("fractional", True), ("contracts", True), ("contracts", False), ("fractional", False)])
-def test_statistics_of_batches_match_plain_loops(spark, mode, stacking):
+@pytest.mark.parametrize("n,k,need", [(5, 3, 1), (7, 2, 30), (9, 4, 20), (8, 4, 1), (4, 4, 1)])
+def test_the_descent_finds_what_plain_ands_find(n, k, need):
+    rng = np.random.default_rng(n)
+    flags = rng.random((n, 192)) < 0.5
+    masks = np.packbits(flags, axis=1, bitorder="little").view("<u8")
+    gate = np.packbits(rng.random(192) < 0.8, bitorder="little").view("<u8")
+    rules = Q.Rules(np.array([0, 0, 1, *[-1] * (n - 3)]), np.zeros(n, bool), None)
+    whole = list(X.walk(0, X.total(n, k), n, k))
+    for a, b in ((0, len(whole)), (3, len(whole) - 1), (len(whole) - 1, len(whole)), (2, 2), (5, min(17, len(whole)))):
+        got, looked = {}, None
+        for ranks, members, words, count in Q.descend(masks, gate, k, a, b, need, rules):
+            if len(ranks):
+                got |= {int(r): (tuple(m), int(c), w.tobytes()) for r, m, c, w in zip(ranks, members.tolist(), count, words)}
+            else:
+                looked = int(count[0])
+        want = {}
+        for r in range(a, b):
+            w = np.bitwise_and.reduce(masks[list(whole[r])], axis=0) & gate
+            c = int(np.bitwise_count(w).sum())
+            if c >= need and not {0, 1} <= set(whole[r]):
+                want[r] = (whole[r], c, w.tobytes())
+        assert got == want
+        assert a > 0 or looked <= sum(math.comb(n, j) for j in range(1, k + 1)) * 2
+
+
+def test_dead_prefixes_take_their_ranks_with_them():
+    rng = np.random.default_rng(0)
+    flags = rng.random((60, 640)) < 0.2
+    masks = np.packbits(flags, axis=1, bitorder="little").view("<u8")
+    rules = Q.Rules(np.full(60, -1), np.zeros(60, bool), None)
+    every = list(Q.descend(masks, np.full(10, 2**64 - 1, "<u8"), 4, 0, X.total(60, 4), 20, rules))
+    assert every[-1][3][0] < X.total(60, 4) / 7  # pairs have some 26 common bars, triples 5
+    pairs = sum(int((flags[i] & flags[j]).sum() >= 20) for i, j in itertools.combinations(range(60), 2))
+    assert sum(len(x[0]) for x in every if x[0].size and x[1].shape[1] == 2) == pairs
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-40, 40), min_size=1, max_size=12), st.lists(st.integers(-40, 40), min_size=1, max_size=12), st.lists(st.integers(-40, 40), min_size=1, max_size=12))
+def test_summaries_combine_in_any_grouping(*rewards):
+    def summary(r):
+        words = np.packbits(np.ones(64, bool)[None, :] * (np.arange(64) < len(r)), axis=1, bitorder="little").view("<u8")
+        seg = Q.Segment({"block": 0, "size": 64, "flags": words.tobytes(), "gate": words.tobytes(), "label": words.tobytes(), "reward": np.array([*r, *[0.0] * (64 - len(r))]).tobytes(), "exits": np.zeros(64, "<i8").tobytes(), "rpc": np.ones(64).tobytes()}, 1, 64)
+        return Q.judge(seg, words, np.array([len(r)]), True, X.Capital(risk=0.01))
+
+    a, b, c = (summary([x / 4 for x in r]) for r in rewards)
+    whole = summary([x / 4 for r in rewards for x in r])
+    for s in (Q.combine(Q.combine(a, b), c), Q.combine(a, Q.combine(b, c))):
+        assert all(np.allclose(s[k], whole[k]) for k in ("n", "wins", "label", "sum", "high", "low", "fall", "growth", "top", "bottom", "pct"))
+
+
+@pytest.mark.parametrize("mode,stacking,block", [(m, s, b) for m in ("fractional", "contracts") for s in (True, False) for b in (1 << 16, 64)])
+def test_statistics_of_blocks_match_plain_loops(spark, monkeypatch, mode, stacking, block):
+    monkeypatch.setattr(Q, "BLOCK", block)
     rng = np.random.default_rng(11)
     n, rows = 6, 130
     r = rng.normal(size=rows)
     r[rng.random(rows) < 0.1] = np.nan
-    a = X.Arrays(rng.random((n, rows)) < 0.5, (rng.random(rows) < 0.9) & np.isfinite(r), r, rng.random(rows) < 0.5, np.arange(rows) + rng.integers(0, 5, rows), rng.uniform(500, 900, rows))
+    flags, gate, label, exits, rpc = rng.random((n, rows)) < 0.5, (rng.random(rows) < 0.9) & np.isfinite(r), rng.random(rows) < 0.5, np.arange(rows) + rng.integers(0, 5, rows), rng.uniform(500, 900, rows)
+    a = packed(spark, flags, r, label, exits, rpc, gate, base=7)
+    assert a.deepest == (1 if block > rows else 3)
     sizing = M.Sizing(mode, 100_000.0, 1.0, 1000.0, 1, 3, 20_000.0)
     cap = X.Capital(0.01, 100_000.0, 2.0, mode == "contracts", 1, 3, 20_000.0)
-    got = {x["combination"]: x for x in X.search(spark, a, [X.Predicate(f"p{i}") for i in range(n)], 3, stacking=stacking, min_sample=10, capital=cap).collect()}
+    got = {x["combination"]: x for x in Q.search(a, [X.Predicate(f"p{i}") for i in range(n)], 3, stacking=stacking, min_sample=10, capital=cap).collect()}
     trades, seen = [], 0
     for c in X.walk(0, X.total(n, 3), n, 3):
-        hits = np.flatnonzero(a.flags[list(c)].all(axis=0))
+        hits = np.flatnonzero(flags[list(c)].all(axis=0))
         name, mask = " && ".join(f"p{i}" for i in c), len(hits)
-        hits = hits[a.gate[hits]]
-        hits = hits if stacking else X.no_stacking(hits, a.exits)
+        hits = hits[gate[hits]]
+        hits = hits if stacking else X.no_stacking(hits, exits)
         if len(hits) < 10:
             assert name not in got
             continue
         x, eq = got[name], np.cumsum(r[hits])
-        assert (x["mask_hits"], x["total_bars"], x["profitable_bars"], x["label_hits"]) == (mask, len(hits), (r[hits] > 0).sum(), a.label[hits].sum())
+        assert (x["mask_hits"], x["total_bars"], x["profitable_bars"], x["label_hits"]) == (mask, len(hits), (r[hits] > 0).sum(), label[hits].sum())
         assert np.isclose(x["total_return"], eq[-1]) and np.isclose(x["max_drawdown"], (np.maximum(np.maximum.accumulate(eq), 0) - eq).max())
-        trades += [(name, "s", int(i), float(r[i]), float(a.rpc[i])) for i in hits]
+        trades += [(name, "s", int(i), float(r[i]), float(rpc[i])) for i in hits]
         seen += 1
     assert seen == len(got) > 20
     path = M.equity(spark.createDataFrame(trades, "combination string, symbol string, bar_idx long, rr double, rpc double"), sizing, "rpc" if mode == "contracts" else None, 2.0)
@@ -325,10 +381,59 @@ def test_state_survives_a_lost_write_and_gaps_are_not_skipped(spark, tmp_path):
     assert again.offset() == 10 and again.state["data"] == "d"
 
 
-def test_a_search_takes_one_symbol(spark):
-    df = spark.createDataFrame([("a", 0, True, 1.0), ("b", 0, True, 1.0)], "symbol string, bar_idx long, f boolean, rr_f double")
-    with pytest.raises(ValueError):
-        X.collect_arrays(df, ["f"], "f")
+def test_dead_pairs_are_kept_and_told_apart(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    flags = rng.random((9, 300)) < 0.3
+    made = []
+
+    def bits(flags, store):
+        a = packed(spark, flags, np.ones(300), flags[0], np.arange(300))
+        key = ST.run_digest({"masks": S.digest(a.df.select("symbol", "block", "flags", "gate")), "need": 27})
+        rows = store.cached("pairs", key, lambda: made.append(key) or Q.dead_pairs(a, 27))
+        return np.unpackbits(Q.pair_bits(rows, 9), axis=1, count=9).astype(bool)
+
+    store = ST.Store(spark, f"{tmp_path}/s", "d", "r" * 20)
+    want = (flags[:, None, :] & flags[None, :, :]).sum(axis=2) < 27
+    np.fill_diagonal(want, False)
+    assert (bits(flags, store) == want).all() and want.any() and not want.all() and len(made) == 1
+    assert (bits(flags, store) == want).all() and len(made) == 1  # read again
+    other = flags.copy()
+    other[3] = ~other[3]
+    assert not (bits(other, store) == want).all() and len(made) == 2  # other masks, another table
+
+
+def test_windows_overlap_and_are_named_in_order(spark):
+    import threading
+    import time
+
+    seen, lock, most = [], threading.Lock(), [0, 0]
+
+    def window(a, b):
+        with lock:
+            most[0] += 1
+            most[1] = max(most)
+        time.sleep(0.2 if a == 0 else 0.01)
+        if a == 40:
+            raise RuntimeError("lost")
+        with lock:
+            most[0] -= 1
+        return 0.0
+
+    with pytest.raises(RuntimeError, match="lost"):
+        for a, b, _ in R.in_order(spark, window, 0, 95, lambda: 10, 2):
+            seen.append((a, b))
+    assert seen == [(0, 10), (10, 20), (20, 30), (30, 40)] and most[1] == 2
+
+
+def test_profiles_say_what_was_judged(spark):
+    from pyspark.sql import Observation
+
+    rng = np.random.default_rng(7)
+    flags, seen = rng.random((6, 200)) < 0.5, Observation()
+    a = packed(spark, flags, rng.normal(size=200), flags[0], np.arange(200))
+    kept = len(Q.search(a, [X.Predicate(f"f{i}") for i in range(6)], 3, min_sample=20, profile=seen).collect())
+    assert seen.get["kept"] == kept and kept <= seen.get["looked"] and R.profile_line(0, 41, seen.get, "coarse").endswith(f"{kept} kept")
+    assert "s of ANDs" in R.profile_line(0, 41, seen.get, "fine")
 
 
 @pytest.mark.parametrize("fan,cutoff", [(3, None), (4, 70), (128, 70), (5, 0)])
