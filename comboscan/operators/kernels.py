@@ -1,6 +1,6 @@
-"""Recurrences that no window frame expresses: one pass for each symbol computes them all, so there is one shuffle.
+"""Recurrences that no window frame expresses, as plain loops over one series.
 
-A single series is sequential by nature; symbols are independent and run in parallel.
+A symbol of at most one block of bars is computed in one pass; longer ones by the scans over blocks of ``scans``.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NAN = np.nan
 
@@ -129,7 +130,12 @@ def recursive_columns(o, h, low, c) -> dict[str, np.ndarray]:
 
 
 def with_recursive(bars: DataFrame) -> DataFrame:
-    """Adds all recursive columns to (symbol, bar_idx, open, high, low, close, ...); missing values are NULL."""
+    """Adds all recursive columns to (symbol, bar_idx, open, high, low, close, ...); missing values are NULL.
+
+    No group holds more than ``scans.BLOCK`` bars: longer symbols are told apart by their last bar_idx and scanned in blocks.
+    """
+    from comboscan.functions.cols import num
+    from comboscan.operators import scans
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx", kind="stable")
@@ -137,8 +143,9 @@ def with_recursive(bars: DataFrame) -> DataFrame:
             cols = recursive_columns(*(pdf[k].to_numpy(float) for k in ("open", "high", "low", "close")))
         return pd.concat([pdf.reset_index(drop=True), pd.DataFrame(cols)], axis=1)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + "".join(f", {c} double" for c in RECURSIVE)
-    from comboscan.functions.cols import num
-
-    out = bars.groupBy("symbol").applyInPandas(run, schema)
+    if (bars.agg(F.max("bar_idx")).first()[0] or 0) >= scans.BLOCK:
+        out = scans.with_recursive_blocks(bars)
+    else:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + "".join(f", {c} double" for c in RECURSIVE)
+        out = bars.groupBy("symbol").applyInPandas(run, schema)
     return out.withColumns({c: num(c) for c in RECURSIVE})

@@ -14,6 +14,7 @@ from comboscan.operators import metrics as M
 from comboscan.operators import search as Q
 from comboscan.operators import targets as T
 from comboscan.operators.kernels import with_recursive
+from comboscan.operators.scans import with_recursive_blocks
 from comboscan.plans.registry import ORACLES, QUERIES
 from comboscan.session import materialize, ship_package
 from comboscan.sources import bars as S
@@ -342,6 +343,47 @@ def ema_rma_kalman(spark, sf):
     return r6(with_recursive(by_type(spark, sf)).select("symbol", "bar_idx", "ema9", "atr", "kf_smooth"), "ema9", "atr", "kf_smooth")
 
 
+_FILTERED = ("smooth", 0.01, 0.1), ("trend", 0.001, 0.5), ("wicks", 0.01, 0.1)
+_EMA = lambda p: f"CASE WHEN t.bar_idx = {p - 1} THEN t.m{p} WHEN t.bar_idx > {p - 1} THEN 2.0::DOUBLE / {p + 1} * t.close + (1 - 2.0::DOUBLE / {p + 1}) * r.ema{p} END AS ema{p}"
+_RMA = lambda x, p=14: f"t.{x} / {p}.0::DOUBLE + ({p - 1}.0::DOUBLE / {p}) * r.s_{x} AS s_{x}"
+_KF = lambda k, y, q, v: f"r.kf_{k} + (r.p_{k} + {q}) / (r.p_{k} + {q} + {v}) * ({y} - r.kf_{k}) AS kf_{k}, {v} / (r.p_{k} + {q} + {v}) * (r.p_{k} + {q}) AS p_{k}, {y} - r.kf_{k} AS i_{k}"
+_KF0 = lambda k, y, q, v: f"{y} AS kf_{k}, ({v} / (1 + {q} + {v}) * (1 + {q}))::DOUBLE AS p_{k}, 0.0::DOUBLE AS i_{k}"
+_RECURRENCES = RBARS + f""",
+b0 AS (SELECT *, lag(close) OVER w AS pc, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, CASE WHEN close > open THEN open - low ELSE high - open END AS wick FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+tr AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus,
+  greatest(close - pc, 0) AS gain, greatest(pc - close, 0) AS loss, abs(close - pc) AS move FROM b0),
+t AS (SELECT *, CASE WHEN bar_idx = 0 THEN 0 ELSE tr END AS zr, avg(move) OVER (w ROWS 13 PRECEDING) AS mm, {", ".join(f"avg(close) OVER (w ROWS {p - 1} PRECEDING) AS m{p}" for p in (12, 26, 50))} FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+r1 AS (SELECT symbol, bar_idx, NULL::DOUBLE AS ema12, NULL::DOUBLE AS ema26, NULL::DOUBLE AS ema50, tr AS s_tr, 0.0::DOUBLE AS s_zr, 0.0::DOUBLE AS s_plus, 0.0::DOUBLE AS s_minus, NULL::DOUBLE AS s_gain, NULL::DOUBLE AS s_loss, NULL::DOUBLE AS c2c,
+    {", ".join(_KF0(k, "wick" if k == "wicks" else "close", q, v) for k, q, v in _FILTERED)} FROM t WHERE bar_idx = 0
+  UNION ALL SELECT t.symbol, t.bar_idx, {", ".join(_EMA(p) for p in (12, 26, 50))}, {", ".join(_RMA(x) for x in ("tr", "zr", "plus", "minus"))},
+    {", ".join(f"CASE WHEN t.bar_idx = 1 THEN t.{x} ELSE t.{x} / 14.0::DOUBLE + (13.0::DOUBLE / 14) * r.s_{x} END AS s_{x}" for x in ("gain", "loss"))},
+    CASE WHEN t.bar_idx < 14 THEN t.mm ELSE 2.0::DOUBLE / 15 * t.move + (1 - 2.0::DOUBLE / 15) * r.c2c END AS c2c, {", ".join(_KF(k, "t.wick" if k == "wicks" else "t.close", q, v) for k, q, v in _FILTERED)}
+  FROM r1 r JOIN t ON t.symbol = r.symbol AND t.bar_idx = r.bar_idx + 1),
+d0 AS (SELECT *, CASE WHEN s_zr > 2.3e-16 THEN 100 * s_plus / s_zr ELSE 0 END AS pdi, CASE WHEN s_zr > 2.3e-16 THEN 100 * s_minus / s_zr ELSE 0 END AS mdi, ema12 - ema26 AS line, lead(c2c) OVER (PARTITION BY symbol ORDER BY bar_idx) AS nc2c FROM r1),
+d AS (SELECT *, CASE WHEN pdi + mdi > 2.3e-16 THEN 100 * abs(pdi - mdi) / (pdi + mdi) ELSE 0 END AS dx, avg(line) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 8 PRECEDING) AS m9 FROM d0),
+r2 AS (SELECT symbol, bar_idx, dx AS s_dx, NULL::DOUBLE AS signal, {_KF0("atr", "s_tr", 0.01, 0.15)}, nc2c AS kf_c2c, 1.01::DOUBLE AS p_c2c, 0.0::DOUBLE AS i_c2c FROM d WHERE bar_idx = 0
+  UNION ALL SELECT t.symbol, t.bar_idx, {_RMA("dx")}, CASE WHEN t.bar_idx = 33 THEN t.m9 WHEN t.bar_idx > 33 THEN 0.2::DOUBLE * t.line + 0.8::DOUBLE * r.signal END, {_KF("atr", "t.s_tr", 0.01, 0.15)}, {_KF("c2c", "t.c2c", 0.01, 0.15)}
+  FROM r2 r JOIN d t ON t.symbol = r.symbol AND t.bar_idx = r.bar_idx + 1),
+r3 AS (SELECT symbol, bar_idx, {_KF0("adx", "s_dx", 0.005, 0.2)} FROM r2 WHERE bar_idx = 0
+  UNION ALL SELECT t.symbol, t.bar_idx, {_KF("adx", "t.s_dx", 0.005, 0.2)} FROM r3 r JOIN r2 t ON t.symbol = r.symbol AND t.bar_idx = r.bar_idx + 1)
+SELECT symbol, bar_idx, round(ema50, 6) AS ema50, round(CASE WHEN s_loss = 0 THEN 100 ELSE 100 - 100 / (1 + s_gain / s_loss) END, 6) AS rsi_14, round(line, 6) AS macd, round(signal, 6) AS macd_signal, round(s_dx, 6) AS adx,
+  round(c2c, 6) AS atr_c2c, round(kf_trend, 6) AS kf_trend, round(i_smooth, 6) AS kf_innovation, round(kf_wicks, 6) AS kf_wicks_smooth, round(kf_atr, 6) AS kf_atr, round(i_atr, 6) AS kf_atr_innovation, round(kf_c2c, 6) AS kf_atr_c2c,
+  round(i_c2c, 6) AS kf_atr_c2c_innovation, round(kf_adx, 6) AS kf_adx, round(i_adx, 6) AS kf_adx_innovation FROM d JOIN r2 USING (symbol, bar_idx) JOIN r3 USING (symbol, bar_idx)"""
+_RECURSIVE = ("ema50 rsi_14 macd macd_signal adx atr_c2c kf_trend kf_innovation kf_wicks_smooth kf_atr kf_atr_innovation kf_atr_c2c kf_atr_c2c_innovation kf_adx kf_adx_innovation").split()
+
+
+@query("recursive_indicators", _RECURRENCES)
+def recursive_indicators(spark, sf):
+    return r6(with_recursive(by_type(spark, sf)).select("symbol", "bar_idx", *_RECURSIVE), *_RECURSIVE)
+
+
+@query("recurrences_by_scan", _RECURRENCES)
+def recurrences_by_scan(spark, sf):
+    """The same columns by the scan over blocks, of 256 bars here."""
+    out = with_recursive_blocks(by_type(spark, sf), 256).withColumns({c: C.num(c) for c in _RECURSIVE})
+    return r6(out.select("symbol", "bar_idx", *_RECURSIVE), *_RECURSIVE)
+
+
 @query("fractional_equity", BARS + CURVES + """, q AS (SELECT *, 100000.0 * exp(sum(ln(1 + rr * 0.01)) OVER (PARTITION BY combination, symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)) AS cap FROM trades),
 p AS (SELECT *, greatest(100000.0, max(cap) OVER (PARTITION BY combination, symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)) AS pk FROM q)
 SELECT combination, symbol, round(arg_max(cap, bar_idx) / 100000 - 1, 6) AS growth, round(max((pk - cap) / pk * 100), 6) AS equity_max_dd_pct FROM p GROUP BY 1, 2""")

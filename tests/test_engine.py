@@ -484,3 +484,41 @@ def test_results_are_those_the_state_names(spark, tmp_path):
     s.commit(rows, 0, 10)
     rows.write.parquet(f"{tmp_path}/s/results/{'r' * 16}/window=0-20")  # written, never named
     assert ST.committed(spark, f"{tmp_path}/s").count() == 1
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.05])
+def test_scans_over_blocks_equal_plain_loops(spark, missing):
+    from comboscan.operators import scans as Z
+
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for sym, n in (("a", 1000), ("b", 60), ("c", 512), ("d", 1)):
+        c = np.cumsum(rng.normal(size=n)) + 300
+        o = c + rng.normal(size=n) * 0.3
+        price = [o, np.maximum(o, c) + rng.random(n), np.minimum(o, c) - rng.random(n), c]
+        for x in price:
+            x[rng.random(n) < missing] = np.nan
+        if missing and n > 500:
+            c[300:330] = np.nan
+        with np.errstate(all="ignore"):
+            want[sym] = N.recursive_columns(*price)
+        rows += [(sym, i, "kept", *(None if np.isnan(x) else float(x) for x in v)) for i, v in enumerate(zip(*price))]
+    df = spark.createDataFrame(rows, "symbol string, bar_idx long, block string, open double, high double, low double, close double")
+    got = Z.with_recursive_blocks(df.drop("block"), 256).toPandas()
+    assert len(got) == len(rows)
+    for sym, w in want.items():
+        g = got[got["symbol"] == sym].sort_values("bar_idx")
+        for k, v in w.items():
+            assert np.allclose(v, g[k].to_numpy(), rtol=1e-9, atol=1e-9, equal_nan=True), (sym, k)
+    assert Z.with_recursive_blocks(df.drop("block").where("false"), 256).count() == 0
+
+
+def test_long_symbols_are_scanned(spark, monkeypatch):
+    from comboscan.operators import scans as Z
+
+    rng = np.random.default_rng(6)
+    c = np.cumsum(rng.normal(size=700)) + 300
+    df = bars(spark, list(zip(c, c + 1, c - 1, c + rng.normal(size=700))), "open high low close")
+    plain = N.with_recursive(df).toPandas().sort_values("bar_idx")
+    monkeypatch.setattr(Z, "BLOCK", 256)
+    long = N.with_recursive(df).toPandas().sort_values("bar_idx")
+    assert all(np.allclose(plain[k], long[k], rtol=1e-9, atol=1e-9, equal_nan=True) for k in N.RECURSIVE)
