@@ -116,14 +116,6 @@ def double_rising(c: Column) -> Column:
     return true((c > lag(c)) & (lag(c) > lag(c, 2)))
 
 
-def percentile_rank(c: Column) -> Column:
-    """Average rank of ties over the number of values, over the whole series (it looks ahead)."""
-    by = Window.partitionBy("symbol")
-    before = F.count(F.when(c.isNotNull(), 1)).over(by.orderBy(c.asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0))
-    ties = F.count(c).over(Window.partitionBy("symbol", c))
-    return F.when(c.isNotNull() & (F.count(c).over(by) > 0), (before - (ties - 1) / 2.0) / F.count(c).over(by))
-
-
 def tick_price(p: Column, tick: float | None, mode: str) -> Column:
     """A price on the tick grid: nearest, floor or ceil; unchanged without a tick."""
     if not tick:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comboscan.functions import cols as C
+from comboscan.operators import order as O
 from comboscan.operators.combos import Predicate
 
 #: The flags a rich catalog searches, in order.
@@ -114,20 +115,12 @@ def label(value: float) -> str:
     return str(float(f"{value:.2f}"))
 
 
-def linear_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[str, list[float]]:
-    """Interpolated quantiles of finite values, all columns in one pass."""
-    r = df.agg(*[F.percentile(C.num(f"`{c}`"), F.array(*map(F.lit, qs))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: r[f"q{i}"] for i, c in enumerate(columns) if r[f"q{i}"] is not None}
-
-
-def nearest_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
-    """(name, q, value): nearest-rank quantiles round((n - 1) q) of finite values, by rank in a sort that Spark can spread."""
-    from pyspark.sql import Window
-
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), C.num(f"`{c}`").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    ranked = long.withColumns({"i": F.row_number().over(Window.partitionBy("name").orderBy("v")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("name"))})
-    want = ranked.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
-    return want.where(F.col("i") == F.round((F.col("n") - 1) * F.col("q"))).select("name", "q", F.col("v").alias("value"))
+def nearest_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> dict[tuple[str, float], float]:
+    """(column, q) -> nearest-rank quantile round((n - 1) q) of finite values, halves up."""
+    n_of = df.agg(*[F.count(C.num(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    rank = lambda n, q: math.floor((n - 1) * q + 0.5)
+    got = O.values_at(df, columns, lambda n: [rank(n, q) for q in qs])
+    return {(c, q): got[c][rank(n_of[i], q)] for i, c in enumerate(columns) if c in got for q in qs}
 
 
 def threshold_entries(
@@ -136,7 +129,7 @@ def threshold_entries(
     """Thresholds of each column from its 1st and 99th percentile; the first of equal names stays. ``bounds``: (min, max, step) of
     a column, each "auto" or a number."""
     have = {k: v for k, v in (operators or OPERATORS).items() if k in df.columns}
-    qs = linear_quantiles(df, sorted(have), [0.01, 0.99]) if have else {}
+    qs = O.linear_quantiles(df, sorted(have), [0.01, 0.99]) if have else {}
     out: dict[str, Entry] = {}
     for name, (a, b) in qs.items():
         given = [None if x == "auto" else float(x) for x in (bounds or {}).get(name, ("auto",) * 3)]
@@ -153,7 +146,7 @@ def threshold_entries(
 def builtin_catalog(df: DataFrame, with_pairs: bool = False) -> list[Entry]:
     """Four flags, volume / range / abs_body over their median and third quartile, and ordered pairs of prices and means."""
     cols = ["volume", "range", "abs_body"]
-    q = {(r["name"], r["q"]): r["value"] for r in nearest_quantiles(df, cols, [0.5, 0.75]).collect()}
+    q = nearest_quantiles(df, cols, [0.5, 0.75])
     out = [flag(n) for n in ("is_green", "is_red", "is_inside_bar", "is_range_expansion")]
     out += [constant(c, ">", q[c, p], f"p{int(p * 100)}") for c in cols for p in (0.5, 0.75) if (c, p) in q]
     return out + (pairs(["close", "sma_9", "sma_20", "sma_50"]) if with_pairs else [])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from comboscan.functions import cols as C
 from comboscan.operators.kernels import with_recursive
+from comboscan.operators.order import with_average_ranks
+from comboscan.session import materialize
 
 
 def builtin_features(bars: DataFrame) -> DataFrame:
@@ -102,7 +104,6 @@ def rich_features(bars: DataFrame) -> DataFrame:
         "9ema": e9, "20ema": e20, "50ema": e50, "is_tribar": _q("is_tribar_green") | _q("is_tribar_red"), "is_tribar_hl": _q("is_tribar_hl_green") | _q("is_tribar_hl_red"),
         "prev_green": C.lag_flag(_q("is_green")), "bullish_bar_sequence": _q("higher_high") & _q("higher_low"), "bearish_bar_sequence": _q("lower_high") & _q("lower_low"),
         "wicks_diff_sma14": C.sma(_q("wicks_diff"), 14), "body_atr_ratio": C.ratio(body, atr),
-        "_r14": C.percentile_rank(_q("rsi_14")), "_r5": C.percentile_rank(_q("roc_5")), "_r10": C.percentile_rank(_q("roc_10")),
         "trend_strength": 0.4 * adx / 100 + 0.6 * 10 * F.abs(C.ratio(c, s200) - 1), "adx_sma": C.sma(adx, 14),
         "kf_vs_9ema": C.ratio(kf - e9, e9), "kf_vs_200sma": C.ratio(kf - s200, s200), "kf_price_deviation": C.ratio(c - kf, c), "kf_innovation_abs": F.abs(inn),
         "kf_adx_innovation_abs": F.abs(_q("kf_adx_innovation")), "kf_trend_momentum": C.derivative(_q("kf_trend"), 5),
@@ -113,10 +114,11 @@ def rich_features(bars: DataFrame) -> DataFrame:
         "atr_pct_mean50": C.sma(atr, 50), "atr_c2c_mean50": C.sma(c2c, 50), "macd_hist_delta_1": C.derivative(_q("macd_hist"), 1),
         "bb_position": band_position(c, lower, upper), "ext_sma14": C.sma(_q("ext"), 14),
     })
+    df = materialize(df, "features")
+    df = with_average_ranks(df, {"_r14": _q("rsi_14"), "_r5": _q("roc_5"), "_r10": _q("roc_10")}, {"_q80": (_q("trend_strength"), 0.8)})
     df = df.withColumns({
         "momentum_score": (_q("_r14") + _q("_r5") + _q("_r10")) / 3, "prev_tribar": C.lag_flag(_q("is_tribar")),
         "kf_trend_volatility_ratio": C.ratio(kadx, 100 * _q("kf_atr_pct") + 1e-9),
-        "_q80": F.percentile("trend_strength", 0.8).over(Window.partitionBy("symbol")),
         "_dkf": C.derivative(kf, 1), "_skf": C.derivative(kf, 5) / 5, "_dadx": C.derivative(kadx, 1), "_dc2c": C.derivative(kc2c, 1), "_datr": C.derivative(katr, 1), "_h1": _q("macd_hist_delta_1"),
     }).drop("_r14", "_r5", "_r10")
     return df.withColumns(_conditions(c, o, body, lower, upper)).drop("_q80", "_dkf", "_skf", "_dadx", "_dc2c", "_datr", "_h1", "bb_middle")

@@ -11,6 +11,7 @@ from comboscan.operators import catalog as K
 from comboscan.operators import combos as X
 from comboscan.operators import features as FE
 from comboscan.operators import metrics as M
+from comboscan.operators import order as O
 from comboscan.operators import search as Q
 from comboscan.operators import targets as T
 from comboscan.operators.kernels import with_recursive
@@ -175,7 +176,7 @@ def roc_momentum(spark, sf):
 
 @query("percentile_rank", BARS + """ SELECT symbol, bar_idx, round((rank() OVER (PARTITION BY symbol ORDER BY close) + (count(*) OVER (PARTITION BY symbol, close) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol), 6) AS pr FROM bars""")
 def percentile_rank(spark, sf):
-    return r6(by_type(spark, sf).withColumn("pr", C.percentile_rank(C.num("close"))).select("symbol", "bar_idx", "pr"), "pr")
+    return r6(O.with_average_ranks(by_type(spark, sf), {"pr": C.num("close")}).select("symbol", "bar_idx", "pr"), "pr")
 
 
 @query("crosses", BARS + FEATS + """ SELECT symbol, bar_idx, coalesce(lag(close) OVER w <= lag(sma_9) OVER w AND close > sma_9, false) AS up, coalesce(lag(close) OVER w >= lag(sma_9) OVER w AND close < sma_9, false) AS down,
@@ -195,13 +196,16 @@ def week_month_index(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM l)
 SELECT name, q, round(v, 6) AS value FROM r, (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) t(q) WHERE i = round((n - 1) * q)""")
 def quantile_nearest(spark, sf):
-    return r6(K.nearest_quantiles(prepared(spark, sf), ["volume", "range", "abs_body"], [0.5, 0.75]), "value")
+    df = materialize(prepared(spark, sf).select("volume", "range", "abs_body"), "bars")
+    got = K.nearest_quantiles(df, df.columns, [0.5, 0.75])
+    return r6(spark.createDataFrame([(c, q, v) for (c, q), v in got.items()], "name string, q double, value double"), "value")
 
 
 @query("quantile_linear", BARS + """ SELECT symbol, round(quantile_cont(close, 0.01), 6) AS q01, round(quantile_cont(close, 0.8), 6) AS q80, round(quantile_cont(close, 0.99), 6) AS q99 FROM bars GROUP BY 1""")
 def quantile_linear(spark, sf):
-    q = lambda p: F.round(F.percentile("close", p), 6)
-    return by_type(spark, sf).groupBy("symbol").agg(q(0.01).alias("q01"), q(0.8).alias("q80"), q(0.99).alias("q99"))
+    qs = {"q01": 0.01, "q80": 0.8, "q99": 0.99}
+    df = O.with_average_ranks(by_type(spark, sf), {}, {n: (C.num("close"), q) for n, q in qs.items()})
+    return r6(df.select("symbol", *qs).distinct(), *qs)
 
 
 @query("predicate_support", BARS + FEATS + """ SELECT count(*) FILTER (close > 100) AS close_gt, count(*) FILTER (volume <= 10) AS volume_le, count(*) FILTER (sma_9 >= sma_20) AS pair, count(*) FILTER (is_green AND close > 50 AND volume > 5) AS entry,
@@ -225,20 +229,33 @@ def mask_dedupe(spark, sf):
     return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("m")).groupBy("m.name").agg(F.count_if("m.v").alias("support"))
 
 
-@query("combo_enumerate_d3", """WITH c AS (SELECT unnest(range(0, 12))::INTEGER AS i), t AS (
-  SELECT 1 AS depth, lpad(i::VARCHAR, 2, '0') AS k FROM c UNION ALL SELECT 2, lpad(a.i::VARCHAR, 2, '0') || '-' || lpad(b.i::VARCHAR, 2, '0') FROM c a JOIN c b ON a.i < b.i UNION ALL
-  SELECT 3, lpad(a.i::VARCHAR, 2, '0') || '-' || lpad(b.i::VARCHAR, 2, '0') || '-' || lpad(d.i::VARCHAR, 2, '0') FROM c a JOIN c b ON a.i < b.i JOIN c d ON b.i < d.i)
-SELECT row_number() OVER (ORDER BY depth, k) - 1 AS combo_id, depth, k AS combo FROM t""")
+#: The kinds of an event (its type and part of the day), as a catalog in order.
+_KINDS = """k AS (SELECT DISTINCT event_type || '/' || (hour(ts) // 12) AS kind FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL), c AS (SELECT row_number() OVER (ORDER BY kind) - 1 AS i, kind FROM k)"""
+
+
+def kinds(spark, sf) -> list[str]:
+    kind = F.concat_ws("/", "event_type", F.floor(F.hour("ts") / 12).cast("string"))
+    return sorted(r[0] for r in events(spark, sf).where("event_type is not null and ts is not null").select(kind.alias("kind")).distinct().collect())
+
+
+@query("combo_enumerate_d3", "WITH " + _KINDS + """, t AS (
+  SELECT 1 AS depth, lpad(i::VARCHAR, 2, '0') AS k, kind AS names FROM c UNION ALL SELECT 2, lpad(a.i::VARCHAR, 2, '0') || '-' || lpad(b.i::VARCHAR, 2, '0'), a.kind || ' && ' || b.kind FROM c a JOIN c b ON a.i < b.i UNION ALL
+  SELECT 3, lpad(a.i::VARCHAR, 2, '0') || '-' || lpad(b.i::VARCHAR, 2, '0') || '-' || lpad(d.i::VARCHAR, 2, '0'), a.kind || ' && ' || b.kind || ' && ' || d.kind FROM c a JOIN c b ON a.i < b.i JOIN c d ON b.i < d.i)
+SELECT row_number() OVER (ORDER BY depth, k) - 1 AS combo_id, depth, names AS combo FROM t""")
 def combo_enumerate_d3(spark, sf):
-    ship_package(spark)
-    e = X.enumerate_range(spark, 12, 3)
-    return e.select("combo_id", F.size("combo").alias("depth"), F.array_join(F.transform("combo", lambda x: F.lpad(x.cast("string"), 2, "0")), "-").alias("combo"))
+    """Combinations of up to three kinds of events by their ranks."""
+    names = kinds(spark, sf)
+    e = X.enumerate_range(spark, len(names), 3)
+    named = F.transform("combo", lambda x: F.get(F.array(*map(F.lit, names)), x))
+    return e.select("combo_id", F.size("combo").alias("depth"), F.array_join(named, " && ").alias("combo"))
 
 
-@query("combo_join_d2", """WITH c AS (SELECT unnest(range(0, 8))::INTEGER AS i) SELECT i::VARCHAR AS combo FROM c UNION ALL SELECT a.i || '-' || b.i FROM c a JOIN c b ON a.i < b.i""")
+@query("combo_join_d2", "WITH " + _KINDS + " SELECT kind AS combo FROM c UNION ALL SELECT a.kind || ' && ' || b.kind FROM c a JOIN c b ON a.i < b.i")
 def combo_join_d2(spark, sf):
-    cat = K.catalog_frame(spark, [K.flag(n) for n in FLAGS])
-    return X.enumerate_join(cat, 2).select(F.array_join(F.col("combo").cast("array<string>"), "-").alias("combo"))
+    """Combinations of up to two kinds of events by ordered self-joins."""
+    cat = K.catalog_frame(spark, [K.flag(n) for n in kinds(spark, sf)])
+    named = X.enumerate_join(cat, 2).select(F.col("combo").alias("n"), F.posexplode("combo")).join(cat.select(F.col("idx").alias("col"), "name"), "col")
+    return named.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), " && ").alias("combo")).select("combo")
 
 
 @query("combo_support_bits", BARS + FEATS + f""", m AS (SELECT symbol, bar_idx, unnest(range(0, 8))::INTEGER AS i, unnest([{", ".join(FLAGS)}]) AS v FROM feats)
@@ -247,25 +264,40 @@ def combo_support_bits(spark, sf):
     return X.pair_support(X.mask_words(prepared(spark, sf), FLAGS))
 
 
-@query("scalar_bound_prune", """WITH p AS (SELECT * FROM (VALUES (0, 'adx', 'lower'), (1, 'adx', 'lower'), (2, 'adx', 'upper'), (3, 'rsi', 'lower'), (4, 'flag', NULL)) t(i, base, kind))
-SELECT a.i || '-' || b.i AS combo FROM p a JOIN p b ON a.i < b.i WHERE NOT coalesce(a.base = b.base AND a.kind = b.kind, false)""")
+_BOUNDED = BARS + FEATS + """, s AS (SELECT quantile_cont(volume, [0.25, 0.5, 0.75]) AS v, quantile_cont(high - low, [0.25, 0.5, 0.75]) AS r FROM bars),
+m AS (SELECT symbol, bar_idx, unnest(range(0, 6)) AS i, unnest([volume > s.v[1], volume > s.v[2], volume < s.v[3], high - low > s.r[1], high - low < s.r[3], is_green]) AS f FROM feats, s WHERE elig),
+n AS (SELECT i, CASE WHEN i IN (0, 1) THEN 'volume>' WHEN i = 2 THEN 'volume<' WHEN i = 3 THEN 'range>' WHEN i = 4 THEN 'range<' ELSE 'green' END AS kind FROM range(0, 6) t(i))"""
+
+
+def bounded(spark, sf) -> tuple[DataFrame, list[X.Predicate]]:
+    """Bars with six predicates: volume over its first quartile and its median, under its third; range over and under; green."""
+    df = materialize(prepared(spark, sf), "bars")
+    q = O.linear_quantiles(df, ["volume", "range"], [0.25, 0.5, 0.75])
+    v, r = q["volume"], q["range"]
+    preds = [("volume", ">", v[0]), ("volume", ">", v[1]), ("volume", "<", v[2]), ("range", ">", r[0]), ("range", "<", r[2])]
+    df = df.withColumns({f"p{i}": C.compare(F.col(c), op, x) for i, (c, op, x) in enumerate(preds)} | {"p5": F.col("is_green")})
+    return df, [X.Predicate(f"p{i}", c, op) for i, (c, op, _) in enumerate(preds)] + [X.Predicate("p5")]
+
+
+@query("scalar_bound_prune", _BOUNDED + """ SELECT a.symbol, 'p' || a.i || ' && p' || b.i AS combination, count(*) AS total_bars
+FROM m a JOIN m b ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx AND a.i < b.i AND a.f AND b.f JOIN n x ON x.i = a.i JOIN n y ON y.i = b.i WHERE x.kind <> y.kind GROUP BY ALL""")
 def scalar_bound_prune(spark, sf):
-    specs = [("adx", "lower"), ("adx", "lower"), ("adx", "upper"), ("rsi", "lower"), ("flag", None)]
-    p = spark.createDataFrame([(i, *s) for i, s in enumerate(specs)], "i int, base string, kind string")
-    combos = X.enumerate_join(p.select(F.col("i").alias("idx")), 2).where(F.size("combo") == 2)
-    ex = combos.select("combo", F.explode("combo").alias("i")).join(p, "i").where("kind is not null")
-    bad = ex.groupBy("combo", "base", "kind").count().where("count > 1").select("combo")
-    return combos.join(bad, "combo", "left_anti").select(F.array_join(F.col("combo").cast("array<string>"), "-").alias("combo"))
+    """Pairs of predicates with at most one lower and one upper bound of a column, with their trades."""
+    df, preds = bounded(spark, sf)
+    out = Q.search(Q.pack(df, [p.name for p in preds], "next_bar_up"), preds, 2)
+    return out.where("depth = 2").select("symbol", "combination", "total_bars")
 
 
-@query("dead_pair_prune", """WITH c AS (SELECT unnest(range(0, 6)) AS i), t AS (SELECT a.i AS x, b.i AS y, d.i AS z FROM c a JOIN c b ON a.i < b.i JOIN c d ON b.i < d.i), dead AS (SELECT * FROM (VALUES (0, 1), (2, 5)) v(p, q))
-SELECT x || '-' || y || '-' || z AS combo FROM t WHERE NOT EXISTS (SELECT 1 FROM dead WHERE (p, q) IN ((x, y), (x, z), (y, z))) AND (x = 3 OR y = 3 OR z = 3)""")
+@query("dead_pair_prune", _BOUNDED + """, d AS (SELECT i, j, coalesce(max(c), 0) AS c FROM (SELECT x.i, y.i AS j FROM n x JOIN n y ON x.i < y.i) LEFT JOIN
+    (SELECT symbol, a.i, b.i AS j, count(*) AS c FROM m a JOIN m b USING (symbol, bar_idx) WHERE a.i < b.i AND a.f AND b.f GROUP BY ALL) USING (i, j) GROUP BY ALL)
+SELECT i, j FROM d WHERE c < 300""")
 def dead_pair_prune(spark, sf):
-    ship_package(spark)
-    dead = spark.createDataFrame([(0, 1), (2, 5)], "p int, q int")
-    c = X.enumerate_range(spark, 6, 3).where(F.size("combo") == 3).where(F.arrays_overlap("combo", F.array(F.lit(3))))
-    pairs = c.select("combo_id", F.explode(F.array(*[F.struct(F.get("combo", i).alias("p"), F.get("combo", j).alias("q")) for i, j in ((0, 1), (0, 2), (1, 2))])).alias("e")).select("combo_id", "e.*")
-    return c.join(pairs.join(dead, ["p", "q"]).select("combo_id"), "combo_id", "left_anti").select(F.array_join(F.col("combo").cast("array<string>"), "-").alias("combo"))
+    """Pairs of predicates with fewer than 300 common trades in every symbol: no deeper combination of them can have more."""
+    df, preds = bounded(spark, sf)
+    rows = Q.dead_pairs(Q.pack(df, [p.name for p in preds], "next_bar_up"), 300)
+    bit = lambda k: F.conv(F.hex(F.substring("bits", 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(128 >> k)) > 0
+    later = F.array_compact(F.array(*[F.when(bit(k), F.col("i") + 1 + k) for k in range(len(preds) - 1)]))
+    return rows.where(F.length("bits") > 0).select("i", F.explode(later).alias("j"))
 
 
 @query("core_stats", BARS + CURVES + """ SELECT combination, symbol, count(*) AS total_bars, count(*) FILTER (rr > 0) AS profitable_bars, count(*) FILTER (rr < 0) AS unprofitable_bars, count(*) FILTER (label) AS label_hits,
@@ -392,10 +424,19 @@ def fractional_equity(spark, sf):
     return e.select("combination", "symbol", F.round(F.col("total_return_pct") / 100, 6).alias("growth"), F.round("equity_max_dd_pct", 6).alias("equity_max_dd_pct"))
 
 
-@query("contracts_equity")
+@query("contracts_equity", RBARS + FEATS + f""",
+trades AS MATERIALIZED (SELECT symbol, rr, combination, row_number() OVER (PARTITION BY combination, symbol ORDER BY bar_idx) AS i FROM (SELECT *, unnest({_MASKS}) AS combination FROM feats) WHERE combination IS NOT NULL AND elig),
+rec AS (SELECT DISTINCT combination, symbol, 0::BIGINT AS i, 100000.0::DOUBLE AS cap, 100000.0::DOUBLE AS pk, 0.0::DOUBLE AS dd, 0.0::DOUBLE AS pct FROM trades
+  UNION ALL SELECT combination, symbol, i, cap, greatest(pk, cap), greatest(dd, greatest(pk, cap) - cap), greatest(pct, 100 * (greatest(pk, cap) - cap) / greatest(pk, cap)) FROM (
+    SELECT r.combination, r.symbol, t.i, r.pk, r.dd, r.pct, r.cap + least(20.0, greatest(1.0, floor(r.cap * 0.01 / 250)), greatest(0.0, floor(r.cap / 2500))) * 250 * t.rr AS cap
+    FROM rec r JOIN trades t ON t.combination = r.combination AND t.symbol = r.symbol AND t.i = r.i + 1))
+SELECT combination, symbol, round(arg_max(cap, i), 6) AS final_capital, round(max(pct), 6) AS equity_max_dd_pct, round(max(dd), 6) AS equity_max_dd, round(100 * (arg_max(cap, i) / 100000 - 1), 6) AS total_return_pct,
+  round(CASE WHEN max(pct) > 0 THEN 100 * (arg_max(cap, i) / 100000 - 1) / max(pct) WHEN arg_max(cap, i) > 100000 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS calmar_ratio FROM rec GROUP BY 1, 2""")
 def contracts_equity(spark, sf):
     t = flag_trades(spark, sf).withColumn("rpc", F.lit(250.0))
-    return M.equity(t, M.Sizing(mode="contracts", capital=100_000, risk_pct=1, max_contracts=20, margin=2500), "rpc")
+    out = M.equity(t, M.Sizing(mode="contracts", capital=100_000, risk_pct=1, max_contracts=20, margin=2500), "rpc")
+    names = ("final_capital", "equity_max_dd_pct", "equity_max_dd", "total_return_pct", "calmar_ratio")
+    return r6(out.select("combination", "symbol", *names), *names)
 
 
 @query("no_stacking", RBARS + FEATS + """, h AS (SELECT symbol, bar_idx, CASE WHEN bar_idx % 3 = 0 THEN bar_idx + 4 ELSE bar_idx + 2 END AS x FROM feats WHERE is_green AND elig),

@@ -522,3 +522,55 @@ def test_long_symbols_are_scanned(spark, monkeypatch):
     monkeypatch.setattr(Z, "BLOCK", 256)
     long = N.with_recursive(df).toPandas().sort_values("bar_idx")
     assert all(np.allclose(plain[k], long[k], rtol=1e-9, atol=1e-9, equal_nan=True) for k in N.RECURSIVE)
+
+
+def test_order_statistics_equal_numpy(spark, monkeypatch):
+    from comboscan.operators import order as O
+
+    monkeypatch.setattr(O, "CELLS", 4)
+    rng = np.random.default_rng(9)
+    n = 500
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.full(n, 7.0), "d": 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n), "e": np.full(n, np.nan)})
+    pdf.loc[::7, "a"] = np.nan
+    pdf.loc[3, "b"] = np.inf
+    df = spark.createDataFrame(pdf).repartition(3)
+    qs = [0.0, 0.01, 0.5, 0.77, 1.0]
+    got = O.linear_quantiles(df, list("abcde"), qs)
+    assert set(got) == set("abcd")
+    for k, v in got.items():
+        x = pdf[k].to_numpy()
+        assert np.allclose(v, np.quantile(x[np.isfinite(x)], qs), rtol=1e-12)
+    near = K.nearest_quantiles(df, ["a", "d"], [0.5, 0.75])
+    for (k, q), v in near.items():
+        x = np.sort(pdf[k][np.isfinite(pdf[k])])
+        assert v == x[math.floor((len(x) - 1) * q + 0.5)]
+    assert O.linear_quantiles(df.where("false"), ["a"], qs) == {} and O.linear_quantiles(df, [], qs) == {}
+
+
+def test_average_ranks_share_ties(spark):
+    from comboscan.operators import order as O
+
+    rng = np.random.default_rng(10)
+    pdf = pd.concat([pd.DataFrame({"symbol": s, "bar_idx": np.arange(n), "x": rng.integers(0, 9, n).astype(float), "y": rng.normal(size=n)}) for s, n in (("a", 300), ("b", 40), ("c", 1))])
+    pdf.loc[pdf["bar_idx"] % 11 == 5, "x"] = None
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = O.with_average_ranks(df, {"rx": C.num("x"), "ry": C.num("y")}, {"q": (C.num("y"), 0.8)}).toPandas().sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+    pdf = pdf.sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+    for c in "xy":
+        assert np.allclose(got[f"r{c}"], pdf.groupby("symbol")[c].rank(pct=True), equal_nan=True)
+    assert np.allclose(got["q"], pdf.groupby("symbol")["y"].transform(lambda v: v.quantile(0.8)))
+
+
+def test_chains_of_trades_are_doubled(spark):
+    rng, rows, want = np.random.default_rng(13), [], set()
+    for combo in ("x", "y", "z"):
+        n = {"x": 300, "y": 1, "z": 40}[combo]
+        hits = np.sort(rng.choice(500, n, replace=False))
+        exits = np.zeros(501, int)
+        exits[hits] = hits + rng.integers(-2, 9, n)
+        rows += [(combo, "s", int(i), 1.0, True, int(exits[i]) if exits[i] > i else None) for i in hits]
+        want |= {(combo, int(i)) for i in X.no_stacking(hits, np.where(exits > np.arange(501), exits, -1))}
+    t = spark.createDataFrame(rows, "combination string, symbol string, bar_idx long, rr double, label boolean, exit_i long")
+    got = M.without_stacking(t)
+    assert {(r["combination"], r["bar_idx"]) for r in got.collect()} == want and got.columns == t.columns
+    assert M.without_stacking(t.where("false")).count() == 0
