@@ -43,16 +43,44 @@ CREATE OR REPLACE TEMP TABLE met AS
 INSERT INTO links
   SELECT m.unit, m.a, b.id AS b, count(*) AS n FROM (SELECT unit, id AS a, unnest(range(lo, hi + 1)) AS pos FROM met) m JOIN b USING (pos) GROUP BY ALL;
 """
-LINKS = """
-WITH d AS (SELECT doc, a, b, sum(n)::INT AS n FROM spots JOIN links USING (unit) GROUP BY doc, a, b)
-SELECT doc, sum(n)::BIGINT AS n_links, list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b, list(n ORDER BY a, b) AS n FROM d GROUP BY doc ORDER BY doc
-"""
-PAIRS = "SELECT a, b, sum(times)::INT AS n FROM (SELECT DISTINCT doc, a, b FROM spots JOIN links USING (unit)) JOIN held USING (doc) GROUP BY a, b ORDER BY a, b"
+HELD = "CREATE OR REPLACE TEMP TABLE d AS SELECT doc, a, b, sum(n)::INT AS n FROM spots JOIN links USING (unit) GROUP BY doc, a, b"
+LINKS = "SELECT doc, sum(n)::BIGINT AS n_links, list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b, list(n ORDER BY a, b) AS n FROM d GROUP BY doc ORDER BY doc"
+PAIRS = "SELECT a, b, sum(times)::INT AS n FROM d JOIN held USING (doc) GROUP BY a, b ORDER BY a, b"
 #: Rows of documents first, then one row with the block's distinct pairs and how many of its documents hold each.
 ROW = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]
 SPARK_ROW = "n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, n array<int>"
 
 
+class Side:
+    """Ids of all texts by one tokenizer, and where each stretch starts."""
+
+    def __init__(self, ids: np.ndarray, start: np.ndarray) -> None:
+        self.ids, self.start = ids, start
+        self.length = np.diff(np.append(start, len(ids)))
+
+    def code(self) -> np.ndarray:
+        """A code of each stretch's ids and their order."""
+        place = np.arange(len(self.ids)) - np.repeat(self.start, self.length)
+        mixed = (self.ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * (2 * place.astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9))
+        return np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB), self.start)
+
+    def places(self, stretch: np.ndarray) -> np.ndarray:
+        """Where the ids of these stretches lie, one stretch after the other."""
+        n = self.length[stretch]
+        return np.repeat(self.start[stretch] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def equal(self, same: np.ndarray) -> bool:
+        """Whether each stretch has the ids of the one named for it."""
+        return bool((self.length == self.length[same]).all()) and bool((self.ids == self.ids[self.places(same)]).all())
+
+    def intervals(self, stretch: np.ndarray, size: np.ndarray, first: int) -> pa.Table:
+        """(unit, pos, id, s, e) of these stretches' tokens on one byte axis."""
+        flat = self.ids[self.places(stretch)]
+        end = np.cumsum(size[flat])
+        unit = np.repeat(np.arange(first, first + len(stretch), dtype=np.int32), self.length[stretch])
+        return pa.table({"unit": unit, "pos": np.arange(len(flat)), "id": flat, "s": end - size[flat], "e": end})
+
+
 class Aligner:
     """Both tokenizers and a DuckDB of one worker."""
 
@@ -78,36 +106,36 @@ class Aligner:
         """Ids of both tokenizers, special tokens' strings being plain text; None unless both spell a space and the text."""
         spelled = (" " + text).encode()
         a = self.first.encode_to_numpy(" " + text, disallowed_special=()).astype("<i4")
-        same = b"".join([self.a_bytes[i] for i in a.tolist()]) == spelled and b"".join([self.b_bytes[i] for i in b]) == spelled
+        # a plain byte-level model spells what it is given, as its length shows
+        same = int(self.a_size[a].sum()) == len(spelled) and b"".join([self.b_bytes[i] for i in b]) == spelled
         return (a, np.array(b, "<i4")) if same else None
 
-    def stretches(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """Both ids of each stretch, packed: cut before the pieces that begin with a space, where a token ends."""
+    def stretches(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[Side, Side, np.ndarray]:
+        """Both ids of all texts, cut at every text and before the pieces that begin with a space where a token ends, and for each stretch
+        the number of the first equal one."""
+        a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        at = np.flatnonzero(self.begins[b[1:]]) + 1
-        near = np.searchsorted(a_end, b_end[at - 1])
-        ok = a_end[near] == b_end[at - 1]
-        a_cut, b_cut = [0, *(4 * (near[ok] + 1)).tolist(), 4 * len(a)], [0, *(4 * at[ok]).tolist(), 4 * len(b)]
-        a_raw, b_raw = a.tobytes(), b.tobytes()
-        return zip([a_raw[i:j] for i, j in zip(a_cut, a_cut[1:])], [b_raw[i:j] for i, j in zip(b_cut, b_cut[1:])])
-
-    @staticmethod
-    def intervals(ids: list[bytes], size: np.ndarray, first: int) -> pa.Table:
-        """(unit, pos, id, s, e) of all stretches' tokens on one byte axis."""
-        flat = np.frombuffer(b"".join(ids), "<i4")
-        end = np.cumsum(size[flat])
-        unit = np.repeat(np.arange(first, first + len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
-        return pa.table({"unit": unit, "pos": np.arange(len(flat)), "id": flat, "s": end - size[flat], "e": end})
+        at = np.flatnonzero(self.begins[b])
+        at = np.union1d(at, np.cumsum([0, *(len(x[1]) for x in found[:-1])]))  # every text begins with a space, in either model
+        ends = b_end[at[1:] - 1]
+        near = np.searchsorted(a_end, ends)
+        ok = a_end[near] == ends
+        sides = Side(a, np.concatenate([[0], near[ok] + 1])), Side(b, np.concatenate([[0], at[1:][ok]]))
+        _, first, number = np.unique(sides[0].code() * np.uint64(31) + sides[1].code(), return_index=True, return_inverse=True)
+        same = first[number]
+        if not all(x.equal(same) for x in sides):  # two stretches of one code: none is taken for another
+            same = np.arange(len(same))
+        return *sides, same
 
-    def align(self, units: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, list[str]]:
-        """(groups of each stretch, their text); the links go to the table ``links``."""
+    def align(self, a: Side, b: Side, units: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """(groups of each of these stretches, their text); the links go to the table ``links``."""
         con, counts, texts, at = self.con, [], [], 0
         con.execute("CREATE OR REPLACE TEMP TABLE links (unit INT, a INT, b INT, n BIGINT)")
-        upto = np.cumsum([len(x[0]) + len(x[1]) for x in units])
+        upto = np.cumsum(a.length[units] + b.length[units])
         while at < len(units):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * TOKENS, "right")))
-            con.register("a_in", self.intervals([x[0] for x in units[at:to]], self.a_size, at))
-            con.register("b_in", self.intervals([x[1] for x in units[at:to]], self.b_size, at))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOKENS, "right")))
+            con.register("a_in", a.intervals(units[at:to], self.a_size, at))
+            con.register("b_in", b.intervals(units[at:to], self.b_size, at))
             con.execute(SQL)
             n, lines = self.written(*(con.execute(f"SELECT unit, id, grp::BIGINT AS grp FROM {t} ORDER BY pos").fetchnumpy() for t in "ab"))
             counts.append(n)
@@ -138,16 +166,20 @@ class Aligner:
         empty = pa.table({k: pa.array([0], k_t) if k_t == pa.int64() else pa.array(["" if k_t == pa.string() else []], k_t) for k, k_t in ROW})
         if not doc:
             return pa.concat_tables([empty] * len(texts)), ([], [], [])
-        known: dict[tuple[bytes, bytes], int] = {}
-        spots = [[known.setdefault(u, len(known)) for u in self.stretches(a, b)] for a, b in found.values()]
-        counts, parts = self.align(list(known))
-        con, sizes = self.con, [len(x) for x in spots]
-        con.register("spots", pa.table({"doc": np.repeat(np.arange(len(doc), dtype=np.int32), sizes), "unit": np.concatenate([np.array(x, np.int32) for x in spots])}))
+        left, right, same = self.stretches(list(found.values()))
+        units, number = np.unique(same, return_inverse=True)
+        counts, parts = self.align(left, right, units)
+        con = self.con
+        of = np.searchsorted(np.cumsum([len(x[0]) for x in found.values()]), left.start, "right").astype(np.int32)
+        con.register("spots", pa.table({"doc": of, "unit": number.astype(np.int32)}))
+        cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        spots = [number[i:j].tolist() for i, j in zip(cuts, [*cuts[1:], len(number)])]
+        con.execute(HELD)
         links = con.sql(LINKS).to_arrow_table()
         whole = [";".join([parts[u] for u in x]) for x in spots]
         if self.groups == "sha256":
             whole = [hashlib.sha256(x.encode()).hexdigest() for x in whole]
-        n = [[len(x[0]) for x in found.values()], [len(x[1]) for x in found.values()], [int(counts[x].sum()) for x in spots]]
+        n = [[len(x[0]) for x in found.values()], [len(x[1]) for x in found.values()], [int(x) for x in np.add.reduceat(counts[number], cuts)]]
         values = [*n, links["n_links"], whole, links["a"], links["b"], links["n"]]
         per = pa.Table.from_arrays([v.cast(t) if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for v, (_, t) in zip(values, ROW)], [k for k, _ in ROW])
         at = [doc.get(t, len(doc)) for t in texts]
