@@ -50,15 +50,16 @@ def grams(rows: DataFrame, n: int) -> DataFrame:
 def words_and_pairs(rows: DataFrame) -> DataFrame:
     """(lang, n, phrase, f) of all words (n = 1) and pairs (n = 2), and how many words each language has (n = 0).
 
-    Each word is one row with its follower, none at a stretch's end; a word's count is the sum of its followers'.
+    Each word is one row with its follower, an empty one at a stretch's end; a word's count is the sum of its followers'. All three
+    read one exchange: what tells them apart is asked of the counts, as a condition on the follower would be pushed below it.
     """
     words = F.col("words")
-    each = rows.select("lang", F.explode(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i + 1).alias("v")))).alias("g")).select("lang", "g.*")
+    each = rows.select("lang", F.explode(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("v")))).alias("g")).select("lang", "g.*")
     pairs = each.groupBy("lang", "w", "v").agg(F.count(F.lit(1)).alias("f"))
-    single = pairs.groupBy("lang", "w").agg(F.sum("f").alias("f"))
-    row = lambda df, n, phrase: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), "f")
-    all_words = single.groupBy("lang").agg(F.sum("f").alias("f"))
-    return row(pairs.where("v is not null"), 2, F.concat_ws(" ", "w", "v")).unionByName(row(single, 1, F.col("w"))).unionByName(row(all_words, 0, F.lit("")))
+    row = lambda df, n, phrase, f: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), f.alias("f"))
+    both = row(pairs, 2, F.concat_ws(" ", "w", "v"), F.when(F.col("v") == "", F.lit(0)).otherwise(F.col("f")))
+    single = row(pairs.groupBy("lang", "w").agg(F.sum("f").alias("f")), 1, F.col("w"), F.col("f"))
+    return both.unionByName(single).unionByName(row(pairs.groupBy("lang").agg(F.sum("f").alias("f")), 0, F.lit(""), F.col("f")))
 
 
 def word_code(word: str) -> int:
