@@ -65,3 +65,29 @@ def test_near_copies_of_sf_tables_are_found(spark):
     close = [i for i in range(120) if jaccard(rows[i][1], rows[120 + i][1]) >= 0.8]
     missed = sum(1000 + i in kept for i in close)
     assert missed <= 0.1 * len(close) and all(1000 + i in kept for i in range(120) if i not in close)
+
+
+def test_callers_columns_survive_every_stage(spark, tmp_path):
+    rnd = random.Random(10)
+    words = ["".join(rnd.choice("bdgklm") + rnd.choice("aei") for _ in range(3)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(60)) + (" mail a@b.org" if i % 3 == 0 else ""), "xx", "s", 7, i / 4, i, "mine", 0.5, i % 2 == 0, f"k{i}", i, i, f"t{i}") for i in range(40)]
+    rows += [(None, rows[3][1], None, None, None, None, None, None, None, None, None, None, None, None), (90, None, None, None, None, 1.0, 1, "x", 1.0, True, "k", 1, 1, "t"), (91, " ".join(rnd.choice(words) for _ in range(60_000)), "xx", "s", 1, 2.0, 2, "y", 2.0, False, "k", 2, 2, "t")]
+    schema = COLUMNS + ", Score double, entities int, lang_pred string, distance double, rejected boolean, key string, node long, component_id long, fingerprint string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an item of the benchmark that is in no document")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want, columns = {r[0]: tuple(r)[5:] for r in rows if r[0] is not None}, docs.columns
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        f(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name.replace(' ', '_')}")
+        docs = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '_')}")
+        assert docs.columns == columns
+        got = docs.collect()
+        assert got and all(tuple(r)[5:] == want[r["doc_id"]] for r in got if r["doc_id"] is not None), name
+    assert {91} <= {r["doc_id"] for r in got} and 90 not in {r["doc_id"] for r in got}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == {r["doc_id"] for r in got}
+
+
+def test_empty_tables_run_through(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
