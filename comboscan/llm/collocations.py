@@ -1,7 +1,7 @@
 """Phrase collocations of each language: n-grams as rows, counts by hash aggregation, the weakest cut's score, maximal phrases only.
 
-A phrase with enough occurrences has only parts with as many. So one- and two-word rows are counted of the whole text, and
-longer ones of the stretches whose every shorter phrase is frequent: those are found by a bit set of fixed size, which
+A phrase with enough occurrences has only parts with as many. So words are counted of the whole text, and phrases of each further
+length of the stretches whose every phrase one word shorter is frequent: those are found by a bit set of fixed size, which
 may let a rare phrase through (it is counted and dropped) but never keeps a frequent one out.
 """
 
@@ -47,19 +47,11 @@ def grams(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("lang", F.lit(n).alias("n"), F.explode(F.transform(starts, phrase)).alias("phrase"))
 
 
-def words_and_pairs(rows: DataFrame) -> DataFrame:
-    """(lang, n, phrase, f) of all words (n = 1) and pairs (n = 2), and how many words each language has (n = 0).
-
-    Each word is one row with its follower, an empty one at a stretch's end; a word's count is the sum of its followers'. All three
-    read one exchange: what tells them apart is asked of the counts, as a condition on the follower would be pushed below it.
-    """
-    words = F.col("words")
-    each = rows.select("lang", F.explode(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("v")))).alias("g")).select("lang", "g.*")
-    pairs = each.groupBy("lang", "w", "v").agg(F.count(F.lit(1)).alias("f"))
-    row = lambda df, n, phrase, f: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), f.alias("f"))
-    both = row(pairs, 2, F.concat_ws(" ", "w", "v"), F.when(F.col("v") == "", F.lit(0)).otherwise(F.col("f")))
-    single = row(pairs.groupBy("lang", "w").agg(F.sum("f").alias("f")), 1, F.col("w"), F.col("f"))
-    return both.unionByName(single).unionByName(row(pairs.groupBy("lang").agg(F.sum("f").alias("f")), 0, F.lit(""), F.col("f")))
+def words_and_totals(rows: DataFrame) -> DataFrame:
+    """(lang, n, phrase, f) of all words (n = 1), and how many words each language has (n = 0); both read one exchange."""
+    words = rows.select("lang", F.explode("words").alias("phrase")).groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f"))
+    row = lambda df, n, phrase: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), "f")
+    return row(words, 1, F.col("phrase")).unionByName(row(words.groupBy("lang").agg(F.sum("f").alias("f")), 0, F.lit("")))
 
 
 def word_code(word: str) -> int:
@@ -121,10 +113,10 @@ def stretches(rows: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
             langs = np.array([word_code(x) for x in tongue.dictionary.to_pylist()], np.uint64)[tongue.indices.to_numpy()][row]
             at = phrase_codes(codes, langs, n, 64 * len(bits))
             ok = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & (row[: len(at)] == row[n - 1 :])
-            # runs of at least two good positions hold more than n words,
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]).astype(np.int8)))
-            first, last = edge[::2], edge[1::2]
-            # all of one row, as a phrase that crosses rows is never good
+            # runs of good positions of one row; of at least two they hold more than n words
+            on = ok[1:] & ok[:-1] & (row[1 : len(at)] == row[: len(at) - 1])
+            first = np.flatnonzero(ok & ~np.concatenate([[False], on]))
+            last = np.flatnonzero(ok & ~np.concatenate([on, [False]])) + 1
             long = last - first >= 2
             first, last = first[long], last[long] + n - 1
             if not len(first):
@@ -143,9 +135,8 @@ def count_phrases(docs: DataFrame, max_n: int, at_least: int) -> DataFrame:
 
     enough = lambda df: materialize(df.where((F.col("f") >= at_least) | (F.col("n") == 0)), "grams")
     rows = split_pieces(docs)
-    found = [enough(words_and_pairs(rows))]
-    for n in range(2, max_n):
-        # what is split further after the first two sizes is the stretches of the size before
+    found = [enough(words_and_totals(rows))]
+    for n in range(1, max_n):
         rows = materialize(stretches(rows, found[-1], n), "stretches")
         found.append(enough(grams(rows, n + 1).groupBy("lang", "n", "phrase").agg(F.count(F.lit(1)).alias("f"))))
     return reduce(DataFrame.unionByName, found)

@@ -55,7 +55,7 @@ def test_against_loops(spark, monkeypatch):
 def test_stretches_hold_every_frequent_phrase(spark):
     df = spark.createDataFrame([(1, "a b c d e f. a b c d", "en")] * 3 + [(2, "a x c d b c", "en")], "doc_id long, text string, lang string")
     rows = C.split_pieces(df)
-    frequent = C.words_and_pairs(rows).where("f >= 3")
+    frequent = C.grams(rows, 2).groupBy("lang", "n", "phrase").count().where("count >= 3")
     got = Counter(" ".join(r["words"]) for r in C.stretches(rows, frequent, 2).collect())
     assert got == {"a b c d e f": 3, "a b c d": 3}
 
