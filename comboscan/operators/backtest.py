@@ -1,4 +1,4 @@
-"""Stop / take-profit backtest with per-period trade caps: state crosses rows, so each symbol is one grouped kernel."""
+"""Stop / take-profit backtest with per-period trade caps: trades close with their period, so each (symbol, period) is a group."""
 
 from __future__ import annotations
 
@@ -86,7 +86,7 @@ def backtest(bars: DataFrame, plan: Plan) -> DataFrame:
         rows = simulate(pdf, 1, plan.per_period, plan.stop_after_win) + simulate(pdf, -1, plan.per_period, plan.stop_after_win)
         return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return df.groupBy("symbol").applyInPandas(run, SCHEMA)
+    return df.groupBy("symbol", "period").applyInPandas(run, SCHEMA)
 
 
 def summary(trades: DataFrame) -> DataFrame:
@@ -95,6 +95,3 @@ def summary(trades: DataFrame) -> DataFrame:
         F.avg("rr").alias("avg_rr"), F.max("rr").alias("best_rr"), F.min("rr").alias("worst_rr"),
     )
 
-
-def last_trades(trades: DataFrame, n: int = 20) -> DataFrame:
-    return trades.orderBy(F.desc("entry_idx"), "direction", "symbol").limit(n)

@@ -35,6 +35,7 @@ ABOVE = """rsi_7 rsi_21 atr_pct volatility_20_cv body_size_pct kf_atr_pct kf_atr
 wicks_diff wicks_diff_sma14 bar_range_pct adx_sma lower_shadow_ratio upper_shadow_ratio atr_pct_mean50 atr_c2c_mean50 kf_atr kf_atr_c2c""".split()
 OPERATORS = {**{c: (">=", "<=") for c in BOUNDS}, **{c: (">", "<") for c in BOTH}, **{c: (">",) for c in ABOVE}, "consecutive_green": (">=",)}
 DEFAULT_PARTNERS = ("close", "open", "high", "low", "kf_smooth")
+#: The 1-2-5 ladder of steps.
 STEPS = [m * 10.0**e for e in range(-5, 4) for m in (1, 2, 5)]
 
 
@@ -156,7 +157,7 @@ def rich_catalog(df: DataFrame, with_pairs: bool = False, limit: int | None = No
     """Flags, then thresholds, then pairs, each category by name where it has no order of its own."""
     flags = [flag(n) for n in FLAGS if n in df.columns]
     consts = sorted(threshold_entries(df), key=lambda e: (e.predicate.base, e.predicate.op, e.threshold))
-    numeric = sorted(c for c in (*OPERATORS, "close", "open", "high", "low", "kf_smooth", "9ema", "20ema", "50ema", "200sma") if c in df.columns)
+    numeric = core_columns(df)
     return flags + consts + (pairs(numeric, (">",), False, limit, {}) if with_pairs else [])
 
 
@@ -185,10 +186,49 @@ def prune(df: DataFrame, entries: list[Entry], target: str, reward: str, min_sam
     return kept, why
 
 
-def binary_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    """Numeric columns whose values are all 0 or 1."""
-    r = df.agg(*[F.bool_and(F.col(f"`{c}`").isin(0, 1)).alias(f"b{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if r[f"b{i}"]]
+#: Numeric columns that only pairs use.
+PAIRED = ("close", "open", "high", "low", "kf_smooth", "9ema", "20ema", "50ema", "200sma")
+
+
+def core_columns(df: DataFrame) -> list[str]:
+    """The numeric columns a rich catalog compares."""
+    return sorted(c for c in {*OPERATORS, *PAIRED} if c in df.columns)
+
+
+@dataclass
+class Audit:
+    """What the columns of prepared data and the catalog's lists do not agree on."""
+
+    unlisted_flags: list[str]
+    unlisted_numbers: dict[str, tuple[float, float, float, float]]  # 1st and 99th percentile (ranks rounded down), least, greatest
+    missing_flags: list[str]
+    missing_numbers: list[str]
+    not_numbers: list[str]
+
+    def lines(self) -> list[str]:
+        out = [f"{len(v)} {what}: {', '.join(v)}" for what, v in (
+            ("flags in no catalog", self.unlisted_flags), ("flags of the catalog missing", self.missing_flags),
+            ("numbers of the catalog missing", self.missing_numbers), ("numbers of the catalog that are flags or none", self.not_numbers)) if v]
+        return out + [f"number in no catalog: {n} P1-P99 [{a:.4f}, {b:.4f}] data [{c:.4f}, {d:.4f}]" for n, (a, b, c, d) in sorted(self.unlisted_numbers.items())]
+
+
+def audit(df: DataFrame, flags: list[str] = FLAGS, numbers: dict = OPERATORS) -> Audit:
+    """Compares prepared data with the catalog's lists: booleans, whole-number columns of 0 and 1 alone, and doubles."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    whole = [c for c, k in kinds.items() if k in ("byte", "short", "integer", "long")]
+    real = [c for c, k in kinds.items() if k in ("float", "double")]
+    zero_one = lambda c: F.bool_and(F.when(C.num(f"`{c}`").isNotNull(), F.col(f"`{c}`").isin(0, 1)))
+    seen = df.agg(F.lit(1), *[zero_one(c).alias(f"z{i}") for i, c in enumerate([*whole, *real])]).first()
+    binary = {c for i, c in enumerate([*whole, *real]) if seen[f"z{i}"]}
+    other = [c for c in real if c not in numbers]
+    n_of = df.agg(F.lit(1), *[F.count(C.num(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(other)]).first()
+    n_of = {c: n_of[f"n{i}"] for i, c in enumerate(other)}
+    at = O.values_at(df, [c for c in other if n_of[c] > 1], lambda n: [int(0.01 * (n - 1)), int(0.99 * (n - 1)), 0, n - 1])
+    spans = {c: tuple(v[k] for k in (int(0.01 * (n_of[c] - 1)), int(0.99 * (n_of[c] - 1)), 0, n_of[c] - 1)) for c, v in at.items()}
+    return Audit(
+        sorted(c for c, k in kinds.items() if c not in flags and (k == "boolean" or (c in binary and c in whole))), spans,
+        [c for c in flags if c not in kinds], [c for c in numbers if c not in kinds], [c for c in numbers if c in kinds and (c not in real or c in binary)],
+    )
 
 
 def catalog_digest(entries: list[Entry]) -> str:

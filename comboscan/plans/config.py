@@ -6,6 +6,7 @@ import argparse
 from dataclasses import asdict, dataclass, field
 
 from comboscan.operators.metrics import Sizing, asset
+from comboscan.sources.store import parse_s3
 
 STOP_COLUMNS = {"2x_atr_tp_atr_stop": "atr", "atr_stop": "atr", "3x_atr_tp_atr_stop": "atr", "atr_tp_atr_stop": "atr"}
 
@@ -44,10 +45,21 @@ class Config:
     profile: str = "off"  # coarse: counts of each window in the log; fine: seconds too
     profile_every: int = 1
     windows: int = 2  # under way at a time
+    min_samples_report: int | None = None
+    max_drawdown_report: float | None = None
+    stats: str = "core"  # full: all statistics of the top combinations, worked out again
+    stop_unit: str = "points"
+    keep_prepared: bool = False
+    acknowledge: bool = False
+    upload: str | None = None
+    upload_each: bool = False
+    quiet: bool = False
+    show: bool = True
 
     def run_key(self) -> dict:
         """What a resumed run must agree on; offsets, limits and reports may differ."""
-        free = ("out", "offset", "max_combos", "batch", "top", "force", "dry_run", "min_calmar", "subset_pruning", "auto_batch", "formulas_only", "profile", "profile_every", "windows")
+        free = ("out", "offset", "max_combos", "batch", "top", "force", "dry_run", "min_calmar", "subset_pruning", "auto_batch", "formulas_only", "profile", "profile_every", "windows",
+                "min_samples_report", "max_drawdown_report", "stats", "keep_prepared", "acknowledge", "upload", "upload_each", "quiet", "show")
         return {k: v for k, v in asdict(self).items() if k not in free}
 
 
@@ -71,30 +83,41 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("comb", help="search AND-combinations of predicates")
     c.add_argument("--data", "--csv", required=True)
     c.add_argument("--out", "--output-dir", required=True)
-    c.add_argument("--target", default="next_bar_up")
+    c.add_argument("--target", default="next_bar_color_and_wicks")
     c.add_argument("--direction", choices=["long", "short", "both"], default="long")
-    c.add_argument("--depth", "--max-depth", type=int, default=2)
-    c.add_argument("--min-samples", type=int, default=100)
+    c.add_argument("--depth", "--max-depth", type=int, default=3)
+    c.add_argument("--min-samples", "--min-sample-size", type=int, default=100)
+    c.add_argument("--min-samples-report", type=int, help="least trades in the report, in place of --min-samples")
     c.add_argument("--max-drawdown", type=float, default=30.0)
-    c.add_argument("--min-calmar", type=float)
+    c.add_argument("--max-drawdown-report", type=float, help="in the report, in place of --max-drawdown")
+    c.add_argument("--min-calmar", "--min-calmar-report", type=float)
     c.add_argument("--start", "--date-start")
     c.add_argument("--end", "--date-end")
-    c.add_argument("--offset", "--resume-from", type=int)
-    c.add_argument("--max-combos", type=int)
-    c.add_argument("--batch", "--batch-size", type=int, default=200_000)
-    c.add_argument("--no-stacking", dest="stacking", action="store_false")
-    c.add_argument("--feature-pairs", action="store_true")
-    c.add_argument("--pair-limit", type=int)
-    c.add_argument("--require-any", action="append", default=[])
+    c.add_argument("--offset", "--resume-from", "--resume-offset", type=int)
+    c.add_argument("--max-combos", "--limit", type=int)
+    c.add_argument("--batch", "--batch-size", type=int, default=20_000)
+    c.add_argument("--stacking-mode", choices=["stacking", "no-stacking"], default="no-stacking")
+    c.add_argument("--no-stacking", dest="stacking_mode", action="store_const", const="no-stacking")
+    c.add_argument("--feature-pairs", "--enable-feature-pairs", action="store_true")
+    c.add_argument("--pair-limit", "--feature-pairs-limit", "--feature-pairs-max", type=int)
+    c.add_argument("--require-any", "--require-any-features", action="append", default=[], help="names, also several with commas")
     c.add_argument("--rich", action="store_true", help="all indicators instead of the small set")
-    c.add_argument("--top", "--report-top", type=int, default=5)
-    c.add_argument("--force", action="store_true")
+    c.add_argument("--top", "--report-top", "--top-k", type=int, default=5)
+    c.add_argument("--force", "--force-recompute", action="store_true")
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--asset")
     c.add_argument("--capital", type=float, default=100_000.0)
-    c.add_argument("--risk-pct", type=float, default=1.0)
-    c.add_argument("--sizing", choices=["fractional", "contracts"], default="fractional")
-    c.add_argument("--stop-column")
+    c.add_argument("--risk-pct", "--risk-pct-per-trade", type=float, default=1.0)
+    c.add_argument("--sizing", "--position-sizing", choices=["fractional", "contracts"], default="fractional")
+    c.add_argument("--stop-column", "--stop-distance-column")
+    c.add_argument("--stop-distance-unit", choices=["points", "ticks"], default="points")
+    c.add_argument("--no-costs", action="store_true", help="rewards as they are, whatever the asset costs")
+    c.add_argument("--stats-detail", choices=["core", "full"], default="core")
+    c.add_argument("--report", "--report-metrics", choices=["full", "formulas", "off"], default="full")
+    c.add_argument("--ack-new-df", action="store_true", help="replace prepared data that differ")
+    c.add_argument("--s3-output", help="s3://bucket/prefix the results are copied to at the end")
+    c.add_argument("--s3-upload-each-batch", action="store_true")
+    c.add_argument("--quiet", action="store_true")
     c.add_argument("--cost-r", "--cost-per-trade-r", type=float)
     c.add_argument("--commission", "--commission-per-trade-dollar", type=float, help="round trip, in dollars")
     c.add_argument("--slippage", "--slippage-per-trade-dollar", type=float, help="round trip, in dollars")
@@ -103,7 +126,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--tick", "--tick-size", type=float)
     c.add_argument("--margin", "--margin-per-contract-dollar", type=float)
     c.add_argument("--point-value", type=float)
-    c.add_argument("--subset-pruning", action="store_true", help="skip deeper combinations of pairs with too few trades")
+    c.add_argument("--subset-pruning", "--enable-subset-pruning", action="store_true", help="skip deeper combinations of pairs with too few trades")
     c.add_argument("--auto-batch", action="store_true", help="let windows grow and shrink with their time")
     c.add_argument("--formulas-only", action="store_true", help="report names alone")
     c.add_argument("--profile-eval", dest="profile", choices=["off", "coarse", "fine"], default="off", help="log what each window cost")
@@ -137,17 +160,26 @@ def resolve(argv: list[str]) -> Config:
         raise ValueError("contracts sizing needs --asset or --point-value, and a stop column")
     per_r = a.dollars_per_r or a.capital * a.risk_pct / 100
     dollars = trade_cost(a, known)
-    if a.sizing == "contracts":
+    if a.no_costs:
+        cost = 0.0
+    elif a.sizing == "contracts":
         cost = dollars or 0.0
     else:
         cost = a.cost_r if a.cost_r is not None else dollars / per_r if dollars is not None and per_r > 0 else 0.0
+    tick = a.tick if a.tick is not None else known["tick_size"] if known else None
+    if a.stop_distance_unit == "ticks" and not tick:
+        raise ValueError("a stop distance in ticks needs --asset or --tick")
+    if a.s3_output:
+        parse_s3(a.s3_output)
     margin = a.margin if a.margin is not None else known["margin"] if known else None
     return Config(
         data=a.data, out=a.out, target=target, direction=a.direction, depth=a.depth, min_samples=a.min_samples, max_drawdown=a.max_drawdown,
-        min_calmar=a.min_calmar, start=a.start, end=a.end, offset=a.offset, max_combos=a.max_combos, batch=a.batch, stacking=a.stacking,
-        feature_pairs=a.feature_pairs, pair_limit=a.pair_limit, require_any=tuple(a.require_any), rich=a.rich, top=a.top, cost_r=cost,
+        min_calmar=a.min_calmar, start=a.start, end=a.end, offset=a.offset, max_combos=a.max_combos, batch=a.batch, stacking=a.stacking_mode == "stacking",
+        feature_pairs=a.feature_pairs, pair_limit=a.pair_limit, require_any=tuple(x for names in a.require_any for x in names.split(",") if x), rich=a.rich, top=a.top, cost_r=cost,
         force=a.force, dry_run=a.dry_run, sizing=Sizing(a.sizing, a.capital, a.risk_pct, per_r, a.min_contracts, a.max_contracts, margin),
-        stop_column=stop, point_value=point, tick=a.tick if a.tick is not None else known["tick_size"] if known else None,
-        subset_pruning=a.subset_pruning, auto_batch=a.auto_batch, formulas_only=a.formulas_only,
+        stop_column=stop, point_value=point, tick=tick,
+        subset_pruning=a.subset_pruning, auto_batch=a.auto_batch, formulas_only=a.formulas_only or a.report == "formulas",
+        min_samples_report=a.min_samples_report, max_drawdown_report=a.max_drawdown_report, stats=a.stats_detail, stop_unit=a.stop_distance_unit, keep_prepared=True,
+        acknowledge=a.ack_new_df, upload=a.s3_output, upload_each=a.s3_upload_each_batch, quiet=a.quiet, show=a.report != "off",
         profile=a.profile, profile_every=max(1, a.profile_every), windows=a.windows,
     )

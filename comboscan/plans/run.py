@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from time import monotonic
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from comboscan.functions import cols as C
@@ -41,8 +41,11 @@ class Prepared:
 def prepare(spark: SparkSession, bars: DataFrame, cfg: Config) -> Prepared:
     """Features on all history, then the target, the date range, and a pruned catalog."""
     df = FE.rich_features(bars) if cfg.rich else FE.builtin_features(bars)
+    if cfg.rich:  # rows before the longest mean is there take no part
+        df = materialize(df, "features")
+        df = S.drop_missing(df, K.core_columns(df))
     if cfg.rich and cfg.target in T.STOPPED:
-        df = T.next_bar_with_stop(materialize(df, "features"), T.STOPPED[cfg.target], cfg.target, cfg.tick)
+        df = T.next_bar_with_stop(df, T.STOPPED[cfg.target], cfg.target, cfg.tick)
         if cfg.direction == "short":
             df = df.withColumns({cfg.target: F.col(f"{cfg.target}_short"), f"rr_{cfg.target}": F.col("rr_short"), f"{cfg.target}_eligible": F.col("rr_short").isNotNull()})
     elif cfg.target in T.BRACKETS or cfg.target in T.ALIASES:
@@ -56,7 +59,12 @@ def prepare(spark: SparkSession, bars: DataFrame, cfg: Config) -> Prepared:
     else:
         df = T.next_bar(df, cfg.target)
     ts = "ts" if "ts" in df.columns else "timestamp"
+    if cfg.keep_prepared and not cfg.dry_run:
+        S.write_prepared(df, f"{cfg.out.rstrip('/')}/prepared", cfg.acknowledge)
     df = materialize(S.date_filter(df, cfg.start, cfg.end, ts), "prepared")
+    if cfg.rich and not cfg.quiet:
+        for line in K.audit(df).lines():
+            log.info("audit: %s", line)
     entries = K.rich_catalog(df, cfg.feature_pairs, cfg.pair_limit) if cfg.rich else K.builtin_catalog(df, cfg.feature_pairs)
     kept, why = K.prune(df, entries, cfg.target, f"rr_{cfg.target}", cfg.min_samples)
     if cfg.rich:  # flags that never change, or that repeat an earlier one
@@ -77,8 +85,10 @@ def run(spark: SparkSession, bars: DataFrame, cfg: Config, data_digest: str) ->
     if cfg.dry_run:
         return None
     store = ST.Store(spark, cfg.out, data_digest, ST.run_digest(cfg.run_key() | {"catalog": K.catalog_digest(p.entries)}), cfg.force)
-    masked = K.with_masks(p.data, p.entries)
-    rpc = M.risk_per_contract(C.num(cfg.stop_column), cfg.point_value) if cfg.sizing.mode == "contracts" else None
+    compared = [c for e in p.entries for c in (e.predicate.base, e.predicate.rhs) if c]
+    needed = S.required_columns(p.data.columns, cfg.target, [e.name for e in p.entries], [*compared, *([cfg.stop_column] if cfg.stop_column else [])])
+    masked = K.with_masks(p.data.select(*[f"`{c}`" for c in needed]), p.entries)
+    rpc = M.risk_per_contract(stop_distance(cfg), cfg.point_value) if cfg.sizing.mode == "contracts" else None
     net = M.net_reward(C.num(f"rr_{cfg.target}"), cfg.cost_r, cfg.sizing.mode, rpc)
     masked = materialize(masked.withColumn("_net", net), "masked")
     names = [e.name for e in p.entries]
@@ -111,7 +121,12 @@ def run(spark: SparkSession, bars: DataFrame, cfg: Config, data_digest: str) ->
         store.name(a, b)
         if tuner:
             tuner.record(seconds)
-    return ST.top_results(store.results(), cfg.top, cfg.min_samples, cfg.max_drawdown, cfg.min_calmar)
+        if cfg.upload and cfg.upload_each:
+            store.copy(cfg.upload)
+    if cfg.upload:
+        store.copy(cfg.upload)
+    top = ST.top_results(store.results(check=True), cfg.top, cfg.min_samples_report or cfg.min_samples, cfg.max_drawdown_report or cfg.max_drawdown, cfg.min_calmar)
+    return report(materialize(top, "top"), masked, cfg, p) if cfg.stats == "full" else top
 
 
 def in_order(spark: SparkSession, window: Callable[[int, int], float], at: int, end: int, size: Callable[[], int], flight: int) -> Iterator[tuple[int, int, float]]:
@@ -146,6 +161,12 @@ def profile_line(a: int, b: int, seen: dict, detail: str) -> str:
     return line if detail == "coarse" else f"{line}; {seen['and_seconds'] or 0.0:.2f} s of ANDs, {seen['stat_seconds'] or 0.0:.2f} s of statistics"
 
 
+def stop_distance(cfg: Config) -> Column:
+    """The stop distance in points; of a column in ticks, times the tick."""
+    d = C.num(cfg.stop_column)
+    return d * cfg.tick if cfg.stop_unit == "ticks" else d
+
+
 def result_rows(found: DataFrame, cfg: Config, digest: str) -> DataFrame:
     """The stored columns."""
     now = datetime.now(UTC).isoformat()
@@ -158,7 +179,7 @@ def result_rows(found: DataFrame, cfg: Config, digest: str) -> DataFrame:
 
 def combination_trades(combos: DataFrame, masked: DataFrame, cfg: Config, names: list[str]) -> DataFrame:
     """Trades of listed combinations: each bar's true names against each combination's parts, counted."""
-    rpc = M.risk_per_contract(C.num(cfg.stop_column), cfg.point_value).alias("rpc") if cfg.sizing.mode == "contracts" else F.lit(1.0).alias("rpc")
+    rpc = M.risk_per_contract(stop_distance(cfg), cfg.point_value).alias("rpc") if cfg.sizing.mode == "contracts" else F.lit(1.0).alias("rpc")
     t = M.trades(masked, {n: F.col(f"`{n}`") for n in names}, cfg.target, F.col("_net")).withColumnRenamed("combination", "part")
     parts = combos.withColumn("parts", F.split("combination", " && ")).withColumn("need", F.size("parts")).select("combination", "need", F.explode("parts").alias("part"))
     whole = t.join(parts, "part").groupBy("combination", "symbol", "bar_idx").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need"), *[F.first(c).alias(c) for c in ("rr", "label", "exit_i")])
@@ -173,6 +194,9 @@ def report(top: DataFrame, masked: DataFrame, cfg: Config, p: Prepared) -> DataF
     t = materialize(combination_trades(top.select("combination"), masked, cfg, [e.name for e in p.entries]), "trades")
     stats = M.full_stats(t, p.years).withColumn("quality", M.sample_quality(F.col("total_bars")))
     path = M.equity(t, cfg.sizing, "rpc" if cfg.sizing.mode == "contracts" else None, p.years)
+    if cfg.sizing.mode == "contracts":
+        sized = t.withColumn("n", F.floor(F.lit(float(cfg.sizing.capital)) * cfg.sizing.risk_pct / 100.0 / F.col("rpc")))
+        path = path.join(sized.groupBy("combination", "symbol").agg(F.median("n").alias("contracts_median"), F.max("n").alias("contracts_most")), ["combination", "symbol"], "left")
     out = stats.join(path, ["combination", "symbol"], "left")
     return out.withColumns({
         "net_profit_dollar": F.col("final_capital") - F.lit(float(cfg.sizing.capital)), "max_drawdown_dollar": F.col("equity_max_dd"),
@@ -199,6 +223,8 @@ def main(argv: list[str]) -> None:
         B.summary(trades).show(truncate=False)
         return
     cfg = resolve(argv)
+    if cfg.quiet:
+        log.setLevel(logging.WARNING)
     top = run(spark, bars, cfg, S.fingerprint(spark, cfg.data))
-    if top is not None:
+    if top is not None and cfg.show:
         print(format_report(top, cfg.formulas_only))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger("comboscan")
+
 RESULT_COLUMNS = {
     "csv_hash": "string", "direction": "string", "target": "string", "combination": "string", "processed_at": "string",
     "resume_offset": "bigint", "depth": "int", "total_bars": "bigint", "profitable_bars": "bigint", "win_rate": "double",
@@ -110,18 +113,50 @@ class Store:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def results(self) -> DataFrame:
-        """All committed rows, also as the temp view ``results``; unreadable files are skipped."""
-        parts = [f"{self.path}/results/{run[:16]}/window={a}-{b}" for run, windows in self.state["runs"].items() for a, b in windows]
+    def _windows(self) -> list[str]:
+        return [f"{self.path}/results/{run[:16]}/window={a}-{b}" for run, windows in self.state["runs"].items() for a, b in windows]
+
+    def results(self, check: bool = False) -> DataFrame:
+        """All committed rows, also as the temp view ``results``. Unreadable files are skipped; with ``check`` they are named first, in the
+        log and in ``quarantine``."""
+        parts = self._windows()
         schema = ", ".join(f"{c} {t}" for c, t in RESULT_COLUMNS.items())
         df = self.spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+        if check and parts:
+            self._check(df, parts)
         df.createOrReplaceTempView("results")
         return df
 
+    def copy(self, uri: str) -> None:
+        """Copies all committed rows to an S3 place, in one table by window."""
+        bucket, prefix = parse_s3(uri)
+        self.results().write.mode("overwrite").parquet(f"s3a://{bucket}/{prefix + '/' if prefix else ''}results")
+
+    def _check(self, df: DataFrame, parts: list[str]) -> None:
+        """Compares the files of the committed windows with those that gave rows. A file that gave fewer than its footer tells, or whose
+        footer cannot be read, is damaged: its window has to be judged again."""
+        listed = [f.getPath().toString() for p in parts for f in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(p)) if f.getPath().getName().endswith(".parquet")]
+        plain = lambda x: re.sub(r"^(\w+):/+", r"\1:/", x)  # noqa: E731  file:/a and file:///a are one
+        given = {plain(r["path"]): r["n"] for r in df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("combination").alias("n")).collect()}
+        bad = []
+        for path in listed:
+            try:
+                told = self.spark.read.parquet(path).count()
+            except Exception as e:  # noqa: BLE001  whatever a reader says of a damaged file
+                bad.append((path, given.get(plain(path), 0), None, str(e).strip().splitlines()[0][:200]))
+                continue
+            if told != given.get(plain(path), 0):
+                bad.append((path, given.get(plain(path), 0), told, "fewer rows than its footer tells"))
+        if bad:
+            for path, n, told, why in bad:
+                log.warning("damaged result file %s: %d of %s rows read: %s", path, n, told, why)
+            rows = self.spark.createDataFrame(bad, "file string, rows_read long, rows_told long, why string").withColumn("found_at", F.current_timestamp())
+            rows.write.mode("append").parquet(f"{self.path}/quarantine")
+
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """All committed rows of a directory, whatever data they are of."""
-    return Store(spark, path, None, "").results()
+    return Store(spark, path, None, "").results(check=True)
 
 
 def top_results(results: DataFrame, k: int, min_sample: int = 0, max_drawdown: float = float("inf"), min_calmar: float | None = None, direction: str | None = None, target: str | None = None, min_win_rate: float | None = None) -> DataFrame:

@@ -1,10 +1,7 @@
-"""Bars from an event stream: tumbling windows under a watermark, and running means that carry their state."""
+"""Bars from an event stream: tumbling windows under a watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +13,3 @@ def streaming_bars(events: DataFrame, every: str = "1 hour", late: str = "2 hour
     b = b.agg(F.min_by("value", key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", key).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
     return b.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
-
-def streaming_ema(bars: DataFrame, period: int) -> DataFrame:
-    """(symbol, ts, close, ema) with a level kept for each symbol between batches; the first close seeds it."""
-    a = 2.0 / (period + 1)
-
-    def step(key, batches: Iterator[pd.DataFrame], state):
-        level = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for r in rows.itertuples():
-            level = r.close if level is None else a * r.close + (1 - a) * level
-            out.append((key[0], r.ts, r.close, level))
-        if level is not None:
-            state.update((level,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, close double, ema double", "level double", "append", "NoTimeout")

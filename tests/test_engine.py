@@ -574,3 +574,89 @@ def test_chains_of_trades_are_doubled(spark):
     got = M.without_stacking(t)
     assert {(r["combination"], r["bar_idx"]) for r in got.collect()} == want and got.columns == t.columns
     assert M.without_stacking(t.where("false")).count() == 0
+
+
+def test_live_indicators_equal_the_batch(spark, tmp_path):
+    from comboscan.streaming.indicators import COLUMNS, streaming_indicators
+
+    rng, rows, want = np.random.default_rng(15), [], {}
+    start = pd.Timestamp("2024-01-01")
+    for sym, n in (("a", 260), ("b", 40)):
+        c = np.cumsum(rng.normal(size=n)) + 100
+        price = [c + rng.normal(size=n) * 0.3, c + 1 + rng.random(n), c - 1 - rng.random(n), c]
+        price[1][n // 2] = np.nan  # a missing high
+        with np.errstate(all="ignore"):
+            want[sym] = N.recursive_columns(*price)
+        rows += [(sym, (start + pd.Timedelta(minutes=i)).to_pydatetime(), *(None if np.isnan(x) else float(x) for x in v)) for i, v in enumerate(zip(*price))]
+    schema = "symbol string, ts timestamp, open double, high double, low double, close double"
+    # three files, each with its bars in any order, and one that moves the watermark past the end
+    for k, part in enumerate([[r for r in rows if r[1] < start + pd.Timedelta(minutes=90)], [r for r in rows if start + pd.Timedelta(minutes=90) <= r[1] < start + pd.Timedelta(minutes=91)], [r for r in rows if r[1] >= start + pd.Timedelta(minutes=91)], [("z", (start + pd.Timedelta(days=3)).to_pydatetime(), 1.0, 1.0, 1.0, 1.0)]]):
+        order = rng.permutation(len(part))
+        spark.createDataFrame([part[i] for i in order], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = streaming_indicators(src, "10 minutes").writeStream.outputMode("append").format("memory").queryName("live").option("checkpointLocation", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    got = spark.table("live").toPandas()
+    for sym, w in want.items():
+        g = got[got["symbol"] == sym].sort_values("ts")
+        assert len(g) == len(w["atr"])
+        for k in COLUMNS:
+            assert np.allclose(g[k].to_numpy(float), w[k], rtol=1e-9, atol=1e-9, equal_nan=True), (sym, k)
+
+
+def test_damaged_parts_are_named(spark, tmp_path):
+    rows = [("d", "long", "t", f"c{i}", "now", 0, 1, 9, 5, 50.0, 1.0, 2.0) for i in range(50)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in ST.RESULT_COLUMNS.items()))
+    s = ST.Store(spark, f"{tmp_path}/s", "d", "r" * 20)
+    s.commit(df.coalesce(1), 0, 10)
+    s.commit(df.coalesce(1), 10, 20)
+    s.commit(df.where("false"), 20, 30)
+    assert s.results(check=True).count() == 100 and not (tmp_path / "s/quarantine").exists()
+    (part,) = (tmp_path / f"s/results/{'r' * 16}/window=10-20").glob("*.parquet")
+    part.write_bytes(part.read_bytes()[:-40])
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    assert s.results(check=True).count() == 50
+    (named,) = spark.read.parquet(f"{tmp_path}/s/quarantine").collect()
+    assert named["file"].endswith(part.name) and named["rows_read"] == 0 and named["why"]
+
+
+def test_audits_and_core_columns(spark):
+    df = spark.createDataFrame([(True, 1, 1.0, 0.0, 5.0, None), (False, 0, 2.0, 1.0, 5.5, None)], "is_tribar boolean, odd int, adx double, rsi_14 double, mine double, stray boolean")
+    a = K.audit(df)
+    assert a.unlisted_flags == ["odd", "stray"] and a.unlisted_numbers == {"mine": (5.0, 5.0, 5.0, 5.5)}
+    assert "is_hammer" in a.missing_flags and "macd" in a.missing_numbers and a.not_numbers == ["rsi_14"]
+    assert any(x.startswith("number in no catalog: mine") for x in a.lines()) and K.core_columns(df) == ["adx", "rsi_14"]
+
+
+def test_flags_of_the_command_line():
+    base = ["comb", "--data", "d", "--out", "o"]
+    c = resolve(base)
+    assert (c.depth, c.stacking, c.batch, c.target, c.stats, c.show) == (3, False, 20_000, "next_bar_color_and_wicks", "core", True)
+    c = resolve([*base, "--stacking-mode", "stacking", "--asset", "ES", "--no-costs", "--require-any-features", "a,b", "--stop-distance-unit", "ticks", "--report", "off", "--min-samples-report", "9", "--s3-output", "s3://bucket/x"])
+    assert c.stacking and c.cost_r == 0 and c.require_any == ("a", "b") and c.stop_unit == "ticks" and not c.show and c.min_samples_report == 9 and c.upload == "s3://bucket/x"
+    for bad in (["--stop-distance-unit", "ticks"], ["--s3-output", "bucket"]):
+        with pytest.raises(ValueError):
+            resolve([*base, *bad])
+
+
+def test_a_full_report_of_a_rich_run(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    c = np.cumsum(rng.normal(size=420)) + 500
+    o = np.concatenate([c[:1], c[:-1]])
+    rows = [("ALL", i, float(o[i]), float(max(o[i], c[i]) + 1), float(min(o[i], c[i]) - 1), float(c[i]), 1.0) for i in range(420)]
+    df = spark.createDataFrame(rows, "symbol string, bar_idx long, open double, high double, low double, close double, volume double")
+    df = df.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("bar_idx") * 3600))
+    cfg = Config("x", f"{tmp_path}/out", rich=True, target="2x_atr_tp_atr_stop", depth=1, min_samples=20, max_drawdown=1e9, stacking=False, stats="full", keep_prepared=True, subset_pruning=True, profile="fine")
+    top = R.run(spark, df, cfg, "raw:1").toPandas()
+    assert 0 < len(top) <= 5 and {"sharpe", "quality", "net_profit_dollar", "calmar_ratio"} <= set(top.columns) and (top["total_bars"] >= 20).all()
+    assert spark.read.parquet(f"{tmp_path}/out/prepared").agg(F.min("bar_idx")).first()[0] >= 199  # warm-up rows take no part
+    stored = spark.table("results").where("depth = 1").toPandas().set_index("combination")
+    for r in top.itertuples():
+        assert stored.loc[r.combination, "total_bars"] == r.total_bars and np.isclose(stored.loc[r.combination, "calmar_ratio"], r.calmar_ratio)
