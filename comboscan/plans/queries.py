@@ -593,20 +593,62 @@ def bracket_labels(spark, sf):
     return r6(t.select("symbol", "bar_idx", F.col("2x_atr_tp_atr_stop").alias("label"), "rr_long", "rr_short", F.col("2x_atr_tp_atr_stop_exit_i").alias("exit_i")), "rr_long", "rr_short")
 
 
-@query("tribar_weekly")
+_FIRST_TWO = """
+f1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, side, period ORDER BY i) AS k FROM x),
+one AS (SELECT * FROM f1 WHERE k = 1),
+two AS (SELECT x.*, row_number() OVER (PARTITION BY x.symbol, x.side, x.period ORDER BY x.i) AS k FROM x JOIN one ON one.symbol = x.symbol AND one.side = x.side AND one.period = x.period AND x.i > one.at {more}),
+z AS (SELECT * FROM one UNION ALL SELECT * FROM two WHERE k = 1)"""
+
+
+def _backtest_sql(period: str, signal: str, stop_after_win: bool, select: str) -> str:
+    """At most two trades a period and side, the second after the first is closed: a candidate's exit by a join with its period's later bars."""
+    return _ATR + f""",
+q AS (SELECT t.*, rec.atr, {period} AS period FROM tr t JOIN rec USING (symbol, bar_idx)),
+e AS (SELECT *, max(bar_idx) OVER (PARTITION BY symbol, period) AS last, arg_max(close, bar_idx) OVER (PARTITION BY symbol, period) AS final FROM q),
+c AS (SELECT e.symbol, s.side, period, bar_idx AS i, close AS entry, close + s.side * 2.0 * atr AS tp, last, final, CASE WHEN s.side = 1 THEN low ELSE high END AS far, close - s.side * atr AS near
+  FROM e, (SELECT unnest([1, -1]) AS side) s WHERE {signal}),
+d AS (SELECT *, {_STOPS["tightest"].replace("close", "entry").replace("ELSE near END", "WHEN (entry - near) * side > 0 THEN near END")} AS stop FROM c),
+g AS (SELECT * FROM d WHERE (entry - stop) * side > 1e-9 AND (tp - entry) * side > 0),
+h AS (SELECT g.symbol, g.side, g.i, min(b.bar_idx) AS j, arg_min(CASE WHEN (CASE WHEN side = 1 THEN b.low ELSE b.high END - stop) * side <= 0 THEN stop ELSE tp END, b.bar_idx) AS price
+  FROM g JOIN bars b ON b.symbol = g.symbol AND b.bar_idx > g.i AND b.bar_idx <= g.last
+  WHERE (CASE WHEN side = 1 THEN b.low ELSE b.high END - stop) * side <= 0 OR (CASE WHEN side = 1 THEN b.high ELSE b.low END - tp) * side >= 0 GROUP BY ALL),
+x AS (SELECT g.*, coalesce(h.j, g.last) AS at, coalesce(h.price, g.final) AS price, (coalesce(h.price, g.final) - g.entry) / (g.entry - g.stop) AS rr FROM g LEFT JOIN h USING (symbol, side, i)),""" + _FIRST_TWO.format(more="AND one.rr <= 0" if stop_after_win else "") + select
+
+
+_WEEK = "greatest(0, floor((epoch(bts) - 338400) / 604800))::BIGINT"
+
+
+@query("tribar_weekly", _RECURRENCES[: _RECURRENCES.index("d0 AS")] + f"""
+o AS (SELECT *, greatest(open, close) AS top, least(open, close) AS bottom, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS nr, {_WEEK} AS period FROM t),
+m AS (SELECT *, max(bar_idx) OVER (PARTITION BY symbol, period) AS last, greatest(lag(top) OVER w, lag(top, 2) OVER w) AS tops, least(lag(bottom) OVER w, lag(bottom, 2) OVER w) AS bottoms FROM o WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+c AS (SELECT m.symbol, 1 AS side, m.period, m.bar_idx AS i, m.close AS entry, m.high, m.low, m.last, least(m.low, m.close - r1.s_tr) AS stop, m.close + 2 * r1.s_tr AS tp FROM m JOIN r1 USING (symbol, bar_idx)
+  WHERE nr > 2 AND ((m.close > m.open AND m.close > tops) OR (m.close < m.open AND m.close < bottoms)) AND m.close > r1.kf_smooth),
+g AS (SELECT * FROM c WHERE stop < entry),
+h AS (SELECT g.symbol, g.i, min(b.bar_idx) AS j, arg_min(CASE WHEN b.open <= stop THEN [(b.open - entry) / (entry - stop), 0.0] WHEN b.open >= tp THEN [(b.open - entry) / (entry - stop), 1.0] WHEN b.low <= stop THEN [-1.0, 0.0] ELSE [(tp - entry) / (entry - stop), 1.0] END, b.bar_idx) AS r
+  FROM g JOIN bars b ON b.symbol = g.symbol AND b.bar_idx > g.i AND b.bar_idx <= g.last WHERE b.open <= stop OR b.open >= tp OR b.low <= stop OR b.high >= tp GROUP BY ALL),
+y AS (SELECT g.*, CASE WHEN g.high >= tp AND g.low > stop THEN [(tp - entry) / (entry - stop), 1.0, i] WHEN g.low <= stop THEN [-1.0, 0.0, i] WHEN h.j IS NOT NULL THEN [h.r[1], h.r[2], h.j] WHEN g.last > g.i THEN [(b.close - entry) / (entry - stop), 0.0, g.last] END AS r
+  FROM g LEFT JOIN h USING (symbol, i) JOIN bars b ON b.symbol = g.symbol AND b.bar_idx = g.last),
+x AS (SELECT *, r[3]::BIGINT AS at FROM y WHERE r IS NOT NULL),""" + _FIRST_TWO.format(more="") + """
+SELECT symbol, i AS bar_idx, r[2] = 1 AS tribar_4h_2atr, round(r[1], 6) AS rr_tribar_4h_2atr, z.at AS tribar_4h_2atr_exit_i FROM z""")
 def tribar_weekly(spark, sf):
     b = FE.rich_features(by_type(spark, sf)).select("symbol", "ts", "bar_idx", "open", "high", "low", "close", "atr", "kf_smooth", "is_tribar")
-    return T.tribar_4h_2atr(materialize(b, "bars")).where("tribar_4h_2atr_eligible").select("symbol", "bar_idx", "tribar_4h_2atr", "rr_tribar_4h_2atr", "tribar_4h_2atr_exit_i")
+    out = T.tribar_4h_2atr(materialize(b, "bars")).where("tribar_4h_2atr_eligible")
+    return r6(out.select("symbol", "bar_idx", "tribar_4h_2atr", "rr_tribar_4h_2atr", "tribar_4h_2atr_exit_i"), "rr_tribar_4h_2atr")
 
 
-@query("backtest_weekly")
+@query("backtest_weekly", _backtest_sql(_WEEK, "close > open", False, """
+SELECT symbol, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, i AS entry_idx, z.at AS exit_idx, round(entry, 6) AS entry_price, round(price, 6) AS exit_price, round(rr, 6) AS rr, period,
+  round(stop, 6) AS stop_price, round(tp, 6) AS tp_price FROM z"""))
 def backtest_weekly(spark, sf):
-    return B.backtest(by_type(spark, sf), B.Plan("close > open"))
+    return r6(B.backtest(by_type(spark, sf), B.Plan("close > open")), "entry_price", "exit_price", "rr", "stop_price", "tp_price")
 
 
-@query("backtest_monthly")
+@query("backtest_monthly", _backtest_sql("(year(bts) * 12 + month(bts) - 1)::BIGINT", "close > open AND volume >= 2", True, """
+SELECT CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction, count(*) AS trades, count(*) FILTER (rr > 0) AS wins, count(*) FILTER (rr < 0) AS losses, round(avg(rr), 6) AS avg_rr, round(max(rr), 6) AS best_rr, round(min(rr), 6) AS worst_rr
+FROM z GROUP BY 1"""))
 def backtest_monthly(spark, sf):
-    return B.summary(B.backtest(by_type(spark, sf), B.Plan("close > open && volume >= 2", period="monthly", stop_after_win=True)))
+    out = B.summary(B.backtest(by_type(spark, sf), B.Plan("close > open && volume >= 2", period="monthly", stop_after_win=True)))
+    return r6(out, "avg_rr", "best_rr", "worst_rr")
 
 
 @query("threshold_catalog")
