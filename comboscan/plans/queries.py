@@ -651,7 +651,21 @@ def backtest_monthly(spark, sf):
     return r6(out, "avg_rr", "best_rr", "worst_rr")
 
 
-@query("threshold_catalog")
+_NICE = lambda v, down: f"""CASE WHEN {v} = 0 THEN 0.0::DOUBLE WHEN {v} < 0 THEN {"-1" if down else "-10"} * pow(10, floor(log10(-{v}))) ELSE
+  {"list_max" if down else "list_min"}(list_filter([m * pow(10, floor(log10({v}))) FOR m IN [1, 2, 5, 10]], lambda x: x {"<=" if down else ">="} {v})) END"""
+
+
+@query("threshold_catalog", "WITH RECURSIVE " + _bars("e.event_type") + FEATS + f""",
+b AS (SELECT 'range' AS base, high - low AS v FROM feats UNION ALL SELECT 'body', close - open FROM feats UNION ALL SELECT 'sma_9', sma_9 FROM feats),
+q AS (SELECT base, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS z, CASE base WHEN 'range' THEN ['>'] WHEN 'body' THEN ['>', '<'] ELSE ['>=', '<='] END AS ops FROM b WHERE v IS NOT NULL GROUP BY 1),
+n AS (SELECT base, ops, {_NICE("a", True)} AS low, {_NICE("z", False)} AS high FROM q),
+s AS (SELECT n.*, m * pow(10, e) AS step, len(ops) * floor((high - low) / (m * pow(10, e))) AS made, (high - low) * len(ops) / (10 + len(ops)) AS even FROM n, (SELECT unnest(range(-5, 4)) AS e), (SELECT unnest([1, 2, 5]) AS m)),
+k AS (SELECT DISTINCT ON (base) * FROM s ORDER BY base, CASE WHEN made BETWEEN 5 AND 15 THEN 0 ELSE 1 END, CASE WHEN made BETWEEN 5 AND 15 THEN abs(made - 10) ELSE abs(step - even) END, step),
+g AS (SELECT base, ops, low, high, step, low AS x FROM k UNION ALL SELECT base, ops, low, high, step, x + step FROM g WHERE x + step <= high + 2.220446049250313e-16),
+o AS (SELECT base, unnest(ops) AS op, unnest(range(1, len(ops) + 1)) AS place, low, high, x FROM g WHERE x <= high + 2.220446049250313e-16),
+h AS (SELECT *, base || op || CAST(CAST(printf('%.2f', x) AS DOUBLE) AS VARCHAR) AS name FROM o WHERE CASE op WHEN '>' THEN high > x WHEN '>=' THEN high >= x WHEN '<' THEN low < x ELSE low <= x END),
+u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY name ORDER BY place, x) = 1)
+SELECT (row_number() OVER (ORDER BY base, place, x) - 1)::INTEGER AS idx, name, 'feature_vs_constant' AS category, base, op, round(x, 6) AS threshold, NULL::VARCHAR AS rhs FROM u""")
 def threshold_catalog(spark, sf):
     df = materialize(FE.builtin_features(by_type(spark, sf)), "bars")
-    return K.catalog_frame(spark, K.threshold_entries(df, {"range": (">",), "body": (">", "<"), "sma_9": (">=", "<=")}))
+    return r6(K.catalog_frame(spark, K.threshold_entries(df, {"range": (">",), "body": (">", "<"), "sma_9": (">=", "<=")})), "threshold")
