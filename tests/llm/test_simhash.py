@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import xxhash
 
@@ -198,3 +199,30 @@ def test_dedup_moves_no_kept_row_and_leaves_no_other_table(spark):
     want = [(2 * i, f"text number {i} of many", None, 2 * i) for i in range(200)]
     assert sorted(map(tuple, out.where("doc_id is not null").collect())) == want
     assert sorted(out.where("doc_id is null").select("n").collect()) == [(1,), (2,)]
+
+
+def test_groups_of_a_whole_table_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: frozenset(simhash.shingles(simhash.words(t), 5)) for i, t in rows.items()}
+    holds = {}
+    for i, s in sets.items():
+        for g in s:
+            holds.setdefault(g, []).append(i)
+    common = Counter()
+    for ids in holds.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(a, b) for (a, b), n in common.items() if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n)]
+    pairs += [(a, b) for a in rows for b in rows if a < b and not sets[a] and not sets[b]]
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert got == {i for i in rows if find(i) == i} and len(pairs) > 50
