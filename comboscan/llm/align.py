@@ -13,6 +13,7 @@ import hashlib
 import sys
 import tempfile
 import types
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -86,6 +87,7 @@ class Aligner:
 
     def __init__(self, byte_bpe: str, piece_bpe: str, groups: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
         self.first, self.second, self.groups = Encoder(byte_bpe).ranked, sentencepiece.SentencePieceProcessor(model_file=piece_bpe), groups
         if self.first is None:
@@ -94,6 +96,11 @@ class Aligner:
         self.a_bytes = [b""] * (max(ranks.values()) + 1)
         for raw, i in ranks.items():
             self.a_bytes[i] = raw
+        with open(piece_bpe, "rb") as f:
+            model = proto.ModelProto.FromString(f.read())
+        norm = model.normalizer_spec
+        # such a model changes nothing but a space and the mark that stands for one, so only a text with that mark is spelled otherwise
+        self.faithful = model.trainer_spec.byte_fallback and norm.add_dummy_prefix and norm.escape_whitespaces and not (norm.precompiled_charsmap or norm.remove_extra_whitespaces)
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -104,11 +111,12 @@ class Aligner:
 
     def tokens(self, text: str, b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both tokenizers, special tokens' strings being plain text; None unless both spell a space and the text."""
-        spelled = (" " + text).encode()
-        a = self.first.encode_to_numpy(" " + text, disallowed_special=()).astype("<i4")
-        # a plain byte-level model spells what it is given, as its length shows
-        same = int(self.a_size[a].sum()) == len(spelled) and b"".join([self.b_bytes[i] for i in b]) == spelled
-        return (a, np.array(b, "<i4")) if same else None
+        a = self.first.encode_to_numpy(" " + text, disallowed_special=()).astype("<i4", copy=False)
+        if self.faithful:
+            same = SPACE not in text
+        else:  # a plain byte-level model spells what it is given
+            same = b"".join([self.b_bytes[i] for i in b]) == (" " + text).encode()
+        return (a, np.frombuffer(array("i", b), "<i4")) if same else None
 
     def stretches(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[Side, Side, np.ndarray]:
         """Both ids of all texts, cut at every text and before the pieces that begin with a space where a token ends, and for each stretch
