@@ -24,7 +24,7 @@ from comboscan.session import materialize
 
 #: Bars of a block: 421 predicates take 3.5 MB of bits, and a worker holds one block at a time.
 BLOCK = 1 << 16
-#: Ranks that a task judges at a time; counts of so many are summed over blocks in one row.
+#: Ranks whose counts are summed over blocks in one row.
 CHUNK = 1 << 16
 #: Trades, padded, whose statistics are worked out at a time.
 TILE = 1 << 20
@@ -317,10 +317,12 @@ class Plan:
     rules: Rules
     rows: int
     parts: int
+    dense: bool = False  # counts of whole intervals are kept
 
     def chunks(self, part: int) -> Iterator[tuple[int, int]]:
         """The rank intervals of a part; the parts take turns, as neighbouring ranks cost alike."""
-        size = max(1, min(CHUNK, -(-(self.end - self.start) // (4 * self.parts))))
+        size = max(1, -(-(self.end - self.start) // (4 * self.parts)))
+        size = min(CHUNK, size) if self.dense else size
         for i, a in enumerate(range(self.start, self.end, size)):
             if i % self.parts == part:
                 yield a, min(self.end, a + size)
@@ -476,8 +478,8 @@ def search(
     rules = Rules(np.array([-1 if b is None else kinds[b] for b in bounds], np.int64), np.array([x in (require_any or set()) for x in names], bool), dead)
     cores = spark.sparkContext.defaultParallelism
     parts = parts or max(1, -(-4 * cores // max(1, blocks.count)))
-    plan = Plan(names, depth, start, max(start, end), max(1, min_sample), stacking, capital, rules, BLOCK, parts)
-    units = blocks.df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(blocks.count * parts or 1, "symbol", "block", "part")
+    plan = Plan(names, depth, start, max(start, end), max(1, min_sample), stacking, capital, rules, BLOCK, parts, blocks.deepest > 1)
+    units = blocks.df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(1, blocks.count * parts))
     out = units
     if blocks.deepest > 1:
         long = blocks.df.groupBy("symbol").count().where("count > 1").select("symbol")

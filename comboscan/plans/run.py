@@ -52,7 +52,7 @@ def prepare(spark: SparkSession, bars: DataFrame, cfg: Config) -> Prepared:
         df = materialize(df if "atr" in df.columns else FE.with_recursive(df), "features")
         ts = "ts" if "ts" in df.columns else "timestamp"
         # a trade opened within the dates is closed with them: nothing later may decide it
-        cutoff = F.to_date(F.col(ts)) <= F.lit(cfg.end).cast("date") if cfg.end else None
+        cutoff = S.day_of(df, ts) <= F.lit(cfg.end).cast("date") if cfg.end else None
         df = T.with_bracket(df, cfg.target, cfg.direction, cfg.tick, cutoff=cutoff)
     elif cfg.target == "tribar_4h_2atr":
         df = T.tribar_4h_2atr(df)

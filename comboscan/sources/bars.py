@@ -13,10 +13,16 @@ PRICES = ("open", "high", "low", "close", "volume")
 
 
 def read_bars(spark: SparkSession, path: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header and the raw schema by name; cells that do not parse are null. Order is by timestamp."""
+    """CSV with a header and the raw schema by name; cells that do not parse are null. Order is by timestamp.
+
+    ``local_date`` is the calendar date as it is written, which a time with an offset (2024-03-01T01:30:00+02:00) has where it was noted
+    down, not in UTC; dates of ranges mean it.
+    """
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path).drop(*drop)
     typed = [F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in RAW_SCHEMA if f.name in raw.columns]
-    rest = [c for c in raw.columns if c not in RAW_SCHEMA.names]
+    if "timestamp" in raw.columns:
+        typed.append(F.expr("try_cast(substring(trim(`timestamp`), 1, 10) as date)").alias("local_date"))
+    rest = [c for c in raw.columns if c not in RAW_SCHEMA.names and c != "local_date"]
     return index_bars(raw.select(*typed, *rest).withColumn("symbol", F.lit("ALL")), "timestamp")
 
 
@@ -45,9 +51,14 @@ def bars_from_events(events: DataFrame, every: str = "hour", symbol: Column | No
     return index_bars(b.withColumnRenamed("bucket", "ts"))
 
 
+def day_of(df: DataFrame, ts: str = "ts") -> Column:
+    """The calendar date of a bar: as written, where the bars were read with it, else that of its time (UTC)."""
+    return F.col("local_date") if "local_date" in df.columns else F.to_date(F.col(ts))
+
+
 def date_filter(df: DataFrame, start: str | None, end: str | None, ts: str = "ts") -> DataFrame:
-    """Inclusive calendar dates (UTC); rows without a time go when a bound is set. Exit indices stay absolute bar_idx."""
-    day = F.to_date(F.col(ts))
+    """Inclusive calendar dates; rows without a time go when a bound is set. Exit indices stay absolute bar_idx."""
+    day = day_of(df, ts)
     if start:
         df = df.where(day >= F.lit(start).cast("date"))
     if end:

@@ -660,3 +660,11 @@ def test_a_full_report_of_a_rich_run(spark, tmp_path):
     stored = spark.table("results").where("depth = 1").toPandas().set_index("combination")
     for r in top.itertuples():
         assert stored.loc[r.combination, "total_bars"] == r.total_bars and np.isclose(stored.loc[r.combination, "calmar_ratio"], r.calmar_ratio)
+
+
+def test_dates_are_those_written_with_the_time(spark, tmp_path):
+    csv = tmp_path / "b.csv"
+    csv.write_text("timestamp,open,high,low,close,volume\n2024-03-01T01:30:00+02:00,1,2,0.5,1.5,10\n2024-02-29T23:45:00Z,1,2,0.5,1.6,10\n2024-02-29T20:00:00-05:00,1,2,0.5,1.7,10\nbad,1,2,0.5,1.8,10\n")
+    b = S.read_bars(spark, str(csv))
+    of = lambda *d: {r["close"] for r in S.date_filter(b, *d, "timestamp").collect()}
+    assert of("2024-03-01", None) == {1.5} and of(None, "2024-02-29") == {1.6, 1.7} and len(of(None, None)) == 4
