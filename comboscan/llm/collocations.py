@@ -1,8 +1,8 @@
 """Phrase collocations of each language: n-grams as rows, counts by hash aggregation, the weakest cut's score, maximal phrases only.
 
-A phrase with enough occurrences has only parts with as many. So words are counted of the whole text, and phrases of each further
-length of the stretches whose every phrase one word shorter is frequent: those are found by a bit set of fixed size, which
-may let a rare phrase through (it is counted and dropped) but never keeps a frequent one out.
+A phrase with enough occurrences has only parts with as many. So words and pairs are counted of the whole text, and phrases of each
+further length of the stretches whose every phrase one word shorter is frequent: those are found by a bit set of fixed size,
+which may let a rare phrase through (it is counted and dropped) but never keeps a frequent one out.
 """
 
 from __future__ import annotations
@@ -47,11 +47,21 @@ def grams(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("lang", F.lit(n).alias("n"), F.explode(F.transform(starts, phrase)).alias("phrase"))
 
 
-def words_and_totals(rows: DataFrame) -> DataFrame:
-    """(lang, n, phrase, f) of all words (n = 1), and how many words each language has (n = 0); both read one exchange."""
-    words = rows.select("lang", F.explode("words").alias("phrase")).groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f"))
-    row = lambda df, n, phrase: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), "f")
-    return row(words, 1, F.col("phrase")).unionByName(row(words.groupBy("lang").agg(F.sum("f").alias("f")), 0, F.lit("")))
+def words_and_pairs(rows: DataFrame) -> DataFrame:
+    """(lang, n, phrase, f) of all words (n = 1) and pairs (n = 2), and how many words each language has (n = 0).
+
+    Each word is one row with its follower, an empty one at a stretch's end; a word's count is the sum of its followers', a language's that
+    of its words'. Sums read the exchange of what they sum: what tells pairs apart is asked of their count, as a condition on the follower
+    would be pushed below it and make another.
+    """
+    words = F.col("words")
+    each = rows.select("lang", F.explode(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("v")))).alias("g")).select("lang", "g.*")
+    pairs = each.groupBy("lang", "w", "v").agg(F.count(F.lit(1)).alias("f"))
+    row = lambda df, n, phrase, f: df.select("lang", F.lit(n).alias("n"), phrase.alias("phrase"), f.alias("f"))
+    both = row(pairs, 2, F.concat_ws(" ", "w", "v"), F.when(F.col("v") == "", F.lit(0)).otherwise(F.col("f")))
+    single = pairs.groupBy("lang", "w").agg(F.sum("f").alias("f"))
+    every = single.groupBy("lang").agg(F.sum("f").alias("f"))
+    return both.unionByName(row(single, 1, F.col("w"), F.col("f"))).unionByName(row(every, 0, F.lit(""), F.col("f")))
 
 
 def word_code(word: str) -> int:
@@ -135,8 +145,8 @@ def count_phrases(docs: DataFrame, max_n: int, at_least: int) -> DataFrame:
 
     enough = lambda df: materialize(df.where((F.col("f") >= at_least) | (F.col("n") == 0)), "grams")
     rows = split_pieces(docs)
-    found = [enough(words_and_totals(rows))]
-    for n in range(1, max_n):
+    found = [enough(words_and_pairs(rows))]
+    for n in range(2, max_n):
         rows = materialize(stretches(rows, found[-1], n), "stretches")
         found.append(enough(grams(rows, n + 1).groupBy("lang", "n", "phrase").agg(F.count(F.lit(1)).alias("f"))))
     return reduce(DataFrame.unionByName, found)
